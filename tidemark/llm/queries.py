@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, fingerprints, secrets, url_filter
+from tidemark.llm import byte_bpe, exact_dedup, fingerprints, langid, packing, secrets, simhash, url_filter
 from tidemark.llm.common import documents
 
 URL_RULES = [
@@ -35,6 +35,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    found = langid.identify(docs.drop("lang"), langid.train_on_documents(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprints.edited_fingerprints(documents(spark, sf_dir, "doc_id", "text"))
     return out.select(
@@ -54,11 +60,35 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), URL_RULES)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", simhash.as_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir, "doc_id", "text")))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenize(documents(spark, sf_dir, "doc_id", "text"))
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language_id": op4_language_id,
     "op5_fingerprints": op5_fingerprints,
     "op6_url_filter": op6_url_filter,
+    "op7_simhash": op7_simhash,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op10_packing": op10_packing,
 }
 
 _SQL_NAME = r"(?i:(password|passwd|secret|token|api_?key))[\"'']?\x20*[:=]\x20*[\"'']?"
