@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, exact_dedup, fingerprints, langid, packing, secrets, simhash, url_filter
+from tidemark.llm import byte_bpe, exact_dedup, fingerprints, langid, packing, secrets, simhash, substring_dedup, suffix_dedup, url_filter
 from tidemark.llm.common import documents
 
 URL_RULES = [
@@ -16,6 +16,11 @@ URL_RULES = [
 ]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.deduplicate(documents(spark, sf_dir, "doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir, "doc_id", "text"), secrets.BlobLedger(spark))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -75,12 +80,18 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.deduplicate(documents(spark, sf_dir, "doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize(documents(spark, sf_dir, "doc_id", "text"))
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
@@ -88,6 +99,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_packing": op10_packing,
 }
 
