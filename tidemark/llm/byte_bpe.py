@@ -10,24 +10,29 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Pieces of at most PIECE_BYTES characters that a worker remembers.
-MAX_PIECES, PIECE_CHARS = 400_000, 40
+#: Pieces that a worker remembers the ids of (those met lately), and their longest length.
+MAX_PIECES, PIECE_CHARS = 700_000, 40
 
 #: ``' ?\S+|\s+(?!\S)|\s+'`` is what the pattern's matches are cut from.
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Characters that libraries disagree about being white space: such texts are encoded in one piece.
-_ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
+_ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+#: From here on, versions of Unicode may differ in what is a letter: such pieces are left to the library.
+LATER = "\u2000"
+_MATCH = regex.compile(public_tokenizers.PATTERN)
 
 
 def read_ranks(path: str = RANKS) -> dict[bytes, int]:
@@ -64,25 +69,41 @@ class Encoder:
 
     def __init__(self, path: str = RANKS):
         ranks = read_ranks(path)
-        self.tokenizer, self.known = build_tokenizer(ranks), {}
+        self.tokenizer, self.chars = build_tokenizer(ranks), byte_characters()
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.table = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.table[r] = t
         self.lengths = np.array([len(t) for t in self.table], dtype=np.int64)
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<i4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if _ODD.search(t) else _PIECES.findall(t) for t in texts]
-        new = list({p for pieces in cut for p in pieces} - self.known.keys())
-        if len(self.known) + len(new) > MAX_PIECES:
-            self.known = {}
-            new = list({p for pieces in cut for p in pieces})
-        now = dict(zip(new, self._ids(new), strict=True))
-        self.known.update((p, ids) for p, ids in now.items() if len(p) <= PIECE_CHARS)
-        known = self.known | now if any(len(p) > PIECE_CHARS for p in new) else self.known
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            if max(piece) < LATER:
+                matches = ["".join([self.chars[b] for b in m.encode()]) for m in _MATCH.findall(piece)]
+                found = [t.id for m in matches for t in self.model.tokenize(m)]
+                ids = struct.pack(f"<{len(found)}i", *found)
+            else:
+                ids = self.whole(piece)
+        if len(piece) <= PIECE_CHARS:
+            self.known[piece] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if _ODD.search(text):
+            return self.whole(text)
+        pieces = _PIECES.findall(text)
+        if 2 * len(self.known) > MAX_PIECES:
+            self.known, self.older = {}, self.known
+        ids = list(map(self.known.get, pieces))
+        if None in ids:
+            ids = [self._piece(p) if i is None else i for p, i in zip(pieces, ids, strict=True)]
+        return b"".join(ids)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.table.__getitem__, ids.tolist()))
@@ -125,7 +146,7 @@ def encode(docs: DataFrame, path: str = RANKS, offsets: bool = False) -> DataFra
         own = _encoder(path)
         for b in _slices(batches):
             texts = [t or "" for t in b["text"].to_pylist()]
-            ids = own.encode_batch(texts)
+            ids = [own.encode(t) for t in texts]
             columns = {"doc_id": b["doc_id"], "ids": _lists(ids)}
             if offsets:
                 both = [own.offsets(t, np.frombuffer(i, dtype="<i4")) for t, i in zip(texts, ids, strict=True)]

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -17,10 +19,12 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidemark.llm.byte_bpe import LATER, byte_characters
 from tidemark.llm.common import written
 
 CAPACITY = 4096
@@ -29,34 +33,67 @@ END_ID = 1
 #: Pieces of an island, about; a settled bin wastes at most this share.
 ISLAND, SETTLED = 4096, 1 / 256
 GENOMES, GENERATIONS = 6, 12
-#: Words that a worker remembers the ids of, and their longest length.
-MAX_WORDS, WORD_CHARS = 400_000, 40
+#: Words that a worker remembers the ids of (those met lately), and their longest length.
+MAX_WORDS, WORD_CHARS = 700_000, 40
 
-#: Characters that libraries disagree about being white space: such texts are encoded in one piece.
-_ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
+#: Characters that libraries disagree about being white space, or that lower-case by their context: such texts are encoded whole.
+_ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff\u03a3]")
+#: The vocabulary's pattern for what is encoded by itself (fixed value).
+_MATCH = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+class WordEncoder:
+    """Ids of whole texts by way of their words.
+
+    The vocabulary lower-cases and drops white space, and no match of its pattern crosses it, so a text's ids are those
+    of its words in order. Each word goes through the library's model once, as long as it is remembered.
+    """
+
+    def __init__(self, path: str = VOCABULARY):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.chars = self.tokenizer.model, byte_characters()
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            if word.isascii():
+                pieces = [word] if word.isalpha() else _MATCH.findall(word)
+            elif max(word) < LATER:
+                pieces = ["".join([self.chars[b] for b in m.encode()]) for m in _MATCH.findall(word)]
+            else:
+                pieces = None
+            if pieces is None:
+                ids = self.whole(word)
+            else:
+                found = [t.id for p in pieces for t in self.model.tokenize(p)]
+                ids = struct.pack(f"<{len(found)}I", *found)
+        if len(word) <= WORD_CHARS:
+            self.known[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """The ids, little-endian and 32 bits each."""
+        if _ODD.search(text) or not unicodedata.is_normalized("NFC", text):
+            return self.whole(text)
+        words = text.lower().split()
+        if 2 * len(self.known) > MAX_WORDS:
+            self.known, self.older = {}, self.known
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            ids = [self._word(w) if i is None else i for w, i in zip(words, ids, strict=True)]
+        return b"".join(ids)
 
 
 @cache
-def _tokenizer(path: str) -> tuple[Tokenizer, dict[str, bytes]]:
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True  # their strings in a text are ordinary text
-    return own, {}
-
-
-def encode_words(texts: list[str], path: str = VOCABULARY) -> list[bytes]:
-    """Ids (little-endian, 32 bits) of each text. The vocabulary's words never cross white space, so a
-    text's ids are those of its words in order, and each word is encoded once by a worker that remembers it."""
-    tokenizer, known = _tokenizer(path)
-    cut = [[t] if _ODD.search(t) else t.split() for t in texts]
-    words = {w for ws in cut for w in ws}
-    new = list(words - known.keys())
-    if len(known) + len(new) > MAX_WORDS:
-        known.clear()
-        new = list(words)
-    now = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-    known.update((w, ids) for w, ids in now.items() if len(w) <= WORD_CHARS)
-    look = known | now if any(len(w) > WORD_CHARS for w in new) else known
-    return [b"".join(map(look.__getitem__, ws)) for ws in cut]
+def _encoder(path: str) -> WordEncoder:
+    """One for each Python worker."""
+    return WordEncoder(path)
 
 
 def tokenize(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
@@ -66,14 +103,14 @@ def tokenize(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, size = np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
+        end, size, own = struct.pack("<I", END_ID), 4 * capacity, _encoder(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 out = [
                     (i, p // size, p // 4, len(ids[p : p + size]) // 4, ids[p : p + size])
-                    for i, body in zip(b["doc_id"].to_pylist(), encode_words([t or "" for t in b["text"].to_pylist()], path), strict=True)
-                    for ids in [body + end]
+                    for i, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True)
+                    for ids in [own.encode(text.as_py() or "") + end]
                     for p in range(0, len(ids), size)
                 ]
                 yield pa.RecordBatch.from_arrays(
