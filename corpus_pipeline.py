@@ -1,8 +1,60 @@
-"""The corpus pipeline: stages of training-data operators over ``documents``."""
+"""The corpus pipeline: language ID, exact dedup, SimHash near-dedup, secret scans, best-fit packing.
 
-STAGES = []
+Each stage takes the rows its predecessor kept and makes its decisions take effect; all but the last return
+the columns of ``documents``, the last the pieces of each document with their places in sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import exact_dedup, langid, packing, secrets, simhash
+from tidemark.llm.common import written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go (null texts, and texts without a letter); a missing ``lang`` is filled in."""
+    found = langid.identify(docs.withColumn("_lang", F.col("lang")), langid.train_on_documents(docs))
+    kept = found.where(F.col("lang_pred") != langid.UNDETERMINED)
+    return kept.withColumn("lang", F.coalesce("_lang", "lang_pred")).select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with equal text, white space aside, stays."""
+    return exact_dedup.keep_first(docs, exact_dedup.DigestIndex(spark))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest doc_id."""
+    return simhash.keep_first(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; the secrets in their texts are masked, character by character."""
+    return secrets.redact(docs, secrets.BlobLedger(spark))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents packed into sequences."""
+    pieces = packing.tokenize(docs)
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", packed),
+]
+
+#: No SQL tokenizes or computes SimHash; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

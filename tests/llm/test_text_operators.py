@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -255,8 +256,10 @@ def test_byte_bpe_rows(docs):
 
 def test_word_ids():
     own = packing.WordEncoder()
-    for t in fuzz() + [t or "" for _, t in ROWS]:
-        assert np.frombuffer(own.encode(t), "<u4").tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
+    texts = fuzz() + [t for _, t in ROWS]
+    for t, ids in zip(texts * 2, own.encode_batch(pa.array(texts)) + own.encode_batch(pa.array(texts)), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(t or "", add_special_tokens=False).ids
+    assert own.encode_batch(pa.array([], pa.string())) == [] and own.encode_batch(pa.array([None, "", " "])) == [b"", b"", b""]
 
 
 def check_packing(rows, capacity):

@@ -45,7 +45,8 @@ class DigestIndex:
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """One row per row of ``docs`` (``doc_id, text``): ``doc_id, keep_id, group_size, kept, digest``.
+    """One row per row of ``docs`` (``doc_id, text``): ``doc_id, keep_id, group_size, kept,
+    digest, n_chars``.
 
     Of rows with equal text (white space aside) one stays: a document that the index already
     holds, else the row with the most code points, then the smallest doc_id, then any one of
@@ -76,10 +77,27 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     decided = written(fresh.unionByName(seen), "decided")
     index.append(decided.where("NOT held"))
     # Both sides are plain exchanges of narrow rows, so a digest with a third of all rows is split at run time.
-    return batch.join(decided, "digest").select(
+    return batch.join(decided.drop("n_chars"), "digest").select(
         "doc_id",
         "keep_id",
         "group_size",
         (~F.col("held") & (F.col("row_id") == F.col("keep_row"))).alias("kept"),
         "digest",
+        "n_chars",
     )
+
+
+def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one for each digest the index did not hold."""
+    key = {"_id": F.col("doc_id").cast("long"), "_digest": normalised_digest(), "_n": F.length(full_text())}
+    stays = written(
+        deduplicate(docs, index).where("kept").select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest"), F.col("n_chars").alias("k_n")), "kept"
+    )
+    keyed = docs.withColumns(key)
+    # Keyed by document and digest, so copies do not meet in one task; the narrow side is hashed and texts are not sorted.
+    same = (F.col("_digest") == F.col("k_digest")) & F.col("_id").eqNullSafe(F.col("k_id")) & (F.col("_n") == F.col("k_n"))
+    out = keyed.join(stays.hint("shuffle_hash"), same, "left_semi")
+    narrow = docs.select(*(v.alias(k) for k, v in key.items()))
+    if not narrow.groupBy("_id", "_digest", "_n").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["_id", "_digest", "_n"])
+    return out.select(*docs.columns)

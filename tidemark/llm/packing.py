@@ -9,7 +9,6 @@ and what is left migrates, bins together, to islands shared with their neighbour
 from __future__ import annotations
 
 import bisect
-import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -19,6 +18,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +35,11 @@ ISLAND, SETTLED = 4096, 1 / 256
 GENOMES, GENERATIONS = 6, 12
 #: Words that a worker remembers the ids of (those met lately), and their longest length.
 MAX_WORDS, WORD_CHARS = 700_000, 40
+#: Documents encoded at once.
+BATCH = 1024
 
 #: Characters that libraries disagree about being white space, or that lower-case by their context: such texts are encoded whole.
-_ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff\u03a3]")
+_ODD = r"[\x1c-\x1f\x{85}\x{180e}\x{200b}\x{feff}\x{3a3}]"
 #: The vocabulary's pattern for what is encoded by itself (fixed value).
 _MATCH = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -59,9 +61,10 @@ class WordEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        ids = self.older.get(word)
+    def _word(self, key: str) -> bytes:
+        word, ids = key, self.older.get(key)
         if ids is None:
+            word = word.lower()
             if word.isascii():
                 pieces = [word] if word.isalpha() else _MATCH.findall(word)
             elif max(word) < LATER:
@@ -73,21 +76,30 @@ class WordEncoder:
             else:
                 found = [t.id for p in pieces for t in self.model.tokenize(p)]
                 ids = struct.pack(f"<{len(found)}I", *found)
-        if len(word) <= WORD_CHARS:
-            self.known[word] = ids
+        if len(key) <= WORD_CHARS:
+            self.known[key] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        """The ids, little-endian and 32 bits each."""
-        if _ODD.search(text) or not unicodedata.is_normalized("NFC", text):
-            return self.whole(text)
-        words = text.lower().split()
+    def encode_batch(self, texts: pa.StringArray) -> list[bytes]:
+        """The ids of each text, little-endian and 32 bits each; a null text has none."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(~pc.string_is_ascii(texts).to_numpy(zero_copy_only=False) & ~odd):
+            odd[k] = not unicodedata.is_normalized("NFC", texts[int(k)].as_py())
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = words.flatten().dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if 2 * len(self.known) > MAX_WORDS:
             self.known, self.older = {}, self.known
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            ids = [self._word(w) if i is None else i for w, i in zip(words, ids, strict=True)]
-        return b"".join(ids)
+        ids = list(map(self.known.get, distinct))
+        ids = [self._word(w) if i is None else i for w, i in zip(distinct, ids, strict=True)]
+        # Each word's ids, one after another: a gather from the ids of the distinct words.
+        size = np.array([len(i) // 4 for i in ids], dtype=np.int64)
+        start, per_word = np.cumsum(size) - size, size[codes]
+        ends = np.cumsum(per_word)
+        out = np.frombuffer(b"".join(ids), dtype="<u4")[np.repeat(start[codes] - (ends - per_word), per_word) + np.arange(ends[-1] if len(ends) else 0)]
+        edges = np.concatenate([[0], ends])[words.offsets.to_numpy()]
+        return [self.whole(texts[k].as_py()) if odd[k] else out[edges[k] : edges[k + 1]].tobytes() for k in range(len(texts))]
 
 
 @cache
@@ -105,12 +117,12 @@ def tokenize(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end, size, own = struct.pack("<I", END_ID), 4 * capacity, _encoder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, BATCH):
+                b = whole.slice(at, BATCH)
                 out = [
                     (i, p // size, p // 4, len(ids[p : p + size]) // 4, ids[p : p + size])
-                    for i, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True)
-                    for ids in [own.encode(text.as_py() or "") + end]
+                    for i, body in zip(b["doc_id"].to_pylist(), own.encode_batch(b["text"]), strict=True)
+                    for ids in [body + end]
                     for p in range(0, len(ids), size)
                 ]
                 yield pa.RecordBatch.from_arrays(

@@ -102,48 +102,51 @@ def _scan(blobs: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, ledger: BlobLedger, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """One row per row of ``docs`` (``doc_id, text``): ``doc_id, blob, spans``.
-
-    ``spans``: array of ``start, rank, kind, end`` (code points, end exclusive; rank: the rule's
-    place), in that order; empty where nothing is found. A null text counts as empty. Repeated
-    rows and copies share their blob's findings. No documents give no rows; other columns are
-    ignored.
-    """
+def _by_blob(docs: DataFrame, ledger: BlobLedger, rules: tuple[SecretRule, ...]) -> tuple[DataFrame, DataFrame]:
+    """Scans what the ledger lacks; gives ``doc_id, blob`` of every row, and ``blob, spans`` of blobs with findings."""
     spark = docs.sparkSession
     versions = spark.createDataFrame([(r.kind, r.version, i) for i, r in enumerate(rules)], "kind string, version int, rank int")
     addressed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), full_text().alias("text"), blob_address().alias("blob"))
     paths = written(addressed.select("doc_id", "blob"), "paths")
     # Pre-aggregated: one row a blob, whatever the number of its copies.
     blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
-    pairs = blobs.select("blob", "doc_id", F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])).alias("r"))
-    unseen = written(
-        pairs.select("blob", "doc_id", "r.kind", "r.version").join(ledger.scanned(), ["blob", "kind", "version"], "left_anti"), "unseen"
-    )
+    each = F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])).alias("r")
+    pairs = blobs.select("blob", "doc_id", each).select("blob", "doc_id", "r.kind", "r.version")
+    unseen = written(pairs.join(ledger.scanned(), ["blob", "kind", "version"], "left_anti"), "unseen")
     due = unseen.groupBy("blob", "doc_id").agg(F.collect_set("kind").alias("kinds"))  # as many kinds as rules, at most
     # Keyed by document and blob, so copies do not meet in one task; the narrow side is hashed, texts are not sorted.
     texts = addressed.alias("d").join(
         due.alias("u").hint("shuffle_hash"), F.col("d.doc_id").eqNullSafe(F.col("u.doc_id")) & (F.col("d.blob") == F.col("u.blob"))
-    )
-    ledger.append(unseen.select("blob", "kind", "version"), _scan(texts.select("u.blob", "kinds", "text").dropDuplicates(["blob"]) if _repeats(paths) else texts.select("u.blob", "kinds", "text"), rules))
+    ).select("u.blob", "kinds", "text")
+    if not paths.groupBy("doc_id", "blob").count().where("count > 1").isEmpty():  # repeated rows
+        texts = texts.dropDuplicates(["blob"])
+    ledger.append(unseen.select("blob", "kind", "version"), _scan(texts, rules))
     # Two runs of one blob have the same spans: one row each for blob and kind.
     by_kind = ledger.findings().join(F.broadcast(versions), ["kind", "version"]).groupBy("blob", "kind", "rank").agg(F.max("spans").alias("spans"))
-    by_blob = written(
-        by_kind.groupBy("blob").agg(
-            F.array_sort(
-                F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank"), F.col("kind"), s["end"].alias("end")))))
-            ).alias("spans")
-        ),
-        "by-blob",
-    )
+    ranked = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank"), F.col("kind"), s["end"].alias("end")))
+    return paths, written(by_kind.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(ranked))).alias("spans")), "by-blob")
+
+
+def scan(docs: DataFrame, ledger: BlobLedger, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
+    """One row per row of ``docs`` (``doc_id, text``): ``doc_id, blob, spans``.
+
+    ``spans``: array of ``start, rank, kind, end`` (code points, end exclusive; rank: the rule's
+    place), in that order; empty where nothing is found. A null text counts as empty. Repeated
+    rows and copies share their blob's findings. No documents give no rows; other columns are
+    ignored.
+    """
+    paths, by_blob = _by_blob(docs, ledger, rules)
     # Narrow rows and plain exchanges on both sides: a blob with a third of all documents is split at run time.
     none = F.array().cast(by_blob.schema["spans"].dataType)
     return paths.join(by_blob, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
 
 
-def _repeats(paths: DataFrame) -> bool:
-    """Whether some row (document and blob) is there more than once."""
-    return not paths.groupBy("doc_id", "blob").count().where("count > 1").isEmpty()
+def redact(docs: DataFrame, ledger: BlobLedger, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
+    """``docs`` with every character of a secret replaced by ``*`` in ``text``; other columns, and a null text, stay as they are."""
+    found = _by_blob(docs, ledger, rules)[1].select(F.col("blob").alias("_found"), F.col("spans").alias("_spans"))
+    met = docs.withColumn("_blob", blob_address()).join(found, F.col("_blob") == F.col("_found"), "left")
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(mask(F.col("text"), F.col("_spans")))
+    return met.withColumn("text", text).select(*docs.columns)
 
 
 def mask(text: Column, spans: Column, mark: str = "*") -> Column:

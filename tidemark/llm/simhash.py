@@ -102,5 +102,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one for each component, that of its smallest doc_id
+    (of several with one doc_id, any; a component without doc_ids keeps one)."""
+    found = near_duplicates(docs)
+    stays = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp")), "kept")
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    one = stays.groupBy("k_id").agg(F.count("*").alias("rows"))
+    out = keyed.join(one.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("k_id")), "left_semi")
+    if not one.where("rows > 1").isEmpty():
+        out = out.dropDuplicates(["_id"])
+    return out.select(*docs.columns)
+
+
 def as_text(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
