@@ -1,4 +1,11 @@
 """Every query of the library by name, with its SQL where SQL can express it."""
 
+from tidemark.plans import indicator_plans, pit_plans
+
+_ALL = (pit_plans, indicator_plans)
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _plan in _ALL:
+    QUERIES |= _plan.QUERIES
+    ORACLES |= _plan.ORACLES
