@@ -10,13 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-BY_BAR = Window.partitionBy("ticker").orderBy("ts")
 TRADING_DAYS = 252
 
 
+def by_bar():
+    """Bars of a ticker in order of time."""
+    return Window.partitionBy("ticker").orderBy("ts")
+
+
 def trailing(n: int, before: int = 0):
     """The ``n`` bars up to ``before`` bars ago."""
-    return BY_BAR.rowsBetween(-(n - 1) - before, -before)
+    return by_bar().rowsBetween(-(n - 1) - before, -before)
 
 
 def upto(n: int):
@@ -24,7 +28,7 @@ def upto(n: int):
 
 
 def back(c: Column, n: int = 1) -> Column:
-    return F.lag(c, n).over(BY_BAR)
+    return F.lag(c, n).over(by_bar())
 
 
 def simple_return(c: Column) -> Column:
@@ -68,7 +72,7 @@ def signed_volume(c: Column, volume: Column) -> Column:
 
 
 def obv(signed: Column) -> Column:
-    return F.sum(signed).over(BY_BAR.rowsBetween(Window.unboundedPreceding, 0))
+    return F.sum(signed).over(by_bar().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def slope_sign(y: Column, i: Column, n: int) -> Column:
@@ -151,13 +155,13 @@ def pivot(c: Column, k: int, above: bool) -> Column:
     beyond = lambda o: (c > o) if above else (c < o)
     test = F.lit(True)
     for d in range(1, k + 1):
-        test = test & beyond(F.lag(c, d).over(BY_BAR)) & beyond(F.lead(c, d).over(BY_BAR))
+        test = test & beyond(F.lag(c, d).over(by_bar())) & beyond(F.lead(c, d).over(by_bar()))
     return F.when(test, c)
 
 
 def last_pivot(flag: Column, k: int, lookback: int) -> Column:
     """The latest pivot whose ``k`` neighbours on both sides lie inside the lookback."""
-    return F.last(flag, ignorenulls=True).over(BY_BAR.rowsBetween(-(lookback - 1 - k), -k))
+    return F.last(flag, ignorenulls=True).over(by_bar().rowsBetween(-(lookback - 1 - k), -k))
 
 
 def divergence(c: Column, move: Column, n: int = 10) -> Column:
@@ -165,7 +169,7 @@ def divergence(c: Column, move: Column, n: int = 10) -> Column:
     half = n // 2
     early, late = trailing(half, half), trailing(half)
     # The window's first move counts as 0.
-    rest = BY_BAR.rowsBetween(-(n - 2), -half)
+    rest = by_bar().rowsBetween(-(n - 2), -half)
     hi_early = F.greatest(F.max(move).over(rest), F.lit(0.0))
     lo_early = F.least(F.min(move).over(rest), F.lit(0.0))
     bear = (F.max(c).over(late) > F.max(c).over(early)) & (F.max(move).over(late) < hi_early)

@@ -34,7 +34,7 @@ def staged(bars: DataFrame) -> DataFrame:
             "tr": tr,
             "log_ret": ind.log_return(c),
             "signed": ind.signed_volume(c, F.col("volume")),
-            "i": F.row_number().over(ind.BY_BAR).cast("double"),
+            "i": F.row_number().over(ind.by_bar()).cast("double"),
             "dm": F.when(tr.isNotNull(), F.struct(tr.alias("tr"), F.when((up > down) & (up > 0), up).otherwise(0.0).alias("up"), F.when((down > up) & (down > 0), down).otherwise(0.0).alias("down"))),
             "typical": (F.col("high") + F.col("low") + c) / 3,
             "range": F.col("high") - F.col("low"),

@@ -42,13 +42,13 @@ def tradeable(label: Column) -> Column:
 
 def classify(rows: DataFrame) -> DataFrame:
     """``rows`` with ``label, confidence, prob_map, observed_inputs`` from the columns INPUTS (a missing column is null)."""
-    own = rows.withColumns({c: finite(F.col(c)) if c in rows.columns else F.lit(None).cast("double") for c in INPUTS})
+    there = [c for c in ENVELOPE if c in rows.columns]
+    odd = F.coalesce(F.greatest(F.lit(False), *[F.col(c).isNotNull() & finite(F.col(c)).isNull() for c in there]), F.lit(False))
+    own = rows.withColumns({c: finite(F.col(c)) if c in rows.columns else F.lit(None).cast("double") for c in INPUTS} | {"_odd": odd})
     core = sum((F.col(c).isNotNull().cast("int") for c in CORE[1:]), F.col(CORE[0]).isNotNull().cast("int"))
-    outside = F.lit(False)
+    outside = F.col("_odd")  # a value that is there but not finite is outside too
     for c, (lo, hi) in ENVELOPE.items():
-        # A value that is there but not finite is outside too.
-        raw = F.col(c).isNull() & (rows[c].isNotNull() if c in rows.columns else F.lit(False))
-        outside = outside | raw | F.coalesce(~F.col(c).between(lo, hi), F.lit(False))
+        outside = outside | F.coalesce(~F.col(c).between(lo, hi), F.lit(False))
     own = own.withColumns({"_observed": sum(F.col(c).isNotNull().cast("int") for c in INPUTS), "_out": (core < MIN_CORE) | outside})
     fired = {k: F.coalesce(F.expr(e), F.lit(False)) for k, e in CONDITIONS.items()}
     weigh = lambda label: sum((F.when(fired[k], w).otherwise(0.0) for k, w in EVIDENCE[label].items()), F.lit(0.0))
