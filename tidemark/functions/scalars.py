@@ -22,7 +22,8 @@ FOMC_DATES = """
 
 
 def clamp01(c: Column) -> Column:
-    return F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
+    """Between 0 and 1; a null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0)))
 
 
 def log_scale(c: Column, floor: float, good: float) -> Column:
@@ -73,7 +74,7 @@ def adverse_price(raw: Column, side: Column, entering: bool, round_trip: float)
 
 
 def wilson_lower_bound(p: Column, n: Column, z: float = 1.959963984540054) -> Column:
-    """Lower bound of a proportion ``p`` seen in ``n`` trials; 0 without trials."""
+    """Lower bound of a proportion ``p`` seen in ``n`` trials; 0 without either."""
     m = F.when(n > 0, n.cast("double"))
     centre = p + z * z / (2 * m)
     spread = z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))

@@ -161,25 +161,28 @@ def act_size(p: Column, tau: float, most: float = 1.0) -> Column:
 
 
 def uniqueness(spans: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """``spans`` (``id, ts, t1``) with the mean, over the event points inside each, of one over the spans open there.
+    """``spans`` (``id, ts, t1``) with the mean, over the distinct starts inside each, of one over the spans open there.
 
-    Points are the distinct starts and ends. Spans open at a point come from a running sum of +1 and -1; a span's mean
-    from differences of running sums: three sorts, where comparing spans with points would be quadratic. A span that
-    ends before it starts weighs 1.
+    The spans open at a point come from a running sum of +1 and -1; a span's mean from differences of running sums:
+    sorts, where comparing spans with points would be quadratic. A span without an end, or that ends before it starts, is
+    open at its start alone and weighs 1.
     """
-    good = spans.where("t1 >= ts")
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    points = good.select(*keys, F.explode(F.array(F.struct(F.col("ts").alias("p"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("t1").alias("p"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select(*keys, "e.*")
+    good = F.coalesce(F.col("t1") >= F.col("ts"), F.lit(False))
+    end = F.when(good, F.col("t1")).otherwise(F.col("ts"))
+    ends = [F.struct(F.col("ts").alias("p"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(end.alias("p"), F.lit(0).alias("up"), F.lit(1).alias("down"))]
+    points = spans.select(*keys, F.explode(F.array(*ends)).alias("e")).select(*keys, "e.*")
     by_point = points.groupBy(*keys, "p").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
     upto = part.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    # A span is open at its own end, so ends count from the next point on.
+    # A span is open at its own end, so ends count from the next point on; only starts are points.
     opened = by_point.withColumn("open", F.sum("up").over(upto) - F.sum("down").over(upto) + F.col("down"))
-    run = opened.withColumns({"share": F.sum(F.lit(1.0) / F.col("open")).over(upto), "n": F.row_number().over(part.orderBy("p"))}).withColumn("own", 1.0 / F.col("open"))
+    own = opened.withColumns({"own": F.when(F.col("up") > 0, 1.0 / F.col("open")).otherwise(0.0), "is_point": (F.col("up") > 0).cast("int")})
+    run = own.withColumns({"share": F.sum("own").over(upto), "n": F.sum("is_point").over(upto)})
     a = run.select(*keys, F.col("p").alias("ts"), (F.col("share") - F.col("own")).alias("s0"), F.col("n").alias("n0"))
     b = run.select(*keys, F.col("p").alias("t1"), F.col("share").alias("s1"), F.col("n").alias("n1"))
     out = spans.join(a, [*keys, "ts"], "left").join(b, [*keys, "t1"], "left")
     mean = (F.col("s1") - F.col("s0")) / (F.col("n1") - F.col("n0") + 1)
-    return out.select(*spans.columns, F.when(F.col("t1") >= F.col("ts"), mean).otherwise(1.0).alias("weight"))
+    return out.select(*spans.columns, F.when(good, mean).otherwise(1.0).alias("weight"))
 
 
 def effective_n(weight: Column) -> Column:

@@ -242,7 +242,7 @@ _EVERY = "SELECT ticker, idx, close AS entry_px, atr * 2.0::DOUBLE AS td, atr AS
 _COOL = """cand AS (SELECT ticker, list(CAST(idx AS INTEGER) ORDER BY idx) AS c FROM ({src}) GROUP BY ticker),
 cool AS (SELECT ticker, unnest(list_reduce(list_prepend({{'l': NULL::INTEGER, 'k': []::INTEGER[]}}, list_transform(c, lambda i: {{'l': i, 'k': []::INTEGER[]}})), lambda a, x: CASE WHEN a.l IS NULL OR x.l > a.l + 2 THEN {{'l': x.l, 'k': list_append(a.k, x.l)}} ELSE a END).k) AS idx FROM cand)"""
 _DATA = "data AS (SELECT CAST(row_number() OVER (ORDER BY entry_ts) - 1 AS INTEGER) AS pos, entry_ts AS ts, entry_ts + to_days(15) AS t1, avg(pnl_r) AS r, (CAST(sum(trade_id) AS BIGINT) % 997) / 997 AS p FROM trades WHERE pnl_r IS NOT NULL AND strategy_id % 10 = 1 GROUP BY entry_ts)"
-_OPEN = "pts AS (SELECT DISTINCT unnest([ts, t1]) AS x FROM data), op AS (SELECT x, count(*) AS c FROM pts JOIN data ON ts <= x AND t1 >= x GROUP BY x), uq AS (SELECT pos AS id, avg(1.0::DOUBLE / c) AS weight FROM data JOIN op ON x BETWEEN ts AND t1 GROUP BY pos)"
+_OPEN = "pts AS (SELECT DISTINCT ts AS x FROM data), op AS (SELECT x, count(*) AS c FROM pts JOIN data ON ts <= x AND t1 >= x GROUP BY x), uq AS (SELECT pos AS id, avg(1.0::DOUBLE / c) AS weight FROM data JOIN op ON x BETWEEN ts AND t1 GROUP BY pos)"
 _GROUPS = "g AS (SELECT *, (SELECT count(*) FROM (SELECT unnest([1, 2, 3, 4, 5]) AS j) WHERE pos >= floor((SELECT count(*) FROM data) * j / 6)) AS grp FROM data), sp AS (SELECT CAST(grp AS INTEGER) AS grp, min(ts) AS lo, max(t1) AS hi, min(pos) AS first, max(pos) AS last FROM g GROUP BY grp)"
 _SPLITS = """c AS (SELECT CAST(row_number() OVER (ORDER BY a, b) - 1 AS INTEGER) AS split, a, b FROM (SELECT x.grp AS a, y.grp AS b FROM sp x, sp y WHERE x.grp < y.grp)),
 spl AS (SELECT split, pos, g.ts, g.t1, CASE WHEN g.grp IN (a, b) THEN 'test' WHEN (g.ts <= x.hi AND g.t1 >= x.lo) OR (g.ts <= y.hi AND g.t1 >= y.lo) THEN 'purged' WHEN pos - x.last BETWEEN 1 AND 3 OR pos - y.last BETWEEN 1 AND 3 THEN 'embargoed' ELSE 'train' END AS role
@@ -261,7 +261,7 @@ pf AS (SELECT combo, trial, list_contains(parts, block) AS ins, CASE WHEN var_sa
 rk AS (SELECT combo, trial, round(max(perf) FILTER (ins), 12) AS ip, round(max(perf) FILTER (NOT ins), 12) AS op FROM pf GROUP BY combo, trial),
 rr AS (SELECT *, row_number() OVER (PARTITION BY combo ORDER BY op, trial) AS rank, count(*) OVER (PARTITION BY combo) AS n, row_number() OVER (PARTITION BY combo ORDER BY ip DESC, trial) AS br FROM rk),
 lg AS (SELECT CAST(combo AS INTEGER) AS combo, ln((rank / (n + 1.0::DOUBLE)) / (1 - rank / (n + 1.0::DOUBLE))) AS logit FROM rr WHERE br = 1)"""
-_WIL = "coalesce(greatest(least((precision_oos + 1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE / (2 * m) - 1.959963984540054::DOUBLE * sqrt(precision_oos * (1 - precision_oos) / m + 1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE / (4 * m * m))) / (1 + 1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE / m), 1), 0), 0)"
+_WIL = "CASE WHEN m IS NOT NULL AND precision_oos IS NOT NULL THEN greatest(least((precision_oos + 1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE / (2 * m) - 1.959963984540054::DOUBLE * sqrt(precision_oos * (1 - precision_oos) / m + 1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE / (4 * m * m))) / (1 + 1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE / m), 1), 0) ELSE 0 END"
 _SC = "sm AS (SELECT *, CASE WHEN n_acted > 0 THEN n_acted::DOUBLE END AS m, coalesce(dsr > 0 AND pbo < 0.5 AND expectancy > 0 AND n_regimes >= 2, false) AS passed FROM scores)"
 _ACT = "th AS (SELECT tau, count(*) FILTER (p >= tau) AS n_acted, coalesce(count(*) FILTER (p >= tau AND r > 0.05) / nullif(count(*) FILTER (p >= tau), 0), 0) AS precision, coalesce(count(*) FILTER (p >= tau AND r > 0.05) / nullif(count(*) FILTER (r > 0.05), 0), 0) AS recall, avg(r - 0.05::DOUBLE) FILTER (p >= tau) AS expectancy FROM data, (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS tau) GROUP BY tau)"
 
