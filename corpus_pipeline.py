@@ -26,8 +26,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest doc_id."""
-    return simhash.keep_first(docs)
+    """One document of each group of near copies stays, that with the smallest doc_id.
+
+    Fingerprints are of the distinct words: an edit changes one of them where it changes several shingles, so
+    near copies stay within the radius, which unrelated texts of a few dozen words do not reach.
+    """
+    return simhash.keep_first(docs, shingle=1, distinct=True)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

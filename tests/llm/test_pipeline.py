@@ -48,7 +48,7 @@ def test_exact_stage(stages):
 
 def test_near_stage(stages):
     before, after, _ = stages[2]
-    fps = {r.doc_id: brute_simhash(r.text) for r in before if r.doc_id is not None}
+    fps = {r.doc_id: brute_simhash(r.text, 1, True) for r in before if r.doc_id is not None}
     comp = components(fps)
     kept = [r.doc_id for r in after if r.doc_id is not None]
     assert sorted(kept) == sorted(i for i in fps if comp[i] == i)

@@ -158,9 +158,10 @@ def test_cascade_has_levels_and_is_exact(spark):
     assert universe.where(c.holds(universe.key) != (universe.key.cast("long") % 7 == 0)).count() == 0
 
 
-def brute_simhash(text):
+def brute_simhash(text, n=3, distinct=False):
     w = [x.decode() for x in (text or "").encode().lower().split()]
-    grams = [] if not w else [" ".join(w)] if len(w) < 3 else [" ".join(w[i : i + 3]) for i in range(len(w) - 2)]
+    grams = [] if not w else [" ".join(w)] if len(w) < n else [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
+    grams = sorted(set(grams)) if distinct else grams
     h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 

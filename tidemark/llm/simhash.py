@@ -25,15 +25,16 @@ RADIUS = 2
 SEED = 42
 
 
-def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+def simhash(text: str | None, shingle: int = SHINGLE, distinct: bool = False) -> int:
     """The fingerprint of a whole text as a signed 64-bit integer; 0 if it has no words.
 
-    A-Z is lower-cased; bit i is 1 if it is set in over half of the shingles' hashes, repeats included.
+    A-Z is lower-cased; bit i is 1 if it is set in over half of the shingles' hashes, repeats included unless ``distinct``.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII case and white space
     if not words:
         return 0
     grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    grams = set(grams) if distinct else grams
     h = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), dtype="<u8")
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(h), 4096):
@@ -41,12 +42,12 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
     """``doc_id, fp`` (long) for every row of ``docs`` (``doc_id, text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array((simhash(t.as_py()) for t in b["text"]), pa.int64())
+            fp = pa.array((simhash(t.as_py(), shingle, distinct) for t in b["text"]), pa.int64())
             yield pa.RecordBatch.from_arrays([b["doc_id"], fp], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
@@ -83,7 +84,7 @@ def links(fps: DataFrame) -> DataFrame:
     return least.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, text``): ``doc_id, fp, component_id``.
 
     ``component_id``: the smallest doc_id reachable over links of two or fewer differing bits,
@@ -91,7 +92,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     among them: 0) are one node; a null doc_id is no candidate for the smallest. An empty table
     gives no rows; other columns are ignored.
     """
-    prints = written(fingerprints(docs), "simhash")
+    prints = written(fingerprints(docs, shingle, distinct), "simhash")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     found = components(links(nodes.select("fp")))
     named = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
@@ -102,10 +103,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one for each component, that of its smallest doc_id
     (of several with one doc_id, any; a component without doc_ids keeps one)."""
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, shingle, distinct)
     stays = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp")), "kept")
     keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
     one = stays.groupBy("k_id").agg(F.count("*").alias("rows"))
