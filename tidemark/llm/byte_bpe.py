@@ -24,7 +24,7 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pieces that a worker remembers the ids of (those met lately), and their longest length.
-MAX_PIECES, PIECE_CHARS = 700_000, 40
+MAX_PIECES, PIECE_CHARS = 300_000, 40
 
 #: ``' ?\S+|\s+(?!\S)|\s+'`` is what the pattern's matches are cut from.
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")

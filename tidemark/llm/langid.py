@@ -30,7 +30,7 @@ AMBIGUOUS = 0.1
 
 _LETTER = re.compile(r"[^\W\d_]")
 _FACTOR = np.uint32(0x9E3779B1)
-_CHUNK = 1 << 17
+_CHUNK = 1 << 15
 
 
 def features(text: str) -> Iterator[np.ndarray]:
@@ -148,6 +148,7 @@ def identify(docs: DataFrame, model: LanguageCode) -> DataFrame:
     def predict(text: pd.Series) -> pd.DataFrame:
         own = shared.value
         found = [own.predict(t if own.languages else None) for t in text]
+        pa.default_memory_pool().release_unused()  # workers live on into later stages
         return pd.DataFrame(found, columns=["lang_pred", "score", "ambiguous"])
 
     out = docs.withColumn("_found", predict(F.col("text")))

@@ -34,9 +34,9 @@ END_ID = 1
 ISLAND, SETTLED = 4096, 1 / 256
 GENOMES, GENERATIONS = 6, 12
 #: Words that a worker remembers the ids of (those met lately), and their longest length.
-MAX_WORDS, WORD_CHARS = 700_000, 40
+MAX_WORDS, WORD_CHARS = 250_000, 40
 #: Documents encoded at once.
-BATCH = 1024
+BATCH = 512
 
 #: Characters that libraries disagree about being white space, or that lower-case by their context: such texts are encoded whole.
 _ODD = r"[\x1c-\x1f\x{85}\x{180e}\x{200b}\x{feff}\x{3a3}]"
@@ -129,6 +129,7 @@ def tokenize(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY)
                     [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
                     names=["doc_id", "piece", "start", "length", "ids"],
                 )
+            pa.default_memory_pool().release_unused()  # workers live on into later stages
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
