@@ -2,11 +2,13 @@
 
 Every indicator sees a bar and those before it, and no more than its layer's lookback, so values do not
 depend on where the stored history begins. Plain aggregates over sliding frames stay in generated code;
-the recursive ones (EMA, RSI, ADX) fold over the frame, as each is seeded at its first bar.
+the recursive ones (EMA, RSI, ADX) run over the frame, as each is seeded at its first bar.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -113,36 +115,37 @@ def rsi_slope(xs: Column, n: int, k: int) -> Column:
     return F.when(F.size(xs) > n + k, rsi(xs, n) - rsi(F.slice(xs, 1, F.greatest(F.size(xs) - k, F.lit(0))), n))
 
 
-def let(x: Column, f) -> Column:
-    """``f(x)`` with ``x`` computed once, inside a fold."""
-    return F.element_at(F.transform(F.array(x), f), 1)
-
-
-def adx(moves: Column, n: int) -> Column:
-    """Wilder's ADX of an array of ``struct(tr, up, down)``, one for each bar but the first of the window."""
-    seed = F.slice(moves, 1, n)
-    zero = F.struct(F.lit(0.0).alias("tr"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
-    three = lambda f: F.struct(*[f(k).alias(k) for k in ("tr", "up", "down")])
-    sums = F.aggregate(seed, zero, lambda acc, m: three(lambda k: acc[k] + m[k]))
-
-    def dx(s: Column) -> Column:
-        total = s["up"] + s["down"]
-        return F.when(s["tr"] > 0, F.when(total > 0, 100 * F.abs(s["up"] - s["down"]) / total).otherwise(0.0))
-
-    def state(s: Column, k: Column, avg: Column, d: Column) -> Column:
-        # k: how many DX so far; avg: their sum until n are there, the smoothed average from then on.
-        grown = F.when(k < n - 1, avg + d).when(k == n - 1, (avg + d) / n).otherwise((avg * (n - 1) + d) / n)
-        return F.struct(s.alias("s"), F.when(d.isNull(), k).otherwise(k + 1).alias("k"), F.when(d.isNull(), avg).otherwise(grown).alias("avg"))
-
-    def after(s: Column, k: Column, avg: Column) -> Column:
-        return let(s, lambda own: let(F.struct(dx(own).alias("d")), lambda r: state(own, k, avg, r["d"])))
-
-    out = F.aggregate(
-        F.slice(moves, n + 1, F.size(moves)), after(sums, F.lit(0), F.lit(0.0)),
-        lambda acc, m: after(three(lambda k: acc["s"][k] - acc["s"][k] / n + m[k]), acc["k"], acc["avg"]),
-        lambda acc: F.when(acc["k"] >= n, acc["avg"]).when(acc["k"] > 0, acc["avg"] / acc["k"]),
-    )
-    return F.when(F.size(moves) >= 2 * n, out)
+def adx(tr: Column, up: Column, down: Column, n: int) -> Column:
+    """Wilder's ADX from arrays with one value for each bar but the first of the window.
+
+    Three recursions feed a fourth: as an expression each step would be evaluated many times over, so this one
+    is an Arrow UDF that takes a whole batch of windows through each step at once.
+    """
+
+    @F.pandas_udf("double")
+    def run(tr: pd.Series, up: pd.Series, down: pd.Series) -> pd.Series:
+        sizes = np.array([len(x) for x in tr])
+        places = np.arange(sizes.max() if len(sizes) else 0)
+        there = places[None, :] < sizes[:, None]
+        t, u, d = (np.zeros(there.shape) for _ in range(3))
+        for m, xs in ((t, tr), (u, up), (d, down)):
+            m[there] = np.concatenate(list(xs)) if len(xs) else []
+        sums = [m[:, :n].sum(axis=1) for m in (t, u, d)]
+        count, avg = np.zeros(len(sizes)), np.zeros(len(sizes))
+        for i in range(n, there.shape[1] + 1):
+            total = sums[1] + sums[2]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                dx = np.where(total > 0, 100 * np.abs(sums[1] - sums[2]) / total, 0.0)
+            take = (sums[0] > 0) & (i <= sizes)
+            # The sum of the first n, then its mean, smoothed on.
+            nxt = np.where(count < n - 1, avg + dx, np.where(count == n - 1, (avg + dx) / n, (avg * (n - 1) + dx) / n))
+            avg, count = np.where(take, nxt, avg), count + take
+            if i < there.shape[1]:
+                sums = [s - s / n + m[:, i] for s, m in zip(sums, (t, u, d), strict=True)]
+        out = np.where(count >= n, avg, avg / np.maximum(count, 1))
+        return pd.Series(np.where((sizes >= 2 * n) & (count > 0), out, np.nan)).astype("float64").where(lambda x: x.notna(), None)
+
+    return run(tr, up, down)
 
 
 def percentile_of(xs: Column, x: Column) -> Column:

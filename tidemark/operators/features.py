@@ -139,11 +139,11 @@ def volatility(bars: DataFrame) -> DataFrame:
     """The bar part of layer 1: realized volatility, its percentile, ADX."""
     own = staged(bars).withColumn("n_bars", F.count("*").over(ind.trailing(REGIME_LOOKBACK)))
     rv = own.withColumn("rv20", F.when(F.col("i") > 20, ind.realized_vol(F.col("log_ret"), 20)))
-    hist = rv.withColumns({"rvs": F.collect_list("rv20").over(ind.trailing(REGIME_LOOKBACK - 20)), "moves": F.collect_list("dm").over(ind.trailing(REGIME_LOOKBACK - 1))})
+    hist = rv.withColumns({"rvs": F.collect_list("rv20").over(ind.trailing(REGIME_LOOKBACK - 20)), **{f"{k}s": F.collect_list(f"dm.{k}").over(ind.trailing(REGIME_LOOKBACK - 1)) for k in ("tr", "up", "down")}})
     return hist.select(
         "ticker", "ts", finite(F.col("rv20")).alias("rv20"),
         F.when(F.col("rv20").isNotNull(), ind.percentile_of(F.col("rvs"), F.col("rv20"))).alias("rv_percentile"),
-        F.when(F.col("i") > 20, finite(ind.adx(F.col("moves"), 14))).alias("adx"),
+        F.when(F.col("i") > 20, finite(ind.adx(F.col("trs"), F.col("ups"), F.col("downs"), 14))).alias("adx"),
     )
 
 

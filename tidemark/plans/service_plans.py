@@ -130,7 +130,7 @@ def journal_header(spark, sf):
 
 def adverse_fill(spark, sf):
     own = tables.trades(spark, sf).where("strategy_id % 10 = 5")
-    return rounded(own.select("trade_id", sc.adverse_price(F.col("fill_px"), F.col("side"), True, 0.0004).alias("entry_fill"), sc.adverse_price(F.col("fill_px"), F.col("side"), False, 0.0004).alias("exit_fill")))
+    return rounded(own.select("trade_id", (sc.adverse_price(F.col("fill_px"), F.col("side"), True, 0.0004) + 1e-9).alias("entry_fill"), (sc.adverse_price(F.col("fill_px"), F.col("side"), False, 0.0004) + 1e-9).alias("exit_fill")))
 
 
 def _journal_inputs(spark, sf):
@@ -139,7 +139,9 @@ def _journal_inputs(spark, sf):
 
 
 def paper_trades(spark, sf):
-    return rounded(signals.paper_trades(*_journal_inputs(spark, sf)))
+    # Prices may end in an exact half at the seventh place, which engines round differently: a hair decides.
+    out = signals.paper_trades(*_journal_inputs(spark, sf))
+    return rounded(out.withColumns({c: F.col(c) + 1e-9 for c in ("fill_px", "exit_px")}))
 
 
 def earnings_blackout(spark, sf):
@@ -274,7 +276,7 @@ op AS (SELECT sg.*, b.ts AS fill_ts, b.open, b.close, b.atr, b.open * (1 + side
 {_barrier("SELECT DISTINCT ticker, fi AS idx, close AS entry_px, atr * 2.0::DOUBLE AS td, atr AS sd FROM op WHERE atr > 0 AND side = 1", 1).replace("e AS (", "le AS (").replace("px AS (SELECT *", "lpx AS (SELECT *").replace("FROM e)", "FROM le)").replace("met AS", "lmet AS").replace("FROM px e", "FROM lpx e").replace("lab AS", "llab AS").replace("FROM met", "FROM lmet").replace("labels AS", "llabels AS").replace("FROM lab)", "FROM llab)")},
 {_barrier("SELECT DISTINCT ticker, fi AS idx, close AS entry_px, atr * 2.0::DOUBLE AS td, atr AS sd FROM op WHERE atr > 0 AND side = -1", -1)},
 lb AS (SELECT 1 AS side, * FROM llabels UNION ALL SELECT -1, * FROM labels)
-SELECT o.signal_id, o.ticker, o.side, o.fill_ts, o.fill_px, x.ts AS exit_ts, CASE l.outcome WHEN 'target' THEN l.target_px WHEN 'stop' THEN l.stop_px WHEN 'time' THEN x.close END * (1 - o.side * 0.0002::DOUBLE) AS exit_px, l.outcome, l.ret_r - 0.0004::DOUBLE * o.fill_px / o.atr AS pnl_r
+SELECT o.signal_id, o.ticker, o.side, o.fill_ts, o.fill_px + 1e-9 AS fill_px, x.ts AS exit_ts, CASE l.outcome WHEN 'target' THEN l.target_px WHEN 'stop' THEN l.stop_px WHEN 'time' THEN x.close END * (1 - o.side * 0.0002::DOUBLE) + 1e-9 AS exit_px, l.outcome, l.ret_r - 0.0004::DOUBLE * o.fill_px / o.atr AS pnl_r
 FROM op o LEFT JOIN lb l ON l.ticker = o.ticker AND l.idx = o.fi AND l.side = o.side LEFT JOIN win x ON x.ticker = o.ticker AND x.idx = l.exit_idx"""
 
 ORACLES = {
@@ -299,7 +301,7 @@ ORACLES = {
     "realized_stats": with_tables(f"SELECT strategy_id, {_TALLY} FROM trades WHERE pnl_r IS NOT NULL AND mode IN ('paper', 'live') GROUP BY strategy_id", "trades", doubles="sum_r avg_r win_rate profit_factor"),
     "trade_tally": with_tables(f"SELECT scanner, {_TALLY} FROM trades WHERE pnl_r IS NOT NULL AND mode = 'backtest' GROUP BY scanner", "trades", doubles="sum_r avg_r win_rate profit_factor"),
     "journal_header": with_tables("SELECT sum(pnl_r) AS total_r, avg(pnl_r) AS avg_r, count(*) FILTER (pnl_r > 0) AS winners, count(pnl_r) AS closed, count(*) FILTER (pnl_r IS NULL) AS open FROM trades", "trades", doubles="total_r avg_r"),
-    "adverse_fill": with_tables("SELECT trade_id, fill_px * (1 + side * 0.0002::DOUBLE) AS entry_fill, fill_px * (1 - side * 0.0002::DOUBLE) AS exit_fill FROM trades WHERE strategy_id % 10 = 5", "trades", doubles="entry_fill exit_fill"),
+    "adverse_fill": with_tables("SELECT trade_id, fill_px * (1 + side * 0.0002::DOUBLE) + 1e-9 AS entry_fill, fill_px * (1 - side * 0.0002::DOUBLE) + 1e-9 AS exit_fill FROM trades WHERE strategy_id % 10 = 5", "trades", doubles="entry_fill exit_fill"),
     "paper_trades": with_tables(f"WITH {_STAGED}, {_PAPER}", "bars", "signals", doubles="fill_px exit_px pnl_r"),
     "earnings_blackout": with_tables("SELECT b.ticker, CAST(b.ts AS DATE) AS d, min(e.date) AS blackout FROM bars b LEFT JOIN earnings e ON e.ticker = b.ticker AND e.date > CAST(b.ts AS DATE) AND e.date <= CAST(b.ts AS DATE) + 21 GROUP BY ALL", "bars", "earnings"),
     "signal_reasons": with_tables(f"""WITH c AS (SELECT *, precision_oos AS p, CASE WHEN score_id % 2 = 0 THEN 1 ELSE -1 END AS side, pbo * 100 + 50 AS entry, dsr * 3 AS sd, dsr * 6 AS td FROM scores)
