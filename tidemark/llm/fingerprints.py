@@ -17,7 +17,7 @@ SHINGLE = 5
 #: A hash stays if its top bits are 0: the fraction kept is 2 ** -SCALE_BITS.
 SCALE_BITS = 3
 #: A block of ``with_next`` has 2 ** BLOCK_BITS ids, so no more documents than that, as ids differ.
-BLOCK_BITS = 10
+BLOCK_BITS = 7
 #: Rows of block starts that may be broadcast (16 bytes each).
 MAX_BROADCAST_ROWS = 200_000
 
