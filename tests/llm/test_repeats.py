@@ -99,3 +99,23 @@ def test_long_texts_are_parsed_in_parts(monkeypatch):
     parts = parser.phrases(suffix_dedup.byte_symbols(data))
     cover = lambda p: [(a, int(t)) for f, l, t in zip(p.first, p.last, p.at, strict=True) for a in range(f, l + 1)]  # noqa: E731, E741
     assert cover(whole) == cover(parts) and [a for a, _ in cover(whole)] == list(range(5000 - 39))
+
+
+@pytest.mark.parametrize("part", [700, 701, 333])
+def test_phrases_stay_whole_across_parts(monkeypatch, part):
+    data = random.Random(2).randbytes(5000) + b"ab" * 900
+    parser = Parser(40, 10)
+    whole = parser.phrases(suffix_dedup.byte_symbols(data))
+    monkeypatch.setattr(windows, "PART", part)
+    parts = parser.phrases(suffix_dedup.byte_symbols(data))
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
+
+
+def test_bytes_of_texts_longer_than_a_part(spark):
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    long = text(2 * windows.PART + 3000)
+    across = long[windows.PART - 300 : windows.PART + 300]  # a true repeat over a part's end
+    for rows in ([(1, long), (2, text(900))], [(1, long), (2, text(50) + across + text(50))]):
+        got = suffix_dedup.deduplicate(frame(spark, rows)).collect()
+        assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=repr) == brute_bytes(rows, suffix_dedup.LENGTH)

@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-#: Positions taken at once; longer sequences are cut into overlapping parts, whatever their length.
+#: Positions taken at once; longer sequences are cut into overlapping parts, whatever their length; phrases stay whole.
 PART = 1 << 18
 _POSITION_BITS = 20
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -84,7 +84,19 @@ class Parser:
         if not parts:
             none = np.zeros(0, np.int64)
             return Phrases(none, none, none, none, none)
-        return Phrases(*map(np.concatenate, zip(*parts, strict=True)))
+        found = Phrases(*map(np.concatenate, zip(*parts, strict=True)))
+        return self._joined(values[1], found) if len(parts) > 1 else found
+
+    def _joined(self, values: np.ndarray, p: Phrases) -> Phrases:
+        """Phrases that a part's end has cut in two, whole again: neighbours with one trigger's place are one phrase."""
+        heads = np.concatenate([[0], np.flatnonzero(np.diff(p.at)) + 1])
+        tails = np.concatenate([heads[1:], [len(p.at)]]) - 1
+        first, last, at, content = p.first[heads], p.last[tails], p.at[heads], p.content[heads]
+        for k in np.flatnonzero(heads != tails):  # one for each part's end at most
+            stretch = Rolling(values[first[k] : last[k] + self.window], 1)
+            hashed = stretch.of(np.zeros(1, np.int64), np.full(1, last[k] - first[k] + self.window))
+            content[k : k + 1] = _content(hashed, first[k : k + 1], last[k : k + 1], at[k : k + 1])
+        return Phrases(first, last, at, p.trigger[heads], content)
 
     def _part(self, values: tuple[np.ndarray, np.ndarray], lo: int, hi: int) -> Phrases:
         hashes = Rolling(values[0][lo:hi], 0).grams(self.gram)
@@ -96,15 +108,20 @@ class Parser:
         first = np.concatenate([[0], change])
         last = np.concatenate([change, [len(at)]]) - 1
         place = at[first]
-        content = Rolling(values[1][lo:hi], 1).of(first, last + self.window)
-        shape = _mix(((place - first).astype(np.uint64) << _U(32)) | (last - first).astype(np.uint64))
-        return Phrases(first + lo, last + lo, place + lo, hashes[place].view(np.int64), (content + shape).view(np.int64))
+        content = _content(Rolling(values[1][lo:hi], 1).of(first, last + self.window), first, last, place)
+        return Phrases(first + lo, last + lo, place + lo, hashes[place].view(np.int64), content)
 
     def window_hashes(self, values: np.ndarray, first: int, last: int) -> np.ndarray:
         """Content hashes of the windows that start from ``first`` to ``last``."""
         return Rolling(values[first : last + self.window], 1).grams(self.window).view(np.int64)
 
 
+def _content(hashed: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The hash of a phrase's symbols, of its trigger's place in it and of the number of its windows."""
+    shape = _mix(((place - first).astype(np.uint64) << _U(32)) | (last - first).astype(np.uint64))
+    return (hashed + shape).view(np.int64)
+
+
 def _sliding_minimum(keys: np.ndarray, reach: int) -> np.ndarray:
     """The least of every ``reach`` neighbours: running minima forwards and backwards inside blocks of ``reach``."""
     n = len(keys) - reach + 1
