@@ -14,9 +14,15 @@ from tidemark.llm.common import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go (null texts, and texts without a letter); a missing ``lang`` is filled in."""
-    found = langid.identify(docs.withColumn("_lang", F.col("lang")), langid.train_on_documents(docs))
-    kept = found.where(F.col("lang_pred") != langid.UNDETERMINED)
+    """Documents without a letter in their text go (null texts too); a missing ``lang`` is filled in.
+
+    Where nothing can be learned, for want of labels, a missing ``lang`` stays null.
+    """
+    model = langid.train_on_documents(docs)
+    if not model.languages:
+        return docs.where(langid.has_letter(F.col("text")))
+    found = langid.identify(docs.withColumn("_lang", F.col("lang")), model)
+    kept = found.where("score > 0")  # 0 just for texts without a letter; ``und`` may also be a label
     return kept.withColumn("lang", F.coalesce("_lang", "lang_pred")).select(*docs.columns)
 
 

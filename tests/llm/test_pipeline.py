@@ -96,3 +96,13 @@ def test_language_id_on_held_out_documents(spark):
 def test_codewords_differ(n):
     code = langid.codewords(n)
     assert code.shape[0] == n and len({tuple(c) for c in code}) == n
+
+
+@pytest.mark.parametrize("labels", ["none", "held out", "und"])
+def test_language_stage_without_usable_labels(spark, labels):
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    texts = ["water house", "das haus", None, "12 -- 34", "", "日本"]
+    lang = lambda i: "und" if labels == "und" else "de" if labels == "held out" and held(i) else None
+    rows = [(i, texts[i % 6], lang(i), "s", 0) for i in range(60)]
+    got = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(((r.doc_id, r.text, r.lang) for r in got), key=lambda r: r[0]) == [r[:3] for r in rows if r[1] and any(c.isalpha() for c in r[1])]

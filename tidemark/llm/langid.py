@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import full_text
@@ -155,6 +155,14 @@ def identify(docs: DataFrame, model: LanguageCode) -> DataFrame:
     return out.withColumns({c: F.col(f"_found.{c}") for c in ("lang_pred", "score", "ambiguous")}).drop("_found")
 
 
+def has_letter(text: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def found(text: pd.Series) -> pd.Series:
+        return pd.Series([t is not None and bool(_LETTER.search(t)) for t in text], dtype=bool)
+
+    return found(text)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for a quarter of the documents, by the id: those that nothing is learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
