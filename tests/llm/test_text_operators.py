@@ -13,7 +13,7 @@ import xxhash
 from fixtures import clashing, frame, sample
 
 import public_tokenizers
-from tidemark.llm import byte_bpe, exact_dedup, fingerprints, packing, secrets, simhash, url_filter
+from tidemark.llm import byte_bpe, exact_dedup, fingerprints, graph, packing, secrets, simhash, url_filter
 
 ROWS = sample()
 
@@ -215,6 +215,16 @@ def test_links_find_every_pair_within_radius(spark):
             assert same == (comp[i] == comp[j])
 
 
+def test_components_of_a_long_chain(spark):
+    """Ids in no order, which take over 60 rounds unless roots are hooked."""
+    rnd = random.Random(6)
+    ids = [rnd.getrandbits(63) for _ in range(400)]
+    other = [-5, -9, 4]
+    edges = spark.createDataFrame([*zip(ids, ids[1:], strict=False), *zip(other, other[1:], strict=False)], "a long, b long")
+    got = {r.node: r.component for r in graph.components(edges).collect()}
+    assert got == dict.fromkeys(ids, min(ids)) | dict.fromkeys(other, -9)
+
+
 @pytest.mark.parametrize("radius", [1, 2, 3])
 def test_covering_masks(radius):
     rnd = random.Random(radius)
