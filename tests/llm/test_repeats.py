@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from fixtures import clashing, frame, sample
 
-from tidemark.llm import substring_dedup, suffix_dedup, windows
+from tidemark.llm import substring_dedup, suffix_array, suffix_dedup, windows
 from tidemark.llm.windows import Parser
 
 
@@ -31,24 +31,29 @@ def brute_words(rows, length):
     return sorted(out, key=repr)
 
 
-def brute_bytes(rows, length):
+def brute_bytes(rows, length, seed=None):
     count = defaultdict(int)
-    for _, t in rows:
-        b = (t or "").encode()
-        for p in range(len(b) - length + 1):
-            count[b[p : p + length]] += 1
+    texts = [(t or "").encode() for _, t in rows]
+    for b in texts:
+        for size in {length, seed or length}:
+            for p in range(len(b) - size + 1):
+                count[b[p : p + size]] += 1
     out = []
-    for i, t in rows:
-        b = (t or "").encode()
-        gone = np.zeros(len(b) + 2, bool)
-        for p in range(len(b) - length + 1):
-            if count[b[p : p + length]] > 1:
-                gone[p + 1 : p + 1 + length] = True
+    for (i, _), b in zip(rows, texts, strict=True):
+        gone, short = np.zeros(len(b) + 2, bool), np.zeros(len(b) + 2, bool)
+        for size, marks in ((length, gone), (seed or length, short)):
+            for p in range(len(b) - size + 1):
+                if count[b[p : p + size]] > 1:
+                    marks[p + 1 : p + 1 + size] = True
         spans = int((gone[1:] & ~gone[:-1]).sum())
-        out.append((i, len(b), int(gone.sum()), spans, bytes(x for x, g in zip(b, gone[1:], strict=False) if not g)))
+        out.append((i, len(b), int(gone.sum()), spans, int(short.sum()), bytes(x for x, g in zip(b, gone[1:], strict=False) if not g)))
     return sorted(out, key=repr)
 
 
+def found_bytes(got):
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.n_repeated, bytes(r.kept)) for r in got), key=repr)
+
+
 def edited(seed, n=40):
     """Documents made of shared passages with small changes, so phrases share triggers but not contents."""
     rnd = random.Random(seed)
@@ -78,9 +83,42 @@ def test_words(spark, case, make):
 
 @pytest.mark.parametrize("case", CASES)
 @pytest.mark.parametrize("length", [60, 400])
-def test_bytes(spark, case, length):
-    got = suffix_dedup.deduplicate(frame(spark, CASES[case]), length, length // 4).collect()
-    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=repr) == brute_bytes(CASES[case], length)
+@pytest.mark.parametrize("make", [frame, clashing])
+def test_bytes(spark, case, length, make):
+    got = suffix_dedup.deduplicate(make(spark, CASES[case]), length, length // 2, length // 10).collect()
+    assert found_bytes(got) == brute_bytes(CASES[case], length, length // 2)
+
+
+def brute_intervals(strings):
+    """For each string and depth, the strings of its group that share so many bytes."""
+    return {(g, s): [frozenset(t for h, t in strings if h == g and t[:k] == s[:k]) for k in range(len(s) + 1)] for g, s in strings}
+
+
+@pytest.mark.parametrize("partitions", [1, 5, 40])
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
+def test_intervals_over_partitions(spark, partitions, letters):
+    rnd = random.Random(partitions)
+    strings = sorted({(g, "".join(rnd.choices(letters, k=rnd.randint(0, 12))).encode()) for g in (1, 1, 1, 2, 3) for _ in range(60)})
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = suffix_array.intervals(spark.createDataFrame([(g, s, s, 1) for g, s in strings], "group long, key binary, s binary, uses long"), "test").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = brute_intervals(strings)
+    numbers = {}
+    assert len(rows) == len(strings)
+    for r in rows:
+        s = bytes(r.key)
+        assert r.hi[-1] == len(s) and list(r.hi) == sorted(set(r.hi))
+        at = 0
+        for k, members in enumerate(want[r.group, s]):
+            while r.hi[at] < k:
+                at += 1
+            number = numbers.setdefault((r.group, members, r.hi[at]), r.node[at])
+            assert number == r.node[at]
+            assert (r.node[at] & suffix_array.LEAF == suffix_array.LEAF) == (len(members) == 1)
+    assert len(set(numbers.values())) == len(numbers)
 
 
 def test_split_triggers(spark, monkeypatch):
@@ -102,9 +140,10 @@ def test_long_texts_are_parsed_in_parts(monkeypatch):
 
 
 @pytest.mark.parametrize("part", [700, 701, 333])
-def test_phrases_stay_whole_across_parts(monkeypatch, part):
+@pytest.mark.parametrize("reach", [0, 90])
+def test_phrases_stay_whole_across_parts(monkeypatch, part, reach):
     data = random.Random(2).randbytes(5000) + b"ab" * 900
-    parser = Parser(40, 10)
+    parser = Parser(40, 10, reach)
     whole = parser.phrases(suffix_dedup.byte_symbols(data))
     monkeypatch.setattr(windows, "PART", part)
     parts = parser.phrases(suffix_dedup.byte_symbols(data))
@@ -118,4 +157,4 @@ def test_bytes_of_texts_longer_than_a_part(spark):
     across = long[windows.PART - 300 : windows.PART + 300]  # a true repeat over a part's end
     for rows in ([(1, long), (2, text(900))], [(1, long), (2, text(50) + across + text(50))]):
         got = suffix_dedup.deduplicate(frame(spark, rows)).collect()
-        assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=repr) == brute_bytes(rows, suffix_dedup.LENGTH)
+        assert found_bytes(got) == brute_bytes(rows, suffix_dedup.LENGTH, suffix_dedup.SEED)

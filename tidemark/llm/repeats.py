@@ -3,7 +3,7 @@
 The parse of every document is met with the triggers that occur more than once; what is left makes a
 dictionary of distinct phrases. A phrase that occurs twice has only repeated windows, however
 many copies there are, so copies are never compared. Where distinct phrases share a trigger, one of each
-is cut out of its document, and only these stretches are looked into.
+is cut out of its document, and these stretches are looked into.
 
 Rows are keyed by ``id`` (the doc_id; null counts as the smallest) and ``tkey`` (a hash of the text), so
 rows that repeat a document's id and text are judged alike.
@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import full_text, written
+from tidemark.llm.common import dropped, full_text, written
 from tidemark.llm.windows import Parser
 
 #: Of a text (UTF-8): two 64-bit numbers for each symbol.
@@ -42,8 +42,11 @@ def utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
+_PHRASE = ["trigger", "content", "content2"]
+
+
 def parse(docs: DataFrame, parser: Parser, symbols: Symbols) -> DataFrame:
-    """The phrases of ``keyed`` documents: ``trigger, content, id, tkey, first, n, d``.
+    """The phrases of ``keyed`` documents: ``trigger, content, content2, id, tkey, first, n, d``.
 
     ``first``: start of the phrase's first window; ``n``: its windows; ``d``: from there to the trigger.
     """
@@ -55,9 +58,9 @@ def parse(docs: DataFrame, parser: Parser, symbols: Symbols) -> DataFrame:
                 m = len(p.first)
                 if m:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(p.trigger), pa.array(p.content), pa.array(np.full(m, i)), pa.array(np.full(m, k, np.int32)),
+                        [pa.array(p.trigger), pa.array(p.content), pa.array(p.content2), pa.array(np.full(m, i)), pa.array(np.full(m, k, np.int32)),
                          *(pa.array(x.astype(np.int32)) for x in (p.first, p.last - p.first + 1, p.at - p.first))],
-                        names=["trigger", "content", "id", "tkey", "first", "n", "d"],
+                        names=[*_PHRASE, "id", "tkey", "first", "n", "d"],
                     )
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,27 +74,33 @@ def parse(docs: DataFrame, parser: Parser, symbols: Symbols) -> DataFrame:
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return docs.select("id", "tkey", "text").mapInArrow(joined, "trigger long, content long, id long, tkey int, first int, n int, d int")
+    return docs.select("id", "tkey", "text").mapInArrow(joined, "trigger long, content long, content2 long, id long, tkey int, first int, n int, d int")
 
 
 def repeated_phrases(docs: DataFrame, parser: Parser, symbols: Symbols) -> DataFrame:
-    """The phrases whose trigger occurs more than once, written. Documents are parsed twice: once for the
-    counts (pre-aggregated, narrow), once to be met with them; the second join may be split at run time."""
-    parsed = parse(docs, parser, symbols)
+    """The phrases whose trigger occurs more than once, written. Every text is parsed once; the triggers' counts are
+    pre-aggregated, and the join with them may be split at run time."""
+    parsed = written(parse(docs, parser, symbols), "parsed")
     triggers = written(parsed.groupBy("trigger").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "triggers")
-    return written(parsed.join(triggers, "trigger"), "phrases")
+    out = written(parsed.join(triggers, "trigger"), "phrases")
+    for done in (parsed, triggers):
+        dropped(done)
+    return out
 
 
 def dictionary(phrases: DataFrame) -> DataFrame:
-    """Distinct phrases, written: ``content, trigger, copies`` and the earliest occurrence ``first_in`` (``id, first, tkey, n, d``)."""
+    """Distinct phrases, written: ``entry`` (a number), ``trigger, content, content2, copies`` and the earliest occurrence
+    ``first_in`` (``id, first, tkey, n, d``)."""
     where = F.struct("id", "first", "tkey", "n", "d")
-    return written(phrases.groupBy("content").agg(F.min("trigger").alias("trigger"), F.count("*").alias("copies"), F.min(where).alias("first_in")), "dictionary")
+    found = phrases.groupBy(*_PHRASE).agg(F.count("*").alias("copies"), F.min(where).alias("first_in"))
+    return written(found.withColumn("entry", F.monotonically_increasing_id()), "dictionary")
 
 
-def contested(entries: DataFrame) -> DataFrame:
-    """Dictionary entries that share their trigger with another one, written."""
-    triggers = written(entries.groupBy("trigger").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "shared")
-    return written(entries.join(triggers, "trigger"), "contested")
+def with_rivals(entries: DataFrame) -> DataFrame:
+    """Dictionary entries as phrases at their earliest occurrences: ``entry, trigger, copies, rivals`` (entries with that trigger)
+    ``, id, tkey, first, n, d``."""
+    rivals = written(entries.groupBy("trigger").agg(F.count("*").alias("rivals")), "rivals")
+    return entries.join(rivals, "trigger").select("entry", "trigger", "copies", "rivals", *[f"first_in.{c}" for c in ("id", "tkey", "first", "n", "d")])
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -110,45 +119,46 @@ def unpack(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed) if packed else b""
 
 
-def stretches(docs: DataFrame, entries: DataFrame, cut: Callable[[bytes], Callable[[int, int], tuple[int, bytes]]], before: int, after: int) -> DataFrame:
-    """Each entry's stretch, from the document of its earliest occurrence, written:
-    ``content, trigger, id, first, n, d, lead, stretch``.
+def stretches(
+    docs: DataFrame, phrases: DataFrame, carry: list[str], cut: Callable[[bytes], Callable[[int, int], bytes]], give: Callable[[bytes, int, int], tuple], schema: str, parser: Parser
+) -> DataFrame:
+    """For each of ``phrases`` (``id, tkey, first, n, d`` and the longs of ``carry``), what ``give(stretch, n, d)`` makes of its
+    content, read from its document: the columns of ``carry``, ``id, tkey, first, n, d`` and those of ``schema``.
 
-    ``cut(text)(start, end)`` gives the symbols from ``start`` to ``end``, as many as there are, and how many of those asked
-    for before the text's start are missing. The stretch reaches from ``before`` symbols before the phrase's first window to ``after`` after
-    its last window's start; ``lead`` is where the first window starts in it.
+    ``cut(text)(start, end)`` gives the symbols from ``start`` to ``end``, as many as there are.
     """
-    by_document = entries.groupBy(F.col("first_in.id").alias("id"), F.col("first_in.tkey").alias("tkey")).agg(
-        F.collect_list(F.struct("content", "trigger", "first_in.first", "first_in.n", "first_in.d")).alias("own")
-    )  # bounded by the document's length
+    by_document = phrases.groupBy(*_KEY).agg(F.collect_list(F.struct(*carry, "first", "n", "d")).alias("own"))  # bounded by the document's length
     one = docs
-    if not docs.groupBy("id", "tkey").count().where("count > 1").isEmpty():
-        one = docs.dropDuplicates(["id", "tkey"])
-    schema = "content long, trigger long, id long, first int, n int, d int, lead int, stretch binary"
+    if not docs.groupBy(*_KEY).count().where("count > 1").isEmpty():
+        one = docs.dropDuplicates(_KEY)
+    whole = ", ".join([*(f"{c} long" for c in carry), "id long", "tkey int", "first int", "n int", "d int", schema])
+    names = [c.split()[0] for c in whole.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    types = [kinds[c.split()[1]] for c in whole.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                b, out = whole.slice(at, 64), []
-                for i, packed, own in zip(b["id"].to_pylist(), b["packed"], b["own"].to_pylist(), strict=True):
+        for all_ in batches:
+            for at in range(0, all_.num_rows, 64):
+                b, out = all_.slice(at, 64), []
+                for i, k, packed, own in zip(b["id"].to_pylist(), b["tkey"].to_pylist(), b["packed"], b["own"].to_pylist(), strict=True):
                     part = cut(unpack(packed.as_py()))
                     for e in own:
-                        missing, stretch = part(e["first"] - before, e["first"] + e["n"] - 1 + after)
-                        out.append((e["content"], e["trigger"], i, e["first"], e["n"], e["d"], before - missing, stretch))
-                types = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["content", "trigger", "id", "first", "n", "d", "lead", "stretch"])
+                        first, n, d = e["first"], e["n"], e["d"]
+                        stretch = part(first, max(first + n - 1 + parser.window, first + d + parser.reach))
+                        out.append((*(e[c] for c in carry), i, k, first, n, d, *give(stretch, n, d)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    met = compressed(one).join(by_document, _KEY).select("id", "packed", "own")
-    return written(met.mapInArrow(run, schema), "stretches")
+    met = compressed(one).join(by_document, _KEY).select("id", "tkey", "packed", "own")
+    return met.mapInArrow(run, whole)
 
 
 def with_removals(docs: DataFrame, removals: DataFrame, finish: Callable[[bytes, np.ndarray], dict], schema: str) -> DataFrame:
     """One row per row of ``keyed`` documents: ``doc_id`` and what ``finish(text, removed)`` gives.
 
-    ``removals``: ``id, tkey, lo, hi``, stretches of starts of repeated windows (``lo`` to ``hi``, inclusive).
-    ``removed`` holds them as rows of two, in no order.
+    ``removals``: ``id, tkey, lo, hi, kind``, stretches of starts of repeated windows (``lo`` to ``hi``, inclusive).
+    ``removed`` holds them as rows of three, in no order.
     """
-    own = removals.groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("removed"))  # bounded by the document's length
+    own = removals.groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi", "kind")).alias("removed"))  # bounded by the document's length
     names = [c.split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +167,7 @@ def with_removals(docs: DataFrame, removals: DataFrame, finish: Callable[[bytes,
                 b = whole.slice(at, 128)
                 out = []
                 for packed, removed in zip(b["packed"], b["removed"].to_pylist(), strict=True):
-                    spans = np.array([(r["lo"], r["hi"]) for r in removed or ()], dtype=np.int64).reshape(-1, 2)
+                    spans = np.array([(r["lo"], r["hi"], r["kind"]) for r in removed or ()], dtype=np.int64).reshape(-1, 3)
                     out.append(finish(unpack(packed.as_py()), spans))
                 yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array([o[n] for o in out]) for n in names)], names=["doc_id", *names])
 

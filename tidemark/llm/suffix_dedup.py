@@ -1,32 +1,31 @@
-"""Dedup of repeated byte strings by a prefix-free parse.
-
-Rolling-hash triggers cut every document into phrases; the dictionary holds each distinct phrase once, with
-the number of its copies, and the parse is the documents' sequences of phrases. Suffixes that
-start in one phrase share their place in corpus order up to the phrase's end, so a phrase with copies settles all its
-suffixes at once. Of the other phrases, those that share a trigger are suffixes of one stretch of the order; they are
-narrowed down by the core that neighbouring suffixes have in common, and in the end window by window. What
-the order is needed for here is only whether a suffix's neighbour shares its first LENGTH bytes: classes of equal
-prefixes say that, and a class, unlike a rank, is found without one global sort.
+"""Dedup of repeated byte strings by prefix-free parsing.
+
+Rolling-hash triggers cut every document into phrases. The dictionary holds each distinct phrase once with the number of its
+copies; where a phrase has copies, all suffixes that start in it have an equal neighbour in corpus order, and that
+settles them. The other phrases are put in order: the dictionary's suffixes that end at a trigger are sorted from
+their ends, the parse's suffixes, which start at a trigger, from their starts (``suffix_array``). A suffix of the
+corpus is one of the dictionary's followed by one of the parse's, so its class of equal prefixes in corpus order is a
+pair of intervals, one of each array, and it repeats just if another suffix is in both.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import repeats
-from tidemark.llm.common import written
-from tidemark.llm.windows import Parser, Rolling, _mix, byte_values, covered
+from tidemark.llm import repeats, suffix_array
+from tidemark.llm.common import dropped, written
+from tidemark.llm.windows import Parser, byte_values, covered
 
-LENGTH, GRAM = 400, 100
-#: Windows of a chunk, which are narrowed down together.
-CHUNK = 16
-_U = np.uint64
+#: Strings of LENGTH bytes are removed; the parse finds all repeats from SEED bytes on.
+LENGTH, SEED, GRAM = 400, 200, 40
+#: Marks of a start: of a repeated string of SEED bytes, of one of LENGTH bytes.
+_SHORT, _LONG = 1, 2
 
 
 def byte_symbols(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -35,128 +34,106 @@ def byte_symbols(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cut_bytes(text: bytes):
-    return lambda start, end: (max(0, -start), text[max(0, start) : max(0, end)])
+    return lambda start, end: text[start:end]
 
 
-def _rows(columns: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(v)) for k, v in columns.items()})
+def _both_sides(stretch: bytes, n: int, d: int) -> tuple[bytes, bytes, bytes, bytes]:
+    """What is before the trigger (backwards) and from it on, each with a key."""
+    before, after = stretch[:d][::-1], stretch[d:]
+    return before, after, xxhash.xxh3_128_digest(before), xxhash.xxh3_128_digest(after)
 
 
-def _tagged(h: np.ndarray, trigger: int, at: np.ndarray) -> np.ndarray:
-    """A hash that also depends on the trigger and on the distance to it."""
-    return _mix(h ^ _mix(np.full(len(h), trigger, np.int64).view(_U) + at.astype(_U) * _U(0x9E3779B97F4A7C15))).view(np.int64)
+def _pairs(n: int, d: int, left: tuple[list[int], list[int], int], right: tuple[list[int], list[int], int], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """The classes of the strings of ``length`` bytes that start in a phrase: left and right interval, first and last start.
 
-
-def _chunks(stretches: DataFrame, length: int) -> DataFrame:
-    """Chunks of windows at like distances from the trigger: ``content, chunk, core, union``.
-
-    ``core`` is what all windows of a whole chunk share, so windows that are equal have equal cores; ``union`` is all
-    they span, as far as the document goes, so chunks of equal unions have the same windows.
+    ``left``, ``right``: ``hi, node, uses`` of ``suffix_array.intervals``. A string that starts k bytes before the trigger shares k bytes
+    to the left and ``length - k`` from the trigger on. Strings that nothing else can equal are left out.
     """
+    (lhi, lnode, luses), (rhi, rnode, ruses) = left, right
+    i, j = 0, len(rhi) - 1
+    k = max(d - n + 1, length - rhi[-1])
+    while k <= d:
+        while lhi[i] < k:
+            i += 1
+        while j and rhi[j - 1] >= length - k:
+            j -= 1
+        end = min(d, lhi[i], length - (rhi[j - 1] if j else -1) - 1)
+        if not (luses == 1 and lnode[i] & suffix_array.LEAF == suffix_array.LEAF or ruses == 1 and rnode[j] & suffix_array.LEAF == suffix_array.LEAF):
+            yield lnode[i], rnode[j], d - end, d - k
+        k = end + 1
+
+
+def _classes(stretches: DataFrame, length: int, seed: int) -> DataFrame:
+    """``entry, left, right, kind, lo, hi`` (starts in the phrase): rows of one class have equal ``left, right, kind``."""
+
+    def arrays(side: str, key: str) -> DataFrame:
+        strings = stretches.groupBy(F.col("trigger").alias("group"), F.col(key).alias("key")).agg(F.min(side).alias("s"), F.count("*").alias("uses"))
+        found = suffix_array.intervals(strings, side)
+        return found.select(F.col("group").alias("trigger"), F.col("key").alias(key), F.struct("hi", "node", "uses").alias(f"{side}_of"))
+
+    dictionary, parse = arrays("before", "before_key"), arrays("after", "after_key")
+    met = stretches.select("entry", "trigger", "before_key", "after_key", "n", "d").join(dictionary, ["trigger", "before_key"]).join(parse, ["trigger", "after_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list[np.ndarray]] = {k: [] for k in ("content", "chunk", "core", "union")}
-            for r in b.to_pylist():
-                data = np.frombuffer(r["stretch"], dtype=np.uint8)
-                roll = Rolling(byte_values(1)[data], 1)
-                # A window that starts k bytes before the trigger is at distance k; here the trigger is at this place:
-                trigger = r["lead"] + r["d"]
-                c = np.arange((r["d"] - r["n"] + 1) // CHUNK, r["d"] // CHUNK + 1)
-                early, late = trigger - (c * CHUNK + CHUNK - 1), trigger - c * CHUNK  # first and last start of the whole chunk
-                lo, hi = np.maximum(early, 0), np.minimum(late + length, len(data))
-                core = roll.of(np.minimum(late, len(data)), np.maximum(np.minimum(early + length, len(data)), np.minimum(late, len(data))))
-                span = _mix(roll.of(lo, hi) + (lo - trigger + (1 << 20)).astype(_U) * _U(1 << 24) + (hi - trigger).astype(_U))
-                out["content"].append(np.full(len(c), r["content"]))
-                out["chunk"].append(c.astype(np.int32))
-                out["core"].append(_tagged(core, r["trigger"], c))
-                out["union"].append(_tagged(span, r["trigger"], c))
-            if out["content"]:
-                yield _rows(out)
-
-    return stretches.mapInArrow(run, "content long, chunk int, core long, union long")
-
-
-def _windows(stretches: DataFrame, length: int) -> DataFrame:
-    """Windows of the chunks in ``chunks`` (array) of each stretch: ``content, at, window``; ``at``: from the phrase's first window."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[str, list[np.ndarray]] = {k: [] for k in ("content", "at", "window")}
+            out: list[tuple] = []
             for r in b.to_pylist():
-                data = np.frombuffer(r["stretch"], dtype=np.uint8)
-                roll = Rolling(byte_values(1)[data], 1)
-                far = (np.array(r["chunks"])[:, None] * CHUNK + np.arange(CHUNK)).ravel()  # distances to the trigger
-                far = far[(far <= r["d"]) & (far > r["d"] - r["n"])]
-                start = r["lead"] + r["d"] - far
-                out["content"].append(np.full(len(far), r["content"]))
-                out["at"].append((r["d"] - far).astype(np.int32))
-                out["window"].append(_tagged(roll.of(start, start + length), r["trigger"], far))
-            if out["content"]:
-                yield _rows(out)
+                sides = [(r[x]["hi"], r[x]["node"], r[x]["uses"]) for x in ("before_of", "after_of")]
+                for size, kind in ((seed, _SHORT), (length, _LONG)):
+                    out += [(r["entry"], *p, kind) for p in _pairs(r["n"], r["d"], *sides, size)]
+            if out:
+                types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int8()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["entry", "left", "right", "lo", "hi", "kind"])
 
-    return stretches.mapInArrow(run, "content long, at int, window long")
+    return met.select("entry", "n", "d", "before_of", "after_of").mapInArrow(run, "entry long, left long, right long, lo int, hi int, kind byte")
 
 
-def _more_than_once(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows whose ``key`` occurs again; the count is pre-aggregated and the join may be split at run time."""
-    again = written(rows.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").drop("c"), name)
-    return rows.join(again, key)
-
-
-def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Of ``keyed`` documents: ``id, tkey, lo, hi``, runs of starts of strings of ``length`` bytes that also start elsewhere."""
-    parser = Parser(length, gram)
+def repeated_starts(docs: DataFrame, length: int = LENGTH, seed: int = SEED, gram: int = GRAM) -> DataFrame:
+    """Of ``keyed`` documents: ``id, tkey, lo, hi, kind``, runs of starts of strings that also start elsewhere."""
+    parser = Parser(seed, gram, length)
     phrases = repeats.repeated_phrases(docs, parser, byte_symbols)
     entries = repeats.dictionary(phrases)
-    stretches = repeats.stretches(docs, repeats.contested(entries), cut_bytes, CHUNK - 1, length + CHUNK - 1)
-    chunks = written(_more_than_once(written(_chunks(stretches, length), "chunks"), "core", "cores"), "chunks")
-    unions = written(chunks.groupBy("core", "union").agg(F.count("*").alias("copies"), F.min(F.struct("content", "chunk")).alias("one")), "unions")
-    spans = stretches.select("content", "d", "n")
-    full = (
-        chunks.join(unions.where("copies > 1").select("core", "union"), ["core", "union"])
-        .join(spans, "content")
-        .select("content", F.greatest(F.lit(0), F.expr(f"d - (chunk * {CHUNK} + {CHUNK - 1})")).alias("lo"), F.least(F.expr("n - 1"), F.expr(f"d - chunk * {CHUNK}")).alias("hi"))
-    )
-    # One chunk of each union; where a core has one union only, there is nothing to compare.
-    open_ = _more_than_once(unions.select("core", "one.content", "one.chunk"), "core", "open")
-    due = written(open_.groupBy("content").agg(F.collect_set("chunk").alias("chunks")), "due")  # bounded by the phrase's length
-    windows = written(_windows(stretches.join(due, "content"), length), "windows")
-    single = _more_than_once(windows, "window", "again").select("content", F.col("at").alias("lo"), F.col("at").alias("hi"))
-
-    inside = written(full.unionByName(single).groupBy("content").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "inside")
+    contested = repeats.with_rivals(entries).where("rivals > 1")
+    sides = "before binary, after binary, before_key binary, after_key binary"
+    stretches = written(repeats.stretches(docs, contested, ["entry", "trigger"], cut_bytes, _both_sides, sides, parser), "stretches")
+    classes = written(_classes(stretches, length, seed), "classes")
+    dropped(stretches)
+    key = ["left", "right", "kind"]
+    # Counts are pre-aggregated, and the join with them may be split at run time.
+    again = written(classes.groupBy(*key).agg(F.count("*").alias("c")).where("c > 1").drop("c"), "again")
+    inside = written(classes.join(again, key).groupBy("entry").agg(F.collect_set(F.struct("lo", "hi", "kind")).alias("spans")), "inside")  # bounded by the phrase's length
+    everything = F.array(F.struct(F.lit(0).alias("lo"), F.lit(-1).alias("hi"), F.lit(_SHORT | _LONG).cast("byte").alias("kind")))
     verdicts = written(
-        entries.join(inside, "content", "left")
+        entries.join(inside, "entry", "left")
         .where("copies > 1 OR spans IS NOT NULL")
-        .select("content", F.when(F.col("copies") == 1, F.col("spans")).alias("spans")),
+        .select("trigger", "content", "content2", F.when(F.col("copies") > 1, everything).otherwise(F.col("spans")).alias("spans")),
         "verdicts",
     )
-    found = phrases.join(verdicts, "content")
-    all_of_it = F.array(F.struct(F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi")))
-    return (
-        found.select("id", "tkey", "first", F.explode(F.coalesce("spans", all_of_it)).alias("s"))
-        .select("id", "tkey", (F.col("first") + F.col("s.lo")).alias("lo"), (F.col("first") + F.col("s.hi")).alias("hi"))
-    )
-
-
-def _kept(text: bytes, starts: np.ndarray, length: int) -> tuple[bytes, np.ndarray]:
-    gone = covered(starts[:, 0], starts[:, 1] + length, len(text))
-    edges = np.concatenate([[0], gone.ravel(), [len(text)]]).reshape(-1, 2)
-    return b"".join(text[lo:hi] for lo, hi in edges), gone
+    found = phrases.join(verdicts, ["trigger", "content", "content2"]).select("id", "tkey", "first", "n", F.explode("spans").alias("s"))
+    hi = F.when(F.col("s.hi") < 0, F.col("n") - 1).otherwise(F.col("s.hi"))
+    return found.select("id", "tkey", (F.col("first") + F.col("s.lo")).alias("lo"), (F.col("first") + hi).alias("hi"), "s.kind")
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row per row of ``docs`` (``doc_id, text``): ``doc_id, n_bytes, removed`` (array of ``lo, hi``), ``kept`` (bytes).
+def deduplicate(docs: DataFrame, length: int = LENGTH, seed: int = SEED, gram: int = GRAM) -> DataFrame:
+    """One row per row of ``docs`` (``doc_id, text``): ``doc_id, n_bytes, n_removed, n_spans, n_repeated, kept`` (bytes).
 
     Every byte (UTF-8) covered by a string of ``length`` bytes that starts anywhere else too, in the same
-    document or another, is removed; the input is judged, not what is left. Texts shorter than ``length``
+    document or another, is removed; the input is judged, not what is left. ``n_spans``: maximal removed runs. ``n_repeated``:
+    bytes covered by strings of ``seed`` bytes (at most ``length``) that also start elsewhere; these stay where the longer
+    ones do not hold them. Texts shorter than ``length``
     keep everything, null texts are empty, repeated rows are elsewhere for one another; an empty table
     gives no rows; other columns are ignored. ``kept`` may begin or end inside a character.
     """
 
     def finish(text: bytes, starts: np.ndarray) -> dict:
-        kept, gone = _kept(text, starts, length)
-        return {"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(gone), "kept": kept}
+        runs = {}
+        for kind, size in ((_LONG, length), (_SHORT, seed)):
+            own = starts[(starts[:, 2] & kind > 0) & (starts[:, 0] <= len(text) - size)]
+            runs[kind] = covered(own[:, 0], np.minimum(own[:, 1], len(text) - size) + size, len(text))
+        gone = runs[_LONG]
+        edges = np.concatenate([[0], gone.ravel(), [len(text)]]).reshape(-1, 2)
+        kept = b"".join(text[lo:hi] for lo, hi in edges)
+        return {"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(gone), "n_repeated": int((runs[_SHORT][:, 1] - runs[_SHORT][:, 0]).sum()), "kept": kept}
 
     own = repeats.keyed(docs)
-    return repeats.with_removals(own, repeated_starts(own, length, gram), finish, "n_bytes long, n_removed long, n_spans long, kept binary")
+    return repeats.with_removals(own, repeated_starts(own, length, seed, gram), finish, "n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary")

@@ -61,45 +61,51 @@ class Rolling:
 
 
 class Phrases(NamedTuple):
-    """Of each phrase: the first and last start of its windows, its trigger's place, and the hashes of trigger and content."""
+    """Of each phrase: the first and last start of its windows, its trigger's place, and the hashes of trigger and
+    content (two, of independent numbers: with the trigger's, a phrase is known by 192 bits)."""
 
     first: np.ndarray
     last: np.ndarray
     at: np.ndarray
     trigger: np.ndarray
     content: np.ndarray
+    content2: np.ndarray
 
 
 @dataclass(frozen=True)
 class Parser:
-    """Windows of ``window`` symbols, triggers of ``gram`` symbols."""
+    """Windows of ``window`` symbols, triggers of ``gram`` symbols. A phrase's content is what its windows span, and
+    at least ``reach`` symbols from its trigger on, as far as the sequence goes."""
 
     window: int
     gram: int
+    reach: int = 0
 
     def phrases(self, values: tuple[np.ndarray, np.ndarray]) -> Phrases:
-        """``values``: two independent random numbers for each symbol, for triggers and for contents."""
+        """``values``: two independent random numbers for each symbol."""
         n = len(values[0])
         parts = [self._part(values, at, min(n, at + PART + self.window - 1)) for at in range(0, max(n - self.window + 1, 0), PART)]
         if not parts:
             none = np.zeros(0, np.int64)
-            return Phrases(none, none, none, none, none)
+            return Phrases(*[none] * 6)
         found = Phrases(*map(np.concatenate, zip(*parts, strict=True)))
-        return self._joined(values[1], found) if len(parts) > 1 else found
+        return self._joined(values, found) if len(parts) > 1 else found
 
-    def _joined(self, values: np.ndarray, p: Phrases) -> Phrases:
+    def _joined(self, values: tuple[np.ndarray, np.ndarray], p: Phrases) -> Phrases:
         """Phrases that a part's end has cut in two, whole again: neighbours with one trigger's place are one phrase."""
         heads = np.concatenate([[0], np.flatnonzero(np.diff(p.at)) + 1])
         tails = np.concatenate([heads[1:], [len(p.at)]]) - 1
-        first, last, at, content = p.first[heads], p.last[tails], p.at[heads], p.content[heads]
+        whole = Phrases(p.first[heads], p.last[tails], p.at[heads], p.trigger[heads], p.content[heads], p.content2[heads])
         for k in np.flatnonzero(heads != tails):  # one for each part's end at most
-            stretch = Rolling(values[first[k] : last[k] + self.window], 1)
-            hashed = stretch.of(np.zeros(1, np.int64), np.full(1, last[k] - first[k] + self.window))
-            content[k : k + 1] = _content(hashed, first[k : k + 1], last[k : k + 1], at[k : k + 1])
-        return Phrases(first, last, at, p.trigger[heads], content)
+            one, first = slice(k, k + 1), whole.first[k]
+            stretch = [v[first : max(whole.last[k] + self.window, whole.at[k] + self.reach)] for v in values]
+            rolls = [Rolling(v, i) for i, v in enumerate(stretch)]
+            whole.content[one], whole.content2[one] = self._contents(rolls, whole.first[one] - first, whole.last[one] - first, whole.at[one] - first)
+        return whole
 
     def _part(self, values: tuple[np.ndarray, np.ndarray], lo: int, hi: int) -> Phrases:
-        hashes = Rolling(values[0][lo:hi], 0).grams(self.gram)
+        rolls = [Rolling(v[lo : hi + self.reach], i) for i, v in enumerate(values)]
+        hashes = rolls[0].grams(self.gram)[: hi - lo - self.gram + 1]
         reach = self.window - self.gram + 1  # grams in a window
         places = np.arange(len(hashes), dtype=np.uint64)
         keys = (hashes >> _U(_POSITION_BITS) << _U(_POSITION_BITS)) | places
@@ -108,18 +114,13 @@ class Parser:
         first = np.concatenate([[0], change])
         last = np.concatenate([change, [len(at)]]) - 1
         place = at[first]
-        content = _content(Rolling(values[1][lo:hi], 1).of(first, last + self.window), first, last, place)
-        return Phrases(first + lo, last + lo, place + lo, hashes[place].view(np.int64), content)
+        return Phrases(first + lo, last + lo, place + lo, hashes[place].view(np.int64), *self._contents(rolls, first, last, place))
 
-    def window_hashes(self, values: np.ndarray, first: int, last: int) -> np.ndarray:
-        """Content hashes of the windows that start from ``first`` to ``last``."""
-        return Rolling(values[first : last + self.window], 1).grams(self.window).view(np.int64)
-
-
-def _content(hashed: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The hash of a phrase's symbols, of its trigger's place in it and of the number of its windows."""
-    shape = _mix(((place - first).astype(np.uint64) << _U(32)) | (last - first).astype(np.uint64))
-    return (hashed + shape).view(np.int64)
+    def _contents(self, rolls: list[Rolling], first: np.ndarray, last: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of a phrase's symbols, of its trigger's place in it and of the number of its windows."""
+        end = np.minimum(np.maximum(last + self.window, place + self.reach), len(rolls[0].sums) - 1)
+        shape = _mix(((place - first).astype(np.uint64) << _U(32)) | (last - first).astype(np.uint64))
+        return (rolls[1].of(first, end) + shape).view(np.int64), (rolls[0].of(first, end) + shape).view(np.int64)
 
 
 def _sliding_minimum(keys: np.ndarray, reach: int) -> np.ndarray:
