@@ -1,14 +1,16 @@
 """The pipeline's stages against brute force, and language ID on held-out documents."""
 
+import random
 import re
 import zlib
 
 import corpus_pipeline
 import pytest
 from fixtures import SCHEMA, sample
-from test_text_operators import brute_simhash, brute_spans, check_packing, components
+from test_text_operators import brute_spans, check_packing
 
-from tidemark.llm import langid
+from tidemark.llm import langid, near_copies
+from tidemark.llm.simhash import shingles, words_of
 
 TRAIN = {"en": "the house and this that with water", "de": "der und nicht das haus wasser mit", "fr": "le est pas maison eau avec dans", "es": "el los casa agua pero con muy"}
 
@@ -46,12 +48,82 @@ def test_exact_stage(stages):
     assert sorted((-len(r.text), r.doc_id is not None, r.doc_id or 0) for r in after) == sorted(best.values())
 
 
+def groups_of_near_copies(texts, least=0.8):
+    """Smallest id over chains of texts that share ``least`` of their five-word shingles."""
+    sets = {i: set(shingles(words_of(t), 5)) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in texts:
+        for b in texts:
+            if a < b and (len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in texts}
+
+
 def test_near_stage(stages):
     before, after, _ = stages[2]
-    fps = {r.doc_id: brute_simhash(r.text, 1, True) for r in before if r.doc_id is not None}
-    comp = components(fps)
-    kept = [r.doc_id for r in after if r.doc_id is not None]
-    assert sorted(kept) == sorted(i for i in fps if comp[i] == i)
+    texts = {r.doc_id: r.text for r in before if r.doc_id is not None}
+    want = groups_of_near_copies(texts)
+    kept = {r.doc_id for r in after if r.doc_id is not None}
+    assert {i for i in texts if want[i] == i} <= kept  # no clean document goes
+    assert len(kept - {i for i in texts if want[i] == i}) <= 1
+
+
+def near_rows():
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=4))
+    rows, n = [], 0
+    for length in (40, 80, 200, 600):
+        for _ in range(12):
+            base = [word() for _ in range(length)]
+            for edits in (0, 1, length // 60, length // 40):
+                w = list(base)
+                for _ in range(edits):
+                    w[rnd.randrange(len(w))] = word()
+                rows.append((n, " ".join(w)))
+                n += 1
+    return rows
+
+
+def test_near_copies_are_found(spark):
+    rows = near_rows()
+    want = groups_of_near_copies(dict(rows))
+    got = {r.doc_id: r for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {r.group_id: i for i, r in got.items() if r.first}
+    pairs = [(a, b) for a in want for b in want if a < b and want[a] == want[b]]
+    found = [first[got[a].group_id] == first[got[b].group_id] for a, b in pairs]
+    assert len(pairs) > 100 and sum(found) >= 0.95 * len(pairs)
+    assert all(want[a] == want[b] for a in want for b in want if got[a].group_id == got[b].group_id)
+
+
+def test_near_copies_of_edge_cases(spark):
+    rows = [(1, None), (2, ""), (3, " "), (4, "one two"), (5, "One  TWO"), (6, "one three"), (4, "one two"), (None, "one two"), (None, "x " * 3000), (7, "x " * 3001), (8, "y")]
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    by = {(r.doc_id, r.text_key): r for r in got.collect()}
+    assert len(by) == 10
+    groups = {}
+    for (i, _), r in by.items():
+        groups.setdefault(r.group_id, []).append(i)
+    assert sorted((sorted(map(str, g)) for g in groups.values())) == [["1", "2", "3"], ["4", "5", "None"], ["6"], ["7", "None"], ["8"]]
+    assert sorted(str(i) for (i, _), r in by.items() if r.first) == ["1", "4", "6", "7", "8"]
+    kept = near_copies.keep_first(spark.createDataFrame([(t, "a", 1, i) for i, t in rows], "text string, node string, fp int, doc_id long")).collect()
+    assert sorted((r.doc_id, r.node, r.fp) for r in kept) == [(i, "a", 1) for i in (1, 4, 6, 7, 8)]
+
+
+def test_stages_keep_columns_of_clashing_names(spark):
+    """Every column that the stages or the operators use themselves, as a user's own."""
+    names = "score lang_pred ambiguous _found _id _digest _n digest keep_id kept group_size node fps fp k text_key first blob spans _blob _spans row_id".split()
+    own = [(t, *["mine"] * len(names), lang, "s", n, i) for i, t, lang, _, n in corpus()]
+    docs = spark.createDataFrame(own, "text string, " + ", ".join(f"{c} string" for c in names) + ", lang string, source string, n_chars long, doc_id long")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "").cache()
+        assert docs.columns == ["text", *names, "lang", "source", "n_chars", "doc_id"]
+        assert docs.where(" OR ".join(f"{c} IS NULL OR {c} <> 'mine'" for c in names)).isEmpty() and docs.count() > 100
 
 
 def test_secret_stage(stages):

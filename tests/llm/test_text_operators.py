@@ -51,6 +51,34 @@ def test_exact_dedup_is_incremental(spark):
     assert exact_dedup.DigestIndex(spark, index.path).table().count() == 3
 
 
+def test_digest_index_reopened_with_other_partitions(spark):
+    rows = [(i, f"text {i}") for i in range(200)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        with exact_dedup.DigestIndex(spark) as index:
+            first = exact_dedup.deduplicate(frame(spark, rows), index).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        with exact_dedup.DigestIndex(spark, index.path) as again:
+            copies = exact_dedup.deduplicate(frame(spark, [(1000 + i, t) for i, t in rows]), again).collect()
+            rerun = exact_dedup.deduplicate(frame(spark, rows), again).collect()
+            assert again.table().count() == 200 and again.buckets == 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert not any(r.kept for r in copies) and all(r.keep_id == r.doc_id - 1000 for r in copies)
+    assert sorted(map(repr, first)) == sorted(map(repr, rerun)) and all(r.kept for r in rerun)
+    assert not [t for t in spark.catalog.listTables() if t.name in (index.name, again.name)]
+
+
+def test_exact_dedup_of_a_batch_run_again(spark):
+    """A lost job's batch gives what it gave, repeated rows, ties and null ids included."""
+    rows = [(1, "a b"), (2, "a  b"), (2, "a  b"), (None, "c"), (None, "c"), (3, None), (4, "")]
+    index = exact_dedup.DigestIndex(spark)
+    runs = [exact_dedup.deduplicate(frame(spark, rows), index).collect() for _ in range(2)]
+    assert [sorted((repr(r.doc_id), r.keep_id, r.kept) for r in x) for x in runs][0] == [sorted((repr(r.doc_id), r.keep_id, r.kept) for r in x) for x in runs][1]
+    assert [sum(r.kept for r in x) for x in runs] == [3, 3] and index.table().count() == 3
+
+
 def brute_spans(text: str):
     out = []
     for rank, r in enumerate(secrets.RULES):
@@ -80,6 +108,12 @@ def test_secrets(spark):
     assert ledger.scanned().count() == n * (len(secrets.RULES) + 1)
 
 
+def test_ends_of_very_many_matches(spark):
+    text = " ".join(f"token=abc{i:06d}" for i in range(3000))
+    got = secrets.scan(frame(spark, [(1, text), (2, "é " + text)]), secrets.BlobLedger(spark)).collect()
+    assert sorted((r.doc_id, [tuple(s) for s in r.spans]) for r in got) == [(1, brute_spans(text)), (2, brute_spans("é " + text))]
+
+
 def test_secrets_edges(spark, docs):
     rows, df = docs
     got = secrets.scan(df, secrets.BlobLedger(spark)).collect()
@@ -150,6 +184,13 @@ def test_url_filter(spark, urls):
     assert sorted(map(tuple, got), key=repr) == sorted(((i, *brute_url(u)) for i, u in enumerate(urls)), key=repr)
 
 
+def test_url_filter_beyond_max_keys(spark):
+    rules = [url_filter.Rule(r.split("/")[0], r[r.index("/") :], v) for r, v in RULES]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS + URLS)], "page_id long, url string")
+    got = url_filter.filter_urls(pages, rules, max_keys=1).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((i, *brute_url(u)) for i, u in enumerate(URLS + URLS)), key=repr)
+
+
 def test_cascade_has_levels_and_is_exact(spark):
     universe = spark.range(20000).selectExpr("cast(id AS string) AS key")
     listed = universe.where("key % 7 = 0")
@@ -158,10 +199,9 @@ def test_cascade_has_levels_and_is_exact(spark):
     assert universe.where(c.holds(universe.key) != (universe.key.cast("long") % 7 == 0)).count() == 0
 
 
-def brute_simhash(text, n=3, distinct=False):
+def brute_simhash(text, n=3):
     w = [x.decode() for x in (text or "").encode().lower().split()]
     grams = [] if not w else [" ".join(w)] if len(w) < n else [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
-    grams = sorted(set(grams)) if distinct else grams
     h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
@@ -206,8 +246,8 @@ def test_links_find_every_pair_within_radius(spark):
             base ^= 1 << rnd.randrange(64)
         fps[i] = base
     signed = lambda f: f - (1 << 64) if f >> 63 else f
-    df = spark.createDataFrame([(signed(f),) for f in set(fps.values())], "fp long")
-    found = {r.node: r.component for r in simhash.components(simhash.links(df)).collect()}
+    df = spark.createDataFrame([(0, signed(f)) for f in set(fps.values())], "k int, fp long")
+    found = {r.node: r.component for r in simhash.components(simhash.links(df).select("a", "b")).collect()}
     comp = components(fps)
     for i in fps:
         for j in fps:
@@ -314,6 +354,27 @@ def test_packing_over_many_islands(spark):
     assert check_packing(got, 4096) <= 1.01 * least
 
 
+def test_genomes_evolve_on_the_documents(spark):
+    pieces = packing.tokenize(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    lengths = np.array(sorted((r.length for r in pieces.select("length").collect()), reverse=True))
+    counts: dict[str, int] = {}
+    start = packing.evolve(lengths, [], 4096, np.random.default_rng(1), counts)
+    assert counts["crossovers"] >= packing.GENERATIONS
+    place = lambda o: packing.best_fit(lengths, o, [], 4096)[np.argsort(o)]
+    own = packing.evolve(lengths, [place(np.random.default_rng(k).permutation(len(lengths))) for k in range(packing.GENOMES)], 4096, np.random.default_rng(2))
+    loose = [packing._fitness(place(np.random.default_rng(k).permutation(len(lengths))), lengths, 4096) for k in range(packing.GENOMES)]
+    assert packing._fitness(own[0], lengths, 4096) < min(loose)  # better than any genome it began with
+    mixed = packing.evolve(lengths, [own[0], start[0]], 4096, np.random.default_rng(3))  # an immigrant elite is never lost
+    assert packing._fitness(mixed[0], lengths, 4096) <= min(packing._fitness(g[0], lengths, 4096) for g in (own, start))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2])
+def test_packing_of_few_pieces_with_clashing_columns(spark, n):
+    names = "_key string, _elite string, sequence_id string, offset string, doc_id long, length int, _block string"
+    got = packing.pack(spark.createDataFrame([("a", "b", "c", "d", i, 4000, "e") for i in range(n)], names)).collect()
+    assert [(r._key, r._elite, r._block, r.length, r.offset) for r in got] == [("a", "b", "e", 4000, 0)] * n and len({r.sequence_id for r in got}) == n
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 3000, 400)

@@ -40,9 +40,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _file_system(spark, path)
+    return files.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
 
 
 def clean_up(spark: SparkSession) -> None:
@@ -80,6 +90,11 @@ def dropped(df: DataFrame) -> None:
     delete(df.sparkSession, _PATHS.pop(df))
 
 
+def temporary(*names: str) -> list[str]:
+    """Column names that no caller's table has."""
+    return [f"_{n}_{uuid.uuid4().hex}" for n in names]
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df

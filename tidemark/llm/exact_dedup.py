@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, full_text, new_path, written
+from tidemark.llm.common import SPACES, exists, full_text, new_path, temporary, written
 
 
 def normalised_digest(column: str = "text"):
@@ -22,25 +22,40 @@ def normalised_digest(column: str = "text"):
 
 
 class DigestIndex:
-    """``digest, keep_id, n_chars`` for every digest seen, at ``path``; made there if absent.
+    """``digest, keep_id`` for every digest seen, at ``path``; made there if absent.
 
-    The catalog entry is only a name for the files: another session can open the same path.
+    The number of buckets is kept with the table, so every session that opens it finds the files of a digest. The catalog
+    entry is only a name for the files: ``close`` (or ``with``) drops it and leaves the files.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark, self.path = spark, path or new_path(spark, "digest-index")
         self.name = f"digest_index_{uuid.uuid4().hex}"
-        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        made = f"{self.path}/buckets"
+        if exists(spark, f"{made}/_SUCCESS"):
+            self.buckets = spark.read.schema("n int").parquet(made).first().n
+        else:
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.createDataFrame([(self.buckets,)], "n int").write.mode("overwrite").parquet(made)
         spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, n_chars INT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
+            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/table'"
         )
 
+    def __enter__(self) -> DigestIndex:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
     def append(self, fresh: DataFrame) -> None:
-        fresh.select("digest", "keep_id", "n_chars").write.insertInto(self.name)
+        fresh.select("digest", "keep_id").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
 
@@ -48,10 +63,12 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, text``): ``doc_id, keep_id, group_size, kept,
     digest, n_chars``.
 
-    Of rows with equal text (white space aside) one stays: a document that the index already
-    holds, else the row with the most code points, then the smallest doc_id, then any one of
-    repeated rows. ``group_size`` counts rows of this batch. A null text counts as empty; a null
-    doc_id sorts first; an empty table gives no rows; other columns are ignored.
+    Of rows with equal text (white space aside) one stays: the document that the index names for it, and
+    if it names none, the row with the most code points, then the smallest doc_id, then any one of
+    repeated rows, which the index is told. A document that the index names stays whenever it is met again, so a
+    batch that is run again, after a lost job or not, gives what it gave. ``group_size`` counts rows of this batch. A null
+    text counts as empty; a null doc_id sorts first, and all documents of one text without an id are one to the
+    index; very long texts are read as they are; an empty table gives no rows; other columns are ignored.
     """
     batch = written(
         docs.select(
@@ -65,39 +82,31 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     winners = written(
         batch.groupBy("digest")
         .agg(F.min(F.struct(-F.col("n_chars"), "doc_id", "row_id")).alias("first"), F.count("*").alias("group_size"))
-        .select("digest", F.col("first.doc_id").alias("keep_id"), (-F.col("first.col1")).alias("n_chars"), F.col("first.row_id").alias("keep_row"), "group_size"),
+        .select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.row_id").alias("keep_row"), "group_size"),
         "winners",
     )
-    held = index.table().select("digest", F.col("keep_id").alias("held_id"))
-    fresh = winners.hint("merge").join(held, "digest", "left_anti").withColumn("held", F.lit(False))
-    seen = (
-        winners.hint("merge").join(held, "digest")
-        .select("digest", F.col("held_id").alias("keep_id"), "n_chars", "keep_row", "group_size", F.lit(True).alias("held"))
-    )
-    decided = written(fresh.unionByName(seen), "decided")
-    index.append(decided.where("NOT held"))
+    held = index.table().groupBy("digest").agg(F.min("keep_id").alias("held_id"))  # one row a digest, but for two runs at once
+    fresh = written(winners.hint("merge").join(held, "digest", "left_anti"), "fresh")
+    seen = written(winners.hint("merge").join(held, "digest").select("digest", F.col("held_id").alias("keep_id"), "group_size"), "seen")
+    again = batch.join(seen, "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    rows = again.groupBy("digest").agg(F.min(F.struct(-F.col("n_chars"), "row_id")).alias("first")).select("digest", F.col("first.row_id").alias("keep_row"))
+    decided = written(fresh.unionByName(seen.join(rows, "digest", "left")), "decided")
+    index.append(fresh)
     # Both sides are plain exchanges of narrow rows, so a digest with a third of all rows is split at run time.
-    return batch.join(decided.drop("n_chars"), "digest").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (~F.col("held") & (F.col("row_id") == F.col("keep_row"))).alias("kept"),
-        "digest",
-        "n_chars",
-    )
+    kept = F.coalesce(F.col("row_id") == F.col("keep_row"), F.lit(False))
+    return batch.join(decided, "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest", "n_chars")
 
 
 def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one for each digest the index did not hold."""
-    key = {"_id": F.col("doc_id").cast("long"), "_digest": normalised_digest(), "_n": F.length(full_text())}
-    stays = written(
-        deduplicate(docs, index).where("kept").select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest"), F.col("n_chars").alias("k_n")), "kept"
-    )
+    """The rows of ``docs`` that ``deduplicate`` keeps, with all their columns, whatever they are called."""
+    doc_id, digest, n_chars = temporary("doc_id", "digest", "n_chars")
+    key = {doc_id: F.col("doc_id").cast("long"), digest: normalised_digest(), n_chars: F.length(full_text())}
+    stays = written(deduplicate(docs, index).where("kept").select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest"), F.col("n_chars").alias("k_n")), "kept").alias("stays")
     keyed = docs.withColumns(key)
     # Keyed by document and digest, so copies do not meet in one task; the narrow side is hashed and texts are not sorted.
-    same = (F.col("_digest") == F.col("k_digest")) & F.col("_id").eqNullSafe(F.col("k_id")) & (F.col("_n") == F.col("k_n"))
+    same = (F.col(digest) == F.col("stays.k_digest")) & F.col(doc_id).eqNullSafe(F.col("stays.k_id")) & (F.col(n_chars) == F.col("stays.k_n"))
     out = keyed.join(stays.hint("shuffle_hash"), same, "left_semi")
     narrow = docs.select(*(v.alias(k) for k, v in key.items()))
-    if not narrow.groupBy("_id", "_digest", "_n").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["_id", "_digest", "_n"])
+    if not narrow.groupBy(*key).count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(list(key))
     return out.select(*docs.columns)

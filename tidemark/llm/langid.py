@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import full_text
+from tidemark.llm.common import full_text, temporary
 
 #: Hash buckets of the n-grams, and their lengths in bytes of UTF-8.
 FEATURES, GRAMS = 1 << 16, (2, 4)
@@ -136,11 +136,12 @@ def _mean(rows: np.ndarray) -> np.ndarray:
     return rows.mean(axis=0) if len(rows) else np.full(rows.shape[1], 1.0 / rows.shape[1])
 
 
-def identify(docs: DataFrame, model: LanguageCode) -> DataFrame:
-    """``docs`` with ``lang_pred, score, ambiguous`` added, from ``text`` alone.
+def identify(docs: DataFrame, model: LanguageCode, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """``docs`` with language, score (0 to 1) and whether it is ambiguous added as ``names``, from ``text`` alone.
 
     ``und`` (score 0, ambiguous) for a null text and one without a letter, and for any text if the
-    model has no languages. Columns of those names are replaced; an empty table gives no rows.
+    model has no languages. Very long texts are read whole, a chunk at a time; repeated rows and equal texts are judged
+    alike; of codewords equally near the first language by name wins, flagged ambiguous. Columns of those names are replaced; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES * bits * 4 bytes, whatever the data
 
@@ -151,8 +152,9 @@ def identify(docs: DataFrame, model: LanguageCode) -> DataFrame:
         pa.default_memory_pool().release_unused()  # workers live on into later stages
         return pd.DataFrame(found, columns=["lang_pred", "score", "ambiguous"])
 
-    out = docs.withColumn("_found", predict(F.col("text")))
-    return out.withColumns({c: F.col(f"_found.{c}") for c in ("lang_pred", "score", "ambiguous")}).drop("_found")
+    (found,) = temporary("found")
+    out = docs.withColumn(found, predict(F.col("text")))
+    return out.withColumns({c: F.col(f"{found}.{f}") for c, f in zip(names, ("lang_pred", "score", "ambiguous"), strict=True)}).drop(found)
 
 
 def has_letter(text: Column) -> Column:

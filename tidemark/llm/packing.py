@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences by a grouping genetic algorithm on islands.
 
-Pieces are dealt to islands of bounded size. On each, genomes are whole packings: crossover
-injects well-filled bins of one parent into the other, removes what that duplicates, and
-best-fits the displaced pieces. After an epoch the well-filled bins of the island's elite are settled,
-and what is left migrates, bins together, to islands shared with their neighbours, until one island is left.
+Pieces are dealt to blocks of bounded size, and each block to a few islands. On an island, genomes are whole packings of
+its block: crossover injects well-filled bins of one parent into the other, removes what that duplicates, and
+best-fits the displaced pieces. Between epochs each island's elite migrates to the next island of the ring. The
+block's best packing then settles its well-filled bins, and the pieces of the others are dealt anew, until one block is left.
 """
 
 from __future__ import annotations
@@ -22,17 +22,22 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from tidemark.llm.byte_bpe import LATER, byte_characters
-from tidemark.llm.common import written
+from tidemark.llm.common import temporary, written
 
 CAPACITY = 4096
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-#: Pieces of an island, about; a settled bin wastes at most this share.
-ISLAND, SETTLED = 4096, 1 / 256
-GENOMES, GENERATIONS = 6, 12
+#: Pieces of a block, about; a settled bin wastes at most this share.
+BLOCK, SETTLED = 2048, 1 / 256
+#: Islands of a block, epochs between which elites migrate, and an island's genomes, generations and children of each.
+ISLANDS, EPOCHS = 2, 2
+GENOMES, GENERATIONS, CHILDREN = 4, 4, 2
+#: A block that has settled this share of its pieces' tokens or less is packed for good.
+PROGRESS = 1 / 64
 #: Words that a worker remembers the ids of (those met lately), and their longest length.
 MAX_WORDS, WORD_CHARS = 250_000, 40
 #: Documents encoded at once.
@@ -111,7 +116,8 @@ def _encoder(path: str) -> WordEncoder:
 def tokenize(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most ``capacity`` ids: ``doc_id, piece, start, length, ids`` (binary, little-endian 32-bit).
 
-    A document is its ids and the end id; only longer ones are cut. A null or empty text is the end id alone.
+    A document is its ids and the end id; only longer ones are cut, whatever their length. A null or empty text is the end id alone; repeated
+    rows give repeated pieces; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,11 +158,11 @@ def best_fit(lengths: np.ndarray, order: np.ndarray, room: list[int], capacity:
     return out
 
 
-def _fitness(bins: np.ndarray, lengths: np.ndarray, capacity: int) -> float:
-    """Mean of squared fill over the bins in use: full bins and few of them."""
+def _fitness(bins: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[int, float]:
+    """Fewer bins first, then the greater mean of squared fill: full bins, and what is left over in as few as can be. The least is the best."""
     fill = np.bincount(bins, weights=lengths)
     fill = fill[fill > 0]
-    return float(((fill / capacity) ** 2).mean())
+    return len(fill), -float(((fill / capacity) ** 2).mean())
 
 
 def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
@@ -181,79 +187,103 @@ def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int,
     return child
 
 
-def evolve(lengths: np.ndarray, elite: np.ndarray | None, capacity: int, seed: int) -> np.ndarray:
-    """The best packing found. It ends early at the least number of bins that the total length allows."""
-    least = -(-int(lengths.sum()) // capacity)
-    rng = np.random.default_rng(seed)
-    place = np.empty(len(lengths), dtype=np.int64)
-    down = np.argsort(-lengths, kind="stable")
-    place[down] = best_fit(lengths, down, [], capacity)
-    genomes = [place] + ([elite] if elite is not None else [])
-    count = lambda g: len(np.unique(g))
-    best = min(genomes, key=lambda g: (count(g), -_fitness(g, lengths, capacity)))
+def evolve(lengths: np.ndarray, genomes: list[np.ndarray], capacity: int, rng: np.random.Generator, counts: dict[str, int] | None = None) -> list[np.ndarray]:
+    """An epoch of an island: ``genomes``, and packings of its own to make up their number, through all generations; the best comes first.
+
+    It ends early only when no packing can be better: the least number of bins, all full but one. ``counts`` gets the number of crossovers.
+    """
+    n = len(lengths)
+    least, rest = divmod(int(lengths.sum()), capacity)
+    perfect = (least + (rest > 0), -(least + (rest / capacity) ** 2) / max(1, least + (rest > 0)))
+    fitness = lambda g: _fitness(g, lengths, capacity)
+    genomes = list(genomes)
+    while len(genomes) < GENOMES:
+        # Best fit in about falling order; each island and genome has an order of its own.
+        order = np.argsort(-lengths * rng.uniform(0.7, 1.0, n), kind="stable")
+        place = np.empty(n, dtype=np.int64)
+        place[order] = best_fit(lengths, order, [], capacity)
+        genomes.append(place)
+    genomes.sort(key=fitness)
     for _ in range(GENERATIONS):
-        if count(best) <= least or len(lengths) < 3:
+        number, fill = fitness(genomes[0])
+        if n < 3 or number <= perfect[0] and fill <= perfect[1] + 1e-12:
             break
-        while len(genomes) < GENOMES:
-            order = np.argsort(-lengths * rng.uniform(0.8, 1.0, len(lengths)), kind="stable")
+        pairs = [(int(rng.integers(2)), int(rng.integers(len(genomes)))) for _ in range(CHILDREN)]
+        children = [crossover(genomes[a], genomes[b], lengths, capacity, rng) for a, b in pairs]
+        if counts is not None:
+            counts["crossovers"] = counts.get("crossovers", 0) + len(children)
+        genomes = sorted(genomes + children, key=fitness)[:GENOMES]
+    return genomes
+
+
+def _epoch(capacity: int, round_: int, epoch: int):
+    """What an island does in an epoch: its block's pieces come with the island's own elite and the one that migrated to it."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        block, island = int(key[0]), int(key[1])
+        pdf = pdf.sort_values(["_length", "_key"], ascending=False, kind="stable").reset_index(drop=True)
+        lengths = pdf["_length"].to_numpy(dtype=np.int64)
+        known = [np.unique(pdf[c], return_inverse=True)[1] for c in ("_elite", "_guest") if epoch or (island == 0 and c == "_elite" and round_)]
+        if not epoch and island == 0:  # one genome of the first island is packed in falling order
             place = np.empty(len(lengths), dtype=np.int64)
-            place[order] = best_fit(lengths, order, [], capacity)
-            genomes.append(place)
-        genomes.sort(key=lambda g: (count(g), -_fitness(g, lengths, capacity)))
-        children = [crossover(genomes[int(rng.integers(2))], genomes[int(rng.integers(len(genomes)))], lengths, capacity, rng) for _ in range(GENOMES // 2)]
-        genomes = sorted(genomes + children, key=lambda g: (count(g), -_fitness(g, lengths, capacity)))[: GENOMES - 1]
-        best = genomes[0]
-    return best
-
-
-def _island(capacity: int, epoch: int, last: bool):
-    """What an island does in an epoch: names its bins, places the pieces, and marks those that are settled."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "_key"], ascending=False, kind="stable").reset_index(drop=True)
-        lengths = pdf["length"].to_numpy(dtype=np.int64)
-        elite = np.unique(pdf["_bin"], return_inverse=True)[1] if epoch else None
-        bins = evolve(lengths, elite, capacity, seed=epoch)
-        fill = np.bincount(bins, weights=lengths)
-        done = np.full(len(bins), last) | (fill[bins] >= capacity * (1 - SETTLED))
-        first = pdf.groupby(bins)["_key"].transform("min")  # a name that no other bin has
-        order = np.argsort(bins, kind="stable")
-        before = np.cumsum(lengths[order]) - lengths[order]
-        at = np.empty(len(bins), dtype=np.int64)
-        at[order] = before - before[np.searchsorted(bins[order], bins[order])]
-        return pdf.assign(_bin=first, _at=at, _done=done).drop(columns="_island")
+            down = np.arange(len(lengths))
+            place[down] = best_fit(lengths, down, [], capacity)
+            known.append(place)
+        best = evolve(lengths, known, capacity, np.random.default_rng([round_, epoch, block, island]))[0]
+        number, fill = _fitness(best, lengths, capacity)
+        keys = pdf["_key"].to_numpy()
+        name = np.full(int(best.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(name, best, keys)  # a name that no other bin has: its least piece
+        return pd.DataFrame({"_block": block, "_island": island, "_key": keys, "_length": lengths, "_elite": name[best], "_bins": number, "_fill": -fill})
 
     return run
 
 
+_STATE = "_block int, _island int, _key long, _length long, _elite long, _bins long, _fill double"
+
+
+def _best_of_block(state: DataFrame) -> DataFrame:
+    """The packing of each block's best island."""
+    islands = state.groupBy("_block", "_island").agg(F.first("_bins").alias("bins"), F.first("_fill").alias("fill"))
+    best = islands.groupBy("_block").agg(F.min(F.struct("bins", -F.col("fill"), "_island")).alias("b")).select("_block", F.col("b._island").alias("_island"))
+    return state.join(best, ["_block", "_island"]).select("_block", "_key", "_length", "_elite")
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (with ``length``) with ``sequence_id`` and ``offset`` added: every piece has its place in a sequence
-    of at most ``capacity``, gapless from 0. Lengths are from 1 to ``capacity``.
+    """``pieces`` (with ``length``) with ``sequence_id`` and ``offset`` added, columns of those names replaced and others kept, whatever they are
+    called: every piece has its place in a sequence of at most ``capacity``, gapless from 0. Lengths are from 1 to ``capacity``.
 
-    Every epoch is written before the next. Islands hold about ISLAND pieces whatever the input's size; the
-    pieces that migrate are a small share, so a few epochs end on one island. An empty table gives no rows.
+    Equal lengths are told apart by a number of the row, so repeated rows are packed like any others. Only keys and lengths
+    go through the search. Every epoch is written before the next. Blocks hold about BLOCK pieces whatever the
+    input's size; the pieces dealt anew are a small share, so a few rounds end in one block. An empty table gives no rows.
     """
-    names = pieces.columns
-    state = written(pieces.withColumns({"_bin": F.lit(-1).cast("long"), "_at": F.lit(0).cast("long"), "_key": F.monotonically_increasing_id()}), "pieces")
+    key, bin_, at, done = temporary("key", "bin", "at", "done")
+    keyed = written(pieces.withColumn(key, F.monotonically_increasing_id()), "pieces")
+    left = keyed.select(F.col(key).alias("_key"), F.col("length").cast("long").alias("_length"), F.lit(-1).cast("long").alias("_elite"))
     settled: list[DataFrame] = []
-    left = state.count()
-    epoch = 0
-    while True:
-        islands = max(1, -(-left // ISLAND))
-        last = islands == 1 or epoch > 20
-        island = _island(capacity, epoch, last)
-        # Bins migrate whole: a bin's pieces share its name, and so the next island.
-        key = F.col("_key") if epoch == 0 else F.col("_bin")
-        dealt = state.withColumn("_island", F.pmod(F.xxhash64(key, F.lit(epoch)), F.lit(islands)).cast("int"))
-        moved = written(dealt.groupBy("_island").applyInPandas(island, state.withColumn("_done", F.lit(False)).schema), "epoch")
-        settled.append(moved.where("_done"))
+    n, tokens, round_ = keyed.count(), None, 0
+    while n:
+        blocks = -(-n // BLOCK)
+        # Bins stay together: a bin's pieces share its name, and so the next block.
+        dealt = F.pmod(F.xxhash64("_elite" if round_ else "_key", F.lit(round_)), F.lit(blocks)).cast("int")
+        state = left.select(dealt.alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("_island"), "_key", "_length", "_elite", F.col("_elite").alias("_guest"))
+        for epoch in range(EPOCHS):
+            evolved = written(state.groupBy("_block", "_island").applyInPandas(_epoch(capacity, round_, epoch), _STATE), "epoch")
+            guests = evolved.select("_block", F.pmod(F.col("_island") + 1, F.lit(ISLANDS)).alias("_island"), "_key", F.col("_elite").alias("_guest"))
+            state = evolved.join(guests, ["_block", "_island", "_key"])
+        best = _best_of_block(evolved)
+        fill = best.groupBy("_elite").agg(F.sum("_length").alias("fill"))
+        now = written(best.join(fill, "_elite").select("_key", "_length", "_elite", (F.col("fill") >= capacity * (1 - SETTLED)).alias("full")), "packed")
+        rest = now.agg(F.count_if(~F.col("full")).alias("n"), F.sum(F.when(~F.col("full"), F.col("_length"))).alias("tokens")).first()
+        last = blocks == 1 or not rest.n or (tokens is not None and rest.tokens > tokens * (1 - PROGRESS))
+        settled.append(now if last else now.where("full"))
         if last:
             break
-        state = moved.where("NOT _done").drop("_done")
-        left, epoch = state.count(), epoch + 1
-        if not left:
-            break
-    out = settled[0]
-    for more in settled[1:]:
-        out = out.unionByName(more)
-    return out.select(*names, F.col("_bin").alias("sequence_id"), F.col("_at").alias("offset"))
+        left, n, tokens, round_ = now.where("NOT full").drop("full"), rest.n, rest.tokens, round_ + 1
+    none = keyed.select(F.col(key).alias("_key"), F.col("length").cast("long").alias("_length"), F.lit(0).cast("long").alias("_elite")).limit(0)
+    out = none
+    for more in settled:
+        out = out.unionByName(more.select("_key", "_length", "_elite"))
+    before = F.sum("_length").over(Window.partitionBy("_elite").orderBy("_key")) - F.col("_length")  # a sequence holds at most ``capacity`` pieces
+    placed = out.select(F.col("_key").alias(key), F.col("_elite").alias(bin_), before.alias(at))
+    return keyed.join(placed, key).select(*[c for c in pieces.columns if c not in ("sequence_id", "offset")], F.col(bin_).alias("sequence_id"), F.col(at).alias("offset"))

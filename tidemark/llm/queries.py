@@ -36,7 +36,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_dedup.deduplicate(documents(spark, sf_dir, "doc_id", "text"), exact_dedup.DigestIndex(spark))
+    with exact_dedup.DigestIndex(spark) as index:
+        out = exact_dedup.deduplicate(documents(spark, sf_dir, "doc_id", "text"), index)
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -82,7 +83,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.deduplicate(documents(spark, sf_dir, "doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

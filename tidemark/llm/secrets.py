@@ -11,9 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidemark.llm.common import full_text, new_path, written
+from tidemark.llm.common import full_text, new_path, temporary, written
 
 
 @dataclass(frozen=True)
@@ -70,36 +69,44 @@ def blob_address(column: str = "text") -> Column:
     return F.unhex(F.sha2(full_text(column), 256))
 
 
-def _pieces(text: Column, rule: SecretRule) -> Column:
-    """For each match in order: code points before it since the last match, its own, its value's."""
+#: Matches whose ends are added up together, see ``_ends``.
+_TOGETHER = 256
+
+
+def _ends(steps: Column) -> Column:
+    """Running sums of an array of ints inside its row: sums in groups, then over the groups, so that a text of very many matches costs little more for each."""
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _TOGETHER).cast("int")), lambda g: F.slice(steps, g * _TOGETHER + 1, _TOGETHER))
+    running = lambda xs: F.aggregate(xs, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x)))
+    inside = F.transform(groups, running)
+    totals = running(F.transform(inside, lambda xs: F.get(xs, F.size(xs) - 1)))
+    whole = F.zip_with(inside, F.concat(F.array(F.lit(0)), totals), lambda xs, before: F.transform(xs, lambda x: x + before))
+    return F.flatten(F.filter(whole, lambda xs: xs.isNotNull()))
+
+
+def _spans(text: Column, rule: SecretRule) -> Column:
+    """``start, end`` (code points) of the rule's matches that stay, in order."""
     gaps = F.split(text, rule.pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.value))
-    return F.transform(
+    found = F.transform(
         F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value")),
         lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["value"]).alias("value")),
     )
+    ends = _ends(F.transform(found, lambda x: x["gap"] + x["hit"]))
+    spans = F.zip_with(found, ends, lambda x, end: F.when(x["value"] >= rule.least, F.struct((end - x["hit"]).alias("start"), end.alias("end"))))
+    return F.filter(spans, lambda s: s.isNotNull())
 
 
 def _scan(blobs: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
-    """Findings of ``blobs`` (``blob, kinds, text``): one row per blob and kind that has any."""
+    """Findings of ``blobs`` (``blob, kinds, text``): one row per blob and kind that has any. No row meets another."""
     text = F.col("text")
     found = F.array(
         *[
-            F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(r.least).alias("least"),
-                     F.when(F.array_contains("kinds", r.kind) & text.rlike(r.probe), _pieces(text, r)).alias("pieces"))
+            F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(F.array_contains("kinds", r.kind) & text.rlike(r.probe), _spans(text, r)).alias("spans"))
             for r in rules
         ]
-    )
-    each = blobs.select("blob", F.explode(found).alias("f")).where("f.pieces IS NOT NULL")
-    rows = each.select("blob", "f.kind", "f.version", "f.least", F.posexplode("f.pieces").alias("at", "piece"))
-    upto = Window.partitionBy("blob", "kind").orderBy("at")
-    return (
-        rows.withColumn("end", F.sum(F.col("piece.gap") + F.col("piece.hit")).over(upto).cast("int"))
-        .where("piece.value >= least")
-        .groupBy("blob", "kind", "version")
-        .agg(F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("piece.hit")).alias("start"), "end"))).alias("spans"))
     )
+    return blobs.select("blob", F.explode(found).alias("f")).where("size(f.spans) > 0").select("blob", "f.kind", "f.version", "f.spans")
 
 
 def _by_blob(docs: DataFrame, ledger: BlobLedger, rules: tuple[SecretRule, ...]) -> tuple[DataFrame, DataFrame]:
@@ -132,7 +139,7 @@ def scan(docs: DataFrame, ledger: BlobLedger, rules: tuple[SecretRule, ...] = RU
 
     ``spans``: array of ``start, rank, kind, end`` (code points, end exclusive; rank: the rule's
     place), in that order; empty where nothing is found. A null text counts as empty. Repeated
-    rows and copies share their blob's findings. No documents give no rows; other columns are
+    rows and copies share their blob's findings. Very long texts are scanned whole. No documents give no rows; other columns are
     ignored.
     """
     paths, by_blob = _by_blob(docs, ledger, rules)
@@ -142,10 +149,11 @@ def scan(docs: DataFrame, ledger: BlobLedger, rules: tuple[SecretRule, ...] = RU
 
 
 def redact(docs: DataFrame, ledger: BlobLedger, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """``docs`` with every character of a secret replaced by ``*`` in ``text``; other columns, and a null text, stay as they are."""
-    found = _by_blob(docs, ledger, rules)[1].select(F.col("blob").alias("_found"), F.col("spans").alias("_spans"))
-    met = docs.withColumn("_blob", blob_address()).join(found, F.col("_blob") == F.col("_found"), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(mask(F.col("text"), F.col("_spans")))
+    """``docs`` with every character of a secret replaced by ``*`` in ``text``; other columns, whatever they are called, and a null text, stay as they are."""
+    blob, held, spans = temporary("blob", "held", "spans")
+    found = _by_blob(docs, ledger, rules)[1].select(F.col("blob").alias(held), F.col("spans").alias(spans))
+    met = docs.withColumn(blob, blob_address()).join(found, F.col(blob) == F.col(held), "left")
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(mask(F.col("text"), F.col(spans)))
     return met.withColumn("text", text).select(*docs.columns)
 
 

@@ -8,7 +8,7 @@ positions leave some vector orthogonal to all of them, so two fingerprints that
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +25,25 @@ RADIUS = 2
 SEED = 42
 
 
-def simhash(text: str | None, shingle: int = SHINGLE, distinct: bool = False) -> int:
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII case and white space
+
+
+def shingles(words: list[bytes], n: int) -> Iterable[bytes]:
+    """Runs of ``n`` words, repeats included; of fewer words the whole sequence; of none, none."""
+    if not words:
+        return []
+    return [b" ".join(words)] if len(words) < n else map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))
+
+
+def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     """The fingerprint of a whole text as a signed 64-bit integer; 0 if it has no words.
 
-    A-Z is lower-cased; bit i is 1 if it is set in over half of the shingles' hashes, repeats included unless ``distinct``.
+    A-Z is lower-cased; bit i is 1 if it is set in over half of the shingles' hashes, repeats included.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII case and white space
-    if not words:
+    grams = shingles(words_of(text), shingle)
+    if not grams:
         return 0
-    grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    grams = set(grams) if distinct else grams
     h = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), dtype="<u8")
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(h), 4096):
@@ -42,12 +51,13 @@ def simhash(text: str | None, shingle: int = SHINGLE, distinct: bool = False) ->
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
-    """``doc_id, fp`` (long) for every row of ``docs`` (``doc_id, text``)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id, fp`` (long) for every row of ``docs`` (``doc_id, text``): 0 for a null text and one without words; repeated rows and
+    equal texts are alike; texts of any length are read whole; an empty table gives no rows; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array((simhash(t.as_py(), shingle, distinct) for t in b["text"]), pa.int64())
+            fp = pa.array((simhash(t.as_py(), shingle) for t in b["text"]), pa.int64())
             yield pa.RecordBatch.from_arrays([b["doc_id"], fp], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
@@ -65,26 +75,27 @@ def _signed(bit: int) -> int:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Edges ``a, b`` whose components are those of all pairs of distinct ``fp`` within two bits.
+    """Edges ``k, a, b`` whose components are those of all pairs of distinct ``fp`` with one ``k`` within two bits.
 
     Only buckets with more than one fingerprint are looked at. There, each fingerprint is placed
     at itself and at every fingerprint one bit away (outside the mask); two meet in a place just if
-    they differ in at most two bits, and are tied to the least one there. A place holds 65 fingerprints at
+    they differ in at most two bits, and are tied to the one there that a hash puts first. A place holds 65 fingerprints at
     most, so a bucket of any size is done whole without making its pairs.
     """
     masks = covering_masks(RADIUS)
     keyed = fps.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])).alias("k")
-    ).select("fp", "k.t", "k.key")
-    shared = written(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
-    members = keyed.join(shared, ["t", "key"])
+        "k", "fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])).alias("m")
+    ).select("k", "fp", "m.t", "m.key")
+    shared = written(keyed.groupBy("k", "t", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
+    members = keyed.join(shared, ["k", "t", "key"])
     around = [F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(i))) for i in range(BITS) if not m >> i & 1]) for m in masks]
-    places = members.select("fp", F.explode(F.element_at(F.array(*around), F.col("t") + 1)).alias("place")).distinct()
-    least = places.groupBy("place").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    return least.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
+    places = members.select("k", "fp", F.explode(F.element_at(F.array(*around), F.col("t") + 1)).alias("place")).distinct()
+    met = places.groupBy("k", "place").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    first = F.array_min(F.transform("fps", lambda f: F.named_struct(F.lit("order"), F.xxhash64(f), F.lit("fp"), f)))["fp"]
+    return met.select("k", first.alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, text``): ``doc_id, fp, component_id``.
 
     ``component_id``: the smallest doc_id reachable over links of two or fewer differing bits,
@@ -92,9 +103,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = Fa
     among them: 0) are one node; a null doc_id is no candidate for the smallest. An empty table
     gives no rows; other columns are ignored.
     """
-    prints = written(fingerprints(docs, shingle, distinct), "simhash")
+    prints = written(fingerprints(docs, shingle), "simhash")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    found = components(links(nodes.select("fp")))
+    found = components(links(nodes.select(F.lit(0).alias("k"), "fp")).select("a", "b"))
     named = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     # Written narrow tables: a fingerprint or component with a third of all rows is split at run time.
     named = written(named, "named")
@@ -103,18 +114,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = Fa
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one for each component, that of its smallest doc_id
-    (of several with one doc_id, any; a component without doc_ids keeps one)."""
-    found = near_duplicates(docs, shingle, distinct)
-    stays = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp")), "kept")
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    one = stays.groupBy("k_id").agg(F.count("*").alias("rows"))
-    out = keyed.join(one.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("k_id")), "left_semi")
-    if not one.where("rows > 1").isEmpty():
-        out = out.dropDuplicates(["_id"])
-    return out.select(*docs.columns)
-
-
 def as_text(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import ascii_lower, written
 
 
+#: Keys that a level of the cascade may hold.
+MAX_KEYS = 4_000_000
+
+
 @dataclass(frozen=True)
 class Rule:
     host: str
@@ -65,19 +69,23 @@ def _level(keys: DataFrame, n_keys: int, number: int, rate: float) -> Level:
     return Level(n_hashes, words)
 
 
+class TooManyKeys(Exception):
+    """A level of a cascade would hold more keys than it may."""
+
+
 class Cascade:
     """Exact membership of ``listed`` keys among the keys of ``universe`` (both: distinct ``key``).
 
-    ``max_keys`` bounds what any level may hold (about 2 bytes a key go with each task); a longer
-    list has to be met with a shuffled semi-join instead, and building raises.
+    ``max_keys`` bounds what any level may hold, since about 2 bytes a key go with each task; beyond it building raises
+    ``TooManyKeys``, and membership is found by a shuffled join instead (see ``filter_urls``).
     """
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, rate: float = 1 / 256, max_keys: int = 4_000_000):
+    def __init__(self, listed: DataFrame, universe: DataFrame, rate: float = 1 / 256, max_keys: int = MAX_KEYS):
         yes, no = listed, universe.join(listed, "key", "left_anti")
         self.levels: list[Level] = []
         while n := yes.count():
             if n > max_keys:
-                raise ValueError(f"{n} keys in level {len(self.levels) + 1} of the cascade, over max_keys; use a semi-join")
+                raise TooManyKeys(f"{n} keys in level {len(self.levels) + 1}")
             self.levels.append(_level(yes, n, len(self.levels), rate if not self.levels else 0.5))
             wrong = no.where(self.levels[-1].holds(F.col("key"), len(self.levels) - 1))
             yes, no = written(wrong, "cascade"), yes
@@ -108,13 +116,14 @@ def _keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.transform(F.array_sort(keys), lambda k: k["key"])
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", max_keys: int = MAX_KEYS) -> DataFrame:
     """``pages`` (``page_id, url``) with ``host, path, rule, verdict``; the longest fitting rule wins.
 
     A rule fits its host and all its subdomains where the path starts with the rule's. A URL that
     no rule fits gets ``default`` and a null rule. Null urls and urls without ``://`` have empty
     host and path, which no rule fits. Where one key is both blocked and allowed, it is blocked.
-    Repeated rows give repeated rows; no pages give no rows; other columns are ignored.
+    Repeated rows give repeated rows; very long urls are parsed whole; no pages give no rows; other columns are ignored.
+    Where the cascade would need a level of more than ``max_keys`` keys, the keys meet the rules in a shuffled join; results are the same.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
@@ -124,9 +133,11 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow") ->
     universe = written(keyed.select(F.explode("keys").alias("key")).distinct(), "url-keys")
     block = {r.key for r in rules if r.verdict == "block"}
     listed = {"block": block, "allow": {r.key for r in rules if r.verdict == "allow"} - block}
-    cascades = {
-        verdict: Cascade(spark.createDataFrame([(k,) for k in sorted(keys)], "key string"), universe) for verdict, keys in listed.items()
-    }
+    frames = {verdict: spark.createDataFrame([(k,) for k in sorted(keys)], "key string") for verdict, keys in listed.items()}
+    try:
+        cascades = {verdict: Cascade(frame, universe, max_keys=max_keys) for verdict, frame in frames.items()}
+    except TooManyKeys:
+        return _joined(keyed, frames["block"].withColumn("verdict", F.lit("block")).unionByName(frames["allow"].withColumn("verdict", F.lit("allow"))), default)
     rule = F.filter("keys", lambda k: cascades["block"].holds(k) | cascades["allow"].holds(k))
     ruled = keyed.withColumn("rule", F.get(rule, 0))
     return ruled.select(
@@ -136,3 +147,11 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow") ->
         "rule",
         F.when(F.col("rule").isNull(), default).when(cascades["block"].holds(F.col("rule")), "block").otherwise("allow").alias("verdict"),
     )
+
+
+def _joined(keyed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
+    """The same without filters: every key meets the rules (``key, verdict``), which are distinct, so a key of a third of all rows can be split."""
+    rows = written(keyed.withColumn("row", F.monotonically_increasing_id()), "url-rows")
+    each = rows.select("row", F.posexplode("keys").alias("at", "key")).join(rules.withColumnRenamed("verdict", "said"), "key")
+    best = each.groupBy("row").agg(F.min(F.struct("at", "key", "said")).alias("b")).select("row", F.col("b.key").alias("rule"), "b.said")
+    return rows.join(best, "row", "left").select("page_id", "host", "path", "rule", F.coalesce("said", F.lit(default)).alias("verdict"))
