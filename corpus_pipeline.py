@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, SimHash near-dedup, secret scans, best-fit packing.
 
 Each stage takes the rows its predecessor kept and makes its decisions take effect; all but the last return
-the columns of ``documents``, the last the pieces of each document with their places in sequences.
+the columns of ``documents``, whatever other names they have, the last the pieces of each document with their places in
+sequences. In every stage a null text counts as empty, texts of any length are taken whole, and no documents give no rows.
 """
 
 from __future__ import annotations
@@ -9,44 +10,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, langid, packing, secrets, simhash
-from tidemark.llm.common import written
+from tidemark.llm import exact_dedup, langid, near_copies, packing, secrets
+from tidemark.llm.common import temporary, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter in their text go (null texts too); a missing ``lang`` is filled in.
+    """Documents without a letter in their text go (null and empty texts too); a missing ``lang`` is filled in.
 
-    Where nothing can be learned, for want of labels, a missing ``lang`` stays null.
+    Where nothing can be learned, for want of labels, a missing ``lang`` stays null. Repeated rows are judged alike; of
+    languages equally near the first by name is taken.
     """
     model = langid.train_on_documents(docs)
     if not model.languages:
         return docs.where(langid.has_letter(F.col("text")))
-    found = langid.identify(docs.withColumn("_lang", F.col("lang")), model)
-    kept = found.where("score > 0")  # 0 just for texts without a letter; ``und`` may also be a label
-    return kept.withColumn("lang", F.coalesce("_lang", "lang_pred")).select(*docs.columns)
+    pred, score, ambiguous = temporary("lang_pred", "score", "ambiguous")
+    found = langid.identify(docs, model, (pred, score, ambiguous))
+    kept = found.where(F.col(score) > 0)  # 0 just for texts without a letter; ``und`` may also be a label
+    return kept.withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with equal text, white space aside, stays."""
-    return exact_dedup.keep_first(docs, exact_dedup.DigestIndex(spark))
+    """One document of each group with equal text, white space aside, stays: the longest, then that of the smallest doc_id (null first), of repeated
+    rows any one."""
+    with exact_dedup.DigestIndex(spark) as index:
+        return exact_dedup.keep_first(docs, index)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest doc_id.
+    """One document of each group of near copies stays, that with the smallest doc_id (null last), of repeated rows one.
 
-    Fingerprints are of the distinct words: an edit changes one of them where it changes several shingles, so
-    near copies stay within the radius, which unrelated texts of a few dozen words do not reach.
+    Near copies share 0.8 of their five-word shingles; fingerprints of the distinct words bring them together.
     """
-    return simhash.keep_first(docs, shingle=1, distinct=True)
+    return near_copies.keep_first(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; the secrets in their texts are masked, character by character."""
+    """All documents stay, repeated rows too; the secrets in their texts are masked, character by character; a null text stays null."""
     return secrets.redact(docs, secrets.BlobLedger(spark))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents packed into sequences."""
+    """Pieces of documents packed into sequences; a null or empty text is one piece of one token; repeated rows are packed like others."""
     pieces = packing.tokenize(docs)
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
