@@ -74,16 +74,13 @@ def edited(seed, n=40):
 CASES = {"sample": sample(), "edited": edited(1), "edited2": edited(2), "runs": [(1, "a " * 300), (2, "a b " * 200), (3, "a" * 2000), (1, "a " * 300)], "empty": []}
 
 
-@pytest.mark.parametrize("case", CASES)
-@pytest.mark.parametrize("make", [frame, clashing])
+@pytest.mark.parametrize(("case", "make"), [*((c, frame) for c in CASES), ("sample", clashing)])
 def test_words(spark, case, make):
     got = substring_dedup.deduplicate(make(spark, CASES[case])).collect()
     assert sorted(map(tuple, got), key=repr) == brute_words(CASES[case], substring_dedup.LENGTH)
 
 
-@pytest.mark.parametrize("case", CASES)
-@pytest.mark.parametrize("length", [60, 400])
-@pytest.mark.parametrize("make", [frame, clashing])
+@pytest.mark.parametrize(("case", "length", "make"), [*((c, 60, frame) for c in CASES), ("runs", 400, frame), ("edited", 400, frame), ("sample", 400, clashing)])
 def test_bytes(spark, case, length, make):
     got = suffix_dedup.deduplicate(make(spark, CASES[case]), length, length // 2, length // 10).collect()
     assert found_bytes(got) == brute_bytes(CASES[case], length, length // 2)
@@ -94,8 +91,7 @@ def brute_intervals(strings):
     return {(g, s): [frozenset(t for h, t in strings if h == g and t[:k] == s[:k]) for k in range(len(s) + 1)] for g, s in strings}
 
 
-@pytest.mark.parametrize("partitions", [1, 5, 40])
-@pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
+@pytest.mark.parametrize(("partitions", "letters"), [(1, "ab"), (5, "ab"), (40, "abcdefgh"), (40, "ab")])
 def test_intervals_over_partitions(spark, partitions, letters):
     rnd = random.Random(partitions)
     strings = sorted({(g, "".join(rnd.choices(letters, k=rnd.randint(0, 12))).encode()) for g in (1, 1, 1, 2, 3) for _ in range(60)})

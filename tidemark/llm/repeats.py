@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,6 +116,12 @@ def compressed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "id", "tkey", "text").mapInArrow(run, "doc_id long, id long, tkey int, packed binary")
 
 
+def lists(column: pa.ListArray) -> tuple[list[int], pa.Array]:
+    """Where each row's list starts and ends among all elements (a null list is empty), and these."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    return [0, *np.cumsum(size).tolist()], column.flatten()
+
+
 def unpack(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed) if packed else b""
 
@@ -137,16 +144,20 @@ def stretches(
     types = [kinds[c.split()[1]] for c in whole.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for all_ in batches:
-            for at in range(0, all_.num_rows, 64):
-                b, out = all_.slice(at, 64), []
-                for i, k, packed, own in zip(b["id"].to_pylist(), b["tkey"].to_pylist(), b["packed"], b["own"].to_pylist(), strict=True):
+        for whole_ in batches:
+            for at in range(0, whole_.num_rows, 64):
+                b = whole_.slice(at, 64)
+                ends, own = lists(b["own"])
+                given = []
+                places = list(zip(*(own.field(c).to_pylist() for c in ("first", "n", "d")), strict=True))
+                for k, packed in enumerate(b["packed"]):
                     part = cut(unpack(packed.as_py()))
-                    for e in own:
-                        first, n, d = e["first"], e["n"], e["d"]
-                        stretch = part(first, max(first + n - 1 + parser.window, first + d + parser.reach))
-                        out.append((*(e[c] for c in carry), i, k, first, n, d, *give(stretch, n, d)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    for first, n, d in places[ends[k] : ends[k + 1]]:
+                        given.append(give(part(first, max(first + n - 1 + parser.window, first + d + parser.reach)), n, d))
+                times = np.repeat(np.arange(b.num_rows), np.diff(ends))
+                columns = [*(own.field(c) for c in carry), *(b[c].take(pa.array(times)) for c in _KEY), *(own.field(c) for c in ("first", "n", "d"))]
+                columns += [pa.array(c, t) for c, t in zip(zip(*given, strict=True), types[len(columns) :], strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     met = compressed(one).join(by_document, _KEY).select("id", "tkey", "packed", "own")
     return met.mapInArrow(run, whole)
@@ -165,10 +176,9 @@ def with_removals(docs: DataFrame, removals: DataFrame, finish: Callable[[bytes,
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 b = whole.slice(at, 128)
-                out = []
-                for packed, removed in zip(b["packed"], b["removed"].to_pylist(), strict=True):
-                    spans = np.array([(r["lo"], r["hi"], r["kind"]) for r in removed or ()], dtype=np.int64).reshape(-1, 3)
-                    out.append(finish(unpack(packed.as_py()), spans))
+                ends, own = lists(b["removed"])
+                spans = np.stack([own.field(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "kind")], axis=1)
+                out = [finish(unpack(packed.as_py()), spans[ends[k] : ends[k + 1]]) for k, packed in enumerate(b["packed"])]
                 yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array([o[n] for o in out]) for n in names)], names=["doc_id", *names])
 
     met = compressed(docs).join(own, _KEY, "left").select("doc_id", "packed", "removed")

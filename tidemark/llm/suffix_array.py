@@ -8,7 +8,7 @@ the first and last string of every partition: a few numbers each, whatever the n
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +20,14 @@ from tidemark.llm.common import dropped, written
 
 #: Strings of a partition, about, where there are more than the session's shuffle partitions would take.
 PART_ROWS = 200_000
+#: Strings of each partition that are looked at for the ranges of the order.
+SAMPLED = 20
+_SAMPLE = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
 #: A class is numbered by its leftmost string (partition and place) and its depth; LEAF: the string alone.
 _PLACE_BITS, _DEPTH_BITS = 27, 16
 LEAF = (1 << _DEPTH_BITS) - 1
 
 
-def _number(part: int, place: int, depth: int) -> int:
-    return ((part << _PLACE_BITS | place) << _DEPTH_BITS) | depth
-
-
 def _shared(strings: pa.BinaryArray) -> np.ndarray:
     """How many bytes each string has in common with the one before it (0 for the first)."""
     data = np.frombuffer(strings.buffers()[2] or b"\0", dtype=np.uint8)
@@ -85,8 +84,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     firsts: list[int] = []
     k = 0
     for b in held:
-        left, left_first, own_right = [], [], []
-        for _ in range(b.num_rows):
+        left, left_first, own_right, his, nodes = [], [], [], [], []
+        base, sizes = (b["part"][0].as_py() << _PLACE_BITS), b["size"].to_pylist()
+        for size in sizes:
             v = lcp[k]
             if v < 0:
                 depths, firsts = [], []
@@ -97,9 +97,19 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     first = firsts.pop()
                 depths.append(v)
                 firsts.append(first)
-            left.append(tuple(depths))
-            left_first.append(tuple(firsts))
-            own_right.append(right[k])
+            if k < head or k >= tail:  # may go on in another partition
+                left.append(tuple(depths))
+                left_first.append(tuple(firsts))
+                own_right.append(right[k])
+                his.append(None)
+                nodes.append(None)
+            else:
+                left.append(None)
+                left_first.append(None)
+                own_right.append(None)
+                hi, node = _merged(depths, [base | f for f in firsts], right[k], base | k, size)
+                his.append(hi)
+                nodes.append(node)
             right[k] = ()
             k += 1
         place = np.arange(k - b.num_rows, k)
@@ -107,12 +117,12 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ints = pa.list_(pa.int32())
         yield pa.RecordBatch.from_arrays(
             [*(b[c] for c in ("group", "key", "uses", "part", "size")), pa.array(place.astype(np.int32)), pa.array(left, ints), pa.array(left_first, ints), pa.array(own_right, ints),
-             pa.array(place < head), pa.array(place >= tail), pa.array(edge, pa.binary())],
-            names=["group", "key", "uses", "part", "size", "place", "left", "left_first", "right", "head", "tail", "edge"],
+             pa.array(place < head), pa.array(place >= tail), pa.array(edge, pa.binary()), pa.array(his, ints), pa.array(nodes, pa.list_(pa.int64()))],
+            names=["group", "key", "uses", "part", "size", "place", "left", "left_first", "right", "head", "tail", "edge", "hi", "node"],
         )
 
 
-_LOCAL = "group long, key binary, uses long, part int, size int, place int, left array<int>, left_first array<int>, right array<int>, head boolean, tail boolean, edge binary"
+_LOCAL = "group long, key binary, uses long, part int, size int, place int, left array<int>, left_first array<int>, right array<int>, head boolean, tail boolean, edge binary, hi array<int>, node array<long>"
 
 
 def _left_stack(row: dict, entering: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -159,36 +169,46 @@ def _across(edges: list[dict]) -> tuple[dict[int, list[tuple[int, int]]], dict[i
     return left, right
 
 
-def _classes(row: dict, left: list[tuple[int, int]], right: list[int]) -> tuple[list[int], list[int]]:
+def _merged(depths: list[int], firsts: list[int], right: Sequence[int], own: int, size: int) -> tuple[list[int], list[int]]:
     """The classes of a string from the widest to itself: up to which depth each holds, and its number."""
-    stack = _left_stack(row, left)
-    depths = [d for d, _ in stack]
-    own = row["part"] << _PLACE_BITS | row["place"]
     hi, node = [], []
-    for b in sorted({*depths, *_right_stack(row, right)}):
-        i = bisect_left(depths, b)
+    i = 0
+    for b in sorted({*depths, *right}) if depths and right else depths or right:
+        while i < len(depths) and depths[i] < b:
+            i += 1
         hi.append(b)
-        node.append((stack[i][1] if i < len(stack) else own) << _DEPTH_BITS | b)
-    if not hi or hi[-1] < row["size"]:
-        hi.append(row["size"])
+        node.append((firsts[i] if i < len(depths) else own) << _DEPTH_BITS | b)
+    if not hi or hi[-1] < size:
+        hi.append(size)
         node.append(own << _DEPTH_BITS | LEAF)
     return hi, node
 
 
+def _classes(row: dict, left: list[tuple[int, int]], right: list[int]) -> tuple[list[int], list[int]]:
+    stack = _left_stack(row, left)
+    return _merged([d for d, _ in stack], [f for _, f in stack], _right_stack(row, right), row["part"] << _PLACE_BITS | row["place"], row["size"])
+
+
 def intervals(strings: DataFrame, name: str) -> DataFrame:
     """For ``strings`` (``group`` long, ``key`` binary, ``s`` binary, ``uses`` long; distinct strings in a group): ``group, key,
-    uses`` and ``hi, node``, written.
+    uses`` and ``hi, node``.
 
     ``node``: numbers of the classes of strings of the group that share the string's first bytes, from the widest class on;
     class ``i`` is that of all depths over ``hi[i - 1]`` up to ``hi[i]``. Two strings are in one class just if they share so many bytes. A number
     that ends in LEAF is the string's own. Strings are under ``LEAF`` bytes; no strings give no rows.
     """
+    spark = strings.sparkSession
     given = written(strings.select("group", "key", "s", "uses"), name)
-    n = max(int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")), given.count() // PART_ROWS)
-    ordered = given.repartitionByRange(n, "group", "s").sortWithinPartitions("group", "s").withColumn("part", F.spark_partition_id())
-    local = written(ordered.mapInArrow(_neighbours, _LOCAL), name)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), given.count() // PART_ROWS)
+    before = spark.conf.get(_SAMPLE)
+    spark.conf.set(_SAMPLE, SAMPLED)
+    try:
+        ordered = given.repartitionByRange(n, "group", "s").sortWithinPartitions("group", "s").withColumn("part", F.spark_partition_id())
+        local = written(ordered.mapInArrow(_neighbours, _LOCAL), name)
+    finally:
+        spark.conf.set(_SAMPLE, before)
     dropped(given)
-    edges = [r.asDict() for r in local.where("edge IS NOT NULL").collect()]  # two for each partition
+    edges = [r.asDict() for r in local.where("edge IS NOT NULL").drop("hi", "node").collect()]  # two for each partition
     left, right = _across(edges)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,4 +219,5 @@ def intervals(strings: DataFrame, name: str) -> DataFrame:
                 names=["group", "key", "uses", "hi", "node"],
             )
 
-    return written(local.mapInArrow(finish, "group long, key binary, uses long, hi array<int>, node array<long>"), name)
+    rest = local.where("head OR tail").mapInArrow(finish, "group long, key binary, uses long, hi array<int>, node array<long>")
+    return local.where("NOT (head OR tail)").select("group", "key", "uses", "hi", "node").unionByName(rest)

@@ -69,23 +69,41 @@ def _classes(stretches: DataFrame, length: int, seed: int) -> DataFrame:
     def arrays(side: str, key: str) -> DataFrame:
         strings = stretches.groupBy(F.col("trigger").alias("group"), F.col(key).alias("key")).agg(F.min(side).alias("s"), F.count("*").alias("uses"))
         found = suffix_array.intervals(strings, side)
-        return found.select(F.col("group").alias("trigger"), F.col("key").alias(key), F.struct("hi", "node", "uses").alias(f"{side}_of"))
+        return found.select(F.col("group").alias("trigger"), F.col("key").alias(key), *[F.col(c).alias(f"{side}_{c}") for c in ("hi", "node", "uses")])
 
     dictionary, parse = arrays("before", "before_key"), arrays("after", "after_key")
+    # A string that is a class of its own on either side throughout has nothing to equal.
+    alone = lambda side: (F.col(f"{side}_uses") == 1) & (F.get(f"{side}_node", 0).bitwiseAND(suffix_array.LEAF) == suffix_array.LEAF)
+    dictionary, parse = dictionary.where(~alone("before")), parse.where(~alone("after"))
     met = stretches.select("entry", "trigger", "before_key", "after_key", "n", "d").join(dictionary, ["trigger", "before_key"]).join(parse, ["trigger", "after_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for r in b.to_pylist():
-                sides = [(r[x]["hi"], r[x]["node"], r[x]["uses"]) for x in ("before_of", "after_of")]
-                for size, kind in ((seed, _SHORT), (length, _LONG)):
-                    out += [(r["entry"], *p, kind) for p in _pairs(r["n"], r["d"], *sides, size)]
+            if not b.num_rows:
+                continue
+            sides = []
+            for side in ("before", "after"):
+                ends, his = repeats.lists(b[f"{side}_hi"])
+                his, nodes = his.to_pylist(), repeats.lists(b[f"{side}_node"])[1].to_pylist()
+                sides.append([(his[i:j], nodes[i:j], u) for i, j, u in zip(ends, ends[1:], b[f"{side}_uses"].to_pylist(), strict=False)])
+            rows: list[int] = []
+            out: list[tuple[int, int, int, int]] = []
+            kinds: list[int] = []
+            for size, kind in ((seed, _SHORT), (length, _LONG)):
+                for r, (n, d, left, right) in enumerate(zip(b["n"].to_pylist(), b["d"].to_pylist(), *sides, strict=True)):
+                    found = list(_pairs(n, d, left, right, size))
+                    out += found
+                    rows += [r] * len(found)
+                kinds += [kind] * (len(out) - len(kinds))
             if out:
-                types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int8()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["entry", "left", "right", "lo", "hi", "kind"])
-
-    return met.select("entry", "n", "d", "before_of", "after_of").mapInArrow(run, "entry long, left long, right long, lo int, hi int, kind byte")
+                types = [pa.int64()] * 2 + [pa.int32()] * 2
+                yield pa.RecordBatch.from_arrays(
+                    [b["entry"].take(pa.array(rows)), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)), pa.array(kinds, pa.int8())],
+                    names=["entry", "left", "right", "lo", "hi", "kind"],
+                )
+
+    columns = [f"{side}_{c}" for side in ("before", "after") for c in ("hi", "node", "uses")]
+    return met.select("entry", "n", "d", *columns).mapInArrow(run, "entry long, left long, right long, lo int, hi int, kind byte")
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, seed: int = SEED, gram: int = GRAM) -> DataFrame:
