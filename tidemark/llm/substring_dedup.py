@@ -1,10 +1,10 @@
 """Dedup of repeated phrases with sharded Aho-Corasick automata.
 
-Documents are parsed into phrases, and those that recur are kept (see ``repeats``). Recurring passages are confirmed by counts:
-whole phrases that have copies, and windows that several distinct phrases have. They are compiled into
-Aho-Corasick automata over words, sharded by trigger. Every stretch of every document whose trigger recurs is
-streamed through its shard, which locates each occurrence by its words; a stretch whose trigger occurs nowhere else can
-hold no passage. A trigger with very many passages or stretches is split over several automata and streams.
+Documents are parsed into phrases, and those whose trigger recurs are kept (see ``repeats``). Windows that more than one distinct
+phrase has are confirmed as recurring passages and compiled into Aho-Corasick automata over words, sharded
+by trigger; every distinct phrase that can hold a passage of a shard is streamed through it, once however many copies it has, which
+locates each occurrence by its words, and the copies of a phrase share what is found in it. A trigger with very many passages or stretches is split over several
+automata and streams.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import repeats
-from tidemark.llm.common import written
+from tidemark.llm.common import dropped, written
 from tidemark.llm.windows import Parser, Rolling, _mix, covered
 
 LENGTH, GRAM = 20, 5
@@ -61,76 +61,70 @@ def _recurring(stretches: DataFrame, length: int) -> DataFrame:
     return written(found.where("c > 1").select("trigger", "source.entry", "source.at", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")), "recurring")
 
 
-def _passages(docs: DataFrame, entries: DataFrame, parser: Parser) -> DataFrame:
-    """What the automata are compiled from, written: ``trigger, passage`` (its words), ``n`` (its windows) and where it starts first (``first_id, first_start``)."""
-    length = parser.window
-    whole = written(
-        repeats.stretches(docs, repeats.with_rivals(entries), ["entry", "trigger", "copies", "rivals"], cut_words, lambda stretch, n, d: (stretch,), "stretch binary", parser), "stretches"
-    )
-    windows = _recurring(whole.where("rivals > 1"), length)
-    taken = windows.groupBy("entry").agg(F.collect_list(F.struct("at", "first_id", "first_start")).alias("p"))  # bounded by the phrase
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                own = r["stretch"].split()
-                out += [(r["trigger"], b" ".join(own[p["at"] : p["at"] + length]), 1, p["first_id"], p["first_start"]) for p in r["p"]]
-            if out:
-                types = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["trigger", "passage", "n", "first_id", "first_start"])
-
-    short = whole.join(taken, "entry").select("trigger", "stretch", "p").mapInArrow(words, "trigger long, passage binary, n int, first_id long, first_start int")
-    long = whole.where("copies > 1").select("trigger", F.col("stretch").alias("passage"), "n", F.col("id").alias("first_id"), F.col("first").alias("first_start"))
-    return written(long.unionByName(short), "passages")
-
-
-def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Of ``keyed`` documents: ``id, tkey, lo, hi, kind``, runs of starts of windows that also start earlier."""
-    parser = Parser(length, gram)
-    phrases = repeats.repeated_phrases(docs, parser, word_symbols)
-    passages = _passages(docs, repeats.dictionary(phrases), parser)
+def _located(stretches: DataFrame, recurring: DataFrame, length: int) -> DataFrame:
+    """Windows of stretches that also start earlier: ``entry, lo, hi``, runs of their places in the phrase."""
+    texts = stretches.select("entry", F.col("stretch").alias("passage"))
+    taken = recurring.groupBy("entry").agg(F.collect_list(F.struct("at", "trigger", "first_id", "first_start")).alias("p"))  # bounded by the phrase
+    passages = taken.join(texts, "entry").select("passage", F.explode("p").alias("p")).select("passage", "p.*")
     # How many automata and streams a trigger needs: one of each but for very common ones.
-    triggers = written(
-        passages.groupBy("trigger").agg(F.count("*").alias("p")).join(phrases.groupBy("trigger").agg(F.count("*").alias("s")), "trigger")
-        .select("trigger", "p", "s", F.ceil(F.col("p") / PASSAGES).cast("int").alias("a"), F.ceil(F.col("s") / STRETCHES).cast("int").alias("b")),
-        "passage-triggers",
+    parts = written(
+        recurring.groupBy("trigger").agg(F.count("*").alias("p")).join(stretches.groupBy("trigger").agg(F.count("*").alias("s")), "trigger")
+        .select("trigger", F.ceil(F.col("p") / PASSAGES).cast("int").alias("a"), F.ceil(F.col("s") / STRETCHES).cast("int").alias("b")),
+        "parts",
     )
-    total = triggers.agg(F.sum("p").alias("p"), F.sum("s").alias("s")).first()
-    shards = max(1, (total.p or 0) // PASSAGES, (total.s or 0) // (4 * STRETCHES))
+    shards = max(1, recurring.count() // PASSAGES)
     shard = F.pmod(F.xxhash64("trigger"), F.lit(shards)).alias("shard")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    automata = passages.join(triggers.select("trigger", "a", "b"), "trigger").select(shard, F.pmod(F.xxhash64("passage"), "a").cast("int").alias("i"), upto("b").alias("j"), "passage", "n", "first_id", "first_start")
-    due = phrases.join(triggers.select("trigger", "a", "b"), "trigger").withColumns({"a": F.col("a").cast("long"), "b": F.col("b").cast("long")})
-    streamed = repeats.stretches(docs, due, ["trigger", "a", "b"], cut_words, lambda stretch, n, d: (stretch,), "stretch binary", parser)
-    streams = streamed.select(shard, upto("a").alias("i"), F.pmod(F.xxhash64("id", "first"), "b").cast("int").alias("j"), "id", "tkey", F.col("first").alias("start"), "stretch")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    automata = passages.join(parts, "trigger").select(shard, F.pmod(F.xxhash64("first_id", "first_start"), "a").cast("int").alias("i"), upto("b").alias("j"), "passage", "at", "first_id", "first_start")
+    streams = stretches.join(parts, "trigger").select(shard, upto("a").alias("i"), F.pmod(F.xxhash64("entry"), "b").cast("int").alias("j"), "entry", "id", F.col("first").alias("start"), "stretch")
 
     def locate(stream: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        out: list[list[int]] = []
+        out: list[tuple[int, int, int]] = []
         numbers: dict[bytes, int] = {}
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for k, passage in enumerate(known["passage"]):
-            automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in passage.split()]), k)
+        for k, (passage, at) in enumerate(zip(known["passage"], known["at"], strict=True)):
+            automaton.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in passage.split()[at : at + length]), k)
         if len(known):
             automaton.make_automaton()
-            number = numbers.get
-            windows, first = known["n"].tolist(), list(zip(known["first_id"].tolist(), known["first_start"].tolist(), strict=True))
-            for i, tkey, start, stretch in zip(stream["id"].tolist(), stream["tkey"].tolist(), stream["start"].tolist(), stream["stretch"], strict=True):
-                mine: list[list[int]] = []  # runs of starts, in no order and perhaps overlapping
+            number, first = numbers.get, list(zip(known["first_id"].tolist(), known["first_start"].tolist(), strict=True))
+            for entry, i, start, stretch in zip(stream["entry"].tolist(), stream["id"].tolist(), stream["start"].tolist(), stream["stretch"], strict=True):
                 for end, k in automaton.iter(tuple([number(w, 0) for w in stretch.split()])):
-                    lo = start + end - length + 2 - windows[k]
-                    if first[k] < (i, lo):
-                        hi = lo + windows[k] - 1
-                        if mine and mine[-1][0] <= lo <= mine[-1][1] + 1:
-                            mine[-1][1] = max(hi, mine[-1][1])
+                    at = end - length + 1
+                    if first[k] < (i, start + at):
+                        if out and out[-1][0] == entry and out[-1][2] == at - 1:
+                            out[-1] = (entry, out[-1][1], at)
                         else:
-                            mine.append([lo, hi])
-                out += [[i, tkey, *m] for m in mine]
-        return pd.DataFrame(out, columns=["id", "tkey", "lo", "hi"])
+                            out.append((entry, at, at))
+        return pd.DataFrame(out, columns=["entry", "lo", "hi"])
 
     cells = ["shard", "i", "j"]
-    found = streams.groupBy(*cells).cogroup(automata.groupBy(*cells)).applyInPandas(locate, "id long, tkey int, lo int, hi int")
-    return found.withColumn("kind", F.lit(1).cast("byte"))
+    return streams.groupBy(*cells).cogroup(automata.groupBy(*cells)).applyInPandas(locate, "entry long, lo int, hi int")
+
+
+def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Of ``keyed`` documents: ``id, tkey, lo, hi, kind``, runs of starts of windows that also start earlier."""
+    parser = Parser(length, gram)
+    phrases = repeats.repeated_phrases(docs, parser, word_symbols)
+    entries = repeats.dictionary(phrases)
+    contested = repeats.with_rivals(entries).where("rivals > 1")
+    stretches = written(repeats.stretches(docs, contested, ["entry", "trigger"], cut_words, lambda stretch, n, d: (stretch,), "stretch binary", parser), "stretches")
+    located = _located(stretches, _recurring(stretches, length), length)
+    inside = written(located.groupBy("entry").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "inside")  # bounded by the phrase
+    dropped(stretches)
+    verdicts = written(
+        entries.join(inside, "entry", "left")
+        .where("copies > 1 OR spans IS NOT NULL")
+        .select("trigger", "content", "content2", F.col("first_in.id").alias("first_id"), F.col("first_in.first").alias("first_start"), "spans"),
+        "verdicts",
+    )
+    found = phrases.join(verdicts, ["trigger", "content", "content2"])
+    # A later copy of a phrase goes whole; the earliest one loses what other phrases had before.
+    all_of_it = F.array(F.struct(F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi")))
+    earliest = (F.col("id") == F.col("first_id")) & (F.col("first") == F.col("first_start"))
+    return (
+        found.select("id", "tkey", "first", F.explode(F.when(earliest, F.col("spans")).otherwise(all_of_it)).alias("s"))
+        .select("id", "tkey", (F.col("first") + F.col("s.lo")).alias("lo"), (F.col("first") + F.col("s.hi")).alias("hi"), F.lit(1).cast("byte").alias("kind"))
+    )
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
