@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
 from tidemark.functions import scalars as sc
-from tidemark.operators import api, crossval, features, labeling, learners, metrics, pit, regime, search, signals, sinks
+from tidemark.operators import api, crossval, features, labeling, learners, metrics, pit, regime, search, signals, sinks, validation
 from tidemark.sources import provider
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -302,6 +302,59 @@ def test_genuine_edge_passes_and_a_leak_does_not(spark):
     assert genuine > 0.2 and leaky < 0.5 * genuine
 
 
+def dataset(spark, kind, n=900, seed=2):
+    x, r = planted(n, kind, seed)
+    day = lambda i: dt.datetime(2020, 1, 1) + dt.timedelta(days=i)
+    rows = [(i, day(i), day(i + 3), float(r[i]), 1.0, ("bull", "bear", "chop")[i % 3], *map(float, x[i])) for i in range(n)]
+    return spark.createDataFrame(rows, "pos int, ts timestamp_ntz, t1 timestamp_ntz, r double, weight double, regime string, a__x double, a__y double, a__z double")
+
+
+def test_leak_checkpoint(spark):
+    """A genuine edge passes the gate, a planted leak is rejected, and an error is a rejection."""
+    names, plan = ["a__x", "a__y", "a__z"], validation.Plan(n_groups=4, k_test=1, n_trials=2, trees=20)
+    got = {r.dataset: r for r in validation.leak_checkpoint(dataset(spark, "leaky"), dataset(spark, "genuine"), (names, names), plan).collect()}
+    assert got["genuine"].passed and not got["leaky"].passed and got["leaky"].ok and got["genuine"].ok
+    passed, why = validation.fail_closed(lambda: validation.decide(dataset(spark, "genuine").limit(3), names, plan))
+    assert not passed and why.startswith("validation failed")
+
+
+def test_forward_holdout(spark):
+    """An edge that lasts is found after the boundary; one that ends before it is not; an empty side gives zeros."""
+    rows, trial = dataset(spark, "genuine"), learners.trial_grid(1, ["a__x", "a__y", "a__z"])[0]
+    precision, expectancy, n = validation.forward_holdout(rows, trial, 20)
+    assert precision > 0.6 and expectancy > 0.3 and n > 50
+    ended = rows.withColumn("r", F.when(F.col("pos") < 720, F.col("r")).otherwise(-F.col("r")))
+    assert validation.forward_holdout(ended, trial, 20, dt.datetime(2021, 12, 21))[1] < 0
+    assert validation.forward_holdout(rows, trial, 20, dt.datetime(2000, 1, 1)) == (0.0, 0.0, 0)
+
+
+def test_macro_features_know_only_what_was_known(spark):
+    """A date known late and a revision count from the day they are known; a missing leg gives no ratio; 21 dates make a trend."""
+    d = lambda k: dt.datetime(2025, 1, 1) + dt.timedelta(days=k)
+    facts = [("vix", d(1), d(1), 20.0), ("vix", d(2), d(9), 30.0), ("vix3m", d(1), d(1), 25.0), ("vix3m", d(1), d(4), 40.0)]
+    facts += [("oil", d(k), d(k), 100.0 + k) for k in range(30)] + [("copper", d(k), d(k), 4.0 + k) for k in range(3)] + [("gold", d(k), d(k), 2.0 if k else 0.0) for k in range(3)]
+    macro = spark.createDataFrame(facts, "series string, ts timestamp_ntz, as_of timestamp_ntz, value double")
+    days = spark.createDataFrame([(d(k),) for k in (0, 1, 3, 5, 10, 29)], "ts timestamp_ntz")
+    got = {r.ts: r for r in features.macro_regime(days, macro).collect()}
+    assert [got[d(k)].vix_vix3m for k in (0, 1, 3, 5, 10)] == [None, 0.8, 0.8, 0.5, 0.75]
+    assert got[d(29)].oil_trend == pytest.approx(129 / 109 - 1) and got[d(0)].oil_trend is None
+    assert got[d(29)].copper_gold == pytest.approx(6 / 5 - 1)  # the pair without gold is left out
+    assert got[d(29)].vix9d_vix is None and got[d(29)].net_liquidity is None
+
+
+def test_importance_of_all_rows(spark):
+    rows = dataset(spark, "genuine", 400)
+    by = {r.feature: r.importance for r in learners.permutation_importance(rows, ["a__x", "a__z"], 2, 20).collect()}
+    shap = {r.feature: r.importance for r in learners.shap_importance(rows, ["a__x", "a__z"], 20).collect()}
+    assert by["a__x"] > by["a__z"] >= 0 and shap["a__x"] > shap["a__z"] >= 0
+
+
+def test_interpolation(spark):
+    knots = [(0.2, 0.1), (0.4, 0.5), (0.4, 0.7), (0.8, 0.9)]
+    got = spark.createDataFrame([(0.0,), (0.3,), (0.6,), (1.0,), (None,)], "p double").select(learners.interpolate(F.col("p"), knots).alias("q")).collect()
+    assert [r.q for r in got] == [0.1, pytest.approx(0.3), pytest.approx(0.8), 0.9, None]
+
+
 def test_trees_route_missing_values_and_shapley_adds_up():
     x, r = planted(300, "genuine", 4)
     x[::7, 0] = np.nan

@@ -64,9 +64,23 @@ def firewall(rows: DataFrame, lo, hi) -> DataFrame:
     return rows.withColumn("kept", ~((F.col("ts") <= hi) & (F.col("t1") >= lo)))
 
 
+def _middle(rows: DataFrame):
+    """The time at rank ``n // 2`` of the distinct times: counted by month, then ranked inside the one month that holds it."""
+    month = F.date_trunc("month", "ts")
+    times = rows.where("ts IS NOT NULL").select("ts").distinct()
+    counts = times.groupBy(month.alias("m")).agg(F.count("*").alias("n")).orderBy("m").collect()  # one row a month
+    left = sum(r.n for r in counts) // 2
+    for r in counts:
+        if left < r.n:
+            own = times.where(month == F.lit(r.m))
+            return own.withColumn("k", F.row_number().over(Window.partitionBy(month).orderBy("ts"))).where(F.col("k") == left + 1).first().ts
+        left -= r.n
+    return None
+
+
 def calendar_split(rows: DataFrame, least: int = 20) -> DataFrame:
     """``rows`` with ``part`` (``is``, ``oos``): before and from the median time; by position if that leaves under ``least`` on a side."""
-    mid = rows.agg(F.element_at(F.array_sort(F.collect_set("ts")), (F.floor(F.count_distinct("ts") / 2) + 1).cast("int")).alias("mid")).first().mid
+    mid = _middle(rows)
     early = rows.where(F.col("ts") < mid).count() if mid is not None else 0
     n = rows.count()
     cut = F.col("ts") < F.lit(mid) if early >= least and n - early >= least else F.col("pos") < n // 2

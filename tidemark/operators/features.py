@@ -147,6 +147,51 @@ def volatility(bars: DataFrame) -> DataFrame:
     )
 
 
+#: Dates of a macro trend.
+TREND_DATES = 21
+
+
+def change(first: Column, last: Column) -> Column:
+    """From the first to the last of a trend; undefined from 0."""
+    return F.when(first != 0, last / first - 1)
+
+
+def macro_regime(days: DataFrame, macro: DataFrame) -> DataFrame:
+    """The macro part of layer 1, one row for each of ``days`` (``ts``): term structure of volatility, credit, liquidity, rates and cross-asset
+    trends, from the newest vintages visible on the day (``macro``: ``series, ts, as_of, value``). A key whose legs are not all there is null."""
+    seen = pit.trailing_dates(days, macro, TREND_DATES)
+    names = ["vix9d", "vix", "vix3m", "vvix", "hy_oas", "ig_oas", "fed_balance_sheet", "tga", "reverse_repo", "dxy", "ust2y", "ust10y", "copper", "gold", "oil"]
+    wide = seen.groupBy("ts").agg(*[F.max(F.when(F.col("series") == s, F.col("dates"))).alias(s) for s in names])  # one row a series and day
+    now = lambda s: F.try_element_at(F.col(s), F.lit(-1))["value"]
+    ratio = lambda a, b: F.when(b > 0, a / b)
+    # Position by position, as far as both go; where gold is not above 0 there is no ratio.
+    pairs = F.arrays_zip(F.transform(F.col("copper"), lambda x: x["value"]).alias("c"), F.transform(F.col("gold"), lambda x: x["value"]).alias("g"))
+    both = F.transform(F.filter(pairs, lambda p: p["c"].isNotNull() & (p["g"] > 0)), lambda p: p["c"] / p["g"])
+    trend = lambda xs: F.when(F.size(xs) >= 2, change(F.get(xs, 0), F.try_element_at(xs, F.lit(-1))))
+    values = lambda s: F.transform(F.col(s), lambda x: x["value"])
+    keys = {
+        "vix9d_vix": ratio(now("vix9d"), now("vix")),
+        "vix_vix3m": ratio(now("vix"), now("vix3m")),
+        "vvix": now("vvix"),
+        "hy_oas": now("hy_oas"),
+        "ig_oas": now("ig_oas"),
+        "hy_ig_ratio": ratio(now("hy_oas"), now("ig_oas")),
+        "net_liquidity": now("fed_balance_sheet") - now("tga") - now("reverse_repo"),
+        "dxy_trend": trend(values("dxy")),
+        "twos_tens": now("ust10y") - now("ust2y"),
+        "copper_gold": trend(both),
+        "oil_trend": trend(values("oil")),
+    }
+    return wide.select("ts", now("vix").alias("vix"), *[finite(v).alias(k) for k, v in keys.items()])
+
+
+def regime_layer(bars: DataFrame, macro: DataFrame) -> DataFrame:
+    """Layer 1: all keys for each ticker and bar. ``vrp``: implied less realized volatility, in points."""
+    days = macro_regime(bars.select("ts").distinct(), macro)
+    met = volatility(bars).join(days, "ts", "left")
+    return met.withColumn("vrp", finite(F.col("vix") - F.col("rv20") * 100)).select("ticker", "ts", *LAYERS["regime"])
+
+
 def tradeability(funds: DataFrame) -> DataFrame:
     """Layer 0 of ``symbol, dollar_adv, aum``: components, score, gate and reasons. An unknown AUM fails."""
     floor_adv, good_adv, floor_aum, good_aum = 50e6, 1e9, 500e6, 10e9
@@ -185,14 +230,14 @@ def calendar(days: DataFrame, column: str = "d") -> DataFrame:
 LAYERS = {
     "location": ["dist_50dma", "dist_200dma", "dist_prior_dh", "dist_prior_dl", "dist_prior_wh", "dist_prior_wl", "swing_high_dist", "swing_low_dist", "anchored_vwap_dist", "pct_range_position", "dist_rolling_high", "dist_rolling_low"],
     "trigger": ["rs_vs_spy", "momentum_roc", "momentum_divergence", "atr_contraction", "nr7", "rsi14", "rsi_slope", "ema_stack_align", "atr_pct", "obv_trend", "breadth_thrust"],
-    "regime": ["rv20", "rv_percentile", "adx"],
+    "regime": ["vix9d_vix", "vix_vix3m", "vvix", "rv20", "rv_percentile", "adx", "vrp", "hy_oas", "ig_oas", "hy_ig_ratio", "net_liquidity", "dxy_trend", "twos_tens", "copper_gold", "oil_trend"],
 }
 
 
-def window(bars: DataFrame) -> DataFrame:
+def window(bars: DataFrame, macro: DataFrame) -> DataFrame:
     """One row a bar with the features of all layers (named ``layer__feature``) and the profile's ATR: what the search reads."""
     out = staged(bars).withColumn("atr", ind.atr(F.col("tr"), 14)).select("ticker", "ts", "open", "high", "low", "close", "volume", "atr", F.col("i").cast("int").alias("idx"))
-    for layer, frame in (("location", location(bars)), ("trigger", trigger(bars)), ("regime", volatility(bars))):
+    for layer, frame in (("location", location(bars)), ("trigger", trigger(bars)), ("regime", regime_layer(bars, macro))):
         out = out.join(frame.select("ticker", "ts", *[F.col(k).alias(f"{layer}__{k}") for k in LAYERS[layer]]), ["ticker", "ts"], "left")
     return out
 

@@ -176,12 +176,13 @@ def uniqueness(spans: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     upto = part.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     # A span is open at its own end, so ends count from the next point on; only starts are points.
     opened = by_point.withColumn("open", F.sum("up").over(upto) - F.sum("down").over(upto) + F.col("down"))
-    own = opened.withColumns({"own": F.when(F.col("up") > 0, 1.0 / F.col("open")).otherwise(0.0), "is_point": (F.col("up") > 0).cast("int")})
+    share = F.when(F.col("up") > 0, 1.0 / F.col("open")).otherwise(0.0).cast("decimal(28,18)")  # differences of running sums stay exact
+    own = opened.withColumns({"own": share, "is_point": (F.col("up") > 0).cast("int")})
     run = own.withColumns({"share": F.sum("own").over(upto), "n": F.sum("is_point").over(upto)})
     a = run.select(*keys, F.col("p").alias("ts"), (F.col("share") - F.col("own")).alias("s0"), F.col("n").alias("n0"))
     b = run.select(*keys, F.col("p").alias("t1"), F.col("share").alias("s1"), F.col("n").alias("n1"))
     out = spans.join(a, [*keys, "ts"], "left").join(b, [*keys, "t1"], "left")
-    mean = (F.col("s1") - F.col("s0")) / (F.col("n1") - F.col("n0") + 1)
+    mean = (F.col("s1") - F.col("s0")).cast("double") / (F.col("n1") - F.col("n0") + 1)
     return out.select(*spans.columns, F.when(good, mean).otherwise(1.0).alias("weight"))
 
 

@@ -1,22 +1,30 @@
-"""Gradient-boosted trees over histograms, in numpy inside tasks: Spark deals out (trial, split) fits.
+"""Gradient-boosted trees over histograms: fits on bounded samples, scores on all rows.
 
-A fit holds one dataset of labelled entries (hundreds to thousands of rows); missing values go to the side of a split
-that fits better. Calibration uses Spark ML.
+A fit is one task over at most about FIT_ROWS rows, drawn evenly by hash; missing values go to the side of a split
+that fits better. Fitted models are a few kilobytes a tree; they are broadcast, and every row is scored, explained or permuted
+in parallel. Calibration uses Spark ML.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 32
+#: Rows that a model is fitted on, about, and the most bytes of models that are broadcast.
+FIT_ROWS, MAX_MODEL_BYTES = 100_000, 64 << 20
+#: Rows, about, inside which values are permuted together.
+PERMUTED = 20_000
+#: Knots of a calibration, which Spark ML holds on the driver.
+MAX_KNOTS = 1_000_000
 
 
 @dataclass
@@ -135,62 +143,106 @@ def trial_grid(n: int, features: Sequence[str], seed: int = 7) -> list[dict]:
     return out
 
 
-def oos_predictions(rows: DataFrame, splits: DataFrame, trials: list[dict], features: Sequence[str], trees: int = 40) -> DataFrame:
-    """``trial, split, pos, p``: each trial fitted on each split's train rows predicts its test rows.
+def _fitted(rows: DataFrame, jobs: DataFrame, keys: list[str], settings: Callable[[tuple], dict], trees: int, fit_rows: int = FIT_ROWS) -> dict[tuple, tuple[list[str], Boosted | float]]:
+    """A model for each of ``keys``: features and trees, or a base rate where the rows have one class or are too few. One task a model.
 
-    ``rows``: ``pos, r, weight`` and features; ``splits``: ``split, pos, role``. One task a fit, no hop to another process.
+    ``jobs``: ``rows`` with the keys, the rows that each may learn from; of more than ``fit_rows`` an even draw by a hash of ``pos``.
     """
-    settings = {t["trial"]: t for t in trials}
-    grid = rows.sparkSession.createDataFrame([(t,) for t in settings], "trial int")
-    used = splits.where("role IN ('train', 'test')").join(rows, "pos").join(F.broadcast(grid))
-    names = list(features)
+    n = rows.count()
+    drawn = jobs if n <= fit_rows else jobs.where(F.pmod(F.xxhash64("pos"), F.lit(1 << 20)) < int(fit_rows / n * (1 << 20)))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = settings[int(key[0])]
+        own = settings(key)
         pdf = pdf.sort_values("pos")
-        x = pdf[t["features"]].to_numpy(dtype=float)
-        train, y = (pdf["role"] == "train").to_numpy(), (pdf["r"] > 0).to_numpy(dtype=float)
-        test = pdf.loc[~train, ["pos"]].copy()
-        if train.sum() < 10 or y[train].min() == y[train].max():
-            test["p"] = float(y[train].mean()) if train.any() else 0.5
+        x, y = pdf[own["features"]].to_numpy(dtype=float), (pdf["r"] > 0).to_numpy(dtype=float)
+        if len(y) < 10 or y.min() == y.max():
+            model: Boosted | float = float(y.mean())
         else:
-            test["p"] = fit(x[train], y[train], pdf["weight"].to_numpy()[train], trees=trees, depth=t["depth"], rate=t["rate"]).proba(x[~train])
-        return test.assign(trial=int(key[0]), split=int(key[1]))[["trial", "split", "pos", "p"]]
+            model = fit(x, y, pdf["weight"].to_numpy(), trees=trees, depth=own["depth"], rate=own["rate"])
+        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "model": [pickle.dumps((own["features"], model))]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in jobs.schema}
+    found = drawn.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "model binary"])).collect()  # one row a fit
+    if sum(len(r.model) for r in found) > MAX_MODEL_BYTES:
+        raise ValueError(f"models of over {MAX_MODEL_BYTES} bytes; fit fewer trials at a time")
+    return {tuple(r[k] for k in keys): pickle.loads(bytes(r.model)) for r in found}
+
+
+def _one_model(rows: DataFrame, features: list[str], trees: int) -> Boosted | float:
+    own = {"features": features, "depth": 3, "rate": 0.1}
+    found = _fitted(rows, rows.withColumn("all", F.lit(0)), ["all"], lambda _: own, trees)
+    return found[(0,)][1] if found else 0.5
 
-    assert set(names) >= {f for t in trials for f in t["features"]}
-    return used.groupBy("trial", "split").applyInPandas(run, "trial int, split int, pos int, p double")
+
+def oos_predictions(rows: DataFrame, splits: DataFrame, trials: list[dict], features: Sequence[str], trees: int = 40) -> DataFrame:
+    """``trial, split, pos, p``: each trial fitted on each split's train rows predicts its test rows.
+
+    ``rows``: ``pos, r, weight`` and features; ``splits``: ``split, pos, role``. One task a fit; then each test row meets the broadcast models of its split.
+    A split without train rows predicts 0.5.
+    """
+    assert set(features) >= {f for t in trials for f in t["features"]}
+    settings = {t["trial"]: t for t in trials}
+    numbers = F.explode(F.array(*[F.lit(t).cast("int") for t in settings])).alias("trial")
+    train = splits.where("role = 'train'").join(rows, "pos").select("*", numbers)
+    models = rows.sparkSession.sparkContext.broadcast(_fitted(rows, train, ["trial", "split"], lambda key: settings[int(key[0])], trees))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for split, own in b.groupby("split"):
+                for trial in settings:
+                    names, model = models.value.get((trial, int(split)), ([], 0.5))
+                    p = model if isinstance(model, float) else model.proba(own[names].to_numpy(dtype=float))
+                    yield pd.DataFrame({"trial": trial, "split": int(split), "pos": own["pos"].to_numpy(), "p": p})
+
+    tests = splits.where("role = 'test'").select("split", "pos").join(rows, "pos")
+    return tests.select("split", "pos", *features).mapInPandas(run, "trial int, split int, pos int, p double")
 
 
 def permutation_importance(rows: DataFrame, features: Sequence[str], repeats: int = 5, trees: int = 40) -> DataFrame:
-    """``feature, importance``: the loss of accuracy when a feature is shuffled, at least 0. One task a feature and repeat."""
+    """``feature, importance``: the loss of accuracy when a feature is shuffled, at least 0.
+
+    One fit; the model is broadcast. Rows are dealt at random into blocks of about PERMUTED, and a feature is shuffled inside each of them.
+    """
     names = list(features)
-    jobs = rows.sparkSession.createDataFrame([(f, k) for f in names for k in range(repeats)], "feature string, k int")
+    model = rows.sparkSession.sparkContext.broadcast(_one_model(rows, names, trees))
+    blocks = max(1, rows.count() // PERMUTED)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = model.value
         pdf = pdf.sort_values("pos")
-        x, y = pdf[names].to_numpy(dtype=float), (pdf["r"] > 0).to_numpy(dtype=float)
-        model = fit(x, y, trees=trees)
-        hit = lambda a: float(((model.proba(a) >= 0.5) == (y > 0)).mean())
-        mixed = x.copy()
-        j = names.index(key[0])
-        mixed[:, j] = np.random.default_rng(int(key[1])).permutation(mixed[:, j])
-        return pd.DataFrame({"feature": [key[0]], "drop": [hit(x) - hit(mixed)]})
+        x, y = pdf[names].to_numpy(dtype=float), (pdf["r"] > 0).to_numpy()
 
-    each = rows.join(F.broadcast(jobs)).groupBy("feature", "k").applyInPandas(run, "feature string, drop double")
-    return each.groupBy("feature").agg(F.greatest(F.avg("drop"), F.lit(0.0)).alias("importance"))
+        def hits(a: np.ndarray) -> int:
+            p = np.full(len(a), own) if isinstance(own, float) else own.proba(a)
+            return int(((p >= 0.5) == y).sum())
+
+        whole, out = hits(x), []
+        for j, name in enumerate(names):
+            for k in range(repeats):
+                mixed = x.copy()
+                mixed[:, j] = np.random.default_rng([int(pdf["block"].iloc[0]), j, k]).permutation(mixed[:, j])
+                out.append((name, whole - hits(mixed), len(y)))
+        return pd.DataFrame(out, columns=["feature", "lost", "n"])
+
+    block = F.pmod(F.xxhash64("pos", F.lit(3)), F.lit(blocks)).cast("int")
+    each = rows.select("pos", "r", *names, block.alias("block")).groupBy("block").applyInPandas(run, "feature string, lost long, n long")
+    return each.groupBy("feature").agg(F.greatest(F.sum("lost") / F.sum("n"), F.lit(0.0)).alias("importance"))
 
 
 def shap_importance(rows: DataFrame, features: Sequence[str], trees: int = 30) -> DataFrame:
-    """``feature, importance``: the mean size of each feature's Shapley value; one fit, for a dataset that fits a task."""
+    """``feature, importance``: the mean size of each feature's Shapley value over all rows; one fit, whose model is broadcast."""
     names = list(features)
+    model = rows.sparkSession.sparkContext.broadcast(_one_model(rows, names, trees))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        x = pdf[names].to_numpy(dtype=float)
-        values = fit(x, (pdf["r"] > 0).to_numpy(dtype=float), trees=trees).shapley(x)
-        return pd.DataFrame({"feature": names, "importance": np.abs(values).mean(axis=0)})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = model.value
+        for b in batches:
+            x = b[names].to_numpy(dtype=float)
+            size = np.zeros(len(names)) if isinstance(own, float) else np.abs(own.shapley(x)).sum(axis=0)
+            yield pd.DataFrame({"feature": names, "size": size, "n": len(b)})
 
-    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "feature string, importance double")
+    sums = rows.select(*names).mapInPandas(run, "feature string, size double, n long").groupBy("feature").agg(F.sum("size").alias("s"), F.sum("n").alias("n"))
+    return sums.select("feature", (F.col("s") / F.col("n")).alias("importance"))
 
 
 def by_layer(importance: DataFrame) -> DataFrame:
@@ -222,13 +274,17 @@ def calibrate(rows: DataFrame) -> tuple[str, list[tuple[float, float]]]:
     return ("isotonic", iso_knots) if score(iso_knots) <= score(platt) else ("platt", platt)
 
 
-def interpolate(x, knots: list[tuple[float, float]]):
-    """Linear between knots, flat beyond them."""
-    out = F.lit(knots[-1][1])
-    for (x0, y0), (x1, y1) in reversed(list(zip(knots, knots[1:], strict=False))):
-        line = F.lit(y0) + (x - x0) * ((y1 - y0) / (x1 - x0)) if x1 > x0 else F.lit(y1)
-        out = F.when(x <= x1, line).otherwise(out)
-    return F.when(x <= knots[0][0], F.lit(knots[0][1])).otherwise(out)
+def interpolate(x: Column, knots: list[tuple[float, float]]) -> Column:
+    """Linear between knots, flat beyond them; null stays null. The knots go with the function, not into the plan."""
+    if len(knots) > MAX_KNOTS:
+        raise ValueError(f"more than {MAX_KNOTS} knots")
+    xs, ys = (np.array(c) for c in zip(*knots, strict=True))
+
+    @F.pandas_udf("double")
+    def at(p: pd.Series) -> pd.Series:
+        return pd.Series(np.where(p.isna(), np.nan, np.interp(p.fillna(0.0), xs, ys)))
+
+    return F.nanvl(at(x), F.lit(None).cast("double"))
 
 
 def model_id(features: Sequence[str], params: dict, seed: int) -> str:

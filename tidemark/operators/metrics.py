@@ -107,8 +107,8 @@ def cscv(returns: DataFrame, n_splits: int) -> DataFrame:
     Rows meet the data once: each block and trial gives count, sum and sum of squares, and every half is a sum of those.
     The trial that is best in-sample (the first of equals) gets its rank out of sample.
     """
-    if n_splits % 2:
-        raise ValueError("an even number of blocks")
+    if n_splits % 2 or n_splits > 16:
+        raise ValueError("an even number of blocks, 16 at most")  # C(16, 8) halves, which are broadcast
     spark, times = returns.sparkSession, returns.select("t").distinct()
     n = times.count()
     size = n // n_splits
@@ -155,15 +155,23 @@ def reliability(rows: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
 
 def at_thresholds(rows: DataFrame, taus: DataFrame, cost: float = COST_R) -> DataFrame:
     """``rows`` (``p, r``) acted on at each of a few thresholds ``tau``: counts, precision and recall net of cost, expectancy."""
-    met = rows.join(F.broadcast(taus), F.lit(True))  # a grid of a few dozen numbers
-    act, win = F.col("p") >= F.col("tau"), F.col("r") > cost
-    n, won, all_won = F.count_if(act), F.count_if(act & win), F.count_if(win)
-    return met.groupBy("tau").agg(
-        n.alias("n_acted"),
-        F.coalesce(won / F.when(n > 0, n), F.lit(0.0)).alias("precision"),
-        F.coalesce(won / F.when(all_won > 0, all_won), F.lit(0.0)).alias("recall"),
-        F.avg(F.when(act, F.col("r") - cost)).alias("expectancy"),
-    )
+    grid = sorted(r.tau for r in taus.select("tau").distinct().collect())  # a few dozen numbers
+    win = F.col("r") > cost
+    all_won = F.count_if(win)
+
+    def one(tau: float) -> Column:
+        act = F.col("p") >= tau
+        n, won = F.count_if(act), F.count_if(act & win)
+        return F.struct(
+            F.lit(tau).alias("tau"),
+            n.alias("n_acted"),
+            F.coalesce(won / F.when(n > 0, n), F.lit(0.0)).alias("precision"),
+            F.coalesce(won / F.when(all_won > 0, all_won), F.lit(0.0)).alias("recall"),
+            F.avg(F.when(act, F.col("r") - cost)).alias("expectancy"),
+        )
+
+    # One pass over the rows: each threshold is an aggregate of its own. Without rows, nothing is acted on.
+    return rows.agg(F.array(*[one(t) for t in grid]).alias("at")).select(F.inline("at"))
 
 
 def tau_grid(rows: DataFrame, p: str = "p") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +63,36 @@ def _fact_type(facts: DataFrame, value: str) -> str:
     return f"struct<ts:{kinds['ts']},as_of:{kinds['as_of']},value:{kinds[value]}>"
 
 
+def trailing_dates(days: DataFrame, facts: DataFrame, n: int) -> DataFrame:
+    """``ts, series, dates``: for each of ``days`` (``ts``) and each series, the last ``n`` dates visible on the day as an array of
+    ``struct(ts, value)`` with each date's newest vintage, oldest first.
+
+    Facts and days are laid on one line in order of when they take effect, and the line of a series is walked once with only its last ``n`` dates in
+    hand. A series has as many rows as the calendar has days and vintages, whatever the number of tickers.
+    """
+    t_type, v_type = facts.schema["ts"].dataType.simpleString(), facts.schema["value"].dataType.simpleString()
+    series = facts.select("series").distinct()
+    # A boolean says which rows ask; among rows of one time, facts come first.
+    asks = days.select("ts").distinct().crossJoin(F.broadcast(series)).select("series", F.col("ts").alias("at"), F.lit(True).alias("asks"), F.lit(None).cast(t_type).alias("ts"), F.lit(None).cast("timestamp_ntz").alias("as_of"), F.lit(None).cast(v_type).alias("value"))
+    tells = facts.select("series", F.greatest("ts", "as_of").alias("at"), F.lit(False).alias("asks"), "ts", F.col("as_of").cast("timestamp_ntz").alias("as_of"), "value")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "asks"], kind="stable")
+        held: dict = {}  # date -> (as_of, value); the last n dates only
+        out = []
+        for at, ask, ts, as_of, value in zip(pdf["at"], pdf["asks"], pdf["ts"], pdf["as_of"], pdf["value"], strict=True):
+            if ask:
+                out.append((at, [{"ts": d, "value": held[d][1]} for d in sorted(held)]))
+            elif ts not in held or held[ts][0] <= as_of:
+                held[ts] = (as_of, value)
+                if len(held) > n:
+                    held.pop(min(held))
+        return pd.DataFrame({"ts": [a for a, _ in out], "series": pdf["series"].iloc[0], "dates": [d for _, d in out]})
+
+    schema = f"ts {t_type}, series string, dates array<struct<ts:{t_type},value:{v_type}>>"
+    return asks.unionByName(tells).groupBy("series").applyInPandas(walk, schema)
+
+
 def history(facts: DataFrame, t: Column, n: int) -> DataFrame:
     """The last ``n`` dates of each series at ``t``, each with its newest vintage, oldest first (``pos``)."""
     newest = at(facts, t).groupBy("series", "ts").agg(F.max_by("value", "as_of").alias("value"))

@@ -106,7 +106,7 @@ def evaluate(genomes: Sequence[Genome], window: DataFrame, profile: labeling.Pro
     own = [(i, g) for i, g in enumerate(genomes)]
     flags = F.filter(F.array(*[F.when(labeling.fires(g.predicates), F.lit(i)) for i, g in own]), lambda x: x.isNotNull())
     last = window.groupBy("ticker").agg(F.max("idx").alias("last"))
-    fired = window.join(F.broadcast(last), "ticker").where((F.col("atr") > 0) & (F.col("idx") < F.col("last"))).select("ticker", "idx", F.explode(flags).alias("genome"))
+    fired = window.join(last, "ticker").where((F.col("atr") > 0) & (F.col("idx") < F.col("last"))).select("ticker", "idx", F.explode(flags).alias("genome"))
     taken = labeling.greedy_cooldown(fired, ["genome", "ticker"], max(profile.min_hold, 1))
     pick = lambda f: F.element_at(F.array(*[F.lit(f(g)) for _, g in own]), F.col("genome") + 1)
     entries = taken.join(window.select("ticker", "idx", F.col("close").alias("entry_px"), "atr"), ["ticker", "idx"]).select(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
 from tidemark.functions import scalars as sc
-from tidemark.operators import features
+from tidemark.operators import features, regime
 from tidemark.sources import tables
 from tidemark.sources.tables import rounded, with_tables
 
@@ -80,15 +80,25 @@ def tradeability(spark, sf):
     return rounded(features.tradeability(last.join(aum, "symbol", "left")))
 
 
+def regime_features(spark, sf):
+    """All keys of layer 1 for each ticker and bar."""
+    return rounded(features.regime_layer(tables.bars(spark, sf), tables.regime_series(spark, sf)))
+
+
+def regime_by_day(spark, sf):
+    """Regime labels from the layer's own keys."""
+    return rounded(regime.classify(features.regime_layer(tables.bars(spark, sf), tables.regime_series(spark, sf))).select("ticker", "ts", "label", "confidence", "observed_inputs"))
+
+
 def feature_window(spark, sf):
     """How many features each bar has, over all layers."""
-    w = features.window(tables.bars(spark, sf))
+    w = features.window(tables.bars(spark, sf), tables.regime_series(spark, sf))
     names = [c for c in w.columns if "__" in c]
     return w.select("ticker", "ts", "idx", sum(F.col(c).isNotNull().cast("int") for c in names).alias("n_features"))
 
 
 def latest_feature_map(spark, sf):
-    m = features.latest_map(features.window(tables.bars(spark, sf)))
+    m = features.latest_map(features.window(tables.bars(spark, sf), tables.regime_series(spark, sf)))
     return rounded(m.select("ticker", "ts", "close", F.size("features").alias("n"), F.element_at("features", "trigger__momentum_roc").alias("roc")))
 
 
@@ -118,7 +128,7 @@ QUERIES = {
     "ema_stack": _array(80, align=lambda xs: (F.signum(ind.ema(xs, 9) - ind.ema(xs, 21)) + F.signum(ind.ema(xs, 21) - ind.ema(xs, 50))) / 2),
     "rsi": _array(80, rsi14=lambda xs: ind.rsi(xs, 14)),
     "rsi_slope": _array(80, slope=lambda xs: ind.rsi_slope(xs, 14, 5)),
-} | {f.__name__: f for f in (obv_trend, rv_percentile, adx, swing_pivots, location_features, trigger_features, rel_strength, breadth, event_calendar, tradeability, feature_window, latest_feature_map, dataset_pivot)}
+} | {f.__name__: f for f in (obv_trend, rv_percentile, adx, swing_pivots, location_features, trigger_features, rel_strength, breadth, event_calendar, tradeability, regime_features, regime_by_day, feature_window, latest_feature_map, dataset_pivot)}
 
 _W = "WINDOW w AS (PARTITION BY ticker ORDER BY ts)"
 _STAGED = """staged AS (SELECT *, close - lag(close) OVER w AS move, CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN ln(close / lag(close) OVER w) END AS log_ret,
@@ -176,6 +186,18 @@ _RV = f"rv AS (SELECT ticker, ts, CASE WHEN i > 20 THEN coalesce(CASE WHEN count
 _RS = f"rocs AS (SELECT ticker, ts, close / lag(close, 10) OVER w - 1 AS roc10 FROM staged {_W}), days AS (SELECT ts, last_value(b IGNORE NULLS) OVER (ORDER BY ts) AS b FROM (SELECT DISTINCT r.ts, coalesce(x.roc10, 'nan'::DOUBLE) AS b0, CASE WHEN x.ticker IS NOT NULL THEN coalesce(x.roc10, 'nan'::DOUBLE) END AS b FROM rocs r LEFT JOIN (SELECT * FROM rocs WHERE ticker = 0) x USING (ts)))"
 _BREADTH = f"ma AS (SELECT ts, close, {_SMA50} AS ma50 FROM staged), br AS (SELECT ts, count(*) FILTER (ma50 IS NOT NULL AND close > ma50) / nullif(count(ma50), 0) AS breadth_thrust FROM ma GROUP BY ts)"
 _RS_VALUE = "CASE WHEN r.ticker = 0 THEN 0.0 WHEN isnan(d.b) THEN NULL ELSE r.roc10 - d.b END"
+_LAST = {s: f"{s}[len({s})]" for s in tables.REGIME_SERIES}
+_TREND = lambda x: f"CASE WHEN len({x}) >= 2 AND {x}[1] <> 0 THEN {x}[len({x})] / {x}[1] - 1 END"
+_MACRO = f"""vis AS (SELECT d.ts AS t, m.series, m.ts, max_by(m.value, m.as_of) AS v FROM (SELECT DISTINCT ts FROM bars) d JOIN regime_series m ON m.ts <= d.ts AND m.as_of <= d.ts GROUP BY ALL),
+tr AS (SELECT t, series, list(v ORDER BY ts) AS xs FROM (SELECT *, row_number() OVER (PARTITION BY t, series ORDER BY ts DESC) AS r FROM vis) WHERE r <= 21 GROUP BY t, series),
+wide0 AS (SELECT t, {", ".join(f"any_value(xs) FILTER (series = '{s}') AS {s}" for s in tables.REGIME_SERIES)} FROM tr GROUP BY t),
+wide AS (SELECT *, list_filter(list_transform(range(1, least(len(copper), len(gold)) + 1), lambda i: CASE WHEN gold[i] > 0 THEN copper[i] / gold[i] END), lambda x: x IS NOT NULL) AS cg FROM wide0)"""
+_REGIME_KEYS = {
+    "vix9d_vix": f"CASE WHEN {_LAST['vix']} > 0 THEN {_LAST['vix9d']} / {_LAST['vix']} END", "vix_vix3m": f"CASE WHEN {_LAST['vix3m']} > 0 THEN {_LAST['vix']} / {_LAST['vix3m']} END", "vvix": _LAST["vvix"],
+    "rv20": "v.rv20", "rv_percentile": "CASE WHEN v.rv20 IS NOT NULL THEN len(list_filter(h, lambda x: x <= v.rv20)) / len(h) END", "adx": "CASE WHEN b.i > 20 THEN s.r.dxs END", "vrp": f"{_LAST['vix']} - v.rv20 * 100",
+    "hy_oas": _LAST["hy_oas"], "ig_oas": _LAST["ig_oas"], "hy_ig_ratio": f"CASE WHEN {_LAST['ig_oas']} > 0 THEN {_LAST['hy_oas']} / {_LAST['ig_oas']} END",
+    "net_liquidity": f"{_LAST['fed_balance_sheet']} - {_LAST['tga']} - {_LAST['reverse_repo']}", "dxy_trend": _TREND("dxy"), "twos_tens": f"{_LAST['ust10y']} - {_LAST['ust2y']}", "copper_gold": _TREND("cg"), "oil_trend": _TREND("oil"),
+}
 _LOC = {
     "dist_50dma": "ma50", "dist_200dma": "ma200", "dist_prior_dh": "pdh", "dist_prior_dl": "pdl", "dist_prior_wh": "wh", "dist_prior_wl": "wl", "swing_high_dist": "sh", "swing_low_dist": "sl",
     "anchored_vwap_dist": "vwap", "dist_rolling_high": "hi", "dist_rolling_low": "lo",
@@ -209,6 +231,7 @@ ORACLES = {
     "obv_trend": _q(f"ticker, ts, obv, CASE WHEN count(obv) OVER {_f(20)} = 20 THEN sign(sum(i * obv) OVER {_f(20)} - sum(i) OVER {_f(20)} * sum(obv) OVER {_f(20)} / 20) END AS obv_trend", "obv", "o AS (SELECT ticker, ts, i, sum(signed) OVER w AS obv FROM staged WINDOW w AS (PARTITION BY ticker ORDER BY ts))", "o").replace("END AS obv_trend", "END::DOUBLE AS obv_trend"),
     "rv_percentile": _q("ticker, ts, rv20, CASE WHEN rv20 IS NOT NULL THEN len(list_filter(h, lambda v: v <= rv20)) / len(h) END AS rv_percentile", "rv20 rv_percentile", _RV, "rvh"),
     "adx": _q("b.ticker, b.ts, CASE WHEN b.i > 20 THEN r.r.dxs END AS adx", "adx", _ADX, "staged b LEFT JOIN smoothed r ON b.ticker = r.ticker AND b.ts = r.ts"),
+    "regime_features": with_tables(f"WITH {_STAGED}, {_RV}, {_ADX}, {_MACRO} SELECT b.ticker, b.ts, " + ", ".join(f"{v} AS {k}" for k, v in _REGIME_KEYS.items()) + " FROM staged b JOIN rvh v ON v.ticker = b.ticker AND v.ts = b.ts LEFT JOIN smoothed s ON s.ticker = b.ticker AND s.ts = b.ts LEFT JOIN wide w ON w.t = b.ts", "bars", "regime_series", doubles=" ".join(_REGIME_KEYS)),
     "swing_pivots": _q(f"ticker, ts, {_SWING.format('hp')} AS swing_high, {_SWING.format('lp')} AS swing_low", "swing_high swing_low", _PIVOTS, "pivots"),
     "location_features": _q("ticker, ts, close, " + ", ".join(f"CASE WHEN atr > 0 THEN (close - {v}) / atr END AS {k}" for k, v in _LOC.items()) + ", CASE WHEN hi > lo THEN greatest(least((close - lo) / (hi - lo), 1), 0) END AS pct_range_position", "close pct_range_position " + " ".join(_LOC), _PIVOTS + ", " + _LEVELS, "levels"),
     "rel_strength": _q(f"r.ticker, r.ts, r.roc10, {_RS_VALUE} AS rs_vs_spy", "roc10 rs_vs_spy", _RS, "rocs r JOIN days d USING (ts)"),

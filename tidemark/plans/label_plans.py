@@ -17,7 +17,7 @@ def _window(spark, sf):
 
 
 def _entries(w, side=1):
-    return w.where("atr > 0 AND idx % 5 = 0").select("ticker", "idx", F.col("close").alias("entry_px"), F.lit(side).alias("side"), (F.col("atr") * 2.0).alias("target_dist"), (F.col("atr") * 1.0).alias("stop_dist"))
+    return w.where("atr > 0").select("ticker", "idx", F.col("close").alias("entry_px"), F.lit(side).alias("side"), (F.col("atr") * 2.0).alias("target_dist"), (F.col("atr") * 1.0).alias("stop_dist"))
 
 
 def _labels(side):
@@ -48,14 +48,14 @@ def backtest(spark, sf):
 
 def _dataset(spark, sf):
     """Labelled rows: position, time, end of label, return, a made-up probability."""
-    t = tables.trades(spark, sf).where("pnl_r IS NOT NULL AND strategy_id % 10 = 1")
+    t = tables.trades(spark, sf).where("pnl_r IS NOT NULL")
     own = t.groupBy("entry_ts").agg(F.avg("pnl_r").alias("r"), F.sum("trade_id").alias("k"))
-    pos = F.row_number().over(Window.orderBy("entry_ts")) - 1  # days of one group of strategies
+    pos = F.row_number().over(Window.orderBy("entry_ts")) - 1  # distinct days: as many as the calendar has
     return own.select(pos.alias("pos"), F.col("entry_ts").alias("ts"), (F.col("entry_ts") + F.make_dt_interval(F.lit(15))).alias("t1"), "r", ((F.col("k") % 997) / 997).alias("p"))
 
 
 def meta_sizing(spark, sf):
-    own = tables.trades(spark, sf).where("pnl_r IS NOT NULL AND strategy_id % 10 = 1").select("trade_id", "pnl_r", ((F.col("trade_id") % 997) / 997).alias("p")).distinct()
+    own = tables.trades(spark, sf).where("pnl_r IS NOT NULL").select("trade_id", "pnl_r", ((F.col("trade_id") % 997) / 997).alias("p")).distinct()
     size = labeling.act_size(F.col("p"), 0.6)
     return rounded(own.select("trade_id", "pnl_r", labeling.meta_label(F.col("pnl_r")).alias("label"), size.alias("size"), (size * F.col("pnl_r")).alias("sized_r")))
 
@@ -112,8 +112,8 @@ def drawdown_two_forms(spark, sf):
 
 
 def equity_curve(spark, sf):
-    own = tables.trades(spark, sf).where("strategy_id = 1 AND pnl_r IS NOT NULL")
-    return rounded(metrics.equity(own, ["strategy_id"], "pnl_r", ["entry_ts", "trade_id", "pnl_r"]).select("trade_id", "pnl_r", "equity", "peak"))
+    own = tables.trades(spark, sf).where("pnl_r IS NOT NULL")
+    return rounded(metrics.equity(own, ["strategy_id"], "pnl_r", ["entry_ts", "trade_id", "pnl_r"]).select("strategy_id", "trade_id", "pnl_r", "equity", "peak"))
 
 
 def moments_bias_corrected(spark, sf):
@@ -238,10 +238,10 @@ labels AS (SELECT ticker, idx, CAST(coalesce(hb, lb) AS INTEGER) AS exit_idx, CA
   target_px, stop_px, CASE WHEN lb IS NULL THEN 'no bar ahead' END AS reason FROM lab)"""
 
 
-_EVERY = "SELECT ticker, idx, close AS entry_px, atr * 2.0::DOUBLE AS td, atr AS sd FROM win WHERE atr > 0 AND idx % 5 = 0"
+_EVERY = "SELECT ticker, idx, close AS entry_px, atr * 2.0::DOUBLE AS td, atr AS sd FROM win WHERE atr > 0"
 _COOL = """cand AS (SELECT ticker, list(CAST(idx AS INTEGER) ORDER BY idx) AS c FROM ({src}) GROUP BY ticker),
 cool AS (SELECT ticker, unnest(list_reduce(list_prepend({{'l': NULL::INTEGER, 'k': []::INTEGER[]}}, list_transform(c, lambda i: {{'l': i, 'k': []::INTEGER[]}})), lambda a, x: CASE WHEN a.l IS NULL OR x.l > a.l + 2 THEN {{'l': x.l, 'k': list_append(a.k, x.l)}} ELSE a END).k) AS idx FROM cand)"""
-_DATA = "data AS (SELECT CAST(row_number() OVER (ORDER BY entry_ts) - 1 AS INTEGER) AS pos, entry_ts AS ts, entry_ts + to_days(15) AS t1, avg(pnl_r) AS r, (CAST(sum(trade_id) AS BIGINT) % 997) / 997 AS p FROM trades WHERE pnl_r IS NOT NULL AND strategy_id % 10 = 1 GROUP BY entry_ts)"
+_DATA = "data AS (SELECT CAST(row_number() OVER (ORDER BY entry_ts) - 1 AS INTEGER) AS pos, entry_ts AS ts, entry_ts + to_days(15) AS t1, avg(pnl_r) AS r, (CAST(sum(trade_id) AS BIGINT) % 997) / 997 AS p FROM trades WHERE pnl_r IS NOT NULL GROUP BY entry_ts)"
 _OPEN = "pts AS (SELECT DISTINCT ts AS x FROM data), op AS (SELECT x, count(*) AS c FROM pts JOIN data ON ts <= x AND t1 >= x GROUP BY x), uq AS (SELECT pos AS id, avg(1.0::DOUBLE / c) AS weight FROM data JOIN op ON x BETWEEN ts AND t1 GROUP BY pos)"
 _GROUPS = "g AS (SELECT *, (SELECT count(*) FROM (SELECT unnest([1, 2, 3, 4, 5]) AS j) WHERE pos >= floor((SELECT count(*) FROM data) * j / 6)) AS grp FROM data), sp AS (SELECT CAST(grp AS INTEGER) AS grp, min(ts) AS lo, max(t1) AS hi, min(pos) AS first, max(pos) AS last FROM g GROUP BY grp)"
 _SPLITS = """c AS (SELECT CAST(row_number() OVER (ORDER BY a, b) - 1 AS INTEGER) AS split, a, b FROM (SELECT x.grp AS a, y.grp AS b FROM sp x, sp y WHERE x.grp < y.grp)),
@@ -285,7 +285,7 @@ ORACLES = {
     "cooldown_entries": with_tables(f"{_HEAD}, {_COOL.format(src='SELECT ticker, idx FROM win WHERE roc10 > 0')} SELECT * FROM cool", "bars"),
     "genome_fire": with_tables(f"{_HEAD} SELECT ticker, CAST(idx AS INTEGER) AS idx, coalesce(roc10 > 0.05, false) AND coalesce(atr <= 500, false) AS fires FROM win", "bars"),
     "backtest": with_tables(f"{_HEAD}, {_COOL.format(src='SELECT ticker, idx FROM win w0 WHERE roc10 > 0 AND atr > 0 AND idx < (SELECT max(idx) FROM win w1 WHERE w1.ticker = w0.ticker)')}, {_barrier('SELECT w.ticker, w.idx, close AS entry_px, atr * 2.0::DOUBLE AS td, atr AS sd FROM win w JOIN cool c ON c.ticker = w.ticker AND c.idx = w.idx', 1)} SELECT l.ticker, CAST(l.idx AS INTEGER) AS idx, l.exit_idx, a.ts AS entry_ts, b.ts AS t1, outcome, ret_r FROM labels l JOIN win a ON a.ticker = l.ticker AND a.idx = l.idx LEFT JOIN win b ON b.ticker = l.ticker AND b.idx = l.exit_idx", "bars", doubles="ret_r"),
-    "meta_sizing": with_tables("SELECT DISTINCT trade_id, pnl_r, (pnl_r > 0)::INT AS label, CASE WHEN p >= 0.6 THEN (p - 0.6::DOUBLE) / (1 - 0.6::DOUBLE) ELSE 0 END AS size, CASE WHEN p >= 0.6 THEN (p - 0.6::DOUBLE) / (1 - 0.6::DOUBLE) ELSE 0 END * pnl_r AS sized_r FROM (SELECT *, (trade_id % 997) / 997 AS p FROM trades WHERE pnl_r IS NOT NULL AND strategy_id % 10 = 1)", "trades", doubles="pnl_r size sized_r"),
+    "meta_sizing": with_tables("SELECT DISTINCT trade_id, pnl_r, (pnl_r > 0)::INT AS label, CASE WHEN p >= 0.6 THEN (p - 0.6::DOUBLE) / (1 - 0.6::DOUBLE) ELSE 0 END AS size, CASE WHEN p >= 0.6 THEN (p - 0.6::DOUBLE) / (1 - 0.6::DOUBLE) ELSE 0 END * pnl_r AS sized_r FROM (SELECT *, (trade_id % 997) / 997 AS p FROM trades WHERE pnl_r IS NOT NULL)", "trades", doubles="pnl_r size sized_r"),
     "uniqueness": with_tables(f"WITH {_DATA}, {_OPEN} SELECT * FROM uq", "trades", doubles="weight"),
     "effective_n": with_tables(f"WITH {_DATA}, {_OPEN} SELECT pow(sum(weight), 2) / sum(weight * weight) AS n_eff, count(*) AS n FROM uq", "trades", doubles="n_eff"),
     "cpcv_groups": with_tables(f"WITH {_DATA}, {_GROUPS} SELECT * FROM sp", "trades"),
@@ -299,7 +299,7 @@ ORACLES = {
     "cvar_floor": with_tables("SELECT strategy_id, avg(pnl_r) AS cvar FROM (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY pnl_r) AS k, count(*) OVER (PARTITION BY strategy_id) AS n FROM trades WHERE pnl_r IS NOT NULL) WHERE k <= greatest(1, floor(0.05::DOUBLE * n)) GROUP BY strategy_id", "trades", doubles="cvar"),
     "cvar_ceil": with_tables("SELECT strategy_id, avg(pnl_r) AS cvar FROM (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY pnl_r) AS k, count(*) OVER (PARTITION BY strategy_id) AS n FROM trades WHERE pnl_r IS NOT NULL) WHERE k <= greatest(1, ceil(0.05::DOUBLE * n)) GROUP BY strategy_id", "trades", doubles="cvar"),
     "drawdown_two_forms": with_tables(f"WITH {_EQ} SELECT strategy_id, max(peak - equity) AS mdd, min(equity - greatest(peak, 0)) AS mdd_from_zero, sum(pnl_r) AS total, CASE WHEN max(peak - equity) > 0 THEN sum(pnl_r) / max(peak - equity) END AS mar FROM eq GROUP BY strategy_id", "trades", doubles="mdd mdd_from_zero total mar"),
-    "equity_curve": with_tables(f"WITH {_EQ} SELECT trade_id, pnl_r, equity, peak FROM eq WHERE strategy_id = 1", "trades", doubles="pnl_r equity peak"),
+    "equity_curve": with_tables(f"WITH {_EQ} SELECT strategy_id, trade_id, pnl_r, equity, peak FROM eq", "trades", doubles="pnl_r equity peak"),
     "moments_bias_corrected": with_tables(f"WITH {_MOM} SELECT * FROM ms", "trades", doubles="mean sd skew kurtosis"),
     "psr_dsr": with_tables(f"WITH {_MOM} SELECT strategy_id, n, CASE WHEN n < 2 THEN 0.5 WHEN sd = 0 THEN (mean > 0)::INT ELSE {sc.norm_cdf_sql(_Z)} END AS dsr FROM ms", "trades", doubles="dsr"),
     "cscv_logits": with_tables(f"WITH {_CSCV} SELECT * FROM lg", "trades", doubles="logit"),

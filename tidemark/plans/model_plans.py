@@ -7,16 +7,22 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
-from tidemark.operators import crossval, features, labeling, learners, search
+from tidemark.operators import crossval, features, labeling, learners, pit, search, validation
 from tidemark.sources import tables
-from tidemark.sources.tables import rounded
+from tidemark.sources.tables import rounded, with_tables
 from tidemark.streaming import feeds
 
+#: Trials of the grid, and trees of a fit.
+TRIALS, TREES = 4, 60
 FEATURES = ["trigger__momentum_roc", "location__range", "trigger__vol", "location__gap"]
 
 
 def _shared(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a stream's state needs a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/tidemark/stream-{uuid.uuid4().hex}"
 
 
@@ -30,30 +36,71 @@ def _window(spark, sf):
 
 
 def _rows(spark, sf):
-    """One ticker's labelled entries with features: position, span, return, weight."""
-    w = _window(spark, sf).where("ticker = 1")
+    """Labelled entries of all tickers with features, in order of time: position, span, return, weight (the label's uniqueness)."""
+    w = _window(spark, sf)
     done = labeling.backtest(w, F.col("atr") > 0).where("ret_r IS NOT NULL AND t1 IS NOT NULL")
     own = done.join(w.select("ticker", "idx", *FEATURES), ["ticker", "idx"])
-    pos = F.row_number().over(Window.partitionBy("ticker").orderBy("idx")) - 1
-    return own.select(pos.cast("int").alias("pos"), F.col("entry_ts").alias("ts"), "t1", F.col("ret_r").alias("r"), F.lit(1.0).alias("weight"), *FEATURES)
+    placed = own.join(_positions(own), ["entry_ts", "ticker"])
+    weights = labeling.uniqueness(placed.selectExpr("pos AS id", "ticker", "entry_ts AS ts", "t1"), ["ticker"]).selectExpr("id AS pos", "weight")
+    return placed.join(weights, "pos").select("pos", F.col("entry_ts").alias("ts"), "t1", F.col("ret_r").alias("r"), "weight", *FEATURES)
+
+
+def _positions(own):
+    """Places in order of time, then ticker: days are numbered by their counts (one row a day), entries inside their day."""
+    days = own.groupBy("entry_ts").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("entry_ts").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # distinct days
+    inside = F.row_number().over(Window.partitionBy("entry_ts").orderBy("ticker")) - 1
+    return own.select("entry_ts", "ticker", inside.alias("k")).join(days.select("entry_ts", before.alias("before")), "entry_ts").select("entry_ts", "ticker", (F.col("before") + F.col("k")).cast("int").alias("pos"))
 
 
 def gbdt_oos_proba(spark, sf):
     rows = _rows(spark, sf)
     splits = crossval.splits(rows.select("pos", "ts", "t1"), 4, 1, 3)
-    return rounded(learners.oos_predictions(rows, splits.select("split", "pos", "role"), learners.trial_grid(2, FEATURES), FEATURES, trees=15))
+    return rounded(learners.oos_predictions(rows, splits.select("split", "pos", "role"), learners.trial_grid(TRIALS, FEATURES), FEATURES, trees=TREES))
 
 
 def permutation_importance(spark, sf):
-    return rounded(learners.permutation_importance(_rows(spark, sf), FEATURES, repeats=2, trees=15))
+    return rounded(learners.permutation_importance(_rows(spark, sf), FEATURES, repeats=5, trees=TREES))
 
 
 def shap_importance(spark, sf):
-    return rounded(learners.shap_importance(_rows(spark, sf), FEATURES, trees=10))
+    return rounded(learners.shap_importance(_rows(spark, sf), FEATURES, trees=TREES))
 
 
 def importance_by_layer(spark, sf):
-    return rounded(learners.by_layer(learners.shap_importance(_rows(spark, sf), FEATURES, trees=10)))
+    return rounded(learners.by_layer(learners.shap_importance(_rows(spark, sf), FEATURES, trees=TREES)))
+
+
+def validated(spark, sf):
+    """Validation and gate of all labelled entries; months of the year stand for regimes."""
+    rows = _rows(spark, sf).withColumn("regime", F.date_format("ts", "MM"))
+    return rounded(validation.decide(rows, FEATURES, validation.Plan(n_trials=TRIALS, trees=TREES)))
+
+
+def planted(spark, n: int, leak: bool):
+    """A dataset whose label follows from two features and noise; with ``leak``, from none but one that knows it and turns its sign half way."""
+    z = lambda k: F.sqrt(-2 * F.ln((F.pmod(F.xxhash64("pos", F.lit(2 * k)), F.lit(1 << 30)) + 1) / (1 << 30))) * F.cos(2 * 3.141592653589793 * F.pmod(F.xxhash64("pos", F.lit(2 * k + 1)), F.lit(1 << 30)) / (1 << 30))
+    base = spark.range(n).select(F.col("id").cast("int").alias("pos"))
+    own = base.select("pos", z(1).alias("momentum__signal"), z(2).alias("trend__slope"), z(3).alias("volatility__atr_norm"), z(4).alias("noise"))
+    r = F.col("noise") if leak else 0.9 * F.col("momentum__signal") + 0.6 * F.col("trend__slope") - 0.3 * F.col("volatility__atr_norm") + F.col("noise")
+    r = F.least(F.greatest(r, F.lit(-1.0)), F.lit(2.0))
+    ts = F.timestamp_seconds(F.col("pos") * 86400 + 1_600_000_000).cast("timestamp_ntz")
+    out = own.select("pos", ts.alias("ts"), (ts + F.expr("INTERVAL 3 DAYS")).alias("t1"), r.alias("r"), F.lit(1.0).alias("weight"), F.element_at(F.array(F.lit("bull"), F.lit("bear"), F.lit("chop")), F.col("pos") % 3 + 1).alias("regime"), "momentum__signal", "trend__slope", "volatility__atr_norm")
+    return out.withColumn("leak__lookahead", F.when(F.col("pos") < n // 2, F.col("r")).otherwise(-F.col("r"))) if leak else out
+
+
+def leak_checkpoint(spark, sf):
+    """The harness on made datasets of 900 rows: whether it rejects the leak and passes the edge."""
+    names = ["momentum__signal", "trend__slope", "volatility__atr_norm"]
+    return validation.leak_checkpoint(planted(spark, 900, True), planted(spark, 900, False), ([*names, "leak__lookahead"], names), validation.Plan(n_trials=4, trees=40))
+
+
+def optimism_gap(spark, sf):
+    """Precision out of sample less that in the locked era, for the newest score of each strategy."""
+    last = pit.top_one(tables.scores(spark, sf), ["strategy_id"], ["evaluated_at", "score_id"])
+    won = F.avg((F.col("pnl_r") > 0).cast("double"))
+    era = tables.trades(spark, sf).where("pnl_r IS NOT NULL AND entry_ts >= '1998-01-01'").groupBy("strategy_id").agg(won.alias("precision_test"))
+    return rounded(validation.optimism_gap(last.join(era, "strategy_id", "left")))
 
 
 def calibrate(spark, sf):
@@ -63,9 +110,9 @@ def calibrate(spark, sf):
 
 
 def search_generation(spark, sf):
-    """One generation of genomes, scored in one job (a small population)."""
+    """The search at its defaults: every generation's genomes are scored in one job."""
     w = _window(spark, sf)
-    found = search.evolve(w, generations=1, size=4)
+    found = search.evolve(w)
     return rounded(spark.createDataFrame([(g.signature, e, d) for g, e, d in found], "signature string, expectancy double, dsr double"))
 
 
@@ -83,10 +130,11 @@ def stream_dedup(spark, sf):
     return rounded(feeds.run_available(stream, _shared(spark), ["event_id"], mode="append"))
 
 
-QUERIES = {f.__name__: f for f in (gbdt_oos_proba, permutation_importance, shap_importance, importance_by_layer, calibrate, search_generation, tumbling_bars, sliding_counts, stream_dedup)}
+QUERIES = {f.__name__: f for f in (gbdt_oos_proba, permutation_importance, shap_importance, importance_by_layer, validated, leak_checkpoint, optimism_gap, calibrate, search_generation, tumbling_bars, sliding_counts, stream_dedup)}
 
 _BARS = "SELECT event_type, date_trunc('day', ts) AS ts, min_by(value, {'a': ts, 'b': event_id}) AS open, max(value) AS high, min(value) AS low, max_by(value, {'a': ts, 'b': event_id}) AS close, count(*) AS volume FROM events GROUP BY ALL"
 ORACLES = {
+    "optimism_gap": with_tables("WITH ls AS (SELECT strategy_id, max_by(precision_oos, {'a': evaluated_at, 'b': score_id}) AS o, max_by({'p': precision_oos}, {'a': evaluated_at, 'b': score_id}).p AS precision_oos FROM scores GROUP BY 1), era AS (SELECT strategy_id, avg((pnl_r > 0)::INT) AS precision_test FROM trades WHERE pnl_r IS NOT NULL AND entry_ts >= TIMESTAMP '1998-01-01' GROUP BY 1) SELECT avg(precision_oos - precision_test) AS mean_gap, count(precision_oos - precision_test) AS n FROM ls LEFT JOIN era USING (strategy_id)", "scores", "trades", doubles="mean_gap"),
     "tumbling_bars": f"SELECT * REPLACE (round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close) FROM ({_BARS})",
     "sliding_counts": "SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * k) AS ts, count(*) AS n FROM events, range(4) t(k) GROUP BY ALL",
     "stream_dedup": "SELECT event_id, event_type, round(value, 6) AS value FROM events",

@@ -38,7 +38,7 @@ def pit_bars_lookback(spark, sf):
 
 
 def pit_macro_asof(spark, sf):
-    days = tables.bars(spark, sf).where("ticker = 0").select("ts")
+    days = tables.bars(spark, sf).select("ts").distinct()
     series = tables.macro(spark, sf).select("series").distinct()
     asks = days.join(F.broadcast(series))  # a handful of series for every decision day
     return rounded(pit.as_of(asks, tables.macro(spark, sf), ["series"], "ts", "value", ["series"]))
@@ -104,7 +104,7 @@ def earnings_calendar(spark, sf):
 
 def earnings_ingest(spark, sf):
     """The calendar of the tickers that have bars."""
-    return provider.for_universe(tables.earnings(spark, sf), tables.bars(spark, sf).where("ticker < 4").select("ticker"))
+    return provider.for_universe(tables.earnings(spark, sf), tables.bars(spark, sf).select("ticker"))
 
 
 def macro_router(spark, sf):
@@ -130,7 +130,7 @@ def promoted_scores(spark, sf):
 
 
 def trades_with_signals(spark, sf):
-    own = tables.trades(spark, sf).where("strategy_id % 10 = 3").alias("t")
+    own = tables.trades(spark, sf).alias("t")
     return rounded(own.join(tables.signals(spark, sf).alias("s"), F.col("t.signal_id") == F.col("s.signal_id"), "left").select("t.trade_id", "t.pnl_r", "s.conviction"))
 
 
@@ -174,7 +174,7 @@ ORACLES = {
     "pit_latest_features": with_tables(f"SELECT ticker, feature_key, decision_ts, as_of, value FROM ({_VISIBLE}) WHERE r = 1", "features_pit", doubles="value"),
     "pit_layer_features": with_tables(f"SELECT ticker, feature_key, value FROM ({_VISIBLE}) WHERE r = 1 AND layer = 'trigger'", "features_pit", doubles="value"),
     "pit_bars_lookback": with_tables(f"SELECT ticker, n + 1 - r AS pos, ts, close FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS r, least(22, count(*) OVER (PARTITION BY ticker)) AS n FROM bars WHERE ts <= {_B}) WHERE r <= 22", "bars", doubles="close"),
-    "pit_macro_asof": with_tables("SELECT s.series, d.ts, (SELECT max({'a': m.ts, 'b': m.as_of, 'v': m.value}) FROM macro m WHERE m.series = s.series AND m.ts <= d.ts AND m.as_of <= d.ts).v AS value FROM (SELECT ts FROM bars WHERE ticker = 0) d, (SELECT DISTINCT series FROM macro) s", "bars", "macro", doubles="value"),
+    "pit_macro_asof": with_tables("SELECT s.series, d.ts, (SELECT max({'a': m.ts, 'b': m.as_of, 'v': m.value}) FROM macro m WHERE m.series = s.series AND m.ts <= d.ts AND m.as_of <= d.ts).v AS value FROM (SELECT DISTINCT ts FROM bars) d, (SELECT DISTINCT series FROM macro) s", "bars", "macro", doubles="value"),
     "pit_macro_history": with_tables(f"SELECT series, row_number() OVER (PARTITION BY series ORDER BY ts) AS pos, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts DESC) AS r FROM (SELECT series, ts, max_by(value, as_of) AS value FROM macro WHERE ts <= {_M} AND as_of <= {_M} GROUP BY ALL)) WHERE r <= 21", "macro", doubles="value"),
     "pit_vintage": with_tables(f"SELECT series, ts, count(*) AS vintages, max(as_of) AS as_of, max_by(value, as_of) AS value FROM macro WHERE ts <= {_M} AND as_of <= {_M} GROUP BY series, ts", "macro", doubles="value"),
     "pit_window_around": with_tables(f"SELECT ticker, side, k, ts, close FROM (SELECT *, CASE WHEN ts <= {_B} THEN 'past' ELSE 'ahead' END AS side, CASE WHEN ts <= {_B} THEN row_number() OVER (PARTITION BY ticker, ts <= {_B} ORDER BY ts DESC) ELSE row_number() OVER (PARTITION BY ticker, ts <= {_B} ORDER BY ts) END AS k FROM bars) WHERE k <= CASE side WHEN 'past' THEN 19 ELSE 20 END", "bars", doubles="close"),
@@ -186,12 +186,12 @@ ORACLES = {
     "universe_dedup": "SELECT symbol, round(market_cap, 6) AS market_cap, row_number() OVER (ORDER BY market_cap DESC, k) AS pos FROM (SELECT upper(replace(p_brand, '#', '-')) AS symbol, p_retailprice AS market_cap, p_partkey AS k FROM part WHERE p_type NOT LIKE '%STEEL%' AND regexp_full_match(upper(replace(p_brand, '#', '-')), '[A-Z0-9.-]{1,15}') QUALIFY row_number() OVER (PARTITION BY upper(replace(p_brand, '#', '-')) ORDER BY p_retailprice DESC, p_partkey) = 1) ORDER BY market_cap DESC, k LIMIT 50",
     "universe_parse": "SELECT upper('s' || m) AS symbol, row_number() OVER (ORDER BY m) AS pos FROM (SELECT DISTINCT s_suppkey % 7 AS m FROM supplier)",
     "earnings_calendar": with_tables("SELECT * FROM earnings", "earnings"),
-    "earnings_ingest": with_tables("SELECT * FROM earnings WHERE ticker IN (SELECT ticker FROM bars WHERE ticker < 4)", "earnings", "bars"),
+    "earnings_ingest": with_tables("SELECT * FROM earnings WHERE ticker IN (SELECT ticker FROM bars)", "earnings", "bars"),
     "macro_router": with_tables("SELECT w.series, w.source, count(m.value) AS n_rows, count(m.value) > 0 AS available FROM (VALUES ('1-URGENT', 'a'), ('2-HIGH', 'b'), ('VIX', 'a')) w(series, source) LEFT JOIN macro m ON m.series = w.series GROUP BY ALL", "macro"),
     "etf_profile": with_tables("SELECT symbol, aum, holdings, expense_pct / 100 AS expense, kind, max(expense_pct) OVER (PARTITION BY kind) / 100 AS max_weight FROM profiles", "profiles", doubles="aum expense max_weight"),
     "latest_score_lateral": with_tables(f"WITH {_LAST_SCORE} SELECT s.strategy_id, s.name, s.status, l.score_id, l.evaluated_at, l.expectancy, l.dsr, l.pbo FROM strategies s LEFT JOIN last_score l USING (strategy_id)", "scores", "strategies", doubles="expectancy dsr pbo"),
     "promoted_scores": with_tables(f"WITH {_LAST_SCORE} SELECT s.strategy_id, l.score_id, l.expectancy FROM strategies s JOIN last_score l USING (strategy_id) WHERE s.status = 'promoted'", "scores", "strategies", doubles="expectancy"),
-    "trades_with_signals": with_tables("SELECT t.trade_id, t.pnl_r, s.conviction FROM trades t LEFT JOIN signals s ON s.signal_id = t.signal_id WHERE t.strategy_id % 10 = 3", "trades", "signals", doubles="pnl_r conviction"),
+    "trades_with_signals": with_tables("SELECT t.trade_id, t.pnl_r, s.conviction FROM trades t LEFT JOIN signals s ON s.signal_id = t.signal_id", "trades", "signals", doubles="pnl_r conviction"),
     "upsert_keyed": with_tables("SELECT ticker, ts, CASE WHEN ticker % 2 = 0 THEN close + 1 ELSE close END AS close FROM bars", "bars", doubles="close"),
     "coalesce_merge": with_tables("SELECT trade_id, entry_ts, coalesce(pnl_r, 0.5) AS pnl_r FROM trades QUALIFY row_number() OVER (PARTITION BY trade_id ORDER BY entry_ts DESC, pnl_r DESC NULLS LAST) = 1", "trades", doubles="pnl_r"),
     "anti_join_once_only": with_tables("SELECT strategy_id, name FROM strategies WHERE strategy_id NOT IN (SELECT strategy_id FROM scores WHERE strategy_id <= 5)", "strategies", "scores"),

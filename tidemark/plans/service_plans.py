@@ -111,7 +111,7 @@ def signal_by_id(spark, sf):
 
 
 def journal_page(spark, sf):
-    own = api.filtered(tables.trades(spark, sf).where("strategy_id % 10 = 4"), "entry_ts", scanner="equity", until="not a date")
+    own = api.filtered(tables.trades(spark, sf), "entry_ts", scanner="equity", until="not a date")
     return rounded(own.orderBy(F.col("entry_ts").desc(), "trade_id", "pnl_r").limit(500).select("trade_id", "entry_ts", "pnl_r"))
 
 
@@ -129,13 +129,13 @@ def journal_header(spark, sf):
 
 
 def adverse_fill(spark, sf):
-    own = tables.trades(spark, sf).where("strategy_id % 10 = 5")
+    own = tables.trades(spark, sf)
     return rounded(own.select("trade_id", (sc.adverse_price(F.col("fill_px"), F.col("side"), True, 0.0004) + 1e-9).alias("entry_fill"), (sc.adverse_price(F.col("fill_px"), F.col("side"), False, 0.0004) + 1e-9).alias("exit_fill")))
 
 
 def _journal_inputs(spark, sf):
     bars = signals.with_atr(tables.bars(spark, sf))
-    return tables.signals(spark, sf).where("signal_id % 4 = 0").select("signal_id", "ticker", "created_at", "side"), bars.select("ticker", "ts", "idx", "open", "high", "low", "close", "atr")
+    return tables.signals(spark, sf).select("signal_id", "ticker", "created_at", "side"), bars.select("ticker", "ts", "idx", "open", "high", "low", "close", "atr")
 
 
 def paper_trades(spark, sf):
@@ -271,7 +271,7 @@ def _st(r):
 _EQR = "eq AS (SELECT strategy_id, equity, max(equity) OVER (PARTITION BY strategy_id ORDER BY entry_ts, trade_id, pnl_r ROWS UNBOUNDED PRECEDING) AS peak FROM (SELECT *, sum(pnl_r) OVER (PARTITION BY strategy_id ORDER BY entry_ts, trade_id, pnl_r ROWS UNBOUNDED PRECEDING) AS equity FROM rec WHERE pnl_r IS NOT NULL)), dd AS (SELECT strategy_id, min(equity - greatest(peak, 0)) AS mdd FROM eq GROUP BY strategy_id), cv AS (SELECT strategy_id, avg(pnl_r) AS cvar FROM (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY pnl_r) AS k, count(*) OVER (PARTITION BY strategy_id) AS m FROM rec WHERE pnl_r IS NOT NULL) WHERE k <= greatest(1, ceil(0.05::DOUBLE * m)) GROUP BY strategy_id)"
 _WLB = "((p + 3.8414588206941227::DOUBLE / (2 * n_acted) - 1.959963984540054::DOUBLE * sqrt(p * (1 - p) / n_acted + 3.8414588206941227::DOUBLE / (4 * n_acted::DOUBLE * n_acted))) / (1 + 3.8414588206941227::DOUBLE / n_acted))"
 _PAPER = f"""nb AS (SELECT * RENAME (i AS idx) FROM (SELECT *, {_ATR14} AS atr FROM staged)), win AS (SELECT ticker, ts, open, high, low, close, idx, atr FROM nb),
-sg AS (SELECT signal_id, s.ticker, side, (SELECT min(b.idx) FROM win b WHERE b.ticker = s.ticker AND b.ts >= s.created_at) + 1 AS fi FROM signals s WHERE signal_id % 4 = 0),
+sg AS (SELECT signal_id, s.ticker, side, (SELECT min(b.idx) FROM win b WHERE b.ticker = s.ticker AND b.ts >= s.created_at) + 1 AS fi FROM signals s),
 op AS (SELECT sg.*, b.ts AS fill_ts, b.open, b.close, b.atr, b.open * (1 + side * 0.0002::DOUBLE) AS fill_px FROM sg JOIN win b ON b.ticker = sg.ticker AND b.idx = sg.fi),
 {_barrier("SELECT DISTINCT ticker, fi AS idx, close AS entry_px, atr * 2.0::DOUBLE AS td, atr AS sd FROM op WHERE atr > 0 AND side = 1", 1).replace("e AS (", "le AS (").replace("px AS (SELECT *", "lpx AS (SELECT *").replace("FROM e)", "FROM le)").replace("met AS", "lmet AS").replace("FROM px e", "FROM lpx e").replace("lab AS", "llab AS").replace("FROM met", "FROM lmet").replace("labels AS", "llabels AS").replace("FROM lab)", "FROM llab)")},
 {_barrier("SELECT DISTINCT ticker, fi AS idx, close AS entry_px, atr * 2.0::DOUBLE AS td, atr AS sd FROM op WHERE atr > 0 AND side = -1", -1)},
@@ -297,11 +297,11 @@ ORACLES = {
     "population": with_tables(f"WITH {_LAST} SELECT strategy_id, name, coalesce(evaluated_at, created_at) AS dated, expectancy FROM strategies LEFT JOIN ls USING (strategy_id) WHERE scanner = 'etf' AND coalesce(evaluated_at, created_at) >= TIMESTAMP '1995-06-01' AND coalesce(evaluated_at, created_at) < TIMESTAMP '2002-01-01'", "strategies", "scores", doubles="expectancy"),
     "signals_page": with_tables("SELECT signal_id, created_at, ticker, conviction FROM signals WHERE created_at >= TIMESTAMP '1996-01-01' AND created_at < TIMESTAMP '2001-01-01' ORDER BY created_at DESC, signal_id LIMIT 500", "signals", doubles="conviction"),
     "signal_by_id": with_tables("SELECT signal_id, ticker, entry FROM signals WHERE signal_id = 7", "signals", doubles="entry"),
-    "journal_page": with_tables("SELECT trade_id, entry_ts, pnl_r FROM trades WHERE strategy_id % 10 = 4 AND scanner = 'equity' ORDER BY entry_ts DESC, trade_id, pnl_r NULLS FIRST LIMIT 500", "trades", doubles="pnl_r"),
+    "journal_page": with_tables("SELECT trade_id, entry_ts, pnl_r FROM trades WHERE scanner = 'equity' ORDER BY entry_ts DESC, trade_id, pnl_r NULLS FIRST LIMIT 500", "trades", doubles="pnl_r"),
     "realized_stats": with_tables(f"SELECT strategy_id, {_TALLY} FROM trades WHERE pnl_r IS NOT NULL AND mode IN ('paper', 'live') GROUP BY strategy_id", "trades", doubles="sum_r avg_r win_rate profit_factor"),
     "trade_tally": with_tables(f"SELECT scanner, {_TALLY} FROM trades WHERE pnl_r IS NOT NULL AND mode = 'backtest' GROUP BY scanner", "trades", doubles="sum_r avg_r win_rate profit_factor"),
     "journal_header": with_tables("SELECT sum(pnl_r) AS total_r, avg(pnl_r) AS avg_r, count(*) FILTER (pnl_r > 0) AS winners, count(pnl_r) AS closed, count(*) FILTER (pnl_r IS NULL) AS open FROM trades", "trades", doubles="total_r avg_r"),
-    "adverse_fill": with_tables("SELECT trade_id, fill_px * (1 + side * 0.0002::DOUBLE) + 1e-9 AS entry_fill, fill_px * (1 - side * 0.0002::DOUBLE) + 1e-9 AS exit_fill FROM trades WHERE strategy_id % 10 = 5", "trades", doubles="entry_fill exit_fill"),
+    "adverse_fill": with_tables("SELECT trade_id, fill_px * (1 + side * 0.0002::DOUBLE) + 1e-9 AS entry_fill, fill_px * (1 - side * 0.0002::DOUBLE) + 1e-9 AS exit_fill FROM trades", "trades", doubles="entry_fill exit_fill"),
     "paper_trades": with_tables(f"WITH {_STAGED}, {_PAPER}", "bars", "signals", doubles="fill_px exit_px pnl_r"),
     "earnings_blackout": with_tables("SELECT b.ticker, CAST(b.ts AS DATE) AS d, min(e.date) AS blackout FROM bars b LEFT JOIN earnings e ON e.ticker = b.ticker AND e.date > CAST(b.ts AS DATE) AND e.date <= CAST(b.ts AS DATE) + 21 GROUP BY ALL", "bars", "earnings"),
     "signal_reasons": with_tables(f"""WITH c AS (SELECT *, precision_oos AS p, CASE WHEN score_id % 2 = 0 THEN 1 ELSE -1 END AS side, pbo * 100 + 50 AS entry, dsr * 3 AS sd, dsr * 6 AS td FROM scores)

@@ -42,6 +42,22 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Macro series that the regime layer reads (fixed values).
+REGIME_SERIES = ["vix9d", "vix", "vix3m", "vvix", "hy_oas", "ig_oas", "fed_balance_sheet", "tga", "reverse_repo", "dxy", "ust2y", "ust10y", "copper", "gold", "oil"]
+
+
+def regime_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vintages of the regime layer's series: ``series, ts, as_of, value``; a date may be known late, and revised."""
+    name = F.element_at(F.array(*[F.lit(s) for s in REGIME_SERIES]), (F.col("o_orderkey") % 15 + 1).cast("int"))
+    late = F.expr("o_orderdate + make_dt_interval(CAST(o_orderkey % 8 AS INT))")
+    return (
+        read(spark, sf_dir, "orders")
+        .select(name.alias("series"), F.col("o_orderdate").alias("ts"), late.alias("as_of"), (F.col("o_totalprice") / 1000).alias("value"))
+        .groupBy("series", "ts", "as_of")
+        .agg(F.avg("value").alias("value"))
+    )
+
+
 def features_pit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bitemporal features: ``ticker, feature_key, layer, decision_ts, as_of, value, seq``."""
     return read(spark, sf_dir, "events").select(
@@ -136,6 +152,7 @@ SQL = {
     "bars": """bars AS (SELECT ticker, ts, min_by(px, o) AS open, max(px) AS high, min(px) AS low, max_by(px, o) AS close, sum(q) AS volume
   FROM (SELECT l_suppkey % 10 AS ticker, l_shipdate AS ts, l_extendedprice / l_quantity AS px, l_quantity AS q, {'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey} AS o FROM lineitem) GROUP BY ticker, ts)""",
     "macro": """macro AS (SELECT o_orderpriority AS series, o_orderdate AS ts, o_orderdate + to_days(CAST(o_orderkey % 8 AS INTEGER)) AS as_of, avg(o_totalprice) AS value FROM orders GROUP BY ALL)""",
+    "regime_series": f"""regime_series AS (SELECT ({REGIME_SERIES!r})[o_orderkey % 15 + 1] AS series, o_orderdate AS ts, o_orderdate + to_days(CAST(o_orderkey % 8 AS INTEGER)) AS as_of, avg(o_totalprice / 1000) AS value FROM orders GROUP BY ALL)""",
     "features_pit": """features_pit AS (SELECT user_id AS ticker, event_type AS feature_key, CASE WHEN event_type < 'm' THEN 'location' ELSE 'trigger' END AS layer,
   ts AS decision_ts, ts + to_hours(CAST(event_id % 7 AS INTEGER)) AS as_of, value, event_id AS seq FROM events)""",
     "trades": """trades AS (SELECT l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS trade_id, l_orderkey AS signal_id, l_suppkey AS strategy_id,
