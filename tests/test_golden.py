@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
 from tidemark.functions import scalars as sc
-from tidemark.operators import api, crossval, features, labeling, learners, metrics, pit, regime, search, signals, sinks, validation
+from tidemark.operators import api, crossval, features, labeling, learners, metrics, monitor, pit, regime, search, signals, sinks, validation
 from tidemark.sources import provider
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -371,12 +371,80 @@ def test_genomes_stay_valid():
     pool = search.seed_population(cat, 10, rng)
     for _ in range(300):
         g = search.mutate(rng.choice(pool), cat, rng) if rng.random() < 0.5 else search.cross(rng.choice(pool), rng.choice(pool), rng)
-        assert 1 <= len(g.predicates) <= search.MAX_PREDICATES and g.stop > 0 and g.target > 0 and all(k in cat for k, _, _ in g.predicates)
+        assert 1 <= len(g.predicates) <= search.MAX_PREDICATES and g.risk.stop > 0 and g.risk.target in search.TARGETS and all(k in cat for k, _, _ in g.predicates)
         pool[rng.randrange(len(pool))] = g
     a, b = search.Genome((("x", "gt", 0.1), ("y", "lt", -0.0))), search.Genome((("y", "lt", 0.0), ("x", "gt", 0.1)))
     assert a.signature == b.signature
 
 
+def test_archetypes_take_the_quantiles_of_their_ideas():
+    cat = {k: [float(q) for q in search.QUANTILES] for _, idea in search.ARCHETYPES.values() for k, _, _ in idea}
+    got = search.archetypes(cat)
+    assert len(got) == 7 and sum(g.side for g in got) == 1 and all(g.actionable for g in got)
+    assert dict((k, (op, t)) for k, op, t in got[2].predicates)["trigger__rsi14"] == ("lt", pytest.approx(0.25))
+    assert len(search.archetypes({k: v for k, v in cat.items() if k != "regime__adx"})) == 1  # an idea needs all of its features
+
+
+def test_risk_space():
+    import random
+
+    rng, fixed = random.Random(3), search.Risk("fixed", 5.0, 2.0, 3.0)
+    space = search.RiskSpace(fixed)
+    drawn = [space.sample(rng) for _ in range(200)]
+    assert all(r.kind == "fixed" and 3.75 <= r.stop <= 6.25 and r.target in search.TARGETS and r.second == min(r.target + 1, 5.0) for r in drawn)
+    kinds, r = set(), search.Risk()
+    for _ in range(300):
+        r = space.mutate(r, rng)
+        kinds.add(r.kind)
+        assert r.stop > 0 and r.target in search.TARGETS and r.second is None
+    assert kinds == {"atr", "pct", "fixed"}
+    child = space.cross(search.Risk("atr", 1.0, 1.5, None), search.Risk("pct", 2.0, 3.0, 4.0), rng)
+    assert (child.kind, child.stop) in (("atr", 1.0), ("pct", 2.0)) and child.target in (1.5, 3.0) and child.second in (None, 4.0)
+    locked = search.RiskSpace(fixed, locked=True)
+    assert locked.sample(rng) == fixed and locked.mutate(fixed, rng) == fixed
+
+
+def test_survivors(spark):
+    rows = [(1, "candidate", True, True), (2, "candidate", False, True), (3, "candidate", False, False), (4, "candidate", None, None), (5, "promoted", False, False)]
+    got = search.select_survivors(spark.createDataFrame(rows, "id int, status string, passed boolean, survivor boolean")).orderBy("id").collect()
+    assert [(r.status, r.carried) for r in got] == [("promoted", True), ("candidate", True), ("retired", False), ("candidate", False), ("retired", False)]
+
+
+def test_made_up_sources(spark):
+    a, b = dt.date(2024, 1, 1), dt.date(2024, 6, 30)
+    macro = provider.mock_macro(spark, ["vix", "oil"], a, b)
+    assert macro.count() == 2 * 130 and macro.exceptAll(provider.mock_macro(spark, ["oil", "vix"], a, b)).isEmpty()
+    universe = provider.mock_universe(spark, 20)
+    assert [r.symbol for r in provider.universe(universe, 3).orderBy("pos").collect()] == ["MOCK0", "MOCK1", "MOCK2"]
+    assert provider.fund_profile(provider.mock_profiles(universe)).count() == 20
+    earnings = provider.mock_earnings(universe, a, b).collect()
+    assert len(earnings) > 35 and all(r.date.weekday() < 5 for r in earnings)
+
+
+def test_proprietary_feeds_are_never_made_up(spark):
+    rows = spark.createDataFrame([(1, DAY0), (2, DAY0), (3, DAY0)], "ticker long, ts timestamp_ntz")
+    feed = spark.createDataFrame([(1, DAY0, -5.0), (2, DAY0, 0.0)], "ticker long, ts timestamp_ntz, value double")
+    got = provider.with_proprietary(rows, gex_net=feed, dix=None).orderBy("ticker").collect()
+    assert [(r.gex_net, r.gex_sign, r.dix) for r in got] == [(-5.0, -1.0, None), (0.0, 1.0, None), (None, None, None)]
+
+
+def test_models_tables_and_periods(spark, tmp_path):
+    x, r = planted(100, "genuine")
+    model, path = learners.fit(x, (r > 0).astype(float), trees=3), f"file://{tmp_path}"
+    name = learners.model_id(["a", "b", "c"], {"trees": 3}, 0)
+    for _ in range(2):
+        learners.save_model(spark, path, name, ["a", "b", "c"], model)
+    names, back = learners.load_model(spark, path, name)
+    assert names == ["a", "b", "c"] and np.array_equal(back.proba(x), model.proba(x))
+    for k in range(2):  # what is there stays
+        tables = sinks.migrate(spark, f"{path}/db", {"t": "id int, v int"}, {"t": ["id"]})
+        tables["t"].upsert(spark.createDataFrame([(k, k)], "id int, v int"))
+    assert tables["t"].read().count() == 2
+    labels = spark.createDataFrame([(dt.datetime(2020, 3, d), "risk_off" if d < 4 else "risk_on") for d in range(1, 6)], "ts timestamp_ntz, label string")
+    got = {r.name: (r.n, r.share, r.passed) for r in monitor.regime_sanity(labels).collect()}
+    assert got["COVID crash"] == (5, 0.6, True) and got["calm uptrend"] == (0, 0.0, False)
+
+
 def test_path_of_predictions(spark):
     p = spark.createDataFrame([(1, 0, 0.2), (1, 1, 0.6), (2, 0, 0.5)], "pos int, split int, p double")
     assert {r.pos: r.p for r in crossval.oos_single_path(p).collect()} == {1: 0.6, 2: 0.5}

@@ -15,7 +15,7 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BINS = 32
@@ -287,6 +287,17 @@ def interpolate(x: Column, knots: list[tuple[float, float]]) -> Column:
     return F.nanvl(at(x), F.lit(None).cast("double"))
 
 
+def save_model(spark: SparkSession, path: str, name: str, features: Sequence[str], model: Boosted | float) -> None:
+    """A fitted model with its features under ``path``, by its ``model_id``; the same name again replaces it."""
+    blob = pickle.dumps((list(features), model))
+    spark.createDataFrame([(name, blob)], "name string, model binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_model(spark: SparkSession, path: str, name: str) -> tuple[list[str], Boosted | float]:
+    """Only for files that this library wrote: they are unpickled."""
+    return pickle.loads(bytes(spark.read.parquet(f"{path}/{name}").first().model))
+
+
 def model_id(features: Sequence[str], params: dict, seed: int) -> str:
     import hashlib
     import json

@@ -122,6 +122,25 @@ def changelog(events: DataFrame) -> DataFrame:
     return own.groupBy("week").agg(*each)
 
 
+#: Periods whose regime is known (fixed values): name, first and last day, labels of which enough days should have one, and the least share.
+KNOWN_PERIODS = [
+    ("COVID crash", "2020-02-20", "2020-03-23", ["risk_off", "vol_expansion"], 0.50),
+    ("2022 bear market", "2022-01-01", "2022-06-30", ["risk_off", "vol_expansion"], 0.30),
+    ("calm uptrend", "2024-05-01", "2024-07-31", ["risk_on", "vol_compression"], 0.50),
+]
+
+
+def regime_sanity(labels: DataFrame, periods: list[tuple[str, str, str, list[str], float]] = KNOWN_PERIODS) -> DataFrame:
+    """``name, n, share, passed`` of each period over ``labels`` (``ts, label``): the share of labels that are as expected. A period without labels fails."""
+    known = labels.sparkSession.createDataFrame(periods, "name string, first string, last string, expected array<string>, least double")
+    day = F.col("ts").cast("date")
+    one = [F.struct(F.lit(name).alias("name"), F.count_if(day.between(F.lit(a).cast("date"), F.lit(b).cast("date"))).alias("n"),
+                    F.count_if(day.between(F.lit(a).cast("date"), F.lit(b).cast("date")) & F.col("label").isin(wanted)).alias("hits")) for name, a, b, wanted, _ in periods]
+    counted = labels.agg(F.array(*one).alias("x")).select(F.inline("x"))  # one pass over the labels
+    share = F.coalesce(F.col("hits") / F.when(F.col("n") > 0, F.col("n")), F.lit(0.0))
+    return known.join(counted, "name").select("name", "n", share.alias("share"), ((F.col("n") > 0) & (share >= F.col("least"))).alias("passed"))
+
+
 def report(events: DataFrame) -> DataFrame:
     return events.groupBy("detector").agg(F.count("*").alias("n"))
 

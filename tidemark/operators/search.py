@@ -1,6 +1,6 @@
 """Genetic search over rule genomes. The loop, over a few dozen genomes, is on the driver; each generation is one Spark job.
 
-A genome is a side, a risk (stop and target in ATRs), and predicates ``(feature, op, threshold)`` whose thresholds are
+A genome is a side, a risk (a stop and targets), and predicates ``(feature, op, threshold)`` whose thresholds are
 quantiles seen in the data. Genomes are ranked by out-of-sample results alone.
 """
 
@@ -16,31 +16,90 @@ from pyspark.sql import functions as F
 from tidemark.operators import labeling, metrics
 
 OPS = ("gt", "lt")
+#: The share of random genomes that are made able to trade.
+BIAS = 0.6
 MIN_ROWS, MAX_PREDICATES, MIN_ENTRIES = 30, 4, 40
-#: Ideas that seed a population (fixed values): the features they look at and the side of the typical value.
+#: Quantiles of each feature that thresholds are taken from.
+QUANTILES = [0.2 + 0.05 * i for i in range(13)]
+#: Ideas that seed a population (fixed values): side, and for each feature the comparison and the quantile of its threshold.
 ARCHETYPES = {
-    "momentum": [("trigger__momentum_roc", "gt"), ("trigger__ema_stack_align", "gt")],
-    "pullback": [("location__dist_50dma", "gt"), ("trigger__rsi14", "lt")],
-    "breakout": [("location__dist_rolling_high", "gt"), ("trigger__atr_contraction", "lt")],
-    "reversal": [("location__pct_range_position", "lt"), ("trigger__momentum_divergence", "gt")],
-    "squeeze": [("trigger__atr_contraction", "lt"), ("trigger__nr7", "gt")],
-    "leader": [("trigger__rs_vs_spy", "gt"), ("trigger__breadth_thrust", "gt")],
-    "flow": [("trigger__obv_trend", "gt"), ("location__anchored_vwap_dist", "gt")],
+    "trend_follow_long": (1, [("regime__adx", "gt", 0.65), ("location__dist_50dma", "gt", 0.60), ("trigger__momentum_roc", "gt", 0.60)]),
+    "rs_breakout_long": (1, [("regime__adx", "gt", 0.55), ("trigger__rs_vs_spy", "gt", 0.70), ("location__pct_range_position", "gt", 0.70)]),
+    "mean_revert_long": (1, [("trigger__rsi14", "lt", 0.25), ("location__dist_200dma", "gt", 0.45), ("regime__adx", "lt", 0.50)]),
+    "vwap_reclaim_long": (1, [("location__anchored_vwap_dist", "lt", 0.30), ("trigger__rsi14", "lt", 0.35), ("regime__rv_percentile", "lt", 0.60)]),
+    "trend_follow_short": (-1, [("regime__adx", "gt", 0.65), ("location__dist_50dma", "lt", 0.40), ("trigger__momentum_roc", "lt", 0.40)]),
+    "rs_breakdown_short": (-1, [("regime__adx", "gt", 0.55), ("trigger__rs_vs_spy", "lt", 0.30), ("location__pct_range_position", "lt", 0.30)]),
+    "mean_revert_short": (-1, [("trigger__rsi14", "gt", 0.75), ("location__dist_200dma", "gt", 0.70), ("regime__adx", "lt", 0.50)]),
 }
+#: Stops in ATRs and targets in multiples of the risk that the search tries, and the farthest second target (fixed values).
+STOPS, TARGETS, FARTHEST = (0.5, 0.75, 1.0, 1.5, 2.0), (1.5, 2.0, 2.5, 3.0), 5.0
+
+
+@dataclass(frozen=True)
+class Risk:
+    """A stop (``atr`` multiples, ``fixed`` amounts or ``pct`` of the price) and targets in multiples of its distance."""
+
+    kind: str = "atr"
+    stop: float = 1.0
+    target: float = 2.0
+    second: float | None = None
+
+
+@dataclass(frozen=True)
+class RiskSpace:
+    """Where risks are drawn from. The operator's own stop stays of its kind when sampled; ``locked``: nothing but the operator's risk."""
+
+    operator: Risk = Risk()
+    locked: bool = False
+
+    def sample(self, rng: random.Random) -> Risk:
+        if self.locked:
+            return self.operator
+        return self._aimed(replace(self.operator, stop=self._stop(self.operator, rng), second=0.0), rng)
+
+    def mutate(self, risk: Risk, rng: random.Random) -> Risk:
+        """One change: the size of the stop, the targets, or the kind of the stop."""
+        if self.locked:
+            return risk
+        change = rng.choice(("stop", "target", "kind"))
+        if change == "stop":
+            return replace(risk, stop=self._stop(risk, rng))
+        if change == "target":
+            return self._aimed(risk, rng)
+        kind = rng.choice(("atr", "pct", "fixed") if risk.kind == "atr" else (risk.kind, "atr", "atr"))
+        if kind == risk.kind:
+            return replace(risk, stop=self._stop(risk, rng))
+        size = {"atr": lambda: rng.choice(STOPS), "pct": lambda: rng.uniform(1, 3), "fixed": lambda: rng.uniform(2, 8)}[kind]()
+        return replace(risk, kind=kind, stop=size)
+
+    def cross(self, a: Risk, b: Risk, rng: random.Random) -> Risk:
+        if self.locked:
+            return a
+        stop, near, far = (rng.choice((a, b)) for _ in range(3))
+        return Risk(stop.kind, stop.stop, near.target, far.second)
+
+    @staticmethod
+    def _stop(risk: Risk, rng: random.Random) -> float:
+        return rng.choice(STOPS) if risk.kind == "atr" else max(1e-6, abs(risk.stop) * rng.uniform(0.75, 1.25))
+
+    @staticmethod
+    def _aimed(risk: Risk, rng: random.Random) -> Risk:
+        target = rng.choice(TARGETS)
+        return replace(risk, target=target, second=None if risk.second is None else min(target + 1, FARTHEST))
 
 
 @dataclass(frozen=True)
 class Genome:
     predicates: tuple[tuple[str, str, float], ...]
     side: int = 1
-    stop: float = 1.0
-    target: float = 2.0
+    risk: Risk = Risk()
 
     @property
     def signature(self) -> str:
         """The same for any order of the predicates."""
         body = "&".join(sorted(f"{k}:{op}:{round(t, 4) + 0.0:.4f}" for k, op, t in self.predicates))
-        return f"{self.side}|{self.stop:g}|{self.target:g}|{body}"
+        r = self.risk
+        return f"{self.side}|{r.kind}:{r.stop:.4g}|{r.target:g}:{r.second or 0:g}|{body}"
 
     @property
     def actionable(self) -> bool:
@@ -48,26 +107,36 @@ class Genome:
 
 
 def catalog(window: DataFrame) -> dict[str, list[float]]:
-    """Quantiles .2 to .8 of each feature with enough values that vary: one aggregate, a few numbers a feature."""
+    """QUANTILES of each feature with enough values that vary: one aggregate, a few numbers a feature."""
     names = [c for c in window.columns if "__" in c]
-    q = [0.2, 0.35, 0.5, 0.65, 0.8]
+    q = QUANTILES
     row = window.agg(*[F.struct(F.count(c).alias("n"), F.percentile_approx(c, F.array(*[F.lit(x) for x in q]), F.lit(1000)).alias("q")).alias(c) for c in names]).first()
     return {c: list(row[c].q) for c in names if row[c].n >= MIN_ROWS and len(set(row[c].q)) > 1}
 
 
-def random_genome(cat: dict[str, list[float]], rng: random.Random) -> Genome:
+def random_genome(cat: dict[str, list[float]], rng: random.Random, space: RiskSpace = RiskSpace()) -> Genome:
     names = rng.sample(sorted(cat), k=min(len(cat), rng.randint(1, 3)))
-    return Genome(tuple((n, rng.choice(OPS), rng.choice(cat[n])) for n in names), rng.choice((1, -1)), rng.choice((0.5, 1.0, 1.5)), rng.choice((1.0, 2.0, 3.0)))
-
-
-def seed_population(cat: dict[str, list[float]], n: int, rng: random.Random) -> list[Genome]:
-    own = []
-    for idea in ARCHETYPES.values():
-        parts = tuple((k, op, cat[k][1 if op == "lt" else -2]) for k, op in idea if k in cat)
-        if parts:
-            own.append(Genome(parts))
-    while cat and len(own) < n:
-        own.append(random_genome(cat, rng))
+    return Genome(tuple((n, rng.choice(OPS), rng.choice(cat[n])) for n in names), rng.choice((1, -1)), space.sample(rng))
+
+
+def archetypes(cat: dict[str, list[float]], risk: Risk = Risk()) -> list[Genome]:
+    """The ideas whose features are all there, bound to the quantiles seen."""
+    at = lambda name, q: cat[name][round((q - QUANTILES[0]) / 0.05)]
+    return [Genome(tuple((k, op, at(k, q)) for k, op, q in idea), side, risk) for side, idea in ARCHETYPES.values() if all(k in cat for k, _, _ in idea)]
+
+
+def seed_population(cat: dict[str, list[float]], n: int, rng: random.Random, space: RiskSpace = RiskSpace()) -> list[Genome]:
+    """The archetypes, then genomes at random; of these a share of BIAS has a feature of the trigger or location layers."""
+    own = archetypes(cat, space.operator)
+    ready = [c for c in sorted(cat) if c.split("__")[0] in ("trigger", "location")]
+    for _ in range(50 * n):
+        if not cat or len(distinct(own)) >= n:
+            break
+        g = random_genome(cat, rng, space)
+        if ready and not g.actionable and rng.random() < BIAS:
+            name = rng.choice(ready)
+            g = replace(g, predicates=((name, rng.choice(OPS), rng.choice(cat[name])), *g.predicates[1:]))
+        own.append(g)
     return distinct(own)[:n]
 
 
@@ -75,10 +144,10 @@ def distinct(genomes: Sequence[Genome]) -> list[Genome]:
     return list({g.signature: g for g in genomes}.values())
 
 
-def mutate(g: Genome, cat: dict[str, list[float]], rng: random.Random) -> Genome:
+def mutate(g: Genome, cat: dict[str, list[float]], rng: random.Random, space: RiskSpace = RiskSpace()) -> Genome:
     """One change: add, drop or replace a predicate, move its threshold, turn its comparison, or change side or risk."""
     preds = list(g.predicates)
-    kind = rng.choice(["add", "drop", "swap", "threshold", "op", "side", "stop", "target"])
+    kind = rng.choice(["add", "drop", "swap", "threshold", "op", "side", "risk", "risk"])
     i = rng.randrange(len(preds))
     name, op, _ = preds[i]
     if kind == "add" and len(preds) < MAX_PREDICATES:
@@ -87,15 +156,15 @@ def mutate(g: Genome, cat: dict[str, list[float]], rng: random.Random) -> Genome
         return replace(g, predicates=tuple(preds[:i] + preds[i + 1 :]))
     if kind == "side":
         return replace(g, side=-g.side)
-    if kind in ("stop", "target"):
-        return replace(g, **{kind: max(0.25, round(getattr(g, kind) * rng.choice((0.75, 1.25)), 2))})
+    if kind == "risk" and not space.locked:
+        return replace(g, risk=space.mutate(g.risk, rng))
     preds[i] = {"threshold": (name, op, rng.choice(cat[name])), "op": (name, "lt" if op == "gt" else "gt", preds[i][2])}.get(kind, random_genome(cat, rng).predicates[0])
     return replace(g, predicates=tuple(preds))
 
 
-def cross(a: Genome, b: Genome, rng: random.Random) -> Genome:
+def cross(a: Genome, b: Genome, rng: random.Random, space: RiskSpace = RiskSpace()) -> Genome:
     i, j = rng.randint(1, len(a.predicates)), rng.randint(0, len(b.predicates))
-    return Genome((a.predicates[:i] + b.predicates[j:])[:MAX_PREDICATES], a.side, rng.choice((a, b)).stop, rng.choice((a, b)).target)
+    return Genome((a.predicates[:i] + b.predicates[j:])[:MAX_PREDICATES], a.side, space.cross(a.risk, b.risk, rng))
 
 
 def evaluate(genomes: Sequence[Genome], window: DataFrame, profile: labeling.Profile = labeling.SWING) -> DataFrame:
@@ -109,18 +178,19 @@ def evaluate(genomes: Sequence[Genome], window: DataFrame, profile: labeling.Pro
     fired = window.join(last, "ticker").where((F.col("atr") > 0) & (F.col("idx") < F.col("last"))).select("ticker", "idx", F.explode(flags).alias("genome"))
     taken = labeling.greedy_cooldown(fired, ["genome", "ticker"], max(profile.min_hold, 1))
     pick = lambda f: F.element_at(F.array(*[F.lit(f(g)) for _, g in own]), F.col("genome") + 1)
+    stop = labeling.distance(pick(lambda g: g.risk.kind), pick(lambda g: g.risk.stop), F.col("entry_px"), F.col("atr"))
     entries = taken.join(window.select("ticker", "idx", F.col("close").alias("entry_px"), "atr"), ["ticker", "idx"]).select(
-        "genome", "ticker", "idx", "entry_px", pick(lambda g: g.side).alias("side"), (F.col("atr") * pick(lambda g: g.target)).alias("target_dist"), (F.col("atr") * pick(lambda g: g.stop)).alias("stop_dist")
+        "genome", "ticker", "idx", "entry_px", pick(lambda g: g.side).alias("side"), (pick(lambda g: g.risk.target) * stop).alias("target_dist"), stop.alias("stop_dist")
     )
     labels = labeling.triple_barrier(entries, window, profile.max_hold).where("ret_r IS NOT NULL")
     net = labels.withColumn("net_r", F.col("ret_r") - metrics.COST_R)
     return metrics.deflated_sharpe(metrics.moments(net, ["genome"], "net_r"), max(2, len(own)))
 
 
-def evolve(window: DataFrame, generations: int = 2, size: int = 12, seed: int = 7) -> list[tuple[Genome, float, float]]:
+def evolve(window: DataFrame, generations: int = 2, size: int = 12, seed: int = 7, space: RiskSpace = RiskSpace()) -> list[tuple[Genome, float, float]]:
     """The best genomes with expectancy and DSR. Elites stay, the rest are mutations and crossovers, none is scored twice."""
     rng, cat = random.Random(seed), catalog(window)
-    pool, scored = seed_population(cat, size, rng), {}
+    pool, scored = seed_population(cat, size, rng, space), {}
     for _ in range(generations):
         fresh = [g for g in pool if g.signature not in scored]
         if fresh:
@@ -134,6 +204,14 @@ def evolve(window: DataFrame, generations: int = 2, size: int = 12, seed: int =
         for _ in range(20 * size):
             if len(distinct(pool)) >= size:
                 break
-            pool.append(mutate(rng.choice(elite), cat, rng) if rng.random() < 0.6 else cross(rng.choice(elite), rng.choice(elite), rng))
+            pool.append(mutate(rng.choice(elite), cat, rng, space) if rng.random() < 0.6 else cross(rng.choice(elite), rng.choice(elite), rng, space))
         pool = distinct(pool)[:size]
     return rank
+
+
+def select_survivors(evaluated: DataFrame) -> DataFrame:
+    """``evaluated`` (``status`` and the gate's ``passed, survivor``; all null where a genome was not scored) with the ``status`` it gets and whether
+    its genome is carried into the next generation: promoted if it passes, kept as it is if it survives, retired if it was scored and does neither."""
+    passed, survivor = F.coalesce("passed", F.lit(False)), F.coalesce("survivor", F.lit(False))
+    status = F.when(passed, "promoted").when(F.col("survivor").isNotNull() & ~survivor, "retired").otherwise(F.col("status"))
+    return evaluated.withColumns({"status": status, "carried": passed | survivor})

@@ -85,6 +85,11 @@ class KeyedTable:
         self._next(without(self.read(), condition))
 
 
+def migrate(spark: SparkSession, path: str, tables: dict[str, str], keys: dict[str, list[str]]) -> dict[str, KeyedTable]:
+    """A keyed table for each name and schema under ``path``: made where it is missing, left as it is where it is there, however often this runs."""
+    return {name: KeyedTable(spark, f"{path}/{name}", schema, keys[name]) for name, schema in tables.items()}
+
+
 def write_dataset(rows: DataFrame, path: str, time: str = "ts") -> None:
     """A labelled dataset: refuses an empty one, orders by time, feature columns by name."""
     if rows.isEmpty():

@@ -122,6 +122,53 @@ def mock_bars(spark: SparkSession, tickers: Iterable[str], start: dt.date, end:
     )
 
 
+def mock_macro(spark: SparkSession, series: Iterable[str], start: dt.date, end: dt.date, lag_days: int = 1) -> DataFrame:
+    """Made-up daily values that depend on series and date alone: ``series, ts, as_of, value``."""
+    days = spark.sql(f"SELECT explode(sequence(DATE '{start}', DATE '{end}', INTERVAL 1 DAY)) AS d").where(F.weekday("d") < 5)
+    own = days.select(F.explode(F.array(*[F.lit(s) for s in series])).alias("series"), "d")
+    level = 10 + F.pmod(F.xxhash64("series"), F.lit(40))
+    value = level * (1 + 0.2 * F.sin(F.unix_date("d") / 30.0) + 0.05 * (F.pmod(F.xxhash64("series", "d"), F.lit(10007)) / 10007.0 - 0.5))
+    ts = F.col("d").cast("timestamp_ntz")
+    return own.select("series", ts.alias("ts"), (ts + F.make_dt_interval(F.lit(lag_days))).alias("as_of"), value.alias("value"))
+
+
+def mock_universe(spark: SparkSession, n: int) -> DataFrame:
+    """Made-up symbols with market caps that fall: ``symbol, market_cap, k``."""
+    k = F.col("id")
+    return spark.range(n).select(F.concat(F.lit("MOCK"), k.cast("string")).alias("symbol"), (1e12 / (k + 1)).alias("market_cap"), k.alias("k"))
+
+
+def mock_profiles(universe: DataFrame) -> DataFrame:
+    """Made-up fund profiles of symbols, in the columns of ``fund_profile``'s input; every seventh symbol has no AUM."""
+    h = F.pmod(F.xxhash64("symbol"), F.lit(1000))
+    aum = F.when(h % 7 != 0, (h + 1) * 1e7)
+    return universe.select("symbol", aum.alias("aum"), (h % 500 + 20).alias("holdings"), (h % 90 / 100).alias("expense_pct"), F.when(h % 2 == 0, "equity").otherwise("sector").alias("kind"))
+
+
+def mock_earnings(universe: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """A made-up report of each symbol in every quarter, on a weekday: ``ticker, date``."""
+    quarters = [F.lit(r.quarter) for r in quarter_starts(universe.sparkSession, start, end).collect()]  # four a year
+    own = universe.select("symbol", F.explode(F.array(*quarters)).alias("quarter"))
+    day = F.date_add("quarter", F.pmod(F.xxhash64("symbol"), F.lit(60)).cast("int"))
+    weekday = F.date_sub(day, F.greatest(F.weekday(day) - 4, F.lit(0)))
+    return own.select(F.col("symbol").alias("ticker"), weekday.alias("date")).where(F.col("date").between(F.lit(start), F.lit(end)))
+
+
+def with_proprietary(rows: DataFrame, **feeds: DataFrame | None) -> DataFrame:
+    """``rows`` (``ticker, ts``) with a column for each feed (``ticker, ts, value``), such as ``gex_net``, ``order_flow_imbalance`` or ``dix``.
+
+    A feed that is not there gives nulls: nothing is made up in its place. ``gex_net`` brings its sign, ``gex_sign`` (1 from 0 on), with it.
+    """
+    for name, feed in feeds.items():
+        if feed is None:
+            rows = rows.withColumn(name, F.lit(None).cast("double"))
+        else:
+            rows = rows.join(feed.select("ticker", "ts", F.col("value").cast("double").alias(name)), ["ticker", "ts"], "left")
+        if name == "gex_net":
+            rows = rows.withColumn("gex_sign", F.when(F.col(name) >= 0, 1.0).when(F.col(name) < 0, -1.0))
+    return rows
+
+
 def quarter_starts(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:
     return spark.sql(f"SELECT explode(sequence(trunc(DATE '{start}', 'QUARTER'), DATE '{end}', INTERVAL 3 MONTH)) AS quarter").where(F.col("quarter") >= F.lit(start))
 
