@@ -143,6 +143,26 @@ def nearest_rank(values: Column, q: float) -> Column:
     return F.element_at(values, F.round(F.lit(q) * (F.size(values) - 1)).cast("int") + 1)
 
 
+def nearest_ranks(rows: DataFrame, key: str, value: str, quantiles: Sequence[float], buckets: int = 1024) -> DataFrame:
+    """``key, n, lo, hi`` and for each quantile ``q20`` and so on: the value at ``round(q * (n - 1))`` in order, exactly.
+
+    Values are counted first, so a frequent one is a single row; counts of value buckets then tell which bucket holds a rank, and
+    only that one is put in order: no group is collected. Null values do not count.
+    """
+    v = F.col(value)
+    counted = rows.where(v.isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
+    whole = counted.groupBy(key).agg(F.sum("c").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))).otherwise(0)
+    placed = counted.join(whole, key).withColumn("bucket", at.cast("int"))
+    sums = placed.groupBy(key, "n", "bucket").agg(F.sum("c").alias("c"))
+    before = F.sum("c").over(Window.partitionBy(key).orderBy("bucket")) - F.col("c")  # at most ``buckets`` rows a key
+    ranks = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.round(F.lit(q) * (F.col("n") - 1)).cast("long").alias("rank")) for q in quantiles])).alias("w")
+    wanted = sums.withColumn("before", before).select(key, "bucket", "c", "before", ranks).where("w.rank >= before AND w.rank < before + c").select(key, "bucket", "w.q", (F.col("w.rank") - F.col("before")).alias("left"))
+    upto = F.sum("c").over(Window.partitionBy(key, "bucket", "q").orderBy(value))
+    found = placed.join(wanted, [key, "bucket"]).withColumn("upto", upto).where("left < upto AND left >= upto - c")
+    return found.groupBy(key, "n", "lo", "hi").agg(*[F.max(F.when(F.col("q") == q, v)).alias(f"q{round(q * 100)}") for q in quantiles])
+
+
 def brier(p: Column, y: Column) -> Column:
     return F.avg((p - y) * (p - y))
 

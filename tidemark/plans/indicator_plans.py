@@ -262,3 +262,11 @@ u AS (SELECT *, {_rsi()} AS rsi14, CASE WHEN len(xs) > 19 THEN {_rsi()} - {_rsi(
     ),
     "dataset_pivot": with_tables("SELECT ticker, " + ", ".join(f"max_by(value, {{'a': decision_ts, 'b': seq}}) FILTER (feature_key = '{k}') AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM features_pit GROUP BY ticker", "features_pit", doubles="click error purchase signup view"),
 }
+
+_ALL_KEYS = [c for keys in features.LAYERS.values() for c in keys]
+_LAYERS_SQL = f"({ORACLES['location_features']}) l JOIN ({ORACLES['trigger_features']}) t USING (ticker, ts) JOIN ({ORACLES['regime_features']}) r USING (ticker, ts)"
+_N_FEATURES = " + ".join(f"({c} IS NOT NULL)::INT" for c in _ALL_KEYS)
+ORACLES |= {
+    "feature_window": with_tables(f"SELECT ticker, ts, CAST(idx AS INTEGER) AS idx, {_N_FEATURES} AS n_features FROM (SELECT ticker, ts, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS idx FROM bars) b JOIN {_LAYERS_SQL} USING (ticker, ts)", "bars"),
+    "latest_feature_map": with_tables(f"SELECT ticker, ts, round(b.close, 6) AS close, {_N_FEATURES} AS n, momentum_roc AS roc FROM (SELECT ticker, max(ts) AS ts, max_by(close, ts) AS close FROM bars GROUP BY ticker) b JOIN {_LAYERS_SQL} USING (ticker, ts)", "bars"),
+}

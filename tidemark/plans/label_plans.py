@@ -172,8 +172,7 @@ def brier(spark, sf):
 
 
 def nearest_rank_quantile(spark, sf):
-    xs = F.array_sort(F.collect_list("close"))
-    return rounded(tables.bars(spark, sf).groupBy("ticker").agg(xs.alias("xs")).select("ticker", *[metrics.nearest_rank(F.col("xs"), q).alias(f"q{int(q * 100)}") for q in (0.2, 0.5, 0.8)]))
+    return rounded(metrics.nearest_ranks(tables.bars(spark, sf), "ticker", "close", [0.2, 0.5, 0.8]).drop("n", "lo", "hi"))
 
 
 def gate(spark, sf):
@@ -265,6 +264,11 @@ _WIL = "CASE WHEN m IS NOT NULL AND precision_oos IS NOT NULL THEN greatest(leas
 _SC = "sm AS (SELECT *, CASE WHEN n_acted > 0 THEN n_acted::DOUBLE END AS m, coalesce(dsr > 0 AND pbo < 0.5 AND expectancy > 0 AND n_regimes >= 2, false) AS passed FROM scores)"
 _ACT = "th AS (SELECT tau, count(*) FILTER (p >= tau) AS n_acted, coalesce(count(*) FILTER (p >= tau AND r > 0.05) / nullif(count(*) FILTER (p >= tau), 0), 0) AS precision, coalesce(count(*) FILTER (p >= tau AND r > 0.05) / nullif(count(*) FILTER (r > 0.05), 0), 0) AS recall, avg(r - 0.05::DOUBLE) FILTER (p >= tau) AS expectancy FROM data, (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS tau) GROUP BY tau)"
 
+_CHOICE = """grid AS (SELECT DISTINCT tau FROM (SELECT unnest(list_transform(quantile_cont(p, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), lambda x: round(x, 9))) AS tau FROM data UNION ALL SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE)),
+halves AS (SELECT *, CASE WHEN pos < floor(0.7::DOUBLE * (SELECT count(*) FROM data)) THEN 0 ELSE 1 END AS k FROM data),
+ok AS (SELECT k, tau, precision, recall, expectancy FROM (SELECT k, tau, count(*) AS size, count(*) FILTER (p >= tau) AS n_acted, count(*) FILTER (p >= tau AND r > 0.05) / nullif(count(*) FILTER (p >= tau), 0) AS precision,
+  count(*) FILTER (p >= tau AND r > 0.05) / nullif(count(*) FILTER (r > 0.05), 0) AS recall, avg(r - 0.05::DOUBLE) FILTER (p >= tau) AS expectancy FROM halves, grid GROUP BY k, tau) WHERE n_acted >= greatest(8, ceil(0.1::DOUBLE * size)) AND expectancy > 0)"""
+
 
 def _evidence(label):
     return " + ".join(f"CASE WHEN {regime.CONDITIONS[k].replace('gex_sign IS NULL', 'true')} THEN {w} ELSE 0 END" for k, w in regime.EVIDENCE[label].items() if not k.startswith("gamma"))
@@ -307,6 +311,7 @@ ORACLES = {
     "wilson_lb": with_tables(f"WITH {_SC} SELECT score_id, {_WIL} AS lb FROM sm", "scores", doubles="lb"),
     "tau_grid": with_tables(f"WITH {_DATA} SELECT DISTINCT tau FROM (SELECT unnest(list_transform(quantile_cont(p, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), lambda x: round(x, 9))) AS tau FROM data UNION ALL SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE)", "trades", doubles="tau"),
     "threshold_stats": with_tables(f"WITH {_DATA}, {_ACT} SELECT * FROM th", "trades", doubles="tau precision recall expectancy"),
+    "selected_tau": with_tables(f"WITH {_DATA}, {_CHOICE} SELECT coalesce((SELECT a.tau FROM ok a JOIN ok b ON b.tau = a.tau AND a.k = 0 AND b.k = 1 WHERE a.recall >= 0.10 ORDER BY b.k, a.precision DESC, a.expectancy DESC, a.tau LIMIT 1), 0.5::DOUBLE) AS tau", "trades", doubles="tau"),
     "regime_contrib": with_tables("SELECT mode AS regime, scanner, avg(pnl_r) AS mean_r, count(*) AS n, count(*) >= 20 AND avg(pnl_r) > 0 AS positive FROM trades WHERE pnl_r IS NOT NULL GROUP BY mode, scanner", "trades", doubles="mean_r"),
     "reliability_curve": with_tables(f"WITH {_DATA} SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, avg(p) AS predicted, avg((r > 0)::INT) AS observed, count(*) AS n FROM data GROUP BY 1", "trades", doubles="predicted observed"),
     "brier": with_tables(f"WITH {_DATA} SELECT avg(pow(p - (r > 0)::INT, 2)) AS brier FROM data", "trades", doubles="brier"),

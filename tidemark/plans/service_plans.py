@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as sc
-from tidemark.operators import api, crossval, monitor, signals
+from tidemark.operators import api, crossval, metrics, monitor, signals
 from tidemark.operators.pit import top_one
 from tidemark.plans.indicator_plans import _ATR14, _STAGED
 from tidemark.plans.label_plans import _barrier
@@ -208,10 +208,8 @@ def symbol_check(spark, sf):
 
 def feature_catalog(spark, sf):
     """Features with enough and not constant values: count and three quantiles by nearest rank."""
-    from tidemark.operators.metrics import nearest_rank
-
-    own = tables.features_pit(spark, sf).groupBy("feature_key").agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.array_sort(F.collect_list("value")).alias("xs"))
-    return rounded(own.where("n >= 30 AND lo < hi").select("feature_key", "n", *[nearest_rank(F.col("xs"), q).alias(f"q{int(q * 100)}") for q in (0.2, 0.5, 0.8)]))
+    own = metrics.nearest_ranks(tables.features_pit(spark, sf), "feature_key", "value", [0.2, 0.5, 0.8])
+    return rounded(own.where("n >= 30 AND lo < hi").drop("lo", "hi"))
 
 
 def count_distinct_features(spark, sf):
