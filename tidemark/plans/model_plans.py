@@ -95,7 +95,7 @@ def leak_checkpoint(spark, sf):
     return validation.leak_checkpoint(planted(spark, 900, True), planted(spark, 900, False), ([*names, "leak__lookahead"], names), validation.Plan(n_trials=4, trees=40))
 
 
-def optimism_gap(spark, sf):
+def mean_optimism_gap(spark, sf):
     """Precision out of sample less that in the locked era, for the newest score of each strategy."""
     last = pit.top_one(tables.scores(spark, sf), ["strategy_id"], ["evaluated_at", "score_id"])
     won = F.avg((F.col("pnl_r") > 0).cast("double"))
@@ -130,11 +130,11 @@ def stream_dedup(spark, sf):
     return rounded(feeds.run_available(stream, _shared(spark), ["event_id"], mode="append"))
 
 
-QUERIES = {f.__name__: f for f in (gbdt_oos_proba, permutation_importance, shap_importance, importance_by_layer, validated, leak_checkpoint, optimism_gap, calibrate, search_generation, tumbling_bars, sliding_counts, stream_dedup)}
+QUERIES = {f.__name__: f for f in (gbdt_oos_proba, permutation_importance, shap_importance, importance_by_layer, validated, leak_checkpoint, mean_optimism_gap, calibrate, search_generation, tumbling_bars, sliding_counts, stream_dedup)}
 
 _BARS = "SELECT event_type, date_trunc('day', ts) AS ts, min_by(value, {'a': ts, 'b': event_id}) AS open, max(value) AS high, min(value) AS low, max_by(value, {'a': ts, 'b': event_id}) AS close, count(*) AS volume FROM events GROUP BY ALL"
 ORACLES = {
-    "optimism_gap": with_tables("WITH ls AS (SELECT strategy_id, max_by(precision_oos, {'a': evaluated_at, 'b': score_id}) AS o, max_by({'p': precision_oos}, {'a': evaluated_at, 'b': score_id}).p AS precision_oos FROM scores GROUP BY 1), era AS (SELECT strategy_id, avg((pnl_r > 0)::INT) AS precision_test FROM trades WHERE pnl_r IS NOT NULL AND entry_ts >= TIMESTAMP '1998-01-01' GROUP BY 1) SELECT avg(precision_oos - precision_test) AS mean_gap, count(precision_oos - precision_test) AS n FROM ls LEFT JOIN era USING (strategy_id)", "scores", "trades", doubles="mean_gap"),
+    "mean_optimism_gap": with_tables("WITH ls AS (SELECT strategy_id, max_by(precision_oos, {'a': evaluated_at, 'b': score_id}) AS o, max_by({'p': precision_oos}, {'a': evaluated_at, 'b': score_id}).p AS precision_oos FROM scores GROUP BY 1), era AS (SELECT strategy_id, avg((pnl_r > 0)::INT) AS precision_test FROM trades WHERE pnl_r IS NOT NULL AND entry_ts >= TIMESTAMP '1998-01-01' GROUP BY 1) SELECT avg(precision_oos - precision_test) AS mean_gap, count(precision_oos - precision_test) AS n FROM ls LEFT JOIN era USING (strategy_id)", "scores", "trades", doubles="mean_gap"),
     "tumbling_bars": f"SELECT * REPLACE (round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close) FROM ({_BARS})",
     "sliding_counts": "SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * k) AS ts, count(*) AS n FROM events, range(4) t(k) GROUP BY ALL",
     "stream_dedup": "SELECT event_id, event_type, round(value, 6) AS value FROM events",
