@@ -69,44 +69,47 @@ def blob_address(column: str = "text") -> Column:
     return F.unhex(F.sha2(full_text(column), 256))
 
 
-#: Matches whose ends are added up together, see ``_ends``.
+#: Matches whose ends are added up together, see ``_scan``.
 _TOGETHER = 256
 
 
-def _ends(steps: Column) -> Column:
-    """Running sums of an array of ints inside its row: sums in groups, then over the groups, so that a text of very many matches costs little more for each."""
-    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _TOGETHER).cast("int")), lambda g: F.slice(steps, g * _TOGETHER + 1, _TOGETHER))
-    running = lambda xs: F.aggregate(xs, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x)))
-    inside = F.transform(groups, running)
-    totals = running(F.transform(inside, lambda xs: F.get(xs, F.size(xs) - 1)))
-    whole = F.zip_with(inside, F.concat(F.array(F.lit(0)), totals), lambda xs, before: F.transform(xs, lambda x: x + before))
-    return F.flatten(F.filter(whole, lambda xs: xs.isNotNull()))
-
-
-def _spans(text: Column, rule: SecretRule) -> Column:
-    """``start, end`` (code points) of the rule's matches that stay, in order."""
+def _pieces(text: Column, rule: SecretRule) -> Column:
+    """For each match in order: code points before it since the last match, its own, its value's."""
     gaps = F.split(text, rule.pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.value))
-    found = F.transform(
+    return F.transform(
         F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value")),
         lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["value"]).alias("value")),
     )
-    ends = _ends(F.transform(found, lambda x: x["gap"] + x["hit"]))
-    spans = F.zip_with(found, ends, lambda x, end: F.when(x["value"] >= rule.least, F.struct((end - x["hit"]).alias("start"), end.alias("end"))))
-    return F.filter(spans, lambda s: s.isNotNull())
+
+
+def _running(xs: Column) -> Column:
+    return F.aggregate(xs, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x)))
 
 
 def _scan(blobs: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
-    """Findings of ``blobs`` (``blob, kinds, text``): one row per blob and kind that has any. No row meets another."""
+    """Findings of ``blobs`` (``blob, kinds, text``): one row per blob and kind that has any.
+
+    No row meets another: where matches end is added up inside the row, in groups and then over the groups, so that each of very
+    many matches costs little more. Pieces and groups are columns of their own, which are made once.
+    """
     text = F.col("text")
     found = F.array(
         *[
-            F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(F.array_contains("kinds", r.kind) & text.rlike(r.probe), _spans(text, r)).alias("spans"))
+            F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(r.least).alias("least"),
+                     F.when(F.array_contains("kinds", r.kind) & text.rlike(r.probe), _pieces(text, r)).alias("pieces"))
             for r in rules
         ]
-    )
-    return blobs.select("blob", F.explode(found).alias("f")).where("size(f.spans) > 0").select("blob", "f.kind", "f.version", "f.spans")
+    )
+    each = blobs.select("blob", F.explode(found).alias("f")).where("size(f.pieces) > 0").select("blob", "f.*")
+    starts = F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / _TOGETHER).cast("int"))
+    inside = F.transform(starts, lambda g: _running(F.transform(F.slice("pieces", g * _TOGETHER + 1, _TOGETHER), lambda x: x["gap"] + x["hit"])))
+    totals = _running(F.transform("inside", lambda xs: F.get(xs, F.size(xs) - 1)))
+    ends = F.flatten(F.zip_with("inside", F.slice(F.concat(F.array(F.lit(0)), totals), 1, F.size("inside")), lambda xs, before: F.transform(xs, lambda x: x + before)))
+    span = F.zip_with("pieces", "ends", lambda x, end: F.when(x["value"] >= F.col("least"), F.struct((end - x["hit"]).alias("start"), end.alias("end"))))
+    spans = F.filter(span, lambda s: s.isNotNull())
+    return each.withColumn("inside", inside).withColumn("ends", ends).select("blob", "kind", "version", spans.alias("spans")).where("size(spans) > 0")
 
 
 def _by_blob(docs: DataFrame, ledger: BlobLedger, rules: tuple[SecretRule, ...]) -> tuple[DataFrame, DataFrame]:
