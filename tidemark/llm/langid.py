@@ -153,7 +153,8 @@ def identify(docs: DataFrame, model: LanguageCode, names: tuple[str, str, str] =
         return pd.DataFrame(found, columns=["lang_pred", "score", "ambiguous"])
 
     (found,) = temporary("found")
-    out = docs.withColumn(found, predict(F.col("text")))
+    once = predict.asNondeterministic()  # else a filter on the result has every text predicted twice
+    out = docs.withColumn(found, once(F.col("text")))
     return out.withColumns({c: F.col(f"{found}.{f}") for c, f in zip(names, ("lang_pred", "score", "ambiguous"), strict=True)}).drop(found)
 
 
