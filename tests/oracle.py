@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
-    con = duckdb.connect()
+    con = duckdb.connect(config={"max_temp_directory_size": "2GB"})  # a query that goes wrong must not fill the disk
     for t in TABLES:
         p = Path(sf_dir, f"{t}.parquet")
         if p.exists():

@@ -188,7 +188,11 @@ _BREADTH = f"ma AS (SELECT ts, close, {_SMA50} AS ma50 FROM staged), br AS (SELE
 _RS_VALUE = "CASE WHEN r.ticker = 0 THEN 0.0 WHEN isnan(d.b) THEN NULL ELSE r.roc10 - d.b END"
 _LAST = {s: f"{s}[len({s})]" for s in tables.REGIME_SERIES}
 _TREND = lambda x: f"CASE WHEN len({x}) >= 2 AND {x}[1] <> 0 THEN {x}[len({x})] / {x}[1] - 1 END"
-_MACRO = f"""vis AS (SELECT d.ts AS t, m.series, m.ts, max_by(m.value, m.as_of) AS v FROM (SELECT DISTINCT ts FROM bars) d JOIN regime_series m ON m.ts <= d.ts AND m.as_of <= d.ts GROUP BY ALL),
+# A date is known within 7 days, so the last 21 that are known are among the last 29: no day has to meet all dates.
+_MACRO = f"""dt AS (SELECT series, ts, row_number() OVER (PARTITION BY series ORDER BY ts) AS k FROM (SELECT DISTINCT series, ts FROM regime_series)),
+asks AS (SELECT t, series FROM (SELECT DISTINCT ts AS t FROM bars), (SELECT DISTINCT series FROM regime_series)),
+near AS (SELECT a.t, a.series, unnest(range(greatest(x.k - 28, 1), x.k + 1)) AS k FROM asks a ASOF JOIN dt x ON x.series = a.series AND a.t >= x.ts),
+vis AS (SELECT n.t, n.series, m.ts, max_by(m.value, m.as_of) AS v FROM near n JOIN dt x ON x.series = n.series AND x.k = n.k JOIN regime_series m ON m.series = x.series AND m.ts = x.ts AND m.as_of <= n.t GROUP BY ALL),
 tr AS (SELECT t, series, list(v ORDER BY ts) AS xs FROM (SELECT *, row_number() OVER (PARTITION BY t, series ORDER BY ts DESC) AS r FROM vis) WHERE r <= 21 GROUP BY t, series),
 wide0 AS (SELECT t, {", ".join(f"any_value(xs) FILTER (series = '{s}') AS {s}" for s in tables.REGIME_SERIES)} FROM tr GROUP BY t),
 wide AS (SELECT *, list_filter(list_transform(range(1, least(len(copper), len(gold)) + 1), lambda i: CASE WHEN gold[i] > 0 THEN copper[i] / gold[i] END), lambda x: x IS NOT NULL) AS cg FROM wide0)"""
