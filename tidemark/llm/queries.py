@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, exact_dedup, fingerprints, langid, packing, secrets, simhash, substring_dedup, suffix_dedup, url_filter
-from tidemark.llm.common import documents
+from tidemark.llm import byte_bpe, exact_dedup, fingerprints, langid, manifest, packing, secrets, simhash, substring_dedup, suffix_dedup, url_filter
+from tidemark.llm.common import ascii_lower, documents
 
 URL_RULES = [
     url_filter.Rule("net", "/", "block"),
@@ -91,6 +91,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = manifest.leaf(["doc_id", "source", "lang", "n_chars", ascii_lower(F.col("text"))])
+    hit = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    own = manifest.leaf()
+    out = manifest.prove(documents(spark, sf_dir, *manifest.FIELDS), own, F.when(hit, changed).otherwise(own))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -102,6 +110,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_packing": op10_packing,
+    "op13_manifest": op13_manifest,
 }
 
 _SQL_NAME = r"(?i:(password|passwd|secret|token|api_?key))[\"'']?\x20*[:=]\x20*[\"'']?"
