@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, exact_dedup, fingerprints, langid, manifest, packing, secrets, simhash, substring_dedup, suffix_dedup, url_filter
+from tidemark.llm import byte_bpe, exact_dedup, fingerprints, langid, manifest, packing, secrets, simhash, substring_dedup, suffix_dedup, url_filter, whitening
 from tidemark.llm.common import ascii_lower, documents
 
 URL_RULES = [
@@ -91,6 +91,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = whitening.integers(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return whitening.whiten(x, whitening.fit(x))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = manifest.leaf(["doc_id", "source", "lang", "n_chars", ascii_lower(F.col("text"))])
     hit = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
@@ -110,6 +115,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_packing": op10_packing,
+    "op12_whitening": op12_whitening,
     "op13_manifest": op13_manifest,
 }
 
