@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, exact_dedup, fingerprints, langid, manifest, packing, secrets, simhash, substring_dedup, suffix_dedup, url_filter, whitening
+from tidemark.llm import byte_bpe, exact_dedup, fingerprints, langid, manifest, packing, secrets, simhash, substring_dedup, suffix_dedup, url_filter, whitening, wrappers
 from tidemark.llm.common import ascii_lower, documents
 
 URL_RULES = [
@@ -91,6 +91,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrappers.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = whitening.integers(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return whitening.whiten(x, whitening.fit(x))
@@ -115,6 +120,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_packing": op10_packing,
+    "op11_html_text": op11_html_text,
     "op12_whitening": op12_whitening,
     "op13_manifest": op13_manifest,
 }
@@ -133,6 +139,38 @@ def _kind_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> str
           FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"""
 
 
+def _manifest_sql(levels: int = 5, top: int = 3) -> str:
+    """The tree level by level, as far as 16**levels rows of a source and 16**top sources need."""
+    field = lambda c: f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # CRC-32 of the decimal digits, eight shifts a character.
+    shift = "CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(c, x), range(8)::BIGINT[]), lambda a, b: {shift})"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: ord(d)::BIGINT)), lambda c, x: {byte}), 4294967295)"
+    parts = [f"leaves AS (SELECT doc_id, coalesce('s' || source, 'n') AS g, {leaf('text')} AS leaf, {leaf(lower)} AS changed, {crc} % 5 = 0 AS hit FROM documents)"]
+    parts += ["placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, CASE WHEN hit THEN changed ELSE leaf END AS f0, count(*) OVER (PARTITION BY g) AS n FROM leaves)"]
+
+    def grow(name: str, first: str, count: int) -> None:
+        parts.append(f"{name}0 AS ({first})")
+        for i in range(count):
+            parts.append(f"{name}{i + 1} AS (SELECT g, r // 16 AS r, CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY r)) END AS h, (n + 15) // 16 AS n FROM {name}{i} GROUP BY g, r // 16, n)")
+            side = "coalesce(string_agg(h, '') OVER (PARTITION BY g, r // 16 ORDER BY r ROWS BETWEEN {}), '')"
+            left, right = side.format("UNBOUNDED PRECEDING AND 1 PRECEDING"), side.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")
+            parts.append(f"{name}s{i} AS (SELECT g, r, n > 1 AS up, {left} AS a, {right} AS b FROM {name}{i})")
+
+    grow("t", "SELECT g, r, leaf AS h, n FROM placed", levels)
+    parts.append(f"tops AS (SELECT g AS source, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS r, count(*) OVER () AS n FROM t{levels})")
+    grow("u", "SELECT '' AS g, r, subroot AS h, n FROM tops", top)
+    parts.append("w0 AS (SELECT doc_id, placed.g, leaf, subroot, placed.r, tops.r AS q, f0 AS f, '' AS p FROM placed JOIN tops ON placed.g = tops.source)")
+    steps = [(f"ts{i}", f"s.g = w.g AND s.r = w.r // {16**i}") for i in range(levels)] + [(f"us{i}", f"s.r = w.q // {16**i}") for i in range(top)]
+    for k, (table, on) in enumerate(steps):
+        moved = "CASE WHEN up THEN sha256(a || f || b) ELSE f END AS f, CASE WHEN up THEN p || a || b ELSE p END AS p"
+        parts.append(f"w{k + 1} AS (SELECT doc_id, w.g, leaf, subroot, w.r, q, {moved} FROM w{k} w JOIN {table} s ON {on})")
+    shown = f"SELECT doc_id, leaf, subroot, root, sha256(p) AS proof_sha256, f AS folded_root, f = root AS verified FROM w{len(steps)}, (SELECT h AS root FROM u{top})"
+    return "WITH " + ",\n".join(parts) + "\n" + shown
+
+
 ORACLES = {
     "op2_secret_scan": f"""
 WITH found AS ({_kind_sql("assign", 0, _SQL_NAME + "([A-Za-z0-9+/_.=-]+)", 2, 6)} UNION ALL
@@ -163,4 +201,13 @@ ruled AS (
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parsed)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled""",
+    # For pages whose text is their article element, with blocks of p and h1, as in the given tables.
+    "op11_html_text": r"""
+WITH body AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '') AS body FROM pages),
+blocks AS (
+  SELECT page_id, url, list_filter(list_transform(string_split_regex(body, '</?(?:p|h1)>'), lambda b:
+    trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(replace(b, '<br>', ' '), '<[^>]*>', '', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g'))), lambda b: b <> '') AS blocks FROM body)
+SELECT page_id, url, coalesce(array_to_string(blocks, chr(10)), '') AS text, length(coalesce(array_to_string(blocks, chr(10)), '')) AS n_chars FROM blocks""",
+    "op13_manifest": _manifest_sql(),
 }
