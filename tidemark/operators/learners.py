@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 BINS = 32
 #: Rows that a model is fitted on, about, and the most bytes of models that are broadcast.
 FIT_ROWS, MAX_MODEL_BYTES = 100_000, 64 << 20
+#: Tasks, at least, that fits and predictions are dealt over: few bytes, much work.
+TASKS = 32
 #: Rows, about, inside which values are permuted together.
 PERMUTED = 20_000
 #: Knots of a calibration, which Spark ML holds on the driver.
@@ -162,12 +164,17 @@ def _fitted(rows: DataFrame, jobs: DataFrame, keys: list[str], settings: Callabl
         return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "model": [pickle.dumps((own["features"], model))]})
 
     kinds = {f.name: f.dataType.simpleString() for f in jobs.schema}
-    found = drawn.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "model binary"])).collect()  # one row a fit
+    # A task a fit, however few bytes its rows are.
+    found = drawn.repartition(_tasks(rows.sparkSession), *keys).groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "model binary"])).collect()  # one row a fit
     if sum(len(r.model) for r in found) > MAX_MODEL_BYTES:
         raise ValueError(f"models of over {MAX_MODEL_BYTES} bytes; fit fewer trials at a time")
     return {tuple(r[k] for k in keys): pickle.loads(bytes(r.model)) for r in found}
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _one_model(rows: DataFrame, features: list[str], trees: int) -> Boosted | float:
     own = {"features": features, "depth": 3, "rate": 0.1}
     found = _fitted(rows, rows.withColumn("all", F.lit(0)), ["all"], lambda _: own, trees)
@@ -194,7 +201,7 @@ def oos_predictions(rows: DataFrame, splits: DataFrame, trials: list[dict], feat
                     p = model if isinstance(model, float) else model.proba(own[names].to_numpy(dtype=float))
                     yield pd.DataFrame({"trial": trial, "split": int(split), "pos": own["pos"].to_numpy(), "p": p})
 
-    tests = splits.where("role = 'test'").select("split", "pos").join(rows, "pos")
+    tests = splits.where("role = 'test'").select("split", "pos").join(rows, "pos").repartition(_tasks(rows.sparkSession))
     return tests.select("split", "pos", *features).mapInPandas(run, "trial int, split int, pos int, p double")
 
 

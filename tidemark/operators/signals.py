@@ -85,11 +85,12 @@ def paper_trades(signals: DataFrame, bars: DataFrame, profile: Profile = SWING)
 
     Fills are worse by half the cost on each leg, and the result is net of the cost in R. ``bars``: ``ticker, ts, idx, open, high, low, close, atr``.
     """
-    w = Window.partitionBy("ticker").orderBy("ts", "_kind")
+    # From the last bar back, so that a running value has the next bar; a frame that reaches ahead would be read anew for every row.
+    w = Window.partitionBy("ticker").orderBy(F.col("ts").desc(), F.col("_kind").desc())
     asks = signals.select("ticker", F.col("created_at").alias("ts"), F.lit(0).alias("_kind"), F.struct("signal_id", "side").alias("_s"), F.lit(None).cast("int").alias("idx"))
     line = asks.unionByName(bars.select("ticker", "ts", F.lit(1).alias("_kind"), F.lit(None).cast(asks.schema["_s"].dataType).alias("_s"), F.col("idx").cast("int").alias("idx")))
     # The first bar at or after the decision is the decision's; the fill is one later.
-    first = F.first("idx", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    first = F.last("idx", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     at = line.withColumn("fill_idx", first + 1).where("_kind = 0").select("ticker", "_s.signal_id", "_s.side", "fill_idx")
     fill = bars.select("ticker", F.col("idx").alias("fill_idx"), F.col("ts").alias("fill_ts"), "open", "close", "atr")
     opened = at.join(fill, ["ticker", "fill_idx"]).withColumn("fill_px", adverse_price(F.col("open"), F.col("side"), True, profile.round_trip))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import crossval, labeling, learners, metrics
+from tidemark.storage import Scratch, scratch
 
 #: Rows that a regime needs to count, and the share of the timeline that the forward holdout learns from.
 MIN_REGIME_ROWS, FORWARD_SHARE = 20, 0.7
@@ -52,43 +53,43 @@ def validate(rows: DataFrame, features: Sequence[str], plan: Plan = Plan(), boun
     Without an act the rows that the trial trades count, and without those all rows out of sample. Rows without a return are left out; none at all
     is an error.
     """
-    rows = rows.where("r IS NOT NULL").persist()
-    splits = crossval.splits(rows.select("pos", "ts", "t1"), plan.n_groups, plan.k_test, plan.embargo).select("split", "pos", "role")
+    with scratch(rows.sparkSession) as tables:
+        return _validate(tables, tables.written(rows.where("r IS NOT NULL"), "rows"), features, plan, boundary)
+
+
+def _validate(tables: Scratch, rows: DataFrame, features: Sequence[str], plan: Plan, boundary) -> Validation:
+    # Every table that later steps read more than once is written: plans stay short, and each number costs one scan.
+    splits = tables.written(crossval.splits(rows.select("pos", "ts", "t1"), plan.n_groups, plan.k_test, plan.embargo).select("split", "pos", "role"), "splits")
     trials = learners.trial_grid(plan.n_trials, features, plan.seed)
-    predicted = learners.oos_predictions(rows, splits, trials, features, plan.trees).persist()
-    try:
-        parts = crossval.calendar_split(rows.select("pos", "ts"))
-        last = predicted.groupBy("trial", "pos").agg(F.max_by("p", "split").alias("p"))
-        returns = crossval.trial_returns(last.join(rows.select("pos", "r"), "pos").withColumn("t", F.col("pos"))).persist()
-        ranked = returns.join(parts.where("part = 'is'").select(F.col("pos").alias("t")), "t").groupBy("trial").agg(F.avg("ret").alias("m"))
-        best = ranked.orderBy(F.desc("m"), "trial").first().trial
-        judged = crossval.oos_averaged(predicted.where(F.col("trial") == best)).join(rows, "pos").join(parts.select("pos", "part"), "pos").persist()
-        early, late = judged.where("part = 'is'"), judged.where("part = 'oos'")
-        tau = metrics.select_tau(early.select("pos", "p", "r"))
-        at = metrics.at_thresholds(late, rows.sparkSession.createDataFrame([(tau,)], "tau double")).first()
-        acted = late.where(F.col("p") >= tau)
-        if not at.n_acted:
-            traded = late.join(returns.where((F.col("trial") == best) & (F.col("ret") != 0)).select(F.col("t").alias("pos")), "pos")
-            acted = late if traded.isEmpty() else traded
-        net = acted.select("pos", "ts", "t1", "regime", "r", (F.col("r") - metrics.COST_R).alias("net"), F.lit(0).alias("all")).persist()
-        weights = labeling.uniqueness(net.select(F.col("pos").alias("id"), "ts", "t1", "all"), ["all"])
-        n_eff = weights.agg(labeling.effective_n(F.col("weight")).alias("n")).first().n
-        stats = metrics.moments(net, ["all"], "net").withColumn("n_eff", F.lit(n_eff))
-        dsr = metrics.deflated_sharpe(stats, max(1, plan.n_trials, plan.search_trials), "n_eff").first()
-        if dsr is None:
-            raise ValueError("no rows out of sample")
-        money = net.agg(F.avg("net").alias("m"), metrics.profit_factor(F.col("net")).alias("pf")).first()
-        cvar = metrics.tail_mean(net, ["all"], "net", 0.05, False).first()
-        regimes = net.groupBy("regime").agg(F.avg("r").alias("m"), F.count("*").alias("n"))
-        good = regimes.where((F.col("m") > 0) & (F.col("n") >= MIN_REGIME_ROWS) & F.col("regime").isNotNull()).count()
-        chosen = next(t for t in trials if t["trial"] == best)
-        forward = forward_holdout(rows, chosen, plan.trees, boundary)
-        return Validation(
-            float(dsr.dsr), overfit(returns, plan.n_trials), money.m, money.pf, cvar.cvar if cvar else None, good, tau, at.n_acted, at.precision, at.recall, *forward
-        )
-    finally:
-        for held in (rows, predicted):
-            held.unpersist()
+    predicted = tables.written(learners.oos_predictions(rows, splits, trials, features, plan.trees), "predicted")
+    parts = tables.written(crossval.calendar_split(rows.select("pos", "ts")).select("pos", "part"), "parts")
+    last = predicted.groupBy("trial", "pos").agg(F.max_by("p", "split").alias("p"))
+    returns = tables.written(crossval.trial_returns(last.join(rows.select("pos", "r"), "pos").withColumn("t", F.col("pos"))), "returns")
+    ranked = returns.join(parts.where("part = 'is'").select(F.col("pos").alias("t")), "t").groupBy("trial").agg(F.avg("ret").alias("m"))
+    best = ranked.orderBy(F.desc("m"), "trial").first().trial
+    judged = tables.written(crossval.oos_averaged(predicted.where(F.col("trial") == best)).join(rows, "pos").join(parts, "pos"), "judged")
+    early, late = judged.where("part = 'is'"), judged.where("part = 'oos'")
+    tau = metrics.select_tau(early.select("pos", "p", "r"))
+    at = metrics.at_thresholds(late, rows.sparkSession.createDataFrame([(tau,)], "tau double")).first()
+    acted = late.where(F.col("p") >= tau)
+    if not at.n_acted:
+        traded = late.join(returns.where((F.col("trial") == best) & (F.col("ret") != 0)).select(F.col("t").alias("pos")), "pos")
+        acted = late if traded.isEmpty() else traded
+    net = tables.written(acted.select("pos", "ts", "t1", "regime", "r", (F.col("r") - metrics.COST_R).alias("net"), F.lit(0).alias("all")), "net")
+    weights = labeling.uniqueness(net.select(F.col("pos").alias("id"), "ts", "t1", "all"), ["all"])
+    n_eff = weights.agg(labeling.effective_n(F.col("weight")).alias("n")).first().n
+    stats = metrics.moments(net, ["all"], "net").withColumn("n_eff", F.lit(n_eff))
+    dsr = metrics.deflated_sharpe(stats, max(1, plan.n_trials, plan.search_trials), "n_eff").first()
+    if dsr is None:
+        raise ValueError("no rows out of sample")
+    money = net.agg(F.avg("net").alias("m"), metrics.profit_factor(F.col("net")).alias("pf")).first()
+    cvar = metrics.tail_mean(net, ["all"], "net", 0.05, False).first()
+    regimes = net.groupBy("regime").agg(F.avg("r").alias("m"), F.count("*").alias("n"))
+    good = regimes.where((F.col("m") > 0) & (F.col("n") >= MIN_REGIME_ROWS) & F.col("regime").isNotNull()).count()
+    chosen = next(t for t in trials if t["trial"] == best)
+    forward = forward_holdout(rows, chosen, plan.trees, boundary)
+    gap = overfit(returns, plan.n_trials)
+    return Validation(float(dsr.dsr), gap, money.m, money.pf, cvar.cvar if cvar else None, good, tau, at.n_acted, at.precision, at.recall, *forward)
 
 
 def overfit(returns: DataFrame, n_trials: int) -> float:
@@ -114,11 +115,11 @@ def forward_holdout(rows: DataFrame, trial: dict, trees: int = 120, boundary=Non
         return 0.0, 0.0, 0
     both = F.explode(F.when(F.col("early"), F.array(F.lit("train"), F.lit("test"))).otherwise(F.array(F.lit("test"))))  # early rows are predicted too
     splits = marked.select(F.lit(0).alias("split"), "pos", both.alias("role"))
-    p = learners.oos_predictions(rows, splits, [trial], trial["features"], trees).select("pos", "p")
-    judged = marked.select("pos", "r", "early").join(p, "pos").persist()
-    tau = metrics.select_tau(judged.where("early").select("pos", "p", "r"))
-    at = metrics.at_thresholds(judged.where("NOT early"), rows.sparkSession.createDataFrame([(tau,)], "tau double")).first()
-    judged.unpersist()
+    with scratch(rows.sparkSession) as tables:
+        p = learners.oos_predictions(rows, tables.written(splits, "splits"), [trial], trial["features"], trees).select("pos", "p")
+        judged = tables.written(marked.select("pos", "r", "early").join(p, "pos"), "forward")
+        tau = metrics.select_tau(judged.where("early").select("pos", "p", "r"))
+        at = metrics.at_thresholds(judged.where("NOT early"), rows.sparkSession.createDataFrame([(tau,)], "tau double")).first()
     return (at.precision, at.expectancy, at.n_acted) if at.n_acted else (0.0, 0.0, 0)
 
 

@@ -1,11 +1,9 @@
 """Learners, search and streams as queries; no SQL expresses these."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark import storage
 from tidemark.functions import indicators as ind
 from tidemark.operators import crossval, features, labeling, learners, pit, search, validation
 from tidemark.sources import tables
@@ -18,12 +16,7 @@ FEATURES = ["trigger__momentum_roc", "location__range", "trigger__vol", "locatio
 
 
 def _shared(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: a stream's state needs a folder that all machines share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/tidemark/stream-{uuid.uuid4().hex}"
+    return storage.new_path(spark, "stream")
 
 
 def _window(spark, sf):
@@ -37,8 +30,9 @@ def _window(spark, sf):
 
 def _rows(spark, sf):
     """Labelled entries of all tickers with features, in order of time: position, span, return, weight (the label's uniqueness)."""
-    w = _window(spark, sf)
-    done = labeling.backtest(w, F.col("atr") > 0).where("ret_r IS NOT NULL AND t1 IS NOT NULL")
+    tables = storage.Scratch(spark)  # the window and its labels are read several times over
+    w = tables.written(_window(spark, sf), "window")
+    done = tables.written(labeling.backtest(w, F.col("atr") > 0).where("ret_r IS NOT NULL AND t1 IS NOT NULL"), "labels")
     own = done.join(w.select("ticker", "idx", *FEATURES), ["ticker", "idx"])
     placed = own.join(_positions(own), ["entry_ts", "ticker"])
     weights = labeling.uniqueness(placed.selectExpr("pos AS id", "ticker", "entry_ts AS ts", "t1"), ["ticker"]).selectExpr("id AS pos", "weight")
