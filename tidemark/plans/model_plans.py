@@ -120,16 +120,36 @@ def sliding_counts(spark, sf):
 
 
 def stream_dedup(spark, sf):
-    stream = feeds.latest_vintage(feeds.event_stream(spark, sf)).select("event_id", "event_type", "value")
+    stream = feeds.once_each(feeds.event_stream(spark, sf)).select("event_id", "event_type", "value")
     return rounded(feeds.run_available(stream, _shared(spark), ["event_id"], mode="append"))
 
 
-QUERIES = {f.__name__: f for f in (gbdt_oos_proba, permutation_importance, shap_importance, importance_by_layer, validated, leak_checkpoint, mean_optimism_gap, calibrate, search_generation, tumbling_bars, sliding_counts, stream_dedup)}
+def stream_vintages(spark, sf):
+    """A user's value of a day, corrected whenever a later event of the day comes."""
+    facts = feeds.event_stream(spark, sf).select("user_id", F.date_trunc("day", "ts").alias("day"), "ts", "event_id", "value")
+    stream = feeds.latest_vintage(facts, ["user_id", "day"], ["ts", "event_id"])
+    last = feeds.run_available(stream, _shared(spark), ["user_id", "day"])
+    return rounded(last.select("user_id", F.col("day").cast("timestamp_ntz").alias("day"), F.col("ts").cast("timestamp_ntz").alias("as_of"), "value"))
+
+
+def stream_as_of(spark, sf):
+    """For each event the newest value of its type that had happened and was released (1 to 72 hours later) by its time, both as streams."""
+    asks = feeds.event_stream(spark, sf).select("event_type", F.col("event_id").alias("id"), F.col("ts").alias("t"))
+    lag = F.make_dt_interval(hours=(F.col("event_id") % 72 + 1).cast("int"))
+    facts = feeds.event_stream(spark, sf).select("event_type", "ts", (F.col("ts") + lag).alias("as_of"), "value")
+    stream = feeds.as_of(asks, facts, ["event_type"], salts=4)
+    last = feeds.run_available(stream, _shared(spark), ["event_type", "id"])
+    return rounded(last.select("event_type", "id", F.col("t").cast("timestamp_ntz").alias("t"), "value", F.col("known_at").cast("timestamp_ntz").alias("known_at")))
+
+
+QUERIES = {f.__name__: f for f in (gbdt_oos_proba, permutation_importance, shap_importance, importance_by_layer, validated, leak_checkpoint, mean_optimism_gap, calibrate, search_generation, tumbling_bars, sliding_counts, stream_dedup, stream_vintages, stream_as_of)}
 
 _BARS = "SELECT event_type, date_trunc('day', ts) AS ts, min_by(value, {'a': ts, 'b': event_id}) AS open, max(value) AS high, min(value) AS low, max_by(value, {'a': ts, 'b': event_id}) AS close, count(*) AS volume FROM events GROUP BY ALL"
 ORACLES = {
     "mean_optimism_gap": with_tables("WITH ls AS (SELECT strategy_id, max_by(precision_oos, {'a': evaluated_at, 'b': score_id}) AS o, max_by({'p': precision_oos}, {'a': evaluated_at, 'b': score_id}).p AS precision_oos FROM scores GROUP BY 1), era AS (SELECT strategy_id, avg((pnl_r > 0)::INT) AS precision_test FROM trades WHERE pnl_r IS NOT NULL AND entry_ts >= TIMESTAMP '1998-01-01' GROUP BY 1) SELECT avg(precision_oos - precision_test) AS mean_gap, count(precision_oos - precision_test) AS n FROM ls LEFT JOIN era USING (strategy_id)", "scores", "trades", doubles="mean_gap"),
     "tumbling_bars": f"SELECT * REPLACE (round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close) FROM ({_BARS})",
     "sliding_counts": "SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * k) AS ts, count(*) AS n FROM events, range(4) t(k) GROUP BY ALL",
+    "stream_vintages": "SELECT user_id, date_trunc('day', ts) AS day, max(ts) AS as_of, round(max_by(value, {'a': ts, 'b': event_id}), 6) AS value FROM events GROUP BY ALL",
+    "stream_as_of": "WITH line AS (SELECT event_type, ts AS p, 1 AS ask, event_id AS id, NULL AS fact FROM events UNION ALL SELECT event_type, ts + to_hours(CAST(event_id % 72 + 1 AS INT)), 0, NULL, {'ts': ts, 'as_of': ts + to_hours(CAST(event_id % 72 + 1 AS INT)), 'value': value} FROM events), told AS (SELECT event_type, id, p, ask, max(fact) OVER (PARTITION BY event_type ORDER BY p, ask) AS f FROM line) SELECT event_type, id, p AS t, round(f.value, 6) AS value, f.as_of AS known_at FROM told WHERE ask = 1",
     "stream_dedup": "SELECT event_id, event_type, round(value, 6) AS value FROM events",
 }

@@ -5,11 +5,17 @@ Late facts are handled by the point-in-time rule: a fact counts from when it is
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+import threading
+from collections import deque
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tidemark.operators.sinks import newest
 
@@ -36,11 +42,124 @@ def sliding_counts(events: DataFrame, width: str = "1 day", step: str = "6 hours
     return events.withWatermark("ts", late).groupBy("event_type", F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("ts"), "n")
 
 
-def latest_vintage(events: DataFrame, late: str = "7 days") -> DataFrame:
-    """Each key once within the watermark: repeats of a fact are dropped."""
+def once_each(events: DataFrame, late: str = "7 days") -> DataFrame:
+    """Each event once within the watermark: repeats are dropped."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def latest_vintage(stream: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows of ``stream`` that were the newest of their key when they came, by ``order`` (``as_of``, then what breaks ties), with ``revision``: 0 for a key's
+    first, then 1, 2, ... for each correction.
+
+    A later vintage corrects what was sent, an earlier one that comes late is no news, and one that comes again repeats nothing. State is the order and
+    revision of a key's newest row. A row without an ``order`` was never known and is left out. Of the rows of one micro-batch only the newest is sent.
+    """
+    order = list(order)
+    schema = StructType([*stream.schema.fields, StructField("revision", LongType())])
+    fields = [f.name for f in stream.schema.fields]
+
+    def walk(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, revision = (pickle.loads(state.get[0]), state.get[1]) if state.exists else (None, -1)
+        best = None
+        for pdf in parts:  # one part at a time, whatever the size of the group
+            last = pdf.sort_values(order, kind="stable").iloc[[-1]]
+            at = tuple(last[order].itertuples(index=False, name=None))[0]
+            if held is None or at > held:
+                held, best = at, last
+        if best is not None:
+            state.update((pickle.dumps(held), revision + 1))
+            yield best[fields].assign(revision=np.int64(revision + 1))
+
+    known = stream.dropna(subset=order)
+    return known.groupBy(*keys).applyInPandasWithState(walk, schema, "held binary, revision long", "update", GroupStateTimeout.NoTimeout)
+
+
+#: What a stream's group remembers: facts by when they take effect, and the questions with what they were told (-1: nothing yet).
+_FACT = np.dtype([("at", "i8"), ("ts", "i8"), ("as_of", "i8"), ("value", "f8")])
+_ASK = np.dtype([("at", "i8"), ("id", "i8"), ("ts", "i8"), ("as_of", "i8"), ("value", "f8")])
+
+
+def _newest_by(facts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each time the place of the newest fact that has taken effect, -1 for none; ``facts`` in order of ``at``."""
+    rank = np.empty(len(facts), np.int64)
+    rank[np.lexsort((facts["value"], facts["as_of"], facts["ts"]))] = np.arange(len(facts))
+    running = np.maximum.accumulate(rank)
+    place = np.argsort(rank)
+    found = np.searchsorted(facts["at"], at, side="right") - 1
+    return np.where(found >= 0, place[running[np.maximum(found, 0)]] if len(facts) else 0, -1)
+
+
+def as_of(asks: DataFrame, facts: DataFrame, equal: Sequence[str], late: str | None = None, salts: int = 1) -> DataFrame:
+    """``equal, id, t, value, known_at`` for the questions ``asks`` (``equal, id, t``): the newest of ``facts`` (``equal, ts, as_of, value``) that had happened and was
+    known by ``t``, newest event first, then newest vintage; what ``pit.as_of`` gives for whole tables.
+
+    Both are streams and may come in any order. A question is answered as soon as it is there; a fact that comes later but was known by its time
+    corrects the answer, which is sent again (the last one sent counts). A question that comes again with the same id is not told again.
+    With ``late`` both clocks have a watermark: facts behind it fold into the one newest, questions behind it are settled, and state is bounded; rows that come
+    later still are dropped. Without it nothing is ever settled. Questions of one ``equal`` are spread over ``salts`` groups, each of which has its facts.
+    """
+    equal = list(equal)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    none = F.lit(None).cast("long")
+    line = asks.select(*equal, F.col("t").cast("timestamp").alias("_at"), F.col("id").cast("long").alias("_id"), none.alias("_ts"), none.alias("_as_of"), F.lit(None).cast("double").alias("_value"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("_salt"))
+    told = facts.where("ts IS NOT NULL AND as_of IS NOT NULL").select(
+        *equal, F.greatest(F.col("ts").cast("timestamp"), F.col("as_of").cast("timestamp")).alias("_at"), none.alias("_id"), micros("ts").alias("_ts"), micros("as_of").alias("_as_of"),
+        F.col("value").cast("double").alias("_value"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"),
+    )
+    both = line.unionByName(told).where("_at IS NOT NULL")
+    timeout = GroupStateTimeout.NoTimeout
+    if late:
+        both, timeout = both.withWatermark("_at", late), GroupStateTimeout.EventTimeTimeout
+    both = both.withColumn("_micros", F.unix_micros("_at"))
+    kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in equal), "id long, at long, value double, known long"])
+
+    def walk(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, open_asks = pickle.loads(state.get[0]) if state.exists else (np.zeros(0, _FACT), np.zeros(0, _ASK))
+        if not state.hasTimedOut:
+            fresh, asked = [held], [open_asks]
+            for pdf in parts:
+                ask = pdf["_id"].notna()
+                own = pdf[~ask]
+                made = np.zeros(len(own), _FACT)
+                made["at"], made["ts"], made["as_of"], made["value"] = own["_micros"], own["_ts"], own["_as_of"], own["_value"]
+                fresh.append(made)
+                own = pdf[ask]
+                made = np.zeros(len(own), _ASK)
+                made["at"], made["id"], made["ts"] = own["_micros"], own["_id"], np.iinfo(np.int64).min
+                asked.append(made)
+            held = np.unique(np.concatenate(fresh))  # in order of ``at``
+            questions = np.concatenate(asked)
+            questions = questions[np.sort(np.unique(questions["id"], return_index=True)[1])]  # the first of an id stands
+            found = _newest_by(held, questions["at"])
+            answer = held[found] if len(held) else np.zeros(len(questions), _FACT)
+            none = found < 0
+            before = questions["ts"]
+            nothing = np.iinfo(np.int64).min + 1
+            ts = np.where(none, nothing, answer["ts"])
+            moved = (before != ts) | (~none & ((questions["as_of"] != answer["as_of"]) | (questions["value"] != answer["value"])))
+            questions["ts"], questions["as_of"], questions["value"] = ts, np.where(none, 0, answer["as_of"]), np.where(none, 0.0, answer["value"])
+            out, gone = questions[moved], none[moved]
+            if len(out):
+                rows = {k: v for k, v in zip(equal, key, strict=False)}
+                yield pd.DataFrame({**{k: [v] * len(out) for k, v in rows.items()}, "id": out["id"], "at": out["at"], "value": pd.array(np.where(gone, np.nan, out["value"])), "known": pd.Series(out["as_of"]).astype("Int64").where(~gone)})
+            open_asks = questions
+        if late:
+            passed = state.getCurrentWatermarkMs() * 1000
+            old = held["at"] <= passed
+            if old.sum() > 1:  # of those that no open question can tell apart, the newest
+                front = held[old][_newest_by(held[old], np.array([passed]))[0]]
+                held = np.concatenate([np.array([front], _FACT), held[~old]])
+                held = held[np.argsort(held["at"], kind="stable")]
+            open_asks = open_asks[open_asks["at"] > passed]
+            if len(open_asks):
+                state.setTimeoutTimestamp(int(max(passed, open_asks["at"].min()) // 1000 + 1))
+        state.update((pickle.dumps((held, open_asks)),))
+
+    out = both.groupBy(*equal, "_salt").applyInPandasWithState(walk, schema, "held binary", "update", timeout)
+    return out.select(*equal, "id", F.timestamp_micros("at").alias("t"), F.nanvl("value", F.lit(None).cast("double")).alias("value"), F.timestamp_micros("known").alias("known_at"))
+
+
 def frames(kind: str, rows: DataFrame) -> DataFrame:
     """``kind, data`` of a stream of rows: what subscribers get."""
     return rows.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*rows.columns)).alias("data"))
@@ -64,10 +183,73 @@ def run_available(stream: DataFrame, path: str, keys: list[str], mode: str = "up
     return newest(found, keys, ["_batch"]).drop("_batch")
 
 
-def push(stream: DataFrame, path: str, send: Callable[[list[str]], None], limit: int = 256, every: str = "2 seconds"):
-    """Sends each micro-batch's frames, at most ``limit`` of them (laggards skip the rest); runs until stopped."""
+class Hub:
+    """A ring of the last ``capacity`` frames. Each subscriber reads at its own pace; only one that has fallen behind by more than the ring skips, and is told how many.
+
+    ``publish`` lets subscribers catch up before it overwrites what they have not read, for at most ``patience`` seconds: the fast lose nothing, and
+    the slow hold nobody up for longer. Without subscribers frames are forgotten.
+    """
+
+    def __init__(self, capacity: int = 256, patience: float = 1.0):
+        self.capacity, self.patience = capacity, patience
+        self._ring: deque[str] = deque(maxlen=capacity)
+        self._next = 0  # the number of the next frame
+        self._changed = threading.Condition()
+        self._readers: set[Subscriber] = set()
+
+    def subscribe(self) -> Subscriber:
+        """Reads from the next frame on."""
+        with self._changed:
+            reader = Subscriber(self, self._next)
+            self._readers.add(reader)
+            return reader
+
+    def publish(self, frame: str) -> None:
+        with self._changed:
+            oldest = self._next - self.capacity
+            behind = lambda: any(r.at <= oldest and not r.lagging for r in self._readers)
+            if not self._changed.wait_for(lambda: not behind(), self.patience):
+                for r in self._readers:
+                    r.lagging = r.lagging or r.at <= oldest  # not waited for again until it has caught up
+            self._ring.append(frame)
+            self._next += 1
+            self._changed.notify_all()
+
+
+class Subscriber:
+    def __init__(self, hub: Hub, at: int):
+        self.hub, self.at, self.lagging, self.skipped = hub, at, False, 0
+
+    def read(self, timeout: float = 0.0) -> list[str]:
+        """The frames since the last call, in order; waits for one up to ``timeout`` seconds. ``skipped`` counts those that were lost to lagging."""
+        hub = self.hub
+        with hub._changed:
+            hub._changed.wait_for(lambda: hub._next > self.at, timeout)
+            first = hub._next - len(hub._ring)
+            if self.at < first:
+                self.skipped += first - self.at
+                self.at = first
+            out = [hub._ring[i - first] for i in range(self.at, hub._next)]
+            self.at, self.lagging = hub._next, False
+            hub._changed.notify_all()
+            return out
+
+    def close(self) -> None:
+        with self.hub._changed:
+            self.hub._readers.discard(self)
+            self.hub._changed.notify_all()
+
+
+def push(stream: DataFrame, path: str, hub: Hub, order: str = "data", every: str = "2 seconds", available: bool = False):
+    """Publishes every frame of each micro-batch (``kind, data`` and whatever ``order`` names), in ``order``; runs until stopped, with ``available`` to the end of what is there.
+
+    Frames reach the driver one partition at a time, so neither a burst nor a backlog is held there whole. A micro-batch that is run again after a failure
+    is published again: subscribers see each frame at least once.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        send([r.data for r in batch.select("data").limit(limit).collect()])
+        for row in batch.orderBy(order).select("data").toLocalIterator():
+            hub.publish(row.data)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(processingTime=every).start()
+    pace = {"availableNow": True} if available else {"processingTime": every}
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(**pace).start()
