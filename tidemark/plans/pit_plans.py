@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark import storage
 from tidemark.operators import pit, sinks
 from tidemark.sources import provider, tables
 from tidemark.sources.tables import rounded, with_tables
@@ -154,6 +155,19 @@ def anti_join_once_only(spark, sf):
     return sinks.unseen(tables.strategies(spark, sf).select("strategy_id", "name"), done, ["strategy_id"])
 
 
+def keyed_table(spark, sf):
+    """Bars through a table of deltas: written, some replaced, some filled, new ones added, some deleted, two buckets' worth of deltas folded."""
+    own = tables.bars(spark, sf).select("ticker", "ts", "close", "volume")
+    table = sinks.KeyedTable(spark, storage.new_path(spark, "keyed"), "ticker bigint, ts timestamp_ntz, close double, volume double", ["ticker", "ts"], buckets=8)
+    table.upsert(own.where("day(ts) <= 20").withColumn("volume", F.when(F.day("ts") % 3 > 0, F.col("volume"))))
+    table.upsert(own.where("day(ts) % 5 = 0 AND day(ts) <= 20").withColumns({"close": F.col("close") + 1, "volume": F.lit(7.0)}))
+    table.fill(own.where("day(ts) <= 10").withColumn("close", F.lit(-1.0)))
+    table.compact()
+    table.insert(own.where("day(ts) > 15").withColumn("close", F.col("close") * 2))
+    table.delete((F.month("ts") == 12) & (F.day("ts") > 25))
+    return rounded(table.read())
+
+
 def delete_by_source(spark, sf):
     return rounded(sinks.without(tables.macro(spark, sf), F.col("series") == "1-URGENT"))
 
@@ -161,7 +175,7 @@ def delete_by_source(spark, sf):
 QUERIES = {f.__name__: f for f in (
     daily_bars, bars_range_scan, pit_latest_features, pit_layer_features, pit_bars_lookback, pit_macro_asof, pit_macro_history, pit_vintage, pit_window_around, pit_latest_bar,
     leakage_invariant, hidden_facts, treasury_unpivot, fred_observations, universe_dedup, universe_parse, earnings_calendar, earnings_ingest, macro_router, etf_profile,
-    latest_score_lateral, promoted_scores, trades_with_signals, upsert_keyed, coalesce_merge, anti_join_once_only, delete_by_source,
+    latest_score_lateral, promoted_scores, trades_with_signals, upsert_keyed, coalesce_merge, anti_join_once_only, delete_by_source, keyed_table,
 )}
 
 _E, _M, _B = (f"TIMESTAMP '{t}'" for t in (T_EVENTS, T_MACRO, T_BARS))
@@ -195,5 +209,6 @@ ORACLES = {
     "upsert_keyed": with_tables("SELECT ticker, ts, CASE WHEN ticker % 2 = 0 THEN close + 1 ELSE close END AS close FROM bars", "bars", doubles="close"),
     "coalesce_merge": with_tables("SELECT trade_id, entry_ts, coalesce(pnl_r, 0.5) AS pnl_r FROM trades QUALIFY row_number() OVER (PARTITION BY trade_id ORDER BY entry_ts DESC, pnl_r DESC NULLS LAST) = 1", "trades", doubles="pnl_r"),
     "anti_join_once_only": with_tables("SELECT strategy_id, name FROM strategies WHERE strategy_id NOT IN (SELECT strategy_id FROM scores WHERE strategy_id <= 5)", "strategies", "scores"),
+    "keyed_table": with_tables("SELECT ticker, ts, CASE WHEN d > 20 THEN close * 2 WHEN d % 5 = 0 THEN close + 1 ELSE close END AS close, CASE WHEN d > 20 THEN volume WHEN d % 5 = 0 THEN 7 WHEN d <= 10 OR d % 3 > 0 THEN volume END AS volume FROM (SELECT *, day(ts) AS d FROM bars) WHERE NOT (month(ts) = 12 AND d > 25)", "bars", doubles="close volume"),
     "delete_by_source": with_tables("SELECT * FROM macro WHERE series <> '1-URGENT'", "macro", doubles="value"),
 }
