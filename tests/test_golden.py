@@ -47,8 +47,8 @@ def test_sma_roc_obv(spark):
 
 
 def test_rsi_of_rising_closes(spark):
-    own = closes(spark, range(1, 40)).withColumn("xs", ind.values(F.col("close"), 80))
-    assert last(own, a=ind.rsi(F.col("xs"), 14))[0] == 100
+    own = features.oscillators(features.staged(closes(spark, range(1, 40))).select("ticker", "ts", "i", "close"))
+    assert last(own, a=F.col("rsi14"))[0] == 100
 
 
 def naive_adx(rows, n):

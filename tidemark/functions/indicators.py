@@ -2,13 +2,11 @@
 
 Every indicator sees a bar and those before it, and no more than its layer's lookback, so values do not
 depend on where the stored history begins. Plain aggregates over sliding frames stay in generated code;
-the recursive ones (EMA, RSI, ADX) run over the frame, as each is seeded at its first bar.
+the recursive ones (EMA, RSI, ADX), seeded at the frame's first bar, are in ``recursive``.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -83,76 +81,6 @@ def slope_sign(y: Column, i: Column, n: int) -> Column:
     return full(F.signum(F.sum(i * y).over(w) - F.sum(i).over(w) * F.sum(y).over(w) / n), n, y)
 
 
-def values(c: Column, n: int) -> Column:
-    """The frame's values, oldest first."""
-    return F.collect_list(c).over(trailing(n))
-
-
-def ema(xs: Column, span: int) -> Column:
-    """Of an array: seeded at its first value."""
-    k = 2.0 / (span + 1)
-    return F.aggregate(F.slice(xs, 2, F.size(xs)), F.element_at(xs, 1), lambda acc, x: x * k + acc * (1 - k))
-
-
-def rsi(xs: Column, n: int) -> Column:
-    """Wilder's RSI of an array of closes; 100 without losses."""
-    moves = F.zip_with(F.slice(xs, 2, F.size(xs)), F.slice(xs, 1, F.size(xs) - 1), lambda b, a: b - a)
-    gain = lambda d: F.greatest(d, F.lit(0.0))
-    total = lambda part, f: F.aggregate(part, F.lit(0.0), lambda acc, d: acc + f(d))
-    loss = lambda d: F.greatest(-d, F.lit(0.0))
-    seed = F.slice(moves, 1, n)
-    start = F.struct((total(seed, gain) / n).alias("g"), (total(seed, loss) / n).alias("l"))
-    step = lambda s, d: F.struct(((s["g"] * (n - 1) + gain(d)) / n).alias("g"), ((s["l"] * (n - 1) + loss(d)) / n).alias("l"))
-    last = F.aggregate(
-        F.slice(moves, n + 1, F.size(moves)), start, step,
-        lambda s: F.when(s["l"] == 0, 100.0).otherwise(100 - 100 / (1 + s["g"] / F.when(s["l"] != 0, s["l"]))),
-    )
-    return F.when(F.size(xs) > n, last)
-
-
-def rsi_slope(xs: Column, n: int, k: int) -> Column:
-    """RSI now less the RSI of the same window without its last ``k`` closes."""
-    return F.when(F.size(xs) > n + k, rsi(xs, n) - rsi(F.slice(xs, 1, F.greatest(F.size(xs) - k, F.lit(0))), n))
-
-
-def adx(tr: Column, up: Column, down: Column, n: int) -> Column:
-    """Wilder's ADX from arrays with one value for each bar but the first of the window.
-
-    Three recursions feed a fourth: as an expression each step would be evaluated many times over, so this one
-    is an Arrow UDF that takes a whole batch of windows through each step at once.
-    """
-
-    @F.pandas_udf("double")
-    def run(tr: pd.Series, up: pd.Series, down: pd.Series) -> pd.Series:
-        sizes = np.array([len(x) for x in tr])
-        places = np.arange(sizes.max() if len(sizes) else 0)
-        there = places[None, :] < sizes[:, None]
-        t, u, d = (np.zeros(there.shape) for _ in range(3))
-        for m, xs in ((t, tr), (u, up), (d, down)):
-            m[there] = np.concatenate(list(xs)) if len(xs) else []
-        sums = [m[:, :n].sum(axis=1) for m in (t, u, d)]
-        count, avg = np.zeros(len(sizes)), np.zeros(len(sizes))
-        for i in range(n, there.shape[1] + 1):
-            total = sums[1] + sums[2]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                dx = np.where(total > 0, 100 * np.abs(sums[1] - sums[2]) / total, 0.0)
-            take = (sums[0] > 0) & (i <= sizes)
-            # The sum of the first n, then its mean, smoothed on.
-            nxt = np.where(count < n - 1, avg + dx, np.where(count == n - 1, (avg + dx) / n, (avg * (n - 1) + dx) / n))
-            avg, count = np.where(take, nxt, avg), count + take
-            if i < there.shape[1]:
-                sums = [s - s / n + m[:, i] for s, m in zip(sums, (t, u, d), strict=True)]
-        out = np.where(count >= n, avg, avg / np.maximum(count, 1))
-        return pd.Series(np.where((sizes >= 2 * n) & (count > 0), out, np.nan)).astype("float64").where(lambda x: x.notna(), None)
-
-    return run(tr, up, down)
-
-
-def percentile_of(xs: Column, x: Column) -> Column:
-    """Share of an array's values at or below ``x``."""
-    return F.when(F.size(xs) > 0, F.size(F.filter(xs, lambda v: v <= x)) / F.size(xs))
-
-
 def pivot(c: Column, k: int, above: bool) -> Column:
     """``c`` where it is beyond the ``k`` values on either side; confirmed ``k`` bars later."""
     beyond = lambda o: (c > o) if above else (c < o)

@@ -6,10 +6,12 @@ ticker in time order, so a layer costs one shuffle and one sort however many fea
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
+from tidemark.functions import recursive
 from tidemark.functions import scalars as sc
 from tidemark.operators import pit
 
@@ -98,23 +100,34 @@ def location(bars: DataFrame) -> DataFrame:
 def trigger(bars: DataFrame) -> DataFrame:
     """Layer 3: momentum, contraction, oscillators, volume trend, strength against the benchmark, and breadth."""
     c = F.col("close")
-    own = staged(bars).withColumns({"obv": ind.obv(F.col("signed")), "xs": ind.values(c, TRIGGER_LOOKBACK), "ma50": ind.sma(c, 50), "roc10": ind.roc(c, 10)})
-    second = own.withColumns({"atr5": ind.atr(F.col("tr"), 5), "atr14": ind.atr(F.col("tr"), 14), "atr20": ind.atr(F.col("tr"), 20), "e9": ind.ema(F.col("xs"), 9), "e21": ind.ema(F.col("xs"), 21), "e50": ind.ema(F.col("xs"), 50)})
-    align = (F.signum(F.col("e9") - F.col("e21")) + F.signum(F.col("e21") - F.col("e50"))) / 2
+    own = staged(bars).withColumns({"obv": ind.obv(F.col("signed")), "ma50": ind.sma(c, 50), "roc10": ind.roc(c, 10)})
+    second = own.withColumns({"atr5": ind.atr(F.col("tr"), 5), "atr14": ind.atr(F.col("tr"), 14), "atr20": ind.atr(F.col("tr"), 20)})
     n = F.count("range").over(ind.trailing(7))
     out = second.select(
-        "ticker", "ts", "close", "ma50", "roc10",
+        "ticker", "ts", "i", "close", "ma50", "roc10",
         F.col("roc10").alias("momentum_roc"),
         ind.divergence(c, F.col("move")).alias("momentum_divergence"),
         F.when(F.col("atr20") > 0, F.col("atr5") / F.col("atr20")).alias("atr_contraction"),
         F.when(n == 7, (F.col("range") <= F.min("range").over(ind.trailing(7))).cast("double")).alias("nr7"),
-        ind.rsi(F.col("xs"), 14).alias("rsi14"),
-        ind.rsi_slope(F.col("xs"), 14, 5).alias("rsi_slope"),
-        align.alias("ema_stack_align"),
         F.when(c > 0, F.col("atr14") / c).alias("atr_pct"),
         ind.slope_sign(F.col("obv"), F.col("i"), 20).alias("obv_trend"),
     )
-    return breadth(relative_strength(out)).drop("ma50", "roc10", "close")
+    met = oscillators(out).withColumn("ema_stack_align", ema_stack()).drop("i", "e9", "e21", "e50")
+    return breadth(relative_strength(met)).drop("ma50", "roc10", "close")
+
+
+def oscillators(bars: DataFrame) -> DataFrame:
+    """``bars`` (``ticker, i, close``) with ``rsi14, rsi_slope`` and the averages ``e9, e21, e50``."""
+
+    def run(c: np.ndarray) -> list[np.ndarray]:
+        n = TRIGGER_LOOKBACK
+        return [recursive.rsi(c, 14, n), recursive.rsi_slope(c, 14, 5, n), *(recursive.ema(c, span, n) for span in (9, 21, 50))]
+
+    return recursive.blocked(bars, ["close"], ["rsi14", "rsi_slope", "e9", "e21", "e50"], TRIGGER_LOOKBACK, run)
+
+
+def ema_stack() -> Column:
+    return (F.signum(F.col("e9") - F.col("e21")) + F.signum(F.col("e21") - F.col("e50"))) / 2
 
 
 def relative_strength(own: DataFrame) -> DataFrame:
@@ -137,14 +150,14 @@ def breadth(own: DataFrame) -> DataFrame:
 
 def volatility(bars: DataFrame) -> DataFrame:
     """The bar part of layer 1: realized volatility, its percentile, ADX."""
-    own = staged(bars).withColumn("n_bars", F.count("*").over(ind.trailing(REGIME_LOOKBACK)))
-    rv = own.withColumn("rv20", F.when(F.col("i") > 20, ind.realized_vol(F.col("log_ret"), 20)))
-    hist = rv.withColumns({"rvs": F.collect_list("rv20").over(ind.trailing(REGIME_LOOKBACK - 20)), **{f"{k}s": F.collect_list(f"dm.{k}").over(ind.trailing(REGIME_LOOKBACK - 1)) for k in ("tr", "up", "down")}})
-    return hist.select(
-        "ticker", "ts", finite(F.col("rv20")).alias("rv20"),
-        F.when(F.col("rv20").isNotNull(), ind.percentile_of(F.col("rvs"), F.col("rv20"))).alias("rv_percentile"),
-        F.when(F.col("i") > 20, finite(ind.adx(F.col("trs"), F.col("ups"), F.col("downs"), 14))).alias("adx"),
-    )
+    own = staged(bars).withColumn("rv20", F.when(F.col("i") > 20, ind.realized_vol(F.col("log_ret"), 20)))
+    flat = own.select("ticker", "ts", "i", "rv20", *[F.col(f"dm.{k}").alias(k) for k in ("tr", "up", "down")])
+
+    def run(rv: np.ndarray, tr: np.ndarray, up: np.ndarray, down: np.ndarray) -> list[np.ndarray]:
+        return [recursive.share_below(rv, REGIME_LOOKBACK - 20), recursive.adx(tr, up, down, 14, REGIME_LOOKBACK - 1)]
+
+    met = recursive.blocked(flat, ["rv20", "tr", "up", "down"], ["rv_percentile", "adx"], REGIME_LOOKBACK, run)
+    return met.select("ticker", "ts", finite(F.col("rv20")).alias("rv20"), "rv_percentile", F.when(F.col("i") > 20, finite(F.col("adx"))).alias("adx"))
 
 
 #: Dates of a macro trend.

@@ -18,9 +18,9 @@ def _per_bar(**columns):
     return lambda spark, sf: rounded(_bars(spark, sf).select("ticker", "ts", *[c().alias(k) for k, c in columns.items()]))
 
 
-def _array(n, **columns):
-    """A query of folds over the last ``n`` closes."""
-    return lambda spark, sf: rounded(_bars(spark, sf).withColumn("xs", ind.values(F.col("close"), n)).select("ticker", "ts", *[c(F.col("xs")).alias(k) for k, c in columns.items()]))
+def _oscillator(**columns):
+    """A query of named columns over the oscillators."""
+    return lambda spark, sf: rounded(features.oscillators(_bars(spark, sf).select("ticker", "ts", "i", "close")).select("ticker", "ts", *[c().alias(k) for k, c in columns.items()]))
 
 
 close = lambda: F.col("close")
@@ -124,10 +124,10 @@ QUERIES = {
     "nr7": _per_bar(nr7=lambda: F.when(F.count("range").over(ind.trailing(7)) == 7, (F.col("range") <= F.min("range").over(ind.trailing(7))).cast("double"))),
     "divergence": _per_bar(div=lambda: ind.divergence(close(), F.col("move"))),
     "atr_contraction": _per_bar(ratio=lambda: F.when(ind.atr(F.col("tr"), 20) > 0, ind.atr(F.col("tr"), 5) / ind.atr(F.col("tr"), 20))),
-    "ema": _array(80, ema9=lambda xs: ind.ema(xs, 9)),
-    "ema_stack": _array(80, align=lambda xs: (F.signum(ind.ema(xs, 9) - ind.ema(xs, 21)) + F.signum(ind.ema(xs, 21) - ind.ema(xs, 50))) / 2),
-    "rsi": _array(80, rsi14=lambda xs: ind.rsi(xs, 14)),
-    "rsi_slope": _array(80, slope=lambda xs: ind.rsi_slope(xs, 14, 5)),
+    "ema": _oscillator(ema9=lambda: F.col("e9")),
+    "ema_stack": _oscillator(align=features.ema_stack),
+    "rsi": _oscillator(rsi14=lambda: F.col("rsi14")),
+    "rsi_slope": _oscillator(slope=lambda: F.col("rsi_slope")),
 } | {f.__name__: f for f in (obv_trend, rv_percentile, adx, swing_pivots, location_features, trigger_features, rel_strength, breadth, event_calendar, tradeability, regime_features, regime_by_day, feature_window, latest_feature_map, dataset_pivot)}
 
 _W = "WINDOW w AS (PARTITION BY ticker ORDER BY ts)"
