@@ -79,7 +79,7 @@ def test_adx(lookback):
 
 def test_blocks_make_no_difference(spark, monkeypatch):
     x = series(700)
-    rows = [(t, i, float(c)) for t in (0, 1) for i, c in enumerate(x[: 700 - 20 * t], 1)]
+    rows = [(t, float(i), float(c)) for t in (0, 1) for i, c in enumerate(x[: 700 - 20 * t], 1)]
     bars = spark.createDataFrame(rows, "ticker int, i double, close double")
     whole = sorted(map(tuple, features.oscillators(bars).collect()))
     monkeypatch.setattr(recursive, "BLOCK", 100)  # seven tasks a ticker
