@@ -14,6 +14,7 @@ from tidemark.functions import indicators as ind
 from tidemark.functions import recursive
 from tidemark.functions import scalars as sc
 from tidemark.operators import pit
+from tidemark.operators.ordered import Ordered
 
 BENCHMARK = 0
 LOCATION_LOOKBACK, TRIGGER_LOOKBACK, REGIME_LOOKBACK = 260, 80, 277
@@ -133,9 +134,9 @@ def ema_stack() -> Column:
 def relative_strength(own: DataFrame) -> DataFrame:
     """``rs_vs_spy``: momentum less the benchmark's latest at that time."""
     bench = own.where(F.col("ticker") == BENCHMARK).select("ts", F.coalesce("roc10", F.lit(float("nan"))).alias("bench_roc"))
-    # Days are few; where one lacks the benchmark, its last bar stands.
-    line = Window.orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
-    days = own.select("ts").distinct().join(bench, "ts", "left").withColumn("bench_roc", F.last("bench_roc", ignorenulls=True).over(line)).select("ts", "bench_roc")
+    # Where a day lacks the benchmark, its last bar stands: a year's days in order, from what the year began with.
+    days = Ordered(own.select("ts").distinct().join(bench, "ts", "left"), ["ts"], ranges=F.year("ts")).running(last_roc=("last", F.col("bench_roc")))
+    days = days.select("ts", F.col("last_roc").alias("bench_roc"))
     met = own.join(days, "ts", "left")
     rs = F.col("roc10") - F.nanvl("bench_roc", F.lit(None).cast("double"))
     return met.withColumn("rs_vs_spy", F.when(F.col("ticker") == BENCHMARK, 0.0).otherwise(rs)).drop("bench_roc")

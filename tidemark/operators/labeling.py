@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import Ordered
+
 
 @dataclass(frozen=True)
 class Profile:
@@ -167,18 +169,23 @@ def uniqueness(spans: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     sorts, where comparing spans with points would be quadratic. A span without an end, or that ends before it starts, is
     open at its start alone and weighs 1.
     """
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     good = F.coalesce(F.col("t1") >= F.col("ts"), F.lit(False))
     end = F.when(good, F.col("t1")).otherwise(F.col("ts"))
     ends = [F.struct(F.col("ts").alias("p"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(end.alias("p"), F.lit(0).alias("up"), F.lit(1).alias("down"))]
     points = spans.select(*keys, F.explode(F.array(*ends)).alias("e")).select(*keys, "e.*")
     by_point = points.groupBy(*keys, "p").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-    upto = part.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     # A span is open at its own end, so ends count from the next point on; only starts are points.
-    opened = by_point.withColumn("open", F.sum("up").over(upto) - F.sum("down").over(upto) + F.col("down"))
+    still = F.col("ups") - F.col("downs") + F.col("down")
     share = F.when(F.col("up") > 0, 1.0 / F.col("open")).otherwise(0.0).cast("decimal(28,18)")  # differences of running sums stay exact
-    own = opened.withColumns({"own": share, "is_point": (F.col("up") > 0).cast("int")})
-    run = own.withColumns({"share": F.sum("own").over(upto), "n": F.sum("is_point").over(upto)})
+    if keys:
+        upto = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+        opened = by_point.withColumns({"ups": F.sum("up").over(upto), "downs": F.sum("down").over(upto)}).withColumn("open", still)
+        own = opened.withColumns({"own": share, "is_point": (F.col("up") > 0).cast("int")})
+        run = own.withColumns({"share": F.sum("own").over(upto), "n": F.sum("is_point").over(upto)})
+    else:  # one order of all points: ranges that start from the sums before them
+        opened = Ordered(by_point, ["p"]).running(ups=("sum", F.col("up")), downs=("sum", F.col("down"))).withColumn("open", still)
+        own = opened.withColumns({"own": share, "is_point": (F.col("up") > 0).cast("int")})
+        run = Ordered(own, ["p"]).running(share=("sum", F.col("own")), n=("sum", F.col("is_point")))
     a = run.select(*keys, F.col("p").alias("ts"), (F.col("share") - F.col("own")).alias("s0"), F.col("n").alias("n0"))
     b = run.select(*keys, F.col("p").alias("t1"), F.col("share").alias("s1"), F.col("n").alias("n1"))
     out = spans.join(a, [*keys, "ts"], "left").join(b, [*keys, "t1"], "left")

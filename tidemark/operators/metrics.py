@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import norm_cdf
+from tidemark.operators.ordered import positions
 
 EULER_GAMMA = 0.5772156649015329
 COST_R = 0.05
@@ -114,8 +115,7 @@ def cscv(returns: DataFrame, n_splits: int) -> DataFrame:
     size = n // n_splits
     if not size:
         raise ValueError("more blocks than observations")
-    order = F.row_number().over(Window.orderBy("t")) - 1  # distinct times, once
-    blocks = times.withColumn("block", F.floor(order / size).cast("int")).where(F.col("block") < n_splits)
+    blocks = positions(times, ["t"]).withColumn("block", F.floor(F.col("pos") / size).cast("int")).where(F.col("block") < n_splits).drop("pos")
     parts = returns.join(blocks, "t").groupBy("block", "trial").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
     chosen = combos(spark, n_splits, n_splits // 2)
     member = chosen.groupBy("combo").agg(F.collect_set("part").alias("parts"))

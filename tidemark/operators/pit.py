@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import Ordered
+
 
 def observable(as_of: Column, decision: Column) -> Column:
     return as_of <= decision
@@ -39,12 +41,13 @@ def last_bars(bars: DataFrame, t: Column, n: int) -> DataFrame:
     return own.withColumn("pos", F.row_number().over(Window.partitionBy("ticker").orderBy("ts"))).drop("back")
 
 
-def as_of(left: DataFrame, facts: DataFrame, keys: Sequence[str], left_time: str, value: str, equal: Sequence[str] = ()) -> DataFrame:
+def as_of(left: DataFrame, facts: DataFrame, keys: Sequence[str], left_time: str, value: str, equal: Sequence[str] = (), hot: bool = False) -> DataFrame:
     """Each left row with the newest ``value`` visible at its time: newest event, then newest vintage.
 
     Facts and questions are laid on one line per ``equal`` group in order of when they take effect, and a
     running maximum carries the newest fact to each question: one shuffle, linear in both sides, where an
-    inequality join would meet every pair. A fact takes effect when it has both happened and become known.
+    inequality join would meet every pair. A fact takes effect when it has both happened and become known. Without ``equal``, or where one group of it is ``hot``,
+    the line is cut into ranges, each of which starts from the newest fact before it.
     """
     rest = [c for c in left.columns if c not in equal]
     asks = left.select(*equal, F.col(left_time).alias("_t"), F.lit(1).alias("_ask"), F.struct(*rest).alias("_row"), F.lit(None).cast(_fact_type(facts, value)).alias("_fact"))
@@ -52,9 +55,14 @@ def as_of(left: DataFrame, facts: DataFrame, keys: Sequence[str], left_time: str
         *equal, F.greatest("ts", "as_of").alias("_t"), F.lit(0).alias("_ask"), F.lit(None).cast(asks.schema["_row"].dataType).alias("_row"),
         F.struct(F.col("ts"), F.col("as_of"), F.col(value).alias("value")).alias("_fact"),
     )
-    line = Window.partitionBy(*equal) if equal else Window.partitionBy(F.lit(0))
-    line = line.orderBy("_t", "_ask").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    told = asks.unionByName(tells).withColumn("_newest", F.max("_fact").over(line)).where("_ask = 1")
+    both = asks.unionByName(tells)
+    if equal and not hot:
+        line = Window.partitionBy(*equal).orderBy("_t", "_ask").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        told = both.withColumn("_newest", F.max("_fact").over(line))
+    else:  # one order of many rows: questions of one time may be in several ranges, after its facts
+        tied = both.withColumn("_tie", F.when(F.col("_ask") == 1, F.xxhash64("_row")).otherwise(0))
+        told = Ordered(tied, ["_t", "_ask", "_tie"], equal).running(_newest=("max", F.col("_fact")))
+    told = told.where("_ask = 1")
     return told.select(*equal, *[F.col(f"_row.{c}").alias(c) for c in rest], F.col("_newest.value").alias(value))
 
 

@@ -1,11 +1,11 @@
 """Labels, backtests and validation statistics as queries."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
 from tidemark.functions import scalars as sc
 from tidemark.operators import crossval, features, labeling, metrics, regime
+from tidemark.operators.ordered import positions
 from tidemark.plans.indicator_plans import _ATR14, _STAGED, _W
 from tidemark.sources import tables
 from tidemark.sources.tables import rounded, with_tables
@@ -50,8 +50,8 @@ def _dataset(spark, sf):
     """Labelled rows: position, time, end of label, return, a made-up probability."""
     t = tables.trades(spark, sf).where("pnl_r IS NOT NULL")
     own = t.groupBy("entry_ts").agg(F.avg("pnl_r").alias("r"), F.sum("trade_id").alias("k"))
-    pos = F.row_number().over(Window.orderBy("entry_ts")) - 1  # distinct days: as many as the calendar has
-    return own.select(pos.alias("pos"), F.col("entry_ts").alias("ts"), (F.col("entry_ts") + F.make_dt_interval(F.lit(15))).alias("t1"), "r", ((F.col("k") % 997) / 997).alias("p"))
+    placed = positions(own, ["entry_ts"])
+    return placed.select("pos", F.col("entry_ts").alias("ts"), (F.col("entry_ts") + F.make_dt_interval(F.lit(15))).alias("t1"), "r", ((F.col("k") % 997) / 997).alias("p"))
 
 
 def meta_sizing(spark, sf):

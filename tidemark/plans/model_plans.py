@@ -1,11 +1,11 @@
 """Learners, search and streams as queries; no SQL expresses these."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark import storage
 from tidemark.functions import indicators as ind
 from tidemark.operators import crossval, features, labeling, learners, pit, search, validation
+from tidemark.operators.ordered import positions
 from tidemark.sources import tables
 from tidemark.sources.tables import rounded, with_tables
 from tidemark.streaming import feeds
@@ -34,19 +34,11 @@ def _rows(spark, sf):
     w = tables.written(_window(spark, sf), "window")
     done = tables.written(labeling.backtest(w, F.col("atr") > 0).where("ret_r IS NOT NULL AND t1 IS NOT NULL"), "labels")
     own = done.join(w.select("ticker", "idx", *FEATURES), ["ticker", "idx"])
-    placed = own.join(_positions(own), ["entry_ts", "ticker"])
+    placed = positions(own, ["entry_ts", "ticker"])
     weights = labeling.uniqueness(placed.selectExpr("pos AS id", "ticker", "entry_ts AS ts", "t1"), ["ticker"]).selectExpr("id AS pos", "weight")
     return placed.join(weights, "pos").select("pos", F.col("entry_ts").alias("ts"), "t1", F.col("ret_r").alias("r"), "weight", *FEATURES)
 
 
-def _positions(own):
-    """Places in order of time, then ticker: days are numbered by their counts (one row a day), entries inside their day."""
-    days = own.groupBy("entry_ts").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("entry_ts").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # distinct days
-    inside = F.row_number().over(Window.partitionBy("entry_ts").orderBy("ticker")) - 1
-    return own.select("entry_ts", "ticker", inside.alias("k")).join(days.select("entry_ts", before.alias("before")), "entry_ts").select("entry_ts", "ticker", (F.col("before") + F.col("k")).cast("int").alias("pos"))
-
-
 def gbdt_oos_proba(spark, sf):
     rows = _rows(spark, sf)
     splits = crossval.splits(rows.select("pos", "ts", "t1"), 4, 1, 3)
