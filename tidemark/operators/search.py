@@ -10,10 +10,11 @@ import random
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import labeling, metrics
+from tidemark.operators.sinks import KeyedTable
 
 OPS = ("gt", "lt")
 #: The share of random genomes that are made able to trade.
@@ -107,11 +108,12 @@ class Genome:
 
 
 def catalog(window: DataFrame) -> dict[str, list[float]]:
-    """QUANTILES of each feature with enough values that vary: one aggregate, a few numbers a feature."""
+    """QUANTILES of each feature with enough values that vary, exactly: by counts of values, then of ranges of them; a few numbers a feature reach the driver."""
     names = [c for c in window.columns if "__" in c]
-    q = QUANTILES
-    row = window.agg(*[F.struct(F.count(c).alias("n"), F.percentile_approx(c, F.array(*[F.lit(x) for x in q]), F.lit(1000)).alias("q")).alias(c) for c in names]).first()
-    return {c: list(row[c].q) for c in names if row[c].n >= MIN_ROWS and len(set(row[c].q)) > 1}
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in names])).alias("x")
+    rows = metrics.nearest_ranks(window.select(each).select("x.*"), "feature", "value", QUANTILES).where(F.col("n") >= MIN_ROWS).collect() if names else []
+    cat = {r.feature: [r[f"q{round(q * 100)}"] for q in QUANTILES] for r in rows}
+    return {c: q for c, q in sorted(cat.items()) if len(set(q)) > 1}
 
 
 def random_genome(cat: dict[str, list[float]], rng: random.Random, space: RiskSpace = RiskSpace()) -> Genome:
@@ -167,38 +169,79 @@ def cross(a: Genome, b: Genome, rng: random.Random, space: RiskSpace = RiskSpace
     return Genome((a.predicates[:i] + b.predicates[j:])[:MAX_PREDICATES], a.side, space.cross(a.risk, b.risk, rng))
 
 
-def evaluate(genomes: Sequence[Genome], window: DataFrame, profile: labeling.Profile = labeling.SWING) -> DataFrame:
-    """``genome, n, expectancy, dsr, n_regimes, ...`` of every genome's entries over all tickers: one job.
+def measured(genomes: Sequence[Genome], window: DataFrame, profile: labeling.Profile = labeling.SWING) -> DataFrame:
+    """``genome, n, mean, sd, skew, kurtosis`` of every genome's entries over all tickers: one job. Genomes with under MIN_ENTRIES entries have no row.
 
-    Each bar is tested against all genomes in one pass (an array of flags, exploded where set), so the window is read once.
+    Each bar is tested against all genomes in one pass (an array of flags, exploded where set), so the window is read once. Entries are counted before any is labelled.
     """
-    own = [(i, g) for i, g in enumerate(genomes)]
+    own = list(enumerate(genomes))
     flags = F.filter(F.array(*[F.when(labeling.fires(g.predicates), F.lit(i)) for i, g in own]), lambda x: x.isNotNull())
     last = window.groupBy("ticker").agg(F.max("idx").alias("last"))
     fired = window.join(last, "ticker").where((F.col("atr") > 0) & (F.col("idx") < F.col("last"))).select("ticker", "idx", F.explode(flags).alias("genome"))
     taken = labeling.greedy_cooldown(fired, ["genome", "ticker"], max(profile.min_hold, 1))
+    enough = taken.groupBy("genome").count().where(F.col("count") >= MIN_ENTRIES).select("genome")
     pick = lambda f: F.element_at(F.array(*[F.lit(f(g)) for _, g in own]), F.col("genome") + 1)
     stop = labeling.distance(pick(lambda g: g.risk.kind), pick(lambda g: g.risk.stop), F.col("entry_px"), F.col("atr"))
-    entries = taken.join(window.select("ticker", "idx", F.col("close").alias("entry_px"), "atr"), ["ticker", "idx"]).select(
+    entries = taken.join(enough, "genome").join(window.select("ticker", "idx", F.col("close").alias("entry_px"), "atr"), ["ticker", "idx"]).select(
         "genome", "ticker", "idx", "entry_px", pick(lambda g: g.side).alias("side"), (pick(lambda g: g.risk.target) * stop).alias("target_dist"), stop.alias("stop_dist")
     )
     labels = labeling.triple_barrier(entries, window, profile.max_hold).where("ret_r IS NOT NULL")
-    net = labels.withColumn("net_r", F.col("ret_r") - metrics.COST_R)
-    return metrics.deflated_sharpe(metrics.moments(net, ["genome"], "net_r"), max(2, len(own)))
+    return metrics.moments(labels.withColumn("net_r", F.col("ret_r") - metrics.COST_R), ["genome"], "net_r")
 
 
-def evolve(window: DataFrame, generations: int = 2, size: int = 12, seed: int = 7, space: RiskSpace = RiskSpace()) -> list[tuple[Genome, float, float]]:
-    """The best genomes with expectancy and DSR. Elites stay, the rest are mutations and crossovers, none is scored twice."""
+def evaluate(genomes: Sequence[Genome], window: DataFrame, profile: labeling.Profile = labeling.SWING, trials: int = 0) -> DataFrame:
+    """``measured`` with ``dsr``, deflated for the larger of ``trials`` (all genomes tried so far) and these, 2 at least."""
+    return metrics.deflated_sharpe(measured(genomes, window, profile), max(2, trials, len(genomes)))
+
+
+class Registry:
+    """Every genome that was ever tried, by its signature: an id that stays its own, and how many there are, over all searches.
+
+    Without a table it lasts as long as the object. With one (a keyed table of ``signature, id, run``) later searches go on from it: what was tried
+    before is counted again in no one's favour.
+    """
+
+    SCHEMA = "signature string, id int, run string"
+
+    def __init__(self, table: KeyedTable | None = None, run: str = ""):
+        self.table, self.run = table, run
+        self.ids: dict[str, int] = {r.signature: r.id for r in table.read().collect()} if table else {}  # genomes, not data
+
+    @classmethod
+    def at(cls, spark: SparkSession, path: str, run: str = "") -> Registry:
+        return cls(KeyedTable(spark, path, cls.SCHEMA, ["signature"], buckets=1), run)
+
+    @property
+    def trials(self) -> int:
+        return len(self.ids)
+
+    def add(self, genomes: Sequence[Genome]) -> list[int]:
+        """Their ids; those of new ones go on from the last."""
+        new = [g.signature for g in distinct(genomes) if g.signature not in self.ids]
+        self.ids |= {s: len(self.ids) + i for i, s in enumerate(new)}
+        if new and self.table:
+            self.table.insert(self.table.spark.createDataFrame([(s, self.ids[s], self.run) for s in new], self.SCHEMA))
+        return [self.ids[g.signature] for g in genomes]
+
+
+def evolve(
+    window: DataFrame, generations: int = 2, size: int = 12, seed: int = 7, space: RiskSpace = RiskSpace(), registry: Registry | None = None
+) -> list[tuple[Genome, float, float]]:
+    """The best genomes with expectancy and DSR. Elites stay, the rest are mutations and crossovers, none is scored twice.
+
+    Every DSR is deflated for all genomes that the registry has seen when the search ends, so those of early and late generations can be ranked together.
+    """
+    registry = registry or Registry()
     rng, cat = random.Random(seed), catalog(window)
     pool, scored = seed_population(cat, size, rng, space), {}
+    rank: list[tuple[Genome, float, float]] = []
     for _ in range(generations):
         fresh = [g for g in pool if g.signature not in scored]
         if fresh:
-            rows = {r.genome: r for r in evaluate(fresh, window).collect()}  # one row a genome
-            for i, g in enumerate(fresh):
-                r = rows.get(i)
-                scored[g.signature] = (g, r.mean if r and r.n >= MIN_ENTRIES else None, r.dsr if r else None)
-        rank = sorted((x for x in scored.values() if x[1] is not None), key=lambda x: (-x[1], -(x[2] or 0), x[0].signature))
+            registry.add(fresh)
+            rows = {r.genome: r for r in measured(fresh, window).collect()}  # one row a genome
+            scored |= {g.signature: (g, rows.get(i)) for i, g in enumerate(fresh)}
+            rank = _ranked(window.sparkSession, scored, registry.trials)
         elite = [x[0] for x in rank[: max(2, size // 4)]] or pool[:2]
         pool = list(elite)
         for _ in range(20 * size):
@@ -209,6 +252,14 @@ def evolve(window: DataFrame, generations: int = 2, size: int = 12, seed: int =
     return rank
 
 
+def _ranked(spark: SparkSession, scored: dict, trials: int) -> list[tuple[Genome, float, float]]:
+    """The genomes with enough results, best first."""
+    own = [(s, int(r.n), r.mean, r.sd, r.skew, r.kurtosis) for s, (_, r) in scored.items() if r and r.n >= MIN_ENTRIES]
+    stats = spark.createDataFrame(own, "signature string, n int, mean double, sd double, skew double, kurtosis double")
+    found = [(scored[r.signature][0], r.mean, r.dsr) for r in metrics.deflated_sharpe(stats, max(2, trials)).collect()]
+    return sorted(found, key=lambda x: (-x[1], -(x[2] or 0), x[0].signature))
+
+
 def select_survivors(evaluated: DataFrame) -> DataFrame:
     """``evaluated`` (``status`` and the gate's ``passed, survivor``; all null where a genome was not scored) with the ``status`` it gets and whether
     its genome is carried into the next generation: promoted if it passes, kept as it is if it survives, retired if it was scored and does neither."""

@@ -97,7 +97,7 @@ def calibrate(spark, sf):
 
 def search_generation(spark, sf):
     """The search at its defaults: every generation's genomes are scored in one job."""
-    w = _window(spark, sf)
+    w = storage.Scratch(spark).written(_window(spark, sf), "window")
     found = search.evolve(w)
     return rounded(spark.createDataFrame([(g.signature, e, d) for g, e, d in found], "signature string, expectancy double, dsr double"))
 
