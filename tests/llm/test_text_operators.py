@@ -120,6 +120,25 @@ def test_secrets_edges(spark, docs):
     assert sorted(((r.doc_id, [tuple(s) for s in r.spans]) for r in got), key=repr) == sorted(((i, brute_spans(t or "")) for i, t in rows), key=repr)
 
 
+def test_mask_across_stretches(spark):
+    rnd = random.Random(6)
+    text = "".join(rnd.choice("ab日😀\n ") for _ in range(30_000))
+    starts = sorted(rnd.sample(range(29_000), 900)) + [29_990]
+    spans = [(a, min(30_000, a + rnd.choice([1, 6, 40, 5000 if a % 97 == 0 else 3]))) for a in starts]
+    hidden = {i for a, b in spans for i in range(a, b)}
+    df = spark.createDataFrame([(text, spans), (text, []), ("", []), (None, None)], "text string, spans array<struct<start:int,end:int>>")
+    got = [r.m for r in df.select(secrets.mask(df.text, df.spans).alias("m")).collect()]
+    assert got == ["".join("*" if i in hidden else c for i, c in enumerate(text)), text, "", None]
+
+
+def test_a_batch_meets_only_its_own_part_of_the_ledger(spark):
+    ledger = secrets.BlobLedger(spark)
+    secrets.scan(frame(spark, SECRETS), ledger).collect()
+    batch = [SECRETS[0], (9_001, "password: hunter22 and more")]
+    want = {r.doc_id: r.spans for r in secrets.scan(frame(spark, batch), secrets.BlobLedger(spark)).collect()}
+    assert {r.doc_id: r.spans for r in secrets.scan(frame(spark, batch), ledger).collect()} == want
+
+
 def test_mask(spark):
     got = secrets.scan(frame(spark, SECRETS), secrets.BlobLedger(spark)).join(frame(spark, SECRETS).dropDuplicates(), "doc_id")
     for r in got.select("text", "spans", secrets.mask(got.text, got.spans).alias("masked")).collect():

@@ -90,8 +90,9 @@ def _confirmed(own: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float)
     same = (F.col("o.text_key") == F.col("i.text_key")) & F.col("o.doc_id").eqNullSafe(F.col("i.doc_id"))
     texts = own.alias("o").join(ids.alias("i").hint("shuffle_hash"), same).select("i.node", "o.text").dropDuplicates(["node"])
     texts = written(texts, "texts")
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-    both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
+    # ``a`` may stand for very many copies ``b``: their texts go to it, once for each pair, and its own goes nowhere with them.
+    one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
+    both = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -122,7 +122,10 @@ def _by_blob(docs: DataFrame, ledger: BlobLedger, rules: tuple[SecretRule, ...])
     blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
     each = F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])).alias("r")
     pairs = blobs.select("blob", "doc_id", each).select("blob", "doc_id", "r.kind", "r.version")
-    unseen = written(pairs.join(ledger.scanned(), ["blob", "kind", "version"], "left_anti"), "unseen")
+    # Of the ledger only what is about these blobs: a small batch is sent to where the ledger lies, which is not shuffled.
+    met = paths.select("blob").distinct()
+    scanned = ledger.scanned().join(met, "blob", "left_semi")
+    unseen = written(pairs.join(scanned, ["blob", "kind", "version"], "left_anti"), "unseen")
     due = unseen.groupBy("blob", "doc_id").agg(F.collect_set("kind").alias("kinds"))  # as many kinds as rules, at most
     # Keyed by document and blob, so copies do not meet in one task; the narrow side is hashed, texts are not sorted.
     texts = addressed.alias("d").join(
@@ -132,7 +135,7 @@ def _by_blob(docs: DataFrame, ledger: BlobLedger, rules: tuple[SecretRule, ...])
         texts = texts.dropDuplicates(["blob"])
     ledger.append(unseen.select("blob", "kind", "version"), _scan(texts, rules))
     # Two runs of one blob have the same spans: one row each for blob and kind.
-    by_kind = ledger.findings().join(F.broadcast(versions), ["kind", "version"]).groupBy("blob", "kind", "rank").agg(F.max("spans").alias("spans"))
+    by_kind = ledger.findings().join(met, "blob", "left_semi").join(F.broadcast(versions), ["kind", "version"]).groupBy("blob", "kind", "rank").agg(F.max("spans").alias("spans"))
     ranked = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank"), F.col("kind"), s["end"].alias("end")))
     return paths, written(by_kind.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(ranked))).alias("spans")), "by-blob")
 
@@ -160,12 +163,28 @@ def redact(docs: DataFrame, ledger: BlobLedger, rules: tuple[SecretRule, ...] =
     return met.withColumn("text", text).select(*docs.columns)
 
 
+#: Code points of a text that are masked together.
+_STRETCH = 4096
+
+
 def mask(text: Column, spans: Column, mark: str = "*") -> Column:
-    """``text`` with every character inside ``spans`` (sorted by start; they may overlap) replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """``text`` with every character inside ``spans`` (sorted by start; they may overlap) replaced by ``mark``.
+
+    Stretch by stretch, each with the spans that touch it, so that a very long text with many secrets is copied once.
+    """
+    stretches = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_STRETCH}}}"), F.lit(0))
+    end = lambda i: (i + 1) * _STRETCH
+    own = lambda i: F.transform(
+        F.filter(spans, lambda s: (s["start"] < end(i)) & (s["end"] > i * _STRETCH)),
+        lambda s: F.struct(F.greatest(s["start"] - i * _STRETCH, F.lit(0)).alias("start"), F.least(s["end"] - i * _STRETCH, F.lit(_STRETCH)).alias("end")),
+    )
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(F.transform(stretches, lambda x, i: _masked(x, own(i), mark)), ""))
+
+
+def _masked(text: Column, spans: Column, mark: str) -> Column:
     done = F.aggregate(
         spans,
-        start,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
             F.struct(
                 s["end"].alias("at"),
@@ -176,5 +195,6 @@ def mask(text: Column, spans: Column, mark: str = "*") -> Column:
                 ).alias("out"),
             )
         ),
+        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.lit(_STRETCH))),
     )
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    return done

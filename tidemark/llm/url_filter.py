@@ -40,12 +40,17 @@ class Level:
     words: np.ndarray  # the bits, 64 to a word
 
     def holds(self, key: Column, number: int) -> Column:
-        bits = F.lit(self.words)
-        out = F.lit(True)
-        for j in range(self.n_hashes):
-            at = _position(key, number, j, 64 * len(self.words))
-            out = out & (F.getbit(F.element_at(bits, (F.floor(at / 64) + 1).cast("int")), (at % 64).cast("int")) == 1)
-        return out
+        """Whether all bits of ``key`` are set. The words are in the plan once, whatever the number of hashes."""
+        n_bits = 64 * len(self.words)
+
+        def all_set(bits: Column) -> Column:
+            out = F.lit(True)
+            for j in range(self.n_hashes):
+                at = _position(key, number, j, n_bits)
+                out = out & (F.getbit(F.element_at(bits, (F.floor(at / 64) + 1).cast("int")), (at % 64).cast("int")) == 1)
+            return out
+
+        return F.exists(F.array(F.lit(self.words)), all_set)
 
 
 def _position(key: Column, number: int, j: int, n_bits: int) -> Column:
@@ -138,15 +143,12 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", max
         cascades = {verdict: Cascade(frame, universe, max_keys=max_keys) for verdict, frame in frames.items()}
     except TooManyKeys:
         return _joined(keyed, frames["block"].withColumn("verdict", F.lit("block")).unionByName(frames["allow"].withColumn("verdict", F.lit("allow"))), default)
-    rule = F.filter("keys", lambda k: cascades["block"].holds(k) | cascades["allow"].holds(k))
-    ruled = keyed.withColumn("rule", F.get(rule, 0))
-    return ruled.select(
-        "page_id",
-        "host",
-        "path",
-        "rule",
-        F.when(F.col("rule").isNull(), default).when(cascades["block"].holds(F.col("rule")), "block").otherwise("allow").alias("verdict"),
-    )
+    # Each cascade once: of every key what it says, then the first key that either holds.
+    said = F.transform("keys", lambda k: F.struct(k.alias("key"), cascades["block"].holds(k).alias("block"), cascades["allow"].holds(k).alias("allow")))
+    best = F.get(F.filter(said, lambda x: x["block"] | x["allow"]), 0)
+    ruled = keyed.withColumn("best", best)
+    verdict = F.when(F.col("best").isNull(), default).when(F.col("best.block"), "block").otherwise("allow")
+    return ruled.select("page_id", "host", "path", F.col("best.key").alias("rule"), verdict.alias("verdict"))
 
 
 def _joined(keyed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
