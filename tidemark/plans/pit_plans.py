@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark import storage
 from tidemark.operators import pit, sinks
-from tidemark.sources import provider, tables
+from tidemark.sources import answers, provider, tables
 from tidemark.sources.tables import rounded, with_tables
 
 T_EVENTS, T_MACRO, T_BARS = "2024-01-20 00:00:00", "1998-06-30 00:00:00", "1999-06-30 00:00:00"
@@ -155,6 +155,43 @@ def anti_join_once_only(spark, sf):
     return sinks.unseen(tables.strategies(spark, sf).select("strategy_id", "name"), done, ["strategy_id"])
 
 
+def _answered(spark, rows, keys, answer):
+    """Answers as a provider gives them, a file for each of ``keys``, written and read back."""
+    path = storage.new_path(spark, "answers")
+    rows.groupBy(*keys).agg(answer.alias("value")).select("value").repartition(16).write.option("lineSep", "\u0001").text(path)
+    raw = answers.answers(spark, path)
+    return raw.select(F.explode(F.split("answer", "\u0001")).alias("answer")).where("answer <> ''")
+
+
+def _newest_first(*fields):
+    """The rows of a group (a year at most) as a list, newest first."""
+    return F.sort_array(F.collect_list(F.struct(*fields)), asc=False)
+
+
+def provider_bars(spark, sf):
+    """Daily bars through answers of a ticker and year each: newest first, complete at 21:00."""
+    own = tables.bars(spark, sf)
+    bar = [F.date_format("ts", "yyyy-MM-dd").alias("date"), "open", "high", "low", "close", "volume"]
+    doc = F.to_json(F.struct(F.concat(F.lit(" t"), F.first("ticker").cast("string")).alias("symbol"), _newest_first(*bar).alias("historical")))
+    return rounded(answers.eod_bars(_answered(spark, own, ["ticker", F.year("ts")], doc)))
+
+
+def provider_quotes(spark, sf):
+    """Quotes through batches of an hour each, times in seconds."""
+    own = tables.read(spark, sf, "events")
+    quote = [F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"), F.col("event_type").alias("symbol"), F.col("value").alias("price")]
+    got = answers.quotes(_answered(spark, own, [F.date_trunc("hour", "ts")], F.to_json(_newest_first(*quote))))
+    return rounded(got.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+def provider_macro(spark, sf):
+    """Macro series through answers for the provider's symbols, one of which is none of ours."""
+    own = tables.macro(spark, sf).withColumn("symbol", F.concat(F.lit("^"), F.substring("series", 3, 3)))
+    rows = [F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("value").alias("close"), F.col("symbol")]
+    symbols = {"urgent": "^URG", "high": "^HIG", "medium": "^MED", "low": "^LOW"}
+    return rounded(answers.macro(_answered(spark, own, ["symbol", F.date_trunc("month", "ts")], F.to_json(_newest_first(*rows))), symbols))
+
+
 def keyed_table(spark, sf):
     """Bars through a table of deltas: written, some replaced, some filled, new ones added, some deleted, two buckets' worth of deltas folded."""
     own = tables.bars(spark, sf).select("ticker", "ts", "close", "volume")
@@ -175,7 +212,7 @@ def delete_by_source(spark, sf):
 QUERIES = {f.__name__: f for f in (
     daily_bars, bars_range_scan, pit_latest_features, pit_layer_features, pit_bars_lookback, pit_macro_asof, pit_macro_history, pit_vintage, pit_window_around, pit_latest_bar,
     leakage_invariant, hidden_facts, treasury_unpivot, fred_observations, universe_dedup, universe_parse, earnings_calendar, earnings_ingest, macro_router, etf_profile,
-    latest_score_lateral, promoted_scores, trades_with_signals, upsert_keyed, coalesce_merge, anti_join_once_only, delete_by_source, keyed_table,
+    latest_score_lateral, promoted_scores, trades_with_signals, upsert_keyed, coalesce_merge, anti_join_once_only, delete_by_source, keyed_table, provider_bars, provider_quotes, provider_macro,
 )}
 
 _E, _M, _B = (f"TIMESTAMP '{t}'" for t in (T_EVENTS, T_MACRO, T_BARS))
@@ -209,6 +246,9 @@ ORACLES = {
     "upsert_keyed": with_tables("SELECT ticker, ts, CASE WHEN ticker % 2 = 0 THEN close + 1 ELSE close END AS close FROM bars", "bars", doubles="close"),
     "coalesce_merge": with_tables("SELECT trade_id, entry_ts, coalesce(pnl_r, 0.5) AS pnl_r FROM trades QUALIFY row_number() OVER (PARTITION BY trade_id ORDER BY entry_ts DESC, pnl_r DESC NULLS LAST) = 1", "trades", doubles="pnl_r"),
     "anti_join_once_only": with_tables("SELECT strategy_id, name FROM strategies WHERE strategy_id NOT IN (SELECT strategy_id FROM scores WHERE strategy_id <= 5)", "strategies", "scores"),
+    "provider_bars": with_tables("SELECT 'T' || ticker AS ticker, date_trunc('day', ts) + to_hours(21) AS ts, open, high, low, close, volume FROM bars", "bars", doubles="open high low close volume"),
+    "provider_quotes": "SELECT upper(event_type) AS ticker, date_trunc('second', ts) AS ts, round(value, 6) AS price FROM events",
+    "provider_macro": with_tables("SELECT CASE substr(series, 3, 3) WHEN 'URG' THEN 'urgent' WHEN 'HIG' THEN 'high' WHEN 'MED' THEN 'medium' WHEN 'LOW' THEN 'low' END AS series, date_trunc('day', ts) AS ts, date_trunc('day', ts) + to_days(1) AS as_of, value FROM macro WHERE substr(series, 3, 3) IN ('URG', 'HIG', 'MED', 'LOW')", "macro", doubles="value"),
     "keyed_table": with_tables("SELECT ticker, ts, CASE WHEN d > 20 THEN close * 2 WHEN d % 5 = 0 THEN close + 1 ELSE close END AS close, CASE WHEN d > 20 THEN volume WHEN d % 5 = 0 THEN 7 WHEN d <= 10 OR d % 3 > 0 THEN volume END AS volume FROM (SELECT *, day(ts) AS d FROM bars) WHERE NOT (month(ts) = 12 AND d > 25)", "bars", doubles="close volume"),
     "delete_by_source": with_tables("SELECT * FROM macro WHERE series <> '1-URGENT'", "macro", doubles="value"),
 }
