@@ -1,6 +1,6 @@
-"""Gradient-boosted trees over histograms: fits on bounded samples, scores on all rows.
+"""Gradient-boosted trees over histograms: fitted on all rows, applied to all rows.
 
-A fit is one task over at most about FIT_ROWS rows, drawn evenly by hash; missing values go to the side of a split
+Up to FIT_ROWS rows a fit is one task; beyond that its histograms are summed over executors, and the trees are the same. Missing values go to the side of a split
 that fits better. Fitted models are a few kilobytes a tree; they are broadcast, and every row is scored, explained or permuted
 in parallel. Calibration uses Spark ML.
 """
@@ -8,16 +8,17 @@ in parallel. Calibration uses Spark ML.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BINS = 32
-#: Rows that a model is fitted on, about, and the most bytes of models that are broadcast.
+from tidemark.operators import boosting
+from tidemark.operators.trees import Boosted, fit
+
+#: Rows up to which a fit is one task, and the most bytes of models that are broadcast.
 FIT_ROWS, MAX_MODEL_BYTES = 100_000, 64 << 20
 #: Tasks, at least, that fits and predictions are dealt over: few bytes, much work.
 TASKS = 32
@@ -27,128 +28,6 @@ PERMUTED = 20_000
 MAX_KNOTS = 1_000_000
 
 
-@dataclass
-class Tree:
-    """Nodes as parallel lists; a leaf has feature -1."""
-
-    feature: list[int] = field(default_factory=list)
-    cut: list[float] = field(default_factory=list)
-    missing_left: list[bool] = field(default_factory=list)
-    left: list[int] = field(default_factory=list)
-    right: list[int] = field(default_factory=list)
-    value: list[float] = field(default_factory=list)
-    cover: list[float] = field(default_factory=list)
-
-    def add(self, value: float, cover: float) -> int:
-        for a, x in ((self.feature, -1), (self.cut, 0.0), (self.missing_left, True), (self.left, -1), (self.right, -1), (self.value, value), (self.cover, cover)):
-            a.append(x)
-        return len(self.feature) - 1
-
-    def goes_left(self, node: int, x: np.ndarray) -> np.ndarray:
-        v = x[:, self.feature[node]]
-        return np.where(np.isnan(v), self.missing_left[node], v <= self.cut[node])
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x))
-        stack = [(0, np.arange(len(x)))]
-        while stack:
-            node, rows = stack.pop()
-            if self.feature[node] < 0:
-                out[rows] = self.value[node]
-            elif len(rows):
-                go = self.goes_left(node, x[rows])
-                stack += [(self.left[node], rows[go]), (self.right[node], rows[~go])]
-        return out
-
-    def mean(self) -> float:
-        """The value of a row of which nothing is known."""
-        leaves = [n for n, f in enumerate(self.feature) if f < 0]
-        return float(np.average([self.value[n] for n in leaves], weights=[self.cover[n] for n in leaves]))
-
-    def shapley(self, x: np.ndarray) -> np.ndarray:
-        """Path-dependent Shapley values, exact, in time that grows with leaves and the square of their depth.
-
-        A leaf counts its value times, for each feature on its path, whether the row follows it there (``o``) or else the share of rows that do (``z``). The Shapley weights of
-        the subsets of the others are moments of a uniform variable, so their sum is the integral of the product of ``z (1 - y) + o y``: a polynomial,
-        which Gauss-Legendre nodes integrate exactly.
-        """
-        out = np.zeros(x.shape)
-        go = {n: self.goes_left(n, x) for n, f in enumerate(self.feature) if f >= 0}
-        stack: list[tuple[int, dict[int, tuple[float, np.ndarray]]]] = [(0, {})]
-        while stack:
-            node, path = stack.pop()
-            f = self.feature[node]
-            if f >= 0:
-                left, right = self.left[node], self.right[node]
-                whole = self.cover[left] + self.cover[right]
-                z, o = path.get(f, (1.0, np.ones(len(x), bool)))
-                stack.append((left, path | {f: (z * self.cover[left] / whole, o & go[node])}))
-                stack.append((right, path | {f: (z * self.cover[right] / whole, o & ~go[node])}))
-            elif path:
-                nodes, weights = np.polynomial.legendre.leggauss(len(path) // 2 + 1)
-                for y, w in zip((nodes + 1) / 2, weights / 2, strict=True):
-                    terms = {k: np.where(o, z * (1 - y) + y, z * (1 - y)) for k, (z, o) in path.items()}
-                    product = self.value[node] * w * np.prod(list(terms.values()), axis=0)
-                    for k, (z, o) in path.items():
-                        out[:, k] += product / terms[k] * (o - z)
-        return out
-
-
-@dataclass
-class Boosted:
-    trees: list[Tree]
-    base: float
-    rate: float
-
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        return self.base + self.rate * sum((t.predict(x) for t in self.trees), np.zeros(len(x)))
-
-    def proba(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-self.margin(x)))
-
-    def shapley(self, x: np.ndarray) -> np.ndarray:
-        """Of the margin."""
-        return self.rate * sum((t.shapley(x) for t in self.trees), np.zeros(x.shape))
-
-
-def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, trees: int = 60, depth: int = 3, rate: float = 0.1, least: float = 5.0, ridge: float = 1.0) -> Boosted:
-    """A binary classifier by second-order boosting; deterministic."""
-    w = np.ones(len(y)) if w is None else w
-    p0 = np.clip(np.average(y, weights=w), 1e-6, 1 - 1e-6)
-    model, margin = Boosted([], float(np.log(p0 / (1 - p0))), rate), np.full(len(y), np.log(p0 / (1 - p0)))
-    cuts = [np.unique(np.nanquantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) if np.isfinite(c).any() else np.zeros(0) for c in x.T]
-    codes = np.stack([np.where(np.isnan(c), len(k) + 1, np.searchsorted(k, c, side="left")) for c, k in zip(x.T, cuts, strict=True)], axis=1) if x.shape[1] else np.zeros((len(y), 0), int)
-    for _ in range(trees):
-        p = 1 / (1 + np.exp(-margin))
-        g, h, tree = w * (y - p), w * p * (1 - p), Tree()
-
-        def grow(rows: np.ndarray, left: int, g: np.ndarray = g, h: np.ndarray = h, tree: Tree = tree) -> int:
-            gs, hs = g[rows].sum(), h[rows].sum()
-            node = tree.add(gs / (hs + ridge), float(w[rows].sum()))
-            best = (1e-9, None)
-            for f in range(x.shape[1]) if left else ():
-                k = len(cuts[f])
-                gb, hb, cb = (np.bincount(codes[rows, f], weights=a[rows], minlength=k + 2) for a in (g, h, w))
-                gl, hl, cl = (np.cumsum(a[: k + 1])[:-1] for a in (gb, hb, cb))
-                for miss in (True, False):
-                    a, b, c = (gl + gb[k + 1], hl + hb[k + 1], cl + cb[k + 1]) if miss else (gl, hl, cl)
-                    ok = (c >= least) & (cb.sum() - c >= least)
-                    gain = np.where(ok, a * a / (b + ridge) + (gs - a) ** 2 / (hs - b + ridge) - gs * gs / (hs + ridge), 0)
-                    if len(gain) and gain.max() > best[0]:
-                        best = (gain.max(), (f, int(gain.argmax()), miss))
-            if best[1]:
-                f, j, miss = best[1]
-                tree.feature[node], tree.cut[node], tree.missing_left[node] = f, float(cuts[f][j]), miss
-                go = tree.goes_left(node, x[rows])
-                tree.left[node], tree.right[node] = grow(rows[go], left - 1), grow(rows[~go], left - 1)
-            return node
-
-        grow(np.arange(len(y)), depth)
-        margin = margin + rate * tree.predict(x)
-        model.trees.append(tree)
-    return model
-
-
 def trial_grid(n: int, features: Sequence[str], seed: int = 7) -> list[dict]:
     """Settings of ``n`` trials: depth, rate, and a random half of the features at least; the first has all."""
     rng = np.random.default_rng(seed)
@@ -159,30 +38,40 @@ def trial_grid(n: int, features: Sequence[str], seed: int = 7) -> list[dict]:
     return out
 
 
-def _fitted(rows: DataFrame, jobs: DataFrame, keys: list[str], settings: Callable[[tuple], dict], trees: int, fit_rows: int = FIT_ROWS) -> dict[tuple, tuple[list[str], Boosted | float]]:
-    """A model for each of ``keys``: features and trees, or a base rate where the rows have one class or are too few. One task a model.
+def _fitted(train: DataFrame, by: str, features: Sequence[str], settings: dict[int, dict], trees: int, fit_rows: int | None = None) -> dict[tuple[int, int], tuple[list[str], Boosted | float]]:
+    """A model of each of ``settings`` for the rows of each value of ``by``, by ``(number, value)``: names of features, and trees (or a share of wins).
 
-    ``jobs``: ``rows`` with the keys, the rows that each may learn from; of more than ``fit_rows`` an even draw by a hash of ``pos``.
+    ``train``: ``by, pos, r, weight`` and features. Where no value has over ``fit_rows`` rows, a fit is one task; else histograms are summed over all executors. Both see all rows and
+    grow the same trees.
     """
-    n = rows.count()
-    drawn = jobs if n <= fit_rows else jobs.where(F.pmod(F.xxhash64("pos"), F.lit(1 << 20)) < int(fit_rows / n * (1 << 20)))
+    most = train.groupBy(by).count().agg(F.max("count")).first()[0]  # one number
+    if most is None:
+        return {}
+    if most > (FIT_ROWS if fit_rows is None else fit_rows):
+        return _bounded(boosting.fit_all(train, by, features, settings, trees))
+    keys = ["trial", by]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = settings(key)
+        own = settings[int(key[0])]
         pdf = pdf.sort_values("pos")
         x, y = pdf[own["features"]].to_numpy(dtype=float), (pdf["r"] > 0).to_numpy(dtype=float)
         if len(y) < 10 or y.min() == y.max():
             model: Boosted | float = float(y.mean())
         else:
             model = fit(x, y, pdf["weight"].to_numpy(), trees=trees, depth=own["depth"], rate=own["rate"])
-        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "model": [pickle.dumps((own["features"], model))]})
+        return pd.DataFrame({"trial": [int(key[0])], by: [int(key[1])], "model": [pickle.dumps((own["features"], model))]})
 
-    kinds = {f.name: f.dataType.simpleString() for f in jobs.schema}
+    each = train.withColumn("trial", F.explode(F.array(*[F.lit(t).cast("int") for t in settings])))
     # A task a fit, however few bytes its rows are.
-    found = drawn.repartition(_tasks(rows.sparkSession), *keys).groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "model binary"])).collect()  # one row a fit
-    if sum(len(r.model) for r in found) > MAX_MODEL_BYTES:
+    found = each.repartition(_tasks(train.sparkSession), *keys).groupBy(*keys).applyInPandas(run, f"trial int, {by} int, model binary").collect()  # one row a fit
+    return _bounded({(r.trial, r[by]): pickle.loads(bytes(r.model)) for r in found})
+
+
+def _bounded(models: dict) -> dict:
+    """Models go to every task, so their size is checked."""
+    if len(pickle.dumps(models)) > MAX_MODEL_BYTES:
         raise ValueError(f"models of over {MAX_MODEL_BYTES} bytes; fit fewer trials at a time")
-    return {tuple(r[k] for k in keys): pickle.loads(bytes(r.model)) for r in found}
+    return models
 
 
 def _tasks(spark: SparkSession) -> int:
@@ -190,22 +79,20 @@ def _tasks(spark: SparkSession) -> int:
 
 
 def _one_model(rows: DataFrame, features: list[str], trees: int) -> Boosted | float:
-    own = {"features": features, "depth": 3, "rate": 0.1}
-    found = _fitted(rows, rows.withColumn("all", F.lit(0)), ["all"], lambda _: own, trees)
-    return found[(0,)][1] if found else 0.5
+    found = _fitted(rows.withColumn("all", F.lit(0)), "all", features, {0: {"features": features, "depth": 3, "rate": 0.1}}, trees)
+    return found[0, 0][1] if found else 0.5
 
 
 def oos_predictions(rows: DataFrame, splits: DataFrame, trials: list[dict], features: Sequence[str], trees: int = 40) -> DataFrame:
     """``trial, split, pos, p``: each trial fitted on each split's train rows predicts its test rows.
 
-    ``rows``: ``pos, r, weight`` and features; ``splits``: ``split, pos, role``. One task a fit; then each test row meets the broadcast models of its split.
+    ``rows``: ``pos, r, weight`` and features; ``splits``: ``split, pos, role``. All fits at once (see ``_fitted``); then each test row meets the broadcast models of its split.
     A split without train rows predicts 0.5.
     """
     assert set(features) >= {f for t in trials for f in t["features"]}
     settings = {t["trial"]: t for t in trials}
-    numbers = F.explode(F.array(*[F.lit(t).cast("int") for t in settings])).alias("trial")
-    train = splits.where("role = 'train'").join(rows, "pos").select("*", numbers)
-    models = rows.sparkSession.sparkContext.broadcast(_fitted(rows, train, ["trial", "split"], lambda key: settings[int(key[0])], trees))
+    train = splits.where("role = 'train'").join(rows, "pos")
+    models = rows.sparkSession.sparkContext.broadcast(_fitted(train, "split", list(features), settings, trees))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
