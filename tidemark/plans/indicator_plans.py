@@ -212,6 +212,7 @@ _LEVELS = f"""levels AS (SELECT ticker, ts, close, {_ATR14} AS atr, {_SMA50} AS
 _DAYS_SQL = "wd AS (SELECT d, CAST(floor((d - DATE '1900-01-01' + 1) / 7) * 5 + least((d - DATE '1900-01-01' + 1) % 7, 5) AS INTEGER) AS k"
 _FOMC_SQL = "fomc AS (SELECT i, x, CAST(floor((x - DATE '1900-01-01' + 1) / 7) * 5 + least((x - DATE '1900-01-01' + 1) % 7, 5) AS INTEGER) AS k FROM (SELECT unnest(range(1, " + str(len(sc.FOMC_DATES) + 1) + ")) AS i, CAST(unnest([" + ", ".join(f"'{x}'" for x in sc.FOMC_DATES) + "]) AS DATE) AS x))"
 
+_REGIME_SQL = f"WITH {_STAGED}, {_RV}, {_ADX}, {_MACRO} SELECT b.ticker, b.ts, " + ", ".join(f"{v} AS {k}" for k, v in _REGIME_KEYS.items()) + " FROM staged b JOIN rvh v ON v.ticker = b.ticker AND v.ts = b.ts LEFT JOIN smoothed s ON s.ticker = b.ticker AND s.ts = b.ts LEFT JOIN wide w ON w.t = b.ts"
 ORACLES = {
     "sma_dist": _q(f"ticker, ts, close, sma50, atr14, CASE WHEN atr14 > 0 THEN (close - sma50) / atr14 END AS dist", "close sma50 atr14 dist", f"x AS (SELECT ticker, ts, close, {_SMA50} AS sma50, {_ATR14} AS atr14 FROM staged)", "x"),
     "returns": _q("ticker, ts, CASE WHEN lag(close) OVER w = 0 THEN 0 ELSE close / lag(close) OVER w - 1 END AS ret, log_ret", "ret log_ret", more=_W),
@@ -235,7 +236,7 @@ ORACLES = {
     "obv_trend": _q(f"ticker, ts, obv, CASE WHEN count(obv) OVER {_f(20)} = 20 THEN sign(sum(i * obv) OVER {_f(20)} - sum(i) OVER {_f(20)} * sum(obv) OVER {_f(20)} / 20) END AS obv_trend", "obv", "o AS (SELECT ticker, ts, i, sum(signed) OVER w AS obv FROM staged WINDOW w AS (PARTITION BY ticker ORDER BY ts))", "o").replace("END AS obv_trend", "END::DOUBLE AS obv_trend"),
     "rv_percentile": _q("ticker, ts, rv20, CASE WHEN rv20 IS NOT NULL THEN len(list_filter(h, lambda v: v <= rv20)) / len(h) END AS rv_percentile", "rv20 rv_percentile", _RV, "rvh"),
     "adx": _q("b.ticker, b.ts, CASE WHEN b.i > 20 THEN r.r.dxs END AS adx", "adx", _ADX, "staged b LEFT JOIN smoothed r ON b.ticker = r.ticker AND b.ts = r.ts"),
-    "regime_features": with_tables(f"WITH {_STAGED}, {_RV}, {_ADX}, {_MACRO} SELECT b.ticker, b.ts, " + ", ".join(f"{v} AS {k}" for k, v in _REGIME_KEYS.items()) + " FROM staged b JOIN rvh v ON v.ticker = b.ticker AND v.ts = b.ts LEFT JOIN smoothed s ON s.ticker = b.ticker AND s.ts = b.ts LEFT JOIN wide w ON w.t = b.ts", "bars", "regime_series", doubles=" ".join(_REGIME_KEYS)),
+    "regime_features": with_tables(_REGIME_SQL, "bars", "regime_series", doubles=" ".join(_REGIME_KEYS)),
     "swing_pivots": _q(f"ticker, ts, {_SWING.format('hp')} AS swing_high, {_SWING.format('lp')} AS swing_low", "swing_high swing_low", _PIVOTS, "pivots"),
     "location_features": _q("ticker, ts, close, " + ", ".join(f"CASE WHEN atr > 0 THEN (close - {v}) / atr END AS {k}" for k, v in _LOC.items()) + ", CASE WHEN hi > lo THEN greatest(least((close - lo) / (hi - lo), 1), 0) END AS pct_range_position", "close pct_range_position " + " ".join(_LOC), _PIVOTS + ", " + _LEVELS, "levels"),
     "rel_strength": _q(f"r.ticker, r.ts, r.roc10, {_RS_VALUE} AS rs_vs_spy", "roc10 rs_vs_spy", _RS, "rocs r JOIN days d USING (ts)"),

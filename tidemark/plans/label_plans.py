@@ -6,7 +6,7 @@ from tidemark.functions import indicators as ind
 from tidemark.functions import scalars as sc
 from tidemark.operators import crossval, features, labeling, metrics, regime
 from tidemark.operators.ordered import positions
-from tidemark.plans.indicator_plans import _ATR14, _STAGED, _W
+from tidemark.plans.indicator_plans import _ATR14, _REGIME_SQL, _STAGED, _W
 from tidemark.sources import tables
 from tidemark.sources.tables import rounded, with_tables
 
@@ -274,16 +274,26 @@ def _evidence(label):
     return " + ".join(f"CASE WHEN {regime.CONDITIONS[k].replace('gex_sign IS NULL', 'true')} THEN {w} ELSE 0 END" for k, w in regime.EVIDENCE[label].items() if not k.startswith("gamma"))
 
 
+_RANKED = """rp AS (SELECT *, list_filter(ev, lambda e: e.s > 0) AS fe FROM rs), rq AS (SELECT *, list_max(list_transform(fe, lambda e: e.s)) AS top FROM rp),
+rx AS (SELECT *, list_sum(list_transform(fe, lambda e: exp((e.s - top) / 0.6::DOUBLE))) AS tot FROM rq),
+ro AS (SELECT *, list_sort(list_transform(fe, lambda e: {'np': -exp((e.s - top) / 0.6::DOUBLE) / tot, 'i': e.i, 'l': e.l})) AS rk FROM rx)"""
+_TORN = "len(rk) > 1 AND abs(rk[1].np - rk[2].np) <= 0.08 AND list_sort([rk[1].l, rk[2].l]) IN (['vol_compression', 'vol_expansion'], ['risk_off', 'risk_on'], ['long_gamma', 'short_gamma'])"
+_EV = ", ".join(f"{{'l': '{x}', 'i': {i}, 's': ({_evidence(x)})::DOUBLE}}" for i, x in enumerate(regime.LABELS))
 _REG = """ri AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN (o_totalprice % 101) / 101 END AS rv_percentile, 0.7::DOUBLE + (o_totalprice % 103) / 103 * 0.6::DOUBLE AS vix_vix3m, CASE WHEN o_orderkey % 5 <> 0 THEN 70 + (o_totalprice % 107) / 107 * 70 END AS vvix,
   CASE WHEN o_orderkey % 3 = 0 THEN (o_totalprice % 109) / 109 * 5.2::DOUBLE END AS rv20, (o_totalprice % 113) / 113 * 0.04::DOUBLE - 0.02::DOUBLE AS copper_gold, CASE WHEN o_orderkey % 4 <> 0 THEN (o_totalprice % 127) / 127 * 0.04::DOUBLE - 0.02::DOUBLE END AS dxy_trend, 2 + (o_totalprice % 131) / 131 * 4 AS hy_oas FROM orders),
-rs AS (SELECT *, (rv_percentile IS NOT NULL)::INT + 1 + (vvix IS NOT NULL)::INT + (rv20 IS NOT NULL)::INT + 1 + (dxy_trend IS NOT NULL)::INT AS core, coalesce(rv20 NOT BETWEEN 0 AND 5, false) OR coalesce(vvix NOT BETWEEN 40 AND 280, false) AS far, [""" + ", ".join(f"{{'l': '{x}', 'i': {i}, 's': ({_evidence(x)})::DOUBLE}}" for i, x in enumerate(regime.LABELS)) + """] AS ev FROM ri),
-rp AS (SELECT *, list_filter(ev, lambda e: e.s > 0) AS fe FROM rs), rq AS (SELECT *, list_max(list_transform(fe, lambda e: e.s)) AS top FROM rp),
-rx AS (SELECT *, list_sum(list_transform(fe, lambda e: exp((e.s - top) / 0.6::DOUBLE))) AS tot FROM rq),
-ro AS (SELECT *, list_sort(list_transform(fe, lambda e: {'np': -exp((e.s - top) / 0.6::DOUBLE) / tot, 'i': e.i, 'l': e.l})) AS rk FROM rx),
+rs AS (SELECT *, (rv_percentile IS NOT NULL)::INT + 1 + (vvix IS NOT NULL)::INT + (rv20 IS NOT NULL)::INT + 1 + (dxy_trend IS NOT NULL)::INT AS core, coalesce(rv20 NOT BETWEEN 0 AND 5, false) OR coalesce(vvix NOT BETWEEN 40 AND 280, false) AS far, [""" + _EV + """] AS ev FROM ri),
+""" + _RANKED + """,
 rl AS (SELECT o_orderkey, CASE WHEN core < 3 OR far THEN 'out_of_distribution' WHEN len(rk) = 0 OR (len(rk) > 1 AND abs(rk[1].np - rk[2].np) <= 0.08 AND list_sort([rk[1].l, rk[2].l]) IN (['vol_compression', 'vol_expansion'], ['risk_off', 'risk_on'], ['long_gamma', 'short_gamma'])) THEN 'transition' ELSE rk[1].l END AS label,
   CASE WHEN core < 3 OR far OR len(rk) = 0 THEN 1.0 ELSE -rk[1].np END AS confidence, CAST(core + 1 AS INTEGER) AS observed_inputs FROM ro)"""
 
+_CORE, _SEEN = (" + ".join(f"({c} IS NOT NULL)::INT" for c in names) for names in (regime.CORE, [c for c in regime.INPUTS if c != "gex_sign"]))
+_FAR = " OR ".join(f"coalesce({c} NOT BETWEEN {lo} AND {hi}, false)" for c, (lo, hi) in regime.ENVELOPE.items())
+_BY_DAY = f"""WITH rs AS (SELECT *, {_CORE} AS core, {_SEEN} AS seen, {_FAR} AS far, [{_EV}] AS ev FROM ri), {_RANKED}
+SELECT ticker, ts, CASE WHEN core < 3 OR far THEN 'out_of_distribution' WHEN len(rk) = 0 OR ({_TORN}) THEN 'transition' ELSE rk[1].l END AS label,
+  CASE WHEN core < 3 OR far OR len(rk) = 0 THEN 1.0 ELSE -rk[1].np END AS confidence, CAST(seen AS INTEGER) AS observed_inputs FROM ro"""
+
 ORACLES = {
+    "regime_by_day": f"SELECT * REPLACE (round(confidence, 6) AS confidence) FROM (WITH ri AS ({with_tables(_REGIME_SQL, 'bars', 'regime_series')}), {_BY_DAY[5:]})",
     "triple_barrier": with_tables(f"{_HEAD}, {_barrier(_EVERY, 1)} SELECT CAST(idx AS INTEGER) AS idx, * EXCLUDE (idx) FROM labels", "bars", doubles="ret_r target_px stop_px"),
     "triple_barrier_short": with_tables(f"{_HEAD}, {_barrier(_EVERY, -1)} SELECT CAST(idx AS INTEGER) AS idx, * EXCLUDE (idx) FROM labels", "bars", doubles="ret_r target_px stop_px"),
     "cooldown_entries": with_tables(f"{_HEAD}, {_COOL.format(src='SELECT ticker, idx FROM win WHERE roc10 > 0')} SELECT * FROM cool", "bars"),
