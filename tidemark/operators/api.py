@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.labeling import PROFILES
 from tidemark.operators.pit import top_one
 
 PAGE = 500
@@ -95,6 +98,21 @@ def signature(predicates: Column) -> Column:
     return F.array_join(F.array_sort(one), "&")
 
 
+#: What a stored genome may hold.
+_GENOME = "struct<side: string, horizon: string, predicates: array<struct<feature_key: string, op: string, threshold: double>>, risk: struct<kind: string, stop: double, target: double>>"
+
+
+def genome_of(doc: Column) -> Column:
+    """A genome from JSON: ``side`` (1, -1), ``horizon, predicates, risk``. One without a risk has that of its horizon's profile, under which it was labelled; null where the text is no genome."""
+    raw = F.from_json(doc, _GENOME)
+    side = F.when(F.lower(raw["side"]) == "long", 1).when(F.lower(raw["side"]) == "short", -1)
+    own = {name: F.struct(F.lit("atr").alias("kind"), F.lit(p.stop_atr).alias("stop"), F.lit(p.target_atr / p.stop_atr).alias("target")) for name, p in PROFILES.items()}
+    horizon = F.lower(raw["horizon"])
+    usual = reduce(lambda out, kv: out.when(horizon == kv[0], kv[1]), list(own.items())[1:], F.when(horizon == next(iter(own)), next(iter(own.values()))))
+    known = side.isNotNull() & horizon.isin(list(own)) & raw["predicates"].isNotNull()
+    return F.when(known, F.struct(side.alias("side"), horizon.alias("horizon"), raw["predicates"].alias("predicates"), F.coalesce(raw["risk"], usual).alias("risk")))
+
+
 def camel_json(rows: DataFrame) -> DataFrame:
     """Each row as a JSON object with camel-case names; nulls are left out."""
     camel = lambda n: n.split("_")[0] + "".join(p.title() for p in n.split("_")[1:])

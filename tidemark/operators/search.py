@@ -169,23 +169,29 @@ def cross(a: Genome, b: Genome, rng: random.Random, space: RiskSpace = RiskSpace
     return Genome((a.predicates[:i] + b.predicates[j:])[:MAX_PREDICATES], a.side, space.cross(a.risk, b.risk, rng))
 
 
-def measured(genomes: Sequence[Genome], window: DataFrame, profile: labeling.Profile = labeling.SWING) -> DataFrame:
-    """``genome, n, mean, sd, skew, kurtosis`` of every genome's entries over all tickers: one job. Genomes with under MIN_ENTRIES entries have no row.
+def labelled(genomes: Sequence[Genome], window: DataFrame, profile: labeling.Profile = labeling.SWING, least: int = 0) -> DataFrame:
+    """The labelled entries of every genome (``genome``: its place) over all tickers: one job. Those of genomes with under ``least`` entries are not labelled.
 
-    Each bar is tested against all genomes in one pass (an array of flags, exploded where set), so the window is read once. Entries are counted before any is labelled.
+    Each bar is tested against all genomes in one pass (an array of flags, exploded where set), so the window is read once.
     """
     own = list(enumerate(genomes))
     flags = F.filter(F.array(*[F.when(labeling.fires(g.predicates), F.lit(i)) for i, g in own]), lambda x: x.isNotNull())
     last = window.groupBy("ticker").agg(F.max("idx").alias("last"))
     fired = window.join(last, "ticker").where((F.col("atr") > 0) & (F.col("idx") < F.col("last"))).select("ticker", "idx", F.explode(flags).alias("genome"))
     taken = labeling.greedy_cooldown(fired, ["genome", "ticker"], max(profile.min_hold, 1))
-    enough = taken.groupBy("genome").count().where(F.col("count") >= MIN_ENTRIES).select("genome")
+    if least:
+        taken = taken.join(taken.groupBy("genome").count().where(F.col("count") >= least).select("genome"), "genome")
     pick = lambda f: F.element_at(F.array(*[F.lit(f(g)) for _, g in own]), F.col("genome") + 1)
     stop = labeling.distance(pick(lambda g: g.risk.kind), pick(lambda g: g.risk.stop), F.col("entry_px"), F.col("atr"))
-    entries = taken.join(enough, "genome").join(window.select("ticker", "idx", F.col("close").alias("entry_px"), "atr"), ["ticker", "idx"]).select(
+    entries = taken.join(window.select("ticker", "idx", F.col("close").alias("entry_px"), "atr"), ["ticker", "idx"]).select(
         "genome", "ticker", "idx", "entry_px", pick(lambda g: g.side).alias("side"), (pick(lambda g: g.risk.target) * stop).alias("target_dist"), stop.alias("stop_dist")
     )
-    labels = labeling.triple_barrier(entries, window, profile.max_hold).where("ret_r IS NOT NULL")
+    return labeling.triple_barrier(entries, window, profile.max_hold).where("ret_r IS NOT NULL")
+
+
+def measured(genomes: Sequence[Genome], window: DataFrame, profile: labeling.Profile = labeling.SWING) -> DataFrame:
+    """``genome, n, mean, sd, skew, kurtosis`` of every genome's entries. Genomes with under MIN_ENTRIES have no row."""
+    labels = labelled(genomes, window, profile, MIN_ENTRIES)
     return metrics.moments(labels.withColumn("net_r", F.col("ret_r") - metrics.COST_R), ["genome"], "net_r")
 
 

@@ -9,6 +9,7 @@ from tidemark.functions import indicators as ind
 from tidemark.functions.scalars import adverse_price, clamp01, wilson_lower_bound
 from tidemark.operators import labeling
 from tidemark.operators.labeling import SWING, Profile
+from tidemark.operators.search import Genome, labelled
 
 MIN_ACTED, LIVE_FLOOR = 8, 0.40
 
@@ -75,6 +76,27 @@ def drivers(predicates: Column, features: Column) -> Column:
     )
 
 
+def text(s: dict[str, Column] | None = None) -> Column:
+    """A signal as people read it (the form is fixed). Columns: ``ticker, side, horizon, entry, stop, target1, target2, rr1, rr2, conviction, cohort_n, regime, why`` (an array
+    of ``key, contribution``), ``invalidation, expectancy, cvar5, lead_time``; the second target and its ratio may be null."""
+    c = {n: F.col(n) for n in "ticker side horizon entry stop target1 target2 rr1 rr2 conviction cohort_n regime why invalidation expectancy cvar5 lead_time".split()} | (s or {})
+    num = lambda form, x: F.format_string(form, x)
+    why = F.array_join(F.transform(c["why"], lambda d: F.concat(d["key"], F.lit(" ("), num("%+.2f", d["contribution"]), F.lit(")"))), "; ")
+    second = F.when(c["target2"].isNotNull(), num("   Target 2: %.2f", c["target2"])).otherwise("")
+    ratio2 = F.when(c["rr2"].isNotNull(), num(" / %.1f", c["rr2"])).otherwise("")
+    lines = [
+        F.concat(c["ticker"].cast("string"), F.lit(" — "), F.when(c["side"] > 0, "LONG").otherwise("SHORT"), F.lit(" ("), c["horizon"], F.lit(")")),
+        F.format_string("Entry: %.2f   Stop: %.2f", c["entry"], c["stop"]),
+        F.concat(num("Target 1: %.2f", c["target1"]), second, num("   Risk:Reward %.1f", c["rr1"]), ratio2),
+        F.format_string("Conviction: %.2f (calibrated, regime-matched cohort n=%d)", c["conviction"], c["cohort_n"]),
+        F.concat(F.lit("Regime: "), c["regime"]),
+        F.concat(F.lit("Why: "), why),
+        F.concat(F.lit("Invalidation: "), c["invalidation"]),
+        F.concat(F.format_string("Expectancy(cohort): %+.2fR   CVaR(5%%): %.1fR   Lead-time: ", c["expectancy"], c["cvar5"]), c["lead_time"]),
+    ]
+    return F.concat_ws("\n", *lines)
+
+
 def valid_geometry(entry: Column, stop: Column, target: Column, side: Column) -> Column:
     """Finite, with a risk, and both barriers on their side."""
     return F.coalesce((side * (entry - stop) > 0) & (side * (target - entry) > 0), F.lit(False))
@@ -103,6 +125,30 @@ def paper_trades(signals: DataFrame, bars: DataFrame, profile: Profile = SWING)
     return out.select("signal_id", "ticker", "side", "fill_ts", "fill_px", "exit_ts", adverse_price(raw_exit, F.col("side"), False, profile.round_trip).alias("exit_px"), "outcome", (F.col("ret_r") - cost).alias("pnl_r"))
 
 
+def replay(genomes: dict[str, Genome], window: DataFrame, scanner: str, profile: Profile = SWING) -> DataFrame:
+    """The journal of a backtest: every labelled entry of the named strategies over all tickers, ``strategy, ticker, side, mode, scanner, entry_ts, fill_px, exit_ts, exit_px, pnl_r, cost, outcome``.
+
+    One job for all strategies. Results are before costs, which stand beside them. ``sinks.replace_partitions`` by ``mode, scanner`` puts it in place of an earlier one.
+    """
+    own = list(genomes.items())
+    pick = lambda f: F.element_at(F.array(*[F.lit(f(n, g)) for n, g in own]), F.col("genome") + 1)
+    done = labelled([g for _, g in own], window, profile)
+    ends = window.select("ticker", F.col("idx").alias("exit_idx"), F.col("ts").alias("exit_ts"))
+    begun = window.select("ticker", "idx", F.col("ts").alias("entry_ts"))
+    met = done.join(begun, ["ticker", "idx"]).join(ends, ["ticker", "exit_idx"], "left")
+    px = F.when(F.col("outcome") == "target", F.col("target_px")).when(F.col("outcome") == "stop", F.col("stop_px")).otherwise(exit_price(F.col("entry_px"), F.col("stop_dist"), F.col("side"), F.col("ret_r")))
+    return met.select(
+        pick(lambda n, g: n).alias("strategy"), "ticker", "side", F.lit("backtest").alias("mode"), F.lit(scanner).alias("scanner"), "entry_ts", F.col("entry_px").alias("fill_px"),
+        "exit_ts", px.alias("exit_px"), F.col("ret_r").alias("pnl_r"), F.lit(profile.round_trip).alias("cost"), "outcome",
+    )
+
+
+def against_out_of_sample(trades: DataFrame, scores: DataFrame) -> DataFrame:
+    """One row: the mean result of a replay, which saw what it was fitted on, beside the mean out-of-sample expectancy of its strategies' newest scores, and the gap."""
+    last = scores.groupBy("strategy_id").agg(F.max_by("expectancy", F.struct("evaluated_at", "score_id")).alias("expectancy"))
+    return trades.agg(F.avg("pnl_r").alias("in_sample")).join(last.agg(F.avg("expectancy").alias("out_of_sample"))).withColumn("gap", F.col("in_sample") - F.col("out_of_sample"))  # one row each
+
+
 def exit_price(entry: Column, stop_dist: Column, side: Column, ret_r: Column) -> Column:
     """The exit that a result in R stands for."""
     return entry + side * ret_r * stop_dist

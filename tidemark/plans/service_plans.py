@@ -3,9 +3,11 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark import storage
 from tidemark.functions import scalars as sc
-from tidemark.operators import api, crossval, metrics, monitor, signals
+from tidemark.operators import api, crossval, labeling, metrics, monitor, search, signals, sinks
 from tidemark.operators.pit import top_one
+from tidemark.plans import model_plans
 from tidemark.plans.indicator_plans import _ATR14, _STAGED
 from tidemark.plans.label_plans import _barrier
 from tidemark.sources import tables
@@ -171,6 +173,44 @@ def genome_text(spark, sf):
     return e.select("o_orderkey", api.describe(p).alias("summary"), api.signature(p).alias("signature"))
 
 
+def genome_parsed(spark, sf):
+    """Stored genomes: some without a risk, some that are none."""
+    e = tables.read(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    horizon = F.element_at(F.array(*[F.lit(h) for h in ("swing", "day", "scalp", "Swing", "yearly")]), (k % 5 + 1).cast("int"))
+    risk = F.when(k % 3 == 0, F.struct(F.lit("pct").alias("kind"), (k % 4 / 2 + 0.5).alias("stop"), F.lit(2.5).alias("target")))
+    side = F.when(k % 2 == 0, "long").otherwise("short")
+    doc = F.to_json(F.struct(side.alias("side"), horizon.alias("horizon"), F.array(F.struct(F.lit("trigger.roc").alias("feature_key"), F.lit("gt").alias("op"), (k % 7 / 8).alias("threshold"))).alias("predicates"), risk.alias("risk")))
+    g = api.genome_of(F.when(k % 11 == 0, F.lit("{not json")).otherwise(doc))
+    return rounded(e.select("o_orderkey", g.alias("g")).select("o_orderkey", "g.side", "g.horizon", api.describe(F.col("g.predicates")).alias("summary"), "g.risk.kind", "g.risk.stop", "g.risk.target"))
+
+
+def signal_text(spark, sf):
+    """Signals as people read them; a hair is added so that exact halves are rounded alike."""
+    own = tables.signals(spark, sf)
+    hair = lambda c: F.col(c) + 1e-9
+    k = F.col("signal_id")
+    why = F.array(F.struct(F.lit("trigger.roc").alias("key"), (k % 8 / 8 - 0.5 + 1e-9).alias("contribution")), F.struct(F.lit("location.dist").alias("key"), (-(k % 3) / 4 + 1e-9).alias("contribution")))
+    cols = {
+        "horizon": F.lit("swing"), "entry": hair("entry"), "stop": hair("stop"), "target1": hair("target1"), "target2": F.when(k % 2 == 0, hair("target1") + 1), "rr1": k % 9 / 2 + 1e-9,
+        "rr2": F.when(k % 2 == 0, k % 9 / 2 + 1 + 1e-9), "conviction": hair("conviction"), "cohort_n": k % 100, "regime": F.lit("risk_on"), "why": why, "invalidation": signals.invalidation(F.col("side"), hair("stop")),
+        "expectancy": (k % 5 - 2) / 4 + 1e-9, "cvar5": -(k % 7) / 4 + 1e-9, "lead_time": F.lit("next session"),
+    }
+    return own.select("signal_id", signals.text(cols).alias("text"))
+
+
+#: Strategies whose replay is a query.
+REPLAYED = {"up": search.Genome((("trigger__momentum_roc", "gt", 0.02),)), "down": search.Genome((("trigger__momentum_roc", "lt", -0.05), ("location__range", "lt", 0.4)), -1, search.Risk("pct", 2.0, 1.5))}
+
+
+def replayed_trades(spark, sf):
+    """A backtest's journal, written in place of the scanner's earlier one and read back."""
+    path = storage.new_path(spark, "journal")
+    for _ in range(2):  # the second run replaces the first
+        sinks.replace_partitions(signals.replay(REPLAYED, model_plans._window(spark, sf), "etf"), path, "mode", "scanner")
+    return rounded(spark.read.parquet(path).select("strategy", "ticker", "side", "mode", "scanner", "entry_ts", "fill_px", "exit_ts", "exit_px", "pnl_r", "cost", "outcome"))
+
+
 def genome_map_fire(spark, sf):
     """Predicates in data against features in a map."""
     from tidemark.operators.labeling import fires_map
@@ -251,7 +291,7 @@ def firewall_counts(spark, sf):
 QUERIES = {f.__name__: f for f in (
     recent_trades, divergence_detector, decay_detector, drawdown_detector, calibration_detector, source_freshness, staleness_detector, regime_ood_detector, regate, changelog, status_transitions, alert_pairs,
     monitor_report, monitor_feed, population, signals_page, signal_by_id, journal_page, realized_stats, trade_tally, journal_header, adverse_fill, paper_trades, earnings_blackout, signal_reasons, signal_validation,
-    genome_text, genome_map_fire, key_columns, json_details, driver_docs, symbol_check, feature_catalog, count_distinct_features, sorted_check, stream_since_mark, high_water_marks, session_bars, regime_rank, firewall_counts,
+    genome_text, genome_parsed, signal_text, replayed_trades, genome_map_fire, key_columns, json_details, driver_docs, symbol_check, feature_catalog, count_distinct_features, sorted_check, stream_since_mark, high_water_marks, session_bars, regime_rank, firewall_counts,
 )}
 
 _N = f"TIMESTAMP '{NOW}'"
@@ -277,6 +317,14 @@ lb AS (SELECT 1 AS side, * FROM llabels UNION ALL SELECT -1, * FROM labels)
 SELECT o.signal_id, o.ticker, o.side, o.fill_ts, o.fill_px + 1e-9 AS fill_px, x.ts AS exit_ts, CASE l.outcome WHEN 'target' THEN l.target_px WHEN 'stop' THEN l.stop_px WHEN 'time' THEN x.close END * (1 - o.side * 0.0002::DOUBLE) + 1e-9 AS exit_px, l.outcome, l.ret_r - 0.0004::DOUBLE * o.fill_px / o.atr AS pnl_r
 FROM op o LEFT JOIN lb l ON l.ticker = o.ticker AND l.idx = o.fi AND l.side = o.side LEFT JOIN win x ON x.ticker = o.ticker AND x.idx = l.exit_idx"""
 
+#: Of stored genomes that are one.
+_G = "CASE WHEN o_orderkey % 11 <> 0 AND h <> 'yearly' THEN {} END"
+
+
+def _horizons(constant):
+    return "(CASE lower(h) " + " ".join(f"WHEN '{n}' THEN {getattr(p, constant)}" for n, p in labeling.PROFILES.items()) + " END)"
+
+
 ORACLES = {
     "recent_trades": with_tables(f"WITH {_REC} SELECT trade_id, strategy_id, pnl_r, conviction FROM rec", "trades", "signals", doubles="pnl_r conviction"),
     "divergence_detector": with_tables(f"WITH {_REC}, {_LAST}, {_st('pnl_r')}, g AS (SELECT st.strategy_id, expectancy - mean AS gap, CASE WHEN sd > 0 THEN (expectancy - mean) / (sd / sqrt(n)) WHEN expectancy > mean THEN 1e300 ELSE 0 END AS z FROM st JOIN ls USING (strategy_id) WHERE n >= 10) SELECT strategy_id, 'divergence' AS detector, CASE WHEN z >= 2.33 AND gap >= 0.5 THEN 'quarantine' ELSE 'shrink_size' END AS action, gap AS metric, CASE WHEN z >= 2.33 AND gap >= 0.5 THEN 0.5 ELSE 0.25 END AS threshold FROM g WHERE (z >= 2.33 AND gap >= 0.5) OR (z >= 1.64 AND gap >= 0.25)", "trades", "signals", "scores", doubles="metric threshold"),
@@ -309,6 +357,8 @@ SELECT score_id, CASE WHEN score_id % 4 = 0 THEN 'not_firing' WHEN score_id % 9
   CASE WHEN p IS NOT NULL AND n_acted >= 8 THEN greatest(least(p, 1), 0) ELSE greatest(least((expectancy + 1) / (CASE WHEN abs(entry - (entry - side * sd)) > 0 THEN abs((entry + side * td) - entry) / abs(entry - (entry - side * sd)) ELSE 1 END + 1), 1), 0) END AS conviction FROM c""", "scores", doubles="stop target1 rr1 conviction"),
     "signal_validation": with_tables("SELECT signal_id, side * (entry - stop) > 0 AND side * (target1 - entry) > 0 AS valid FROM signals", "signals"),
     "genome_text": "SELECT o_orderkey, 'trigger.roc > ' || printf('%.4f', o_orderkey % 7 / 8) || ' AND location.dist <= ' || printf('%.4f', o_custkey % 5 / 4) AS summary, 'location.dist:lte:' || printf('%.4f', o_custkey % 5 / 4) || '&trigger.roc:gt:' || printf('%.4f', o_orderkey % 7 / 8) AS signature FROM orders",
+    "genome_parsed": f"SELECT o_orderkey, {_G.format('CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END')} AS side, {_G.format('lower(h)')} AS horizon, {_G.format("'trigger.roc > ' || printf('%.4f', o_orderkey % 7 / 8)")} AS summary, {_G.format("CASE WHEN o_orderkey % 3 = 0 THEN 'pct' ELSE 'atr' END")} AS kind, round({_G.format("CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 4 / 2 + 0.5 ELSE " + _horizons('stop_atr') + " END")}, 6)::DOUBLE AS stop, round({_G.format("CASE WHEN o_orderkey % 3 = 0 THEN 2.5 ELSE " + _horizons('target_atr') + "::DOUBLE / " + _horizons('stop_atr') + " END")}, 6)::DOUBLE AS target FROM (SELECT *, (['swing', 'day', 'scalp', 'Swing', 'yearly'])[o_orderkey % 5 + 1] AS h FROM orders)",
+    "signal_text": with_tables("SELECT signal_id, ticker || ' — ' || CASE WHEN side > 0 THEN 'LONG' ELSE 'SHORT' END || ' (swing)' || chr(10) || printf('Entry: %.2f   Stop: %.2f', entry + 1e-9, stop + 1e-9) || chr(10) || printf('Target 1: %.2f', target1 + 1e-9) || CASE WHEN signal_id % 2 = 0 THEN printf('   Target 2: %.2f', target1 + 1e-9 + 1) ELSE '' END || printf('   Risk:Reward %.1f', signal_id % 9 / 2 + 1e-9) || CASE WHEN signal_id % 2 = 0 THEN printf(' / %.1f', signal_id % 9 / 2 + 1 + 1e-9) ELSE '' END || chr(10) || printf('Conviction: %.2f (calibrated, regime-matched cohort n=%d)', conviction + 1e-9, signal_id % 100) || chr(10) || 'Regime: risk_on' || chr(10) || printf('Why: trigger.roc (%+.2f); location.dist (%+.2f)', signal_id % 8 / 8 - 0.5::DOUBLE + 1e-9, -(signal_id % 3) / 4 + 1e-9) || chr(10) || 'Invalidation: ' || CASE WHEN side > 0 THEN 'close below' ELSE 'close above' END || printf(' %.2f', stop + 1e-9) || chr(10) || printf('Expectancy(cohort): %+.2fR   CVaR(5%%): %.1fR   Lead-time: next session', (signal_id % 5 - 2) / 4 + 1e-9, -(signal_id % 7) / 4 + 1e-9) AS text FROM signals", "signals"),
     "genome_map_fire": "SELECT o_orderkey, o_totalprice % 97 / 97 > 0.5 AND o_orderkey % 5 <> 0 AND o_totalprice % 89 / 89 <= 0.7 AS fires FROM orders",
     "key_columns": "SELECT p_partkey, (['regime__adx', 'a__b_c', 'plain', 'event__is_opex'])[p_partkey % 4 + 1] AS \"column\", (['regime', 'trigger', 'trigger', 'event'])[p_partkey % 4 + 1] AS layer, (['regime', 'a', 'base', 'event'])[p_partkey % 4 + 1] AS column_layer FROM part",
     "json_details": "SELECT event_id, round(CAST(json_extract_string(props, '$.k') AS DOUBLE), 6) AS k, round(trunc(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS lead, props AS detail FROM events",
