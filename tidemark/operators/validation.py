@@ -5,6 +5,7 @@ Rows are ``pos`` (from 0 in order of time), ``ts, t1, r, weight, regime`` and fe
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 
@@ -132,12 +133,18 @@ def decide(rows: DataFrame, features: Sequence[str], plan: Plan = Plan(), bounda
 
 
 def fail_closed(decision: Callable[[], DataFrame]) -> tuple[bool, str]:
-    """Whether a dataset passed and why not; whatever goes wrong on the way is a rejection, never a pass."""
+    """Whether a dataset passed and why not; whatever goes wrong on the way is a rejection, never a pass.
+
+    Data that can't be judged (``ValueError``) says what is wrong with it; anything else, a lost cluster too, is a crash, which is logged and named as one: it says nothing of the data.
+    """
     try:
         row = decision().first()
         return bool(row.passed), row.failures
-    except Exception as e:  # noqa: BLE001
+    except ValueError as e:
         return False, f"validation failed: {e}"
+    except Exception as e:  # noqa: BLE001
+        logging.getLogger(__name__).exception("validation crashed")
+        return False, f"validation crashed: {type(e).__name__}: {e}"
 
 
 def leak_checkpoint(leaky: DataFrame, genuine: DataFrame, features: tuple[Sequence[str], Sequence[str]], plan: Plan = Plan()) -> DataFrame:
