@@ -120,6 +120,26 @@ def test_secrets_edges(spark, docs):
     assert sorted(((r.doc_id, [tuple(s) for s in r.spans]) for r in got), key=repr) == sorted(((i, brute_spans(t or "")) for i, t in rows), key=repr)
 
 
+def test_compacted_digest_index(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, path, buckets=4)
+    for k in range(4):
+        exact_dedup.deduplicate(frame(spark, [(100 * k + i, f"text {i * (k + 1)}") for i in range(30)]), index).collect()
+    index.append(index.table().limit(7))  # as two runs at once leave it
+    held = {bytes(r.digest): r.keep_id for r in index.table().groupBy("digest").agg({"keep_id": "min"}).withColumnRenamed("min(keep_id)", "keep_id").collect()}
+    files = lambda: len([p for p in (tmp_path / "index/table").glob("*.parquet")])
+    before = files()
+    index.compact()
+    assert files() == 4 < before and {bytes(r.digest): r.keep_id for r in index.table().collect()} == held
+    (tmp_path / "index/table").rename(tmp_path / "index/next")  # as if ``compact`` had died before its last step
+    again = exact_dedup.DigestIndex(spark, path)
+    assert again.table().count() == len(held)
+    got = exact_dedup.deduplicate(frame(spark, [(9, "text 0"), (10, "new text")]), again).collect()
+    assert {r.doc_id: r.kept for r in got} == {9: False, 10: True}
+    plan = again.table().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_mask_across_stretches(spark):
     rnd = random.Random(6)
     text = "".join(rnd.choice("ab日😀\n ") for _ in range(30_000))

@@ -55,6 +55,12 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    files, at = _file_system(spark, old)
+    if not files.rename(at, _file_system(spark, new)[1]):
+        raise OSError(f"{old} could not be renamed")
+
+
 def clean_up(spark: SparkSession) -> None:
     """Deletes the tables that this application's operators have written between steps; for when their results are read."""
     delete(spark, run_dir(spark))

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, exists, full_text, new_path, temporary, written
+from tidemark.llm.common import SPACES, delete, exists, full_text, new_path, rename, temporary, written
 
 
 def normalised_digest(column: str = "text"):
@@ -31,15 +31,20 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark, self.path = spark, path or new_path(spark, "digest-index")
         self.name = f"digest_index_{uuid.uuid4().hex}"
+        if exists(spark, f"{self.path}/next/_SUCCESS") and not exists(spark, f"{self.path}/table"):
+            rename(spark, f"{self.path}/next", f"{self.path}/table")  # ``compact`` ended between its two steps
         made = f"{self.path}/buckets"
         if exists(spark, f"{made}/_SUCCESS"):
             self.buckets = spark.read.schema("n int").parquet(made).first().n
         else:
             self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
             spark.createDataFrame([(self.buckets,)], "n int").write.mode("overwrite").parquet(made)
-        spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/table'"
+        self._create(self.name, "table")
+
+    def _create(self, name: str, folder: str) -> None:
+        self.spark.sql(
+            f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{folder}'"
         )
 
     def __enter__(self) -> DigestIndex:
@@ -59,6 +64,23 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
 
 
+    def compact(self) -> None:
+        """One sorted file a bucket again, each digest once; for after many batches, with no reader or writer at work.
+
+        The new files are whole before the old ones go, and a run that dies between is ended by the next that opens the index.
+        """
+        after = f"{self.name}_next"
+        delete(self.spark, f"{self.path}/next")
+        self._create(after, "next")
+        # Read by bucket, so a digest's rows meet without an exchange and every bucket is one task.
+        self.table().groupBy("digest").agg(F.min("keep_id").alias("keep_id")).write.insertInto(after)
+        self.spark.sql(f"DROP TABLE {after}")
+        self.close()
+        delete(self.spark, f"{self.path}/table")
+        rename(self.spark, f"{self.path}/next", f"{self.path}/table")
+        self._create(self.name, "table")
+
+
 def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, text``): ``doc_id, keep_id, group_size, kept,
     digest, n_chars``.
