@@ -10,6 +10,7 @@ from tidemark.functions.scalars import adverse_price, clamp01, wilson_lower_boun
 from tidemark.operators import labeling
 from tidemark.operators.labeling import SWING, Profile
 from tidemark.operators.search import Genome, labelled
+from tidemark.storage import Scratch
 
 MIN_ACTED, LIVE_FLOOR = 8, 0.40
 
@@ -105,7 +106,7 @@ def valid_geometry(entry: Column, stop: Column, target: Column, side: Column) ->
 def paper_trades(signals: DataFrame, bars: DataFrame, profile: Profile = SWING) -> DataFrame:
     """``signals`` (``signal_id, ticker, created_at, side``) filled at the next bar's open and resolved by the barrier from there.
 
-    Fills are worse by half the cost on each leg, and the result is net of the cost in R. ``bars``: ``ticker, ts, idx, open, high, low, close, atr``.
+    Fills are worse by half the cost on each leg, and the result is net of the cost in R. Fills are written on the way. ``bars``, best a table that is stored: ``ticker, ts, idx, open, high, low, close, atr``.
     """
     # From the last bar back, so that a running value has the next bar; a frame that reaches ahead would be read anew for every row.
     w = Window.partitionBy("ticker").orderBy(F.col("ts").desc(), F.col("_kind").desc())
@@ -115,9 +116,11 @@ def paper_trades(signals: DataFrame, bars: DataFrame, profile: Profile = SWING)
     first = F.last("idx", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     at = line.withColumn("fill_idx", first + 1).where("_kind = 0").select("ticker", "_s.signal_id", "_s.side", "fill_idx")
     fill = bars.select("ticker", F.col("idx").alias("fill_idx"), F.col("ts").alias("fill_ts"), "open", "close", "atr")
-    opened = at.join(fill, ["ticker", "fill_idx"]).withColumn("fill_px", adverse_price(F.col("open"), F.col("side"), True, profile.round_trip))
+    tables = Scratch(bars.sparkSession)  # what the barrier and its results both read
+    opened = tables.written(at.join(fill, ["ticker", "fill_idx"]).withColumn("fill_px", adverse_price(F.col("open"), F.col("side"), True, profile.round_trip)), "fills")
     ways = opened.select("ticker", F.col("fill_idx").alias("idx"), "side", F.col("close").alias("entry_px"), (F.col("atr") * profile.target_atr).alias("target_dist"), (F.col("atr") * profile.stop_atr).alias("stop_dist")).distinct()
-    done = labeling.triple_barrier(ways.where("stop_dist > 0"), bars, profile.max_hold).select("ticker", F.col("idx").alias("fill_idx"), "side", "exit_idx", "outcome", "ret_r", "target_px", "stop_px")
+    ways = tables.written(ways.where("stop_dist > 0"), "ways")
+    done = labeling.triple_barrier(ways, bars, profile.max_hold).select("ticker", F.col("idx").alias("fill_idx"), "side", "exit_idx", "outcome", "ret_r", "target_px", "stop_px")
     ends = bars.select("ticker", F.col("idx").alias("exit_idx"), F.col("ts").alias("exit_ts"), F.col("close").alias("exit_close"))
     out = opened.join(done, ["ticker", "fill_idx", "side"], "left").join(ends, ["ticker", "exit_idx"], "left")
     raw_exit = F.when(F.col("outcome") == "target", F.col("target_px")).when(F.col("outcome") == "stop", F.col("stop_px")).when(F.col("outcome") == "time", F.col("exit_close"))

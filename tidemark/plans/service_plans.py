@@ -136,8 +136,8 @@ def adverse_fill(spark, sf):
 
 
 def _journal_inputs(spark, sf):
-    bars = signals.with_atr(tables.bars(spark, sf))
-    return tables.signals(spark, sf).select("signal_id", "ticker", "created_at", "side"), bars.select("ticker", "ts", "idx", "open", "high", "low", "close", "atr")
+    bars = signals.with_atr(tables.bars(spark, sf)).select("ticker", "ts", "idx", "open", "high", "low", "close", "atr")
+    return tables.signals(spark, sf).select("signal_id", "ticker", "created_at", "side"), storage.Scratch(spark).written(bars, "bars")
 
 
 def paper_trades(spark, sf):
