@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import api, labeling, search, signals, sinks
+from tidemark.operators import api, labeling, monitor, search, signals, sinks
 
 
 def test_genome_without_a_risk_has_its_horizons(spark):
@@ -65,3 +65,10 @@ def test_replay_is_the_backtest_of_each_strategy_and_replaces_itself(spark, tmp_
     scores = spark.createDataFrame([(1, 1, 0, 9.0), (1, 2, 1, 0.2), (2, 1, 2, 0.4)], "strategy_id int, evaluated_at int, score_id int, expectancy double")
     row = signals.against_out_of_sample(got, scores).first()
     assert row.out_of_sample == pytest.approx(0.3) and row.gap == pytest.approx(row.in_sample - 0.3)
+
+
+def test_a_drawdown_of_just_the_limit_disables(spark):
+    path = [-0.4, -0.4, -0.4, -0.8, -0.4, -0.4, -0.4, -1.2, -0.8, -0.8]  # -6 exactly; one after another, doubles give -5.999999999999999
+    rows = [(s, k, datetime(2001, 1, 1) + timedelta(k), r + (0.4 if s == 2 and k == 9 else 0.0)) for s in (1, 2) for k, r in enumerate(path)]
+    got = monitor.drawdown(spark.createDataFrame(rows, "strategy_id long, trade_id long, entry_ts timestamp, pnl_r double")).collect()
+    assert [(r.strategy_id, round(r.metric, 6), r.threshold) for r in got] == [(1, -6.0, -6.0)]
