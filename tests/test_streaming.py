@@ -2,6 +2,7 @@
 
 import random
 import threading
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -131,3 +132,19 @@ def test_push_publishes_every_frame_in_order(spark, tmp_path):
     thread.join()
     assert len(got) == 900 and reader.skipped == 0
     assert [g.split('"note":"')[1][:-2] for g in got] == [f"n{b}-{i}" for b in range(3) for i in range(300)]
+
+
+def test_vintages_of_many_keys_take_no_step_for_each(spark, tmp_path):
+    # 40,000 keys, some null, over two micro-batches: Python is called for buckets, and large ids beside nulls stay whole.
+    big = 2**60
+    schema = "id long, day timestamp, n long, value double"
+    first = [(None if i % 7 == 0 else big + i, DAY + timedelta(i % 5), 1, float(i)) for i in range(40_000)]
+    newest = {(i, d): v for i, d, _, v in sorted(first, key=lambda r: r[3])}
+    later = [(i, d, 2 if k % 2 else 0, -float(k)) for k, (i, d, _, _) in enumerate(first[:1000])]
+    stream = feeds.latest_vintage(arriving(spark, str(tmp_path / "in"), schema, [first, later]), ["id", "day"], ["n", "value"], buckets=8)
+    began = time.monotonic()
+    got = sent(stream, str(tmp_path / "state"))
+    assert time.monotonic() - began < 60
+    assert {(r.id, r.day): r.value for b, r in got if b == 0} == newest and {r.revision for b, r in got if b == 0} == {0}
+    want = {(i, d): v for i, d, n, v in sorted(later, key=lambda r: r[3]) if n == 2}
+    assert {(r.id, r.day): (r.value, r.revision) for b, r in got if b == 1} == {k: (v, 1) for k, v in want.items()}

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType, TimestampType
 
 from tidemark.operators.sinks import newest
 
@@ -47,31 +47,51 @@ def once_each(events: DataFrame, late: str = "7 days") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def latest_vintage(stream: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def latest_vintage(stream: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: int = 256) -> DataFrame:
     """The rows of ``stream`` that were the newest of their key when they came, by ``order`` (``as_of``, then what breaks ties), with ``revision``: 0 for a key's
     first, then 1, 2, ... for each correction.
 
     A later vintage corrects what was sent, an earlier one that comes late is no news, and one that comes again repeats nothing. State is the order and
     revision of a key's newest row. A row without an ``order`` was never known and is left out. Of the rows of one micro-batch only the newest is sent.
+    Keys are met a bucket at a time, not one by one; each of ``buckets`` (fixed for the life of a checkpoint) has a table of its keys as its state.
     """
-    order = list(order)
+    keys, order = list(keys), list(order)
     schema = StructType([*stream.schema.fields, StructField("revision", LongType())])
     fields = [f.name for f in stream.schema.fields]
-
-    def walk(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, revision = (pickle.loads(state.get[0]), state.get[1]) if state.exists else (None, -1)
-        best = None
-        for pdf in parts:  # one part at a time, whatever the size of the group
-            last = pdf.sort_values(order, kind="stable").iloc[[-1]]
-            at = tuple(last[order].itertuples(index=False, name=None))[0]
-            if held is None or at > held:
-                held, best = at, last
-        if best is not None:
-            state.update((pickle.dumps(held), revision + 1))
-            yield best[fields].assign(revision=np.int64(revision + 1))
-
-    known = stream.dropna(subset=order)
-    return known.groupBy(*keys).applyInPandasWithState(walk, schema, "held binary, revision long", "update", GroupStateTimeout.NoTimeout)
+    # Instants as numbers: a local time may stand for two.
+    instants = [f.name for f in stream.schema.fields if f.name in {*keys, *order} and f.dataType == TimestampType()]
+    known = stream.dropna(subset=order).withColumns({c: F.unix_micros(c) for c in instants})
+    # In a group each key column has a null in all rows or in none, so whole numbers stay whole.
+    nulls = F.concat(*[F.col(k).isNull().cast("int").cast("string") for k in keys])
+    dealt = known.withColumns({"_bucket": F.pmod(F.xxhash64(*keys), F.lit(buckets)), "_nulls": nulls})
+    inner = StructType([*known.schema.fields, StructField("revision", LongType())])
+
+    def last(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(order, kind="stable").drop_duplicates(keys, keep="last")
+
+    def walk(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fresh, more, n = None, [], 0
+        for pdf in parts:  # the newest of each key are kept, whatever the number of rows
+            more.append(last(pdf[fields]))
+            n += len(more[-1])
+            if n > 50_000 and n > 2 * (len(fresh) if fresh is not None else 0):
+                fresh, more, n = last(pd.concat([*([] if fresh is None else [fresh]), *more], ignore_index=True)), [], 0
+        fresh = last(pd.concat([*([] if fresh is None else [fresh]), *more], ignore_index=True)).reset_index(drop=True)
+        slim = fresh[[*dict.fromkeys([*keys, *order])]].assign(revision=np.int64(-1), _at=np.arange(len(fresh)))
+        if state.exists:
+            held = pickle.loads(state.get[0]).assign(_at=np.int64(-1))
+            slim = pd.concat([slim, held], ignore_index=True)  # what is held comes after what is alike, and so stays
+            slim["revision"] = slim.groupby(keys, dropna=False, sort=False)["revision"].transform("max")
+        slim = last(slim)
+        news = (slim["_at"] >= 0).to_numpy()
+        slim["revision"] += news.astype(np.int64)
+        state.update((pickle.dumps(slim.drop(columns="_at").reset_index(drop=True)),))
+        at, revision = slim["_at"].to_numpy()[news], slim["revision"].to_numpy()[news]
+        for k in range(0, len(at), 50_000):
+            yield fresh.iloc[at[k : k + 50_000]].assign(revision=revision[k : k + 50_000])
+
+    out = dealt.groupBy("_bucket", "_nulls").applyInPandasWithState(walk, inner, "held binary", "update", GroupStateTimeout.NoTimeout)
+    return out.withColumns({c: F.timestamp_micros(c) for c in instants}).select(*[f.name for f in schema.fields])
 
 
 #: What a stream's group remembers: facts by when they take effect, and the questions with what they were told (-1: nothing yet).
