@@ -5,6 +5,7 @@ import threading
 import time
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,22 @@ def test_vintages_of_many_keys_take_no_step_for_each(spark, tmp_path):
     assert {(r.id, r.day): r.value for b, r in got if b == 0} == newest and {r.revision for b, r in got if b == 0} == {0}
     want = {(i, d): v for i, d, n, v in sorted(later, key=lambda r: r[3]) if n == 2}
     assert {(r.id, r.day): (r.value, r.revision) for b, r in got if b == 1} == {k: (v, 1) for k, v in want.items()}
+
+
+def test_only_facts_that_can_be_told_are_held():
+    rng = np.random.default_rng(3)
+    facts = np.zeros(200_000, feeds._FACT)
+    facts["ts"] = rng.integers(0, 10_000, len(facts))
+    facts["as_of"] = facts["ts"] + rng.integers(1, 500, len(facts))
+    facts["at"], facts["value"] = facts["as_of"], rng.integers(0, 9, len(facts))
+    asked = rng.integers(-5, 11_000, 5_000)
+    whole = np.sort(facts, order=["at", "ts", "as_of", "value"])
+    gathered = feeds._Gathered(np.zeros(0, feeds._FACT))
+    most = 0
+    for part in np.array_split(facts, 40):
+        gathered.add(part)
+        most = max(most, len(gathered.held))
+    held = gathered.all()
+    at, before = feeds._newest_by(held, asked), feeds._newest_by(whole, asked)
+    assert ((at < 0) == (before < 0)).all() and (held[at][at >= 0] == whole[before][at >= 0]).all()
+    assert len(held) <= 10_500 and most <= 10_500  # at most one for each instant, of 200,000

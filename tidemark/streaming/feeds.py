@@ -94,9 +94,9 @@ def latest_vintage(stream: DataFrame, keys: Sequence[str], order: Sequence[str],
     return out.withColumns({c: F.timestamp_micros(c) for c in instants}).select(*[f.name for f in schema.fields])
 
 
-#: What a stream's group remembers: facts by when they take effect, and the questions with what they were told (-1: nothing yet).
+#: What a stream's group remembers: facts by when they take effect, and the questions; what these were told follows from the facts.
 _FACT = np.dtype([("at", "i8"), ("ts", "i8"), ("as_of", "i8"), ("value", "f8")])
-_ASK = np.dtype([("at", "i8"), ("id", "i8"), ("ts", "i8"), ("as_of", "i8"), ("value", "f8")])
+_ASK = np.dtype([("at", "i8"), ("id", "i8")])
 
 
 def _newest_by(facts: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -109,12 +109,53 @@ def _newest_by(facts: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(found >= 0, place[running[np.maximum(found, 0)]] if len(facts) else 0, -1)
 
 
+def _answers(facts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each time the newest fact that has taken effect (zeros for none), and whether there is none."""
+    if not len(facts):
+        return np.zeros(len(at), _FACT), np.ones(len(at), bool)
+    found = _newest_by(facts, at)
+    none = found < 0
+    out = facts[found]
+    out[none] = np.zeros(1, _FACT)[0]
+    return out, none
+
+
+def _front(facts: np.ndarray) -> np.ndarray:
+    """Those of ``facts`` that are the newest at some time, in order of ``at``: the others can't be told, whatever is asked or comes later."""
+    facts = facts[np.lexsort((facts["value"], facts["as_of"], facts["ts"], facts["at"]))]
+    best = _newest_by(facts, facts["at"])
+    return facts[np.unique(best)] if len(facts) else facts
+
+
+class _Gathered:
+    """Facts that arrive in parts; what can't be told any more is dropped on the way."""
+
+    def __init__(self, held: np.ndarray):
+        self.held, self.more, self.n = held, [], 0
+
+    def add(self, facts: np.ndarray) -> None:
+        self.more.append(facts)
+        self.n += len(facts)
+        if self.n > max(100_000, len(self.held)):
+            self.all()
+
+    def all(self) -> np.ndarray:
+        if self.more:
+            self.held, self.more, self.n = _front(np.concatenate([self.held, *self.more])), [], 0
+        return self.held
+
+
+#: Rows of answers that are made at once.
+_TOLD = 100_000
+
+
 def as_of(asks: DataFrame, facts: DataFrame, equal: Sequence[str], late: str | None = None, salts: int = 1) -> DataFrame:
     """``equal, id, t, value, known_at`` for the questions ``asks`` (``equal, id, t``): the newest of ``facts`` (``equal, ts, as_of, value``) that had happened and was
     known by ``t``, newest event first, then newest vintage; what ``pit.as_of`` gives for whole tables.
 
     Both are streams and may come in any order. A question is answered as soon as it is there; a fact that comes later but was known by its time
     corrects the answer, which is sent again (the last one sent counts). A question that comes again with the same id is not told again.
+    Of the facts only those are held that are the newest at some time: no question, however late, is answered by another.
     With ``late`` both clocks have a watermark: facts behind it fold into the one newest, questions behind it are settled, and state is bounded; rows that come
     later still are dropped. Without it nothing is ever settled. Questions of one ``equal`` are spread over ``salts`` groups, each of which has its facts.
     """
@@ -137,33 +178,32 @@ def as_of(asks: DataFrame, facts: DataFrame, equal: Sequence[str], late: str | N
     def walk(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, open_asks = pickle.loads(state.get[0]) if state.exists else (np.zeros(0, _FACT), np.zeros(0, _ASK))
         if not state.hasTimedOut:
-            fresh, asked = [held], [open_asks]
+            fresh, asked = _Gathered(held), [open_asks]
             for pdf in parts:
                 ask = pdf["_id"].notna()
                 own = pdf[~ask]
                 made = np.zeros(len(own), _FACT)
                 made["at"], made["ts"], made["as_of"], made["value"] = own["_micros"], own["_ts"], own["_as_of"], own["_value"]
-                fresh.append(made)
+                fresh.add(made)
                 own = pdf[ask]
                 made = np.zeros(len(own), _ASK)
-                made["at"], made["id"], made["ts"] = own["_micros"], own["_id"], np.iinfo(np.int64).min
+                made["at"], made["id"] = own["_micros"], own["_id"]
                 asked.append(made)
-            held = np.unique(np.concatenate(fresh))  # in order of ``at``
-            questions = np.concatenate(asked)
-            questions = questions[np.sort(np.unique(questions["id"], return_index=True)[1])]  # the first of an id stands
-            found = _newest_by(held, questions["at"])
-            answer = held[found] if len(held) else np.zeros(len(questions), _FACT)
-            none = found < 0
-            before = questions["ts"]
-            nothing = np.iinfo(np.int64).min + 1
-            ts = np.where(none, nothing, answer["ts"])
-            moved = (before != ts) | (~none & ((questions["as_of"] != answer["as_of"]) | (questions["value"] != answer["value"])))
-            questions["ts"], questions["as_of"], questions["value"] = ts, np.where(none, 0, answer["as_of"]), np.where(none, 0.0, answer["value"])
-            out, gone = questions[moved], none[moved]
-            if len(out):
-                rows = {k: v for k, v in zip(equal, key, strict=False)}
-                yield pd.DataFrame({**{k: [v] * len(out) for k, v in rows.items()}, "id": out["id"], "at": out["at"], "value": pd.array(np.where(gone, np.nan, out["value"])), "known": pd.Series(out["as_of"]).astype("Int64").where(~gone)})
-            open_asks = questions
+            before, held, old = held, fresh.all(), len(open_asks)
+            open_asks = np.concatenate(asked)
+            del asked, fresh
+            if len(open_asks) > old:  # the first of an id stands
+                open_asks = open_asks[np.sort(np.unique(open_asks["id"], return_index=True)[1])]
+            for k in range(0, len(open_asks), _TOLD):
+                questions = open_asks[k : k + _TOLD]
+                answer, none = _answers(held, questions["at"])
+                told, untold = _answers(before, questions["at"])
+                same = (none == untold) & (answer["ts"] == told["ts"]) & (answer["as_of"] == told["as_of"]) & ((answer["value"] == told["value"]) | np.isnan(answer["value"]) & np.isnan(told["value"]))
+                moved = ~same | (np.arange(k, k + len(questions)) >= old)
+                out, answer, gone = questions[moved], answer[moved], none[moved]
+                if len(out):
+                    rows = {k: v for k, v in zip(equal, key, strict=False)}
+                    yield pd.DataFrame({**{k: [v] * len(out) for k, v in rows.items()}, "id": out["id"], "at": out["at"], "value": pd.array(np.where(gone, np.nan, answer["value"])), "known": pd.Series(answer["as_of"]).astype("Int64").where(~gone)})
         if late:
             passed = state.getCurrentWatermarkMs() * 1000
             old = held["at"] <= passed
