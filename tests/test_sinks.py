@@ -93,3 +93,13 @@ def test_deltas_are_folded_by_themselves_and_the_log_stays_short(spark, tmp_path
     assert rows(table) == [] and table.layout().buckets == {}
     table.upsert(frame(spark, [(5, 5.0, "x")]))
     assert rows(table) == [(5, 5.0, "x")]
+
+
+def test_rows_are_dealt_to_as_many_tasks_as_their_number_asks_for(spark):
+    rows = spark.range(10_000).selectExpr("id % 2500 AS k", "id AS at", "id AS v")
+    dealt = sinks.spread(rows, ["k"], 500)
+    found = sinks.newest(dealt, ["k"], ["at"])
+    assert dealt.select(F.spark_partition_id().alias("p")).distinct().count() == 20
+    assert found.groupBy(F.spark_partition_id().alias("p")).count().count() == 20  # and are not dealt again
+    assert {(r.k, r.v) for r in found.collect()} == {(k, 7500 + k) for k in range(2500)}
+    assert sinks.spread(rows.limit(0), ["k"]).count() == 0

@@ -144,7 +144,8 @@ def upsert_keyed(spark, sf):
 
 def coalesce_merge(spark, sf):
     """Trades after an update that fills only missing exits."""
-    old = sinks.newest(tables.trades(spark, sf).select("trade_id", "entry_ts", "pnl_r"), ["trade_id"], ["entry_ts", "pnl_r"])
+    rows = sinks.spread(tables.trades(spark, sf).select("trade_id", "entry_ts", "pnl_r"), ["trade_id"])
+    old = sinks.newest(rows, ["trade_id"], ["entry_ts", "pnl_r"])
     new = old.where("pnl_r IS NULL").select("trade_id", F.lit(None).cast("timestamp_ntz").alias("entry_ts"), F.lit(0.5).alias("pnl_r"))
     return rounded(sinks.filled(old, new, ["trade_id"]))
 

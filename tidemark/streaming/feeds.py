@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType, TimestampType
 
-from tidemark.operators.sinks import newest
+from tidemark.operators.sinks import newest, spread
 
 
 def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", files_per_trigger: int = 4) -> DataFrame:
@@ -240,7 +240,7 @@ def run_available(stream: DataFrame, path: str, keys: list[str], mode: str = "up
     query.awaitTermination()
     spark = stream.sparkSession
     found = spark.read.schema(StructType([*schema.fields, StructField("_batch", IntegerType())])).parquet(f"{path}/out/batch=*")
-    return newest(found, keys, ["_batch"]).drop("_batch")
+    return newest(spread(found, keys), keys, ["_batch"]).drop("_batch")
 
 
 class Hub:
