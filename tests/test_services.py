@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import api, labeling, monitor, search, signals, sinks
+from tidemark.plans import nightly
+from tidemark.sources import tables
 
 
 def test_genome_without_a_risk_has_its_horizons(spark):
@@ -72,3 +74,18 @@ def test_a_drawdown_of_just_the_limit_disables(spark):
     rows = [(s, k, datetime(2001, 1, 1) + timedelta(k), r + (0.4 if s == 2 and k == 9 else 0.0)) for s in (1, 2) for k, r in enumerate(path)]
     got = monitor.drawdown(spark.createDataFrame(rows, "strategy_id long, trade_id long, entry_ts timestamp, pnl_r double")).collect()
     assert [(r.strategy_id, round(r.metric, 6), r.threshold) for r in got] == [(1, -6.0, -6.0)]
+
+
+def test_ingest_makes_its_rows_once(spark, tmp_path, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    bars = tables.bars
+    monkeypatch.setattr(tables, "bars", lambda spark, sf: bars(spark, sf).mapInArrow(counted, bars(spark, sf).schema))
+    got = {r.dataset: (r.written, r.stored) for r in nightly.ingest(spark, "/root/testdata/sf0.001", str(tmp_path)).collect()}
+    n = bars(spark, "/root/testdata/sf0.001").count()
+    assert got["bars"] == (n, n) and made.value == n
