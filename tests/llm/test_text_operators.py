@@ -1,6 +1,7 @@
 """Digest index, blob ledger, sketches, URL cascade, SimHash, BPE and packing against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -352,6 +353,27 @@ def test_word_ids():
     assert own.encode_batch(pa.array([], pa.string())) == [] and own.encode_batch(pa.array([None, "", " "])) == [b"", b"", b""]
 
 
+def test_a_word_is_remembered_without_the_marks_after_it():
+    own = packing.WordEncoder()
+    texts = ["word word. word, Word!! (word) word;word wörter. WÖRTER, x's", "word? wörter!"]
+    for _ in range(2):
+        for t, ids in zip(texts, own.encode_batch(pa.array(texts)), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
+    assert {k for k in own.known if k.startswith(("word", "wörter"))} == {"word", "wörter"}
+
+
+def test_word_ids_at_every_edge(monkeypatch):
+    monkeypatch.setattr(packing, "LEARNED", 1000)
+    monkeypatch.setattr(packing, "MAX_WORDS", 5000)
+    parts = ["a", "S", "'", ".", "-", "5", "É", "ß", "×", "İ", "Ⱥ", "\u00a0", "\u0301", "\u2019", "中", "\x00", "\n", "'s", "<|endoftext|>"]
+    texts = ["".join(p) for p in itertools.product(parts, repeat=4)]
+    own = packing.WordEncoder()
+    for at in range(0, len(texts), packing.BATCH):
+        some = texts[at : at + packing.BATCH]
+        for t, ids in zip(some, own.encode_batch(pa.array(some)), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def check_packing(rows, capacity):
     bins = defaultdict(list)
     for r in rows:

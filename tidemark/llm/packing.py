@@ -13,6 +13,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -40,49 +41,68 @@ GENOMES, GENERATIONS, CHILDREN = 4, 4, 2
 PROGRESS = 1 / 64
 #: Words that a worker remembers the ids of (those met lately), and their longest length.
 MAX_WORDS, WORD_CHARS = 250_000, 40
-#: Documents encoded at once.
-BATCH = 512
+#: Documents encoded at once, and words that are new to a worker.
+BATCH, LEARNED = 512, 16_384
 
 #: Characters that libraries disagree about being white space, or that lower-case by their context: such texts are encoded whole.
 _ODD = r"[\x1c-\x1f\x{85}\x{180e}\x{200b}\x{feff}\x{3a3}]"
-#: The vocabulary's pattern for what is encoded by itself (fixed value).
-_MATCH = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: A letter and a mark after it: no match holds both (but for apostrophes, which can begin one), so a word ends there and is met without its marks.
+_EDGE = r"([a-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])"
+#: The vocabulary's pattern for what is encoded by itself (fixed value), or the end of a line of words.
+_MATCH = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
 
 
 class WordEncoder:
     """Ids of whole texts by way of their words.
 
     The vocabulary lower-cases and drops white space, and no match of its pattern crosses it, so a text's ids are those
-    of its words in order. Each word goes through the library's model once, as long as it is remembered.
+    of its words in order. Each word goes through the library's model once, as long as it is remembered; marks after
+    it are words of their own, so ``word``, ``word.`` and ``word,`` are one word to it.
     """
 
     def __init__(self, path: str = VOCABULARY):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model, self.chars = self.tokenizer.model, byte_characters()
+        self.model = self.tokenizer.model
+        self.spelling = np.array([ord(c) for c in byte_characters()], dtype="<u4")
+        self.spelling[[ord(" "), ord("\n")]] = ord(" "), ord("\n")  # between matches and between words
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _word(self, key: str) -> bytes:
-        word, ids = key, self.older.get(key)
-        if ids is None:
-            word = word.lower()
-            if word.isascii():
-                pieces = [word] if word.isalpha() else _MATCH.findall(word)
-            elif max(word) < LATER:
-                pieces = ["".join([self.chars[b] for b in m.encode()]) for m in _MATCH.findall(word)]
-            else:
-                pieces = None
-            if pieces is None:
-                ids = self.whole(word)
-            else:
-                found = [t.id for p in pieces for t in self.model.tokenize(p)]
-                ids = struct.pack(f"<{len(found)}I", *found)
-        if len(key) <= WORD_CHARS:
-            self.known[key] = ids
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of words that are not remembered: all are lower-cased, matched and spelled as one text, a line each."""
+        text = "\n".join(words).lower()
+        text = " ".join(_MATCH.findall(text)).encode()
+        lines = self.spelling[np.frombuffer(text, dtype=np.uint8)].tobytes().decode("utf-32-le").split("\n")
+        tokenize = self.model.tokenize
+        found = [[t.id for match in line.split() for t in tokenize(match)] for line in lines]
+        data = np.fromiter(chain.from_iterable(found), dtype="<u4").tobytes()
+        ends = [0, *accumulate(4 * len(f) for f in found)]
+        return [data[a:b] for a, b in pairwise(ends)]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these different words."""
+        if 2 * len(self.known) > MAX_WORDS:
+            self.known, self.older = {}, self.known
+        ids = list(map(self.known.get, words))
+        new = [k for k, i in enumerate(ids) if i is None]
+        unknown = []
+        for k in new:
+            word = words[k]
+            ids[k] = self.older.get(word)
+            if ids[k] is None:
+                if word.isascii() or max(low := word.lower()) < LATER:
+                    unknown.append(k)
+                else:
+                    ids[k] = self.whole(low)
+        for at in range(0, len(unknown), LEARNED):
+            some = unknown[at : at + LEARNED]
+            for k, i in zip(some, self._learn([words[k] for k in some]), strict=True):
+                ids[k] = i
+        self.known.update((words[k], ids[k]) for k in new if len(words[k]) <= WORD_CHARS)
         return ids
 
     def encode_batch(self, texts: pa.StringArray) -> list[bytes]:
@@ -91,15 +111,13 @@ class WordEncoder:
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         for k in np.flatnonzero(~pc.string_is_ascii(texts).to_numpy(zero_copy_only=False) & ~odd):
             odd[k] = not unicodedata.is_normalized("NFC", texts[int(k)].as_py())
-        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _EDGE, r"\1 \2"))
         coded = words.flatten().dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if 2 * len(self.known) > MAX_WORDS:
-            self.known, self.older = {}, self.known
-        ids = list(map(self.known.get, distinct))
-        ids = [self._word(w) if i is None else i for w, i in zip(distinct, ids, strict=True)]
+        # The distinct words as one text, cut by Python: much quicker than a list made of Arrow's values.
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py()
+        ids, codes = self._ids(joined.split(" ")), coded.indices.to_numpy()
         # Each word's ids, one after another: a gather from the ids of the distinct words.
-        size = np.array([len(i) // 4 for i in ids], dtype=np.int64)
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         start, per_word = np.cumsum(size) - size, size[codes]
         ends = np.cumsum(per_word)
         out = np.frombuffer(b"".join(ids), dtype="<u4")[np.repeat(start[codes] - (ends - per_word), per_word) + np.arange(ends[-1] if len(ends) else 0)]
