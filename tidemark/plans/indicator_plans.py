@@ -75,9 +75,7 @@ def event_calendar(spark, sf):
 
 def tradeability(spark, sf):
     """Dollar ADV of each supplier as symbol, against its account as AUM."""
-    last = tables.read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("symbol")).agg((F.sum("l_extendedprice") * 10).alias("dollar_adv"))
-    aum = tables.read(spark, sf, "supplier").selectExpr("s_suppkey AS symbol", "CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE abs(s_acctbal) * 1000000 END AS aum")
-    return rounded(features.tradeability(last.join(aum, "symbol", "left")))
+    return rounded(features.tradeability(tables.funds(spark, sf)))
 
 
 def regime_features(spark, sf):
